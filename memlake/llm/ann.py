@@ -30,7 +30,7 @@ from memlake.llm.common import Scratch
 #: Vectors the index is fitted on, those of least hash.
 SAMPLE = 16_384
 MAX_LISTS = 1024
-PROBED_SHARE = 0.4
+PROBED_SHARE = 0.6
 SUBSPACES, CODES = 16, 256
 RERANK = 96
 LIST_BLOCK, QUERY_BLOCK = 8192, 1024
@@ -112,7 +112,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> Index | None:
         return None
     size = Counter(map(len, raw)).most_common(1)[0][0]
     x = np.stack([np.frombuffer(r) for r in sorted(raw) if len(r) == size])
-    return Index(x, int(np.clip(np.sqrt(len(x)) * 1.5, 1, MAX_LISTS)))
+    return Index(x, int(np.clip(np.sqrt(len(x)) * 3, 1, MAX_LISTS)))
 
 
 def search(vectors: DataFrame, is_query, index: Index | None = None, k: int = NEIGHBOURS) -> DataFrame:
