@@ -15,15 +15,21 @@ from collections.abc import Callable
 import numpy as np
 
 #: Pieces in each of the cache's two generations.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 300_000
 #: A longer piece is encoded but not kept.
 LONGEST_CACHED = 64
 #: Pieces encoded in one string.
 GROUP = 96
 
-#: White space, or control characters that some definition of white space holds, other than a single space or newline between other characters.
+#: White space, or control characters that some definition of white space holds, other than space and newline.
 _SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0" + "".join(map(chr, [0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF]))
-_ODD = re.compile(f"[{_SPACES}]|[ \n][ \n]|^[ \n]|[ \n]$")
+_OTHER_SPACE = re.compile(f"[{_SPACES}]")
+#: Marks that, after a letter or digit of the Latin alphabet and at a piece's end, are a token group of their own.
+_MARKS = ".,;:?!$#%&*|"
+#: The last Latin letter: of those beyond, lower case may depend on context.
+_LAST_LATIN = "\u024f"
+#: The one letter up to there whose lower case ends in a mark.
+_DOTTED = "\u0130"
 
 
 def _piece_bytes(tokenizer, pieces: list[str], kind: np.dtype) -> list[bytes]:
@@ -43,7 +49,7 @@ class Encoder:
         if self.kind.itemsize == 2 and self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need four bytes")
         self.end = np.array([end], dtype=self.kind).tobytes()
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.cut, self.joint = self._rules()
 
@@ -63,12 +69,46 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        fresh = []
+        """Ids of pieces that the young generation lacks: from the old one, from their parts, or encoded.
+
+        Marks after a letter or digit at a piece's end are cut apart by the
+        tokenizers, so a word and its marks are looked up apart.
+        """
+        young, old = self.young, self.old
+        known = old.get
+        lower = self.cut is _cut_bare
+        waiting: list[tuple[str, str, str]] = []
+        fresh: set[str] = set()
         for p in pieces:
-            if p in self.old:
-                self.young[p] = self.old[p]
-            else:
-                fresh.append(p)
+            ids = known(p)
+            if ids is not None:
+                young[p] = ids
+                continue
+            word = p.rstrip(_MARKS)
+            marks = p[len(word) :]
+            if marks and not (word and word[-1].isalnum() and word[-1] != _DOTTED):
+                word, marks = p, ""
+            if lower and (word.isascii() or (max(word) <= _LAST_LATIN and _DOTTED not in word)):
+                word = word.lower()  # as this tokenizer does
+            if word != p:
+                waiting.append((p, word, marks))
+            for x in (word, marks):
+                if x and x not in young:
+                    ids = known(x)
+                    if ids is None:
+                        fresh.add(x)
+                    else:
+                        young[x] = ids
+        self._encode_fresh(sorted(fresh))
+        for p, word, marks in waiting:
+            young[p] = young[word] + young[marks] if marks else young[word]
+
+    def _whole(self, text: str) -> bool:
+        """Whether white space in a text may be cut in another way than at single spaces and newlines."""
+        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _OTHER_SPACE.search(text) is not None
+
+    def _encode_fresh(self, fresh: list[str]) -> None:
+        """The ids of new pieces: in groups, told apart by the id of what joins them."""
         bar = self.joint.strip(" ")
         spaced = self.cut is _cut_spaced
         plain = [p for p in fresh if bar not in p and (p[:1] == " ") == spaced and p]
@@ -79,13 +119,14 @@ class Encoder:
         parts = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([self.joint + self.joint.join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, dtype=self.kind)
-            at = np.append(np.flatnonzero(ids == mark[0]), len(ids))
+            at = np.append(np.flatnonzero(ids == mark[0]), len(ids)).tolist()
             if len(at) != len(part) + 1 or len(mark) > 1:  # the mark's id inside a piece: one by one
                 for p, b in zip(part, _piece_bytes(self.tokenizer, part, self.kind)):
                     self.young[p] = b
                 continue
+            raw, size = ids.tobytes(), self.kind.itemsize
             for k, p in enumerate(part):
-                self.young[p] = ids[at[k] + 1 : at[k + 1]].tobytes()
+                self.young[p] = raw[(at[k] + 1) * size : at[k + 1] * size]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text the bytes of its ids and the end id."""
@@ -93,17 +134,17 @@ class Encoder:
         if cut is None:
             return [b + self.end for b in _piece_bytes(self.tokenizer, texts, self.kind)]
         if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, {"": b""}
         out: list[bytes | None] = []
         waiting: list[tuple[int, list[str]]] = []
         missing: set[str] = set()
         whole: list[int] = []
-        get = self.young.get
+        get, careful = self.young.get, cut is _cut_spaced
         for k, text in enumerate(texts):
             if not text:
                 out.append(self.end)
                 continue
-            if _ODD.search(text):
+            if careful and self._whole(text):
                 whole.append(k)
                 out.append(None)
                 continue
