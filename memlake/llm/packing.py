@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import chunks, flat, reduce_rows, texts, word_bounds, word_hashes
+from memlake.llm.common import chunks, flat, reduce_rows, word_bounds, word_hashes
 from memlake.llm.tokens import encoder, vocabulary
 
 LENGTH = 2048
@@ -116,7 +116,9 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
             col = part.column("text")
             tie = np.array([zlib.crc32(str(x).encode()) >> 1 for x in part.column("doc_id").to_pylist()], dtype=np.int64)
             keys = curve_keys(*flat(col)) + tie
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, keys, side="right"), pa.int32()), pa.array(keys), part.column("doc_id"), pa.array(ids.encode(texts(col)), pa.binary())], ["range", "key", "doc_id", "ids"])
+            values, limits = ids.encode(col)
+            raw = pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer((2 * limits).astype(np.int32)), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, keys, side="right"), pa.int32()), pa.array(keys), part.column("doc_id"), raw], ["range", "key", "doc_id", "ids"])
 
     def pack(batches):
         sequence, used = (TaskContext.get().partitionId() << 40), 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memlake.llm.common import Scratch, chunks, texts
+from memlake.llm.common import Scratch, chunks
 from memlake.llm.tokens import encoder, vocabulary
 
 END_ID = 2
@@ -49,13 +49,10 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     def run(batches):
         ids, at = encoder(path, end_id), 0
         for part in chunks(batches, "text"):
-            raw = ids.encode(texts(part.column("text")))
-            sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-            ends = np.cumsum(sizes)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.array(at + ends - sizes), lists], ["part", "doc_id", "local_start", "ids"])
-            at += int(ends[-1])
+            values, limits = ids.encode(part.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(values.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.array(at + limits[:-1]), lists], ["part", "doc_id", "local_start", "ids"])
+            at += int(limits[-1])
 
     encoded = ranged.mapInArrow(run, f"part int, doc_id {kind}, local_start bigint, ids array<int>")
     writer = encoded.write.format("orc")
