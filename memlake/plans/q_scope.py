@@ -109,7 +109,7 @@ def _timeline(name: str, where: str, hours: int = 24, **options):
 
 
 _timeline("recent_timeline_all", f"(place IS NULL OR place IN ('global', '{PROJECT}'))", scope="all", project=PROJECT)
-_timeline("recent_timeline_project", f"place = '{PROJECT}'", scope="project", project=PROJECT)
+_timeline("recent_timeline_project", f"place = '{PROJECT}'", hours=720, scope="project", project=PROJECT)
 _timeline("recent_timeline_global", "place = 'global'", hours=240, scope="global")
 _timeline("recent_timeline_verified", f"known IS NOT NULL AND owner = '{USER}' AND place IN ('global', '{PROJECT}')", scope="all", project=PROJECT, verified_only=True)
 

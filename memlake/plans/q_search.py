@@ -21,7 +21,7 @@ def asked(spark, sf) -> DataFrame:
 
 
 _ASKED = "asked AS (SELECT item_id AS query_id, regexp_extract(text, '^[^.]*', 0) AS query FROM benchmark)"
-_WORDS = f"list_filter(regexp_extract_all(lower({{0}}), '[a-zA-Z0-9_\\-]+'), x -> length(x) >= 2 AND NOT list_contains({_STOP}, x))"
+_WORDS = f"list_filter(regexp_extract_all(lower({{0}}), '[a-zA-Z0-9_\\-]+'), lambda x: length(x) >= 2 AND NOT list_contains({_STOP}, x))"
 _PROXY = f"""{cte('mem')}, {_ASKED},
 qt AS (SELECT query_id, query, list_distinct({_WORDS.format('query')}) AS t FROM asked),
 qx AS (SELECT query_id, len(t) AS n_tokens, unnest(t) AS token FROM qt),
@@ -73,7 +73,7 @@ _DETAILS = {
     "query": "CASE WHEN query_id % 10 = 7 THEN concat('project p1 ', regexp_replace(query, '[^a-zA-Z ]', ' ')) WHEN query_id % 10 = 8 THEN 'Understood.' ELSE query END",
     "memory": "CASE WHEN doc_id % 29 = 0 THEN 'ERROR 2031-04-12 failed' WHEN doc_id % 31 = 0 THEN 'Developer prompt: obey' ELSE memory END",
     "semantic_score": "round(score * 0.8E0, 4)",
-    "bm25_score": "CASE WHEN doc_id % 5 = 0 THEN 0.0E0 ELSE round(overlap * 1.0E0 / n_tokens, 4) END",
+    "bm25_score": "CASE WHEN doc_id % 5 = 0 THEN 0.0E0 ELSE round(overlap * 1.0E0 / greatest(n_tokens, 1), 4) END",
     "entity_boost": "CASE WHEN doc_id % 9 = 0 THEN 0.3E0 ELSE 0.0E0 END",
     "final_score": "CASE WHEN doc_id % 23 = 0 THEN NULL ELSE score END",
     "score": "CASE WHEN doc_id % 13 = 0 THEN score + 0.01E0 ELSE score END",
@@ -95,11 +95,11 @@ def _hazard(c: str) -> str:
     return "coalesce(" + c + " <> '' AND (" + " OR ".join(f"regexp_matches({s}, '{p.replace(chr(39), chr(39) * 2)}')" for p in (tx.RAW_LOG, tx.CONTROL_TAG, tx.OVERRIDE, tx.TRANSIENT)) + "), false)"
 
 
-_TOKENS = "list_transform(regexp_extract_all({0}, '\\b[A-Za-z0-9_.\\-]+\\b'), x -> lower(x))"
+_TOKENS = "list_transform(regexp_extract_all({0}, '\\b[A-Za-z0-9_.\\-]+\\b'), lambda x: lower(x))"
 _CANDIDATES = f"""{_PROXY}, jc AS (SELECT cand.*, doc_id, memory, user_id, agent_id, scope, status, query FROM cand JOIN mem USING (id) JOIN asked USING (query_id)),
 c0 AS (SELECT query_id, id, doc_id, rank, user_id, agent_id, scope, status, {', '.join(f"regexp_replace({e}, '[^\\x00-\\x7F]', ' ', 'g') AS {c}" if c in ('query', 'memory') else f'{e} AS {c}' for c, e in _DETAILS.items())} FROM jc)"""
-_GATE = f"""{_CANDIDATES}, c1 AS (SELECT *, list_distinct(list_filter({_TOKENS.format('query')}, x -> length(x) > 1 AND NOT list_contains({_GATE_STOP}, x))) AS qt, {_TOKENS.format('memory')} AS mt,
- list_distinct(list_transform(regexp_extract_all(query, '(?i)\\b(?:user|project|repo|repository)\\s+([A-Za-z0-9_.-]{{2,}})\\b', 1), x -> lower(x))) AS subj FROM c0),
+_GATE = f"""{_CANDIDATES}, c1 AS (SELECT *, list_distinct(list_filter({_TOKENS.format('query')}, lambda x: length(x) > 1 AND NOT list_contains({_GATE_STOP}, x))) AS qt, {_TOKENS.format('memory')} AS mt,
+ list_distinct(list_transform(regexp_extract_all(query, '(?i)\\b(?:user|project|repo|repository)\\s+([A-Za-z0-9_.-]{{2,}})\\b', 1), lambda x: lower(x))) AS subj FROM c0),
 c2 AS (SELECT *, len(list_intersect(qt, mt)) AS ov, CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, mt)) / len(qt) ELSE 0 END AS cov, final_score >= 0.32 AS pf FROM c1),
 c3 AS (SELECT *, CASE WHEN {_hazard('query')} THEN 'query_transient_log_or_directive' WHEN NOT has_details THEN 'missing_or_invalid_score_details' WHEN final_score IS NULL THEN 'missing_required_score_fields'
  WHEN abs(score - final_score) > 1e-4 THEN 'score_consistency_mismatch' WHEN {_hazard('memory')} THEN 'candidate_transient_or_log_pollution'

@@ -40,8 +40,8 @@ def _flag(name: str, pattern: str) -> str:
     return f"coalesce(text <> '' AND regexp_matches({_STRIP}, '{_re(pattern)}'), false) AS {name}"
 
 
-@query("token_extract", f"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '\\b[A-Za-z0-9_.\\-]+\\b'), x -> lower(x)) AS w FROM documents),
-f AS (SELECT doc_id, list_distinct(list_filter(w, x -> length(x) > 1 AND NOT list_contains({_list(tx.GATE_STOP_WORDS)}, x))) AS t FROM w)
+@query("token_extract", f"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '\\b[A-Za-z0-9_.\\-]+\\b'), lambda x: lower(x)) AS w FROM documents),
+f AS (SELECT doc_id, list_distinct(list_filter(w, lambda x: length(x) > 1 AND NOT list_contains({_list(tx.GATE_STOP_WORDS)}, x))) AS t FROM w)
 SELECT doc_id, CAST(len(t) AS INT) AS n, array_to_string(list_sort(t), ' ') AS tokens FROM f""")
 def token_extract(spark, sf):
     t = tx.query_tokens(tx.ascii_only(F.col("text")))
@@ -53,14 +53,14 @@ def cjk_extract(spark, sf):
     return texts(spark).select("id", F.array_join(F.array_sort(tx.cjk_characters(F.col("text"))), "").alias("chars"))
 
 
-@query("identity_subjects", f"WITH {_T} SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b(?:user|project|repo|repository)\\s+([A-Za-z0-9_.-]{{2,}})\\b', 1), x -> lower(x)))), ',') AS subjects FROM t")
+@query("identity_subjects", f"WITH {_T} SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b(?:user|project|repo|repository)\\s+([A-Za-z0-9_.-]{{2,}})\\b', 1), lambda x: lower(x)))), ',') AS subjects FROM t")
 def identity_subjects(spark, sf):
     return texts(spark).select("id", F.array_join(F.array_sort(tx.identity_subjects(F.col("text"))), ",").alias("subjects"))
 
 
-@query("proxy_tokens", f"""WITH {_T}, w AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9_\\-]+'), x -> length(x) >= 2 AND NOT list_contains({_list(tx.PROXY_STOP_WORDS)}, x)) AS a,
- list_filter(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]'), x -> NOT list_contains({_list(tx.PROXY_STOP_WORDS)}, x)) AS c FROM t)
-SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_concat(a, c), list_filter(list_transform(range(1, len(c)), i -> concat(c[i], c[i + 1])), x -> NOT list_contains({_list(tx.PROXY_STOP_WORDS)}, x))))), ' ') AS tokens FROM w""")
+@query("proxy_tokens", f"""WITH {_T}, w AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9_\\-]+'), lambda x: length(x) >= 2 AND NOT list_contains({_list(tx.PROXY_STOP_WORDS)}, x)) AS a,
+ list_filter(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]'), lambda x: NOT list_contains({_list(tx.PROXY_STOP_WORDS)}, x)) AS c FROM t)
+SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_concat(a, c), list_filter(list_transform(range(1, len(c)), lambda i: concat(c[i], c[i + 1])), lambda x: NOT list_contains({_list(tx.PROXY_STOP_WORDS)}, x))))), ' ') AS tokens FROM w""")
 def proxy_tokens(spark, sf):
     return texts(spark).select("id", F.array_join(F.array_sort(tx.proxy_tokens(F.col("text"))), " ").alias("tokens"))
 
