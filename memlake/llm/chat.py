@@ -34,7 +34,7 @@ _MARK = re.compile(
     rf"|\#{{2,4}}\s*(?P<head>{_USER}|{_ASSISTANT}|{_SYSTEM})\s*:?(?=\s|$)"
     rf"|\[\s*(?P<box>{_USER}|{_ASSISTANT}|{_SYSTEM})\s*\]\s*:?"
     rf"|(?:\*\*)?(?P<word>{_USER}|{_ASSISTANT}|{_SYSTEM})(?:\*\*)?\s*[:>](?:\*\*)?(?=\s|$)"
-    rf"|(?P<name>[A-Z][\w.-]{{0,19}})\s*[:>](?=\s))[ \t]?",
+    rf"|(?P<name>[A-Z][\w.-]{{0,19}})\s*(?P<sign>[:>])(?=\s))[ \t]?",
     re.I,
 )
 _GROUPS = {w: r for r, ws in zip((1, 2, 0), (_USER, _ASSISTANT, _SYSTEM)) for w in ws.split("|")}
@@ -66,27 +66,37 @@ def _model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _FIRST, _MOVE, _EMIT = _model()
 
 
-def symbol(line: str) -> tuple[int, int]:
-    """A line's symbol and the length of its marker."""
-    if not line.strip():
-        return BLANK, 0
-    m = _MARK.match(line)
-    if not m:
-        return PLAIN, 0
-    word = m["tag"] or m["head"] or m["box"] or m["word"]
-    return (2 + _GROUPS[word.lower()] if word else NAMED), m.end()
+def symbols(lines: list[str]) -> list[tuple[int, int]]:
+    """Each line's symbol and the length of its marker.
+
+    A name counts as a speaker where no marker names the user or the assistant, and
+    where names come with both signs, with the sign > alone.
+    """
+    found = [_MARK.match(x) if x.strip() else None for x in lines]
+    words = [m and (m["tag"] or m["head"] or m["box"] or m["word"]) for m in found]
+    told = any(w and _GROUPS[w.lower()] for w in words)
+    sharp = any(m and m["name"] and m["sign"] == ">" for m in found)
+    out = []
+    for line, m, word in zip(lines, found, words):
+        if word:
+            out.append((2 + _GROUPS[word.lower()], m.end()))
+        elif m and not told and (m["sign"] == ">" or not sharp):
+            out.append((NAMED, m.end()))
+        else:
+            out.append((PLAIN if line.strip() else BLANK, 0))
+    return out
 
 
-def viterbi(symbols: list[int]) -> list[int]:
+def viterbi(seen: list[int]) -> list[int]:
     """Best states; of equal ones the smaller."""
-    best = _FIRST + _EMIT[:, symbols[0]]
-    back = np.zeros((len(symbols), 6), dtype=np.int8)
-    for t in range(1, len(symbols)):
+    best = _FIRST + _EMIT[:, seen[0]]
+    back = np.zeros((len(seen), 6), dtype=np.int8)
+    for t in range(1, len(seen)):
         paths = best[:, None] + _MOVE
         back[t] = paths.argmax(axis=0)
-        best = paths.max(axis=0) + _EMIT[:, symbols[t]]
+        best = paths.max(axis=0) + _EMIT[:, seen[t]]
     states = [int(best.argmax())]
-    for t in range(len(symbols) - 1, 0, -1):
+    for t in range(len(seen) - 1, 0, -1):
         states.append(int(back[t, states[-1]]))
     return states[::-1]
 
@@ -96,7 +106,7 @@ def parse(transcript: str) -> list[tuple[str, str, int]]:
     if not transcript.strip():
         return []
     lines = transcript.split("\n")
-    marks = [symbol(x) for x in lines]
+    marks = symbols(lines)
     turns: list[tuple[str, list[str], int]] = []
     for k, (line, (_, n), state) in enumerate(zip(lines, marks, viterbi([m[0] for m in marks]))):
         if state % 2 == 0 or not turns:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import chunks, flat, held_out, reduce_rows, sizes, word_bounds, word_hashes
+from memlake.llm.common import chunks, flat, held_out, reduce_rows, word_bounds, word_hashes
 from memlake.llm.crf import Batch, Crf
 
 #: Labelled documents the chain is fitted on, those of least hash: a bounded sample.
@@ -156,9 +156,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_
     return fit([(bytes(r.f), bytes(r.n), r.label) for r in sorted(got, key=lambda r: (r.id or "", bytes(r.f)))])
 
 
-def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:
-    """Columns keep (default: doc_id) of docs and the score of each whole text."""
-    keep = keep or ["doc_id"]
+def _scored(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
+    """(row, score): a struct of the kept columns, so that their names can't clash, and the score."""
     packed = pickle.dumps(model)
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
 
@@ -167,14 +166,16 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None =
         for part in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(fitted.score(*flat(part.column("text"))))], ["row", "score"])
 
-    kind = source.schema["row"].dataType.simpleString()
-    return source.mapInArrow(run, f"row {kind}, score double").select("row.*", "score")
+    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, score double")
+
+
+def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """doc_id and the score of each whole text."""
+    return _scored(docs, model, ["doc_id"]).select("row.doc_id", "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their own columns."""
     model = train_quality(train_docs, labels)
-    return score_quality(docs, model, docs.columns).where(F.col("score") >= threshold).select(*docs.columns)
-
+    return _scored(docs, model, docs.columns).where(F.col("score") >= threshold).select("row.*")
 
-__all__ = ["QualityModel", "fit", "keep_good", "line_features", "score_quality", "sizes", "train_quality"]
