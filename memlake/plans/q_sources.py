@@ -1 +1,88 @@
-"""To come."""
+"""Sources and dataset shapes over literal rows and tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from memlake.plans.registry import query
+from memlake.plans.views import literal_cte, table
+from memlake.sources import readers as rd
+
+_NOTES = [("/h/proj-0123abcd/a.md", "---\nname: ports\ndescription: the ports\ntype: decision\n---\nUse 6333.\n"), ("/h/plain/b.md", "No front matter here."), ("/h/x-12/c.md", "---\nname: n\n---\nbody\nmore")]
+
+
+@query("markdown_notes", f"WITH {literal_cte('n', 'file, value', _NOTES)}, x AS (SELECT file, value, regexp_matches(value, '^---\\s*\\n') AS has, regexp_extract(value, '(?s)^---\\s*\\n(.*?)\\n---\\s*\\n?(.*)$', 1) AS head FROM n) SELECT file, nullif(trim(regexp_extract(head, '(?m)^name:\\s*(.*)$', 1)), '') AS name, nullif(trim(regexp_extract(head, '(?m)^description:\\s*(.*)$', 1)), '') AS description, CASE WHEN has THEN trim(regexp_extract(value, '(?s)^---\\s*\\n(.*?)\\n---\\s*\\n?(.*)$', 2)) ELSE value END AS body, regexp_replace(regexp_extract(file, '([^/]+)/[^/]*$', 1), '-[0-9a-fA-F]{{8,}}$', '') AS project FROM x")
+def notes(spark, sf):
+    return rd.parse_notes(spark.createDataFrame(_NOTES, "file string, value string")).select("file", "name", "description", "body", "project")
+
+
+_QRELS = [("q1", "d1", "1"), ("q1", "d2", "0"), ("q2", "d3", "2.5"), ("q2", "d4", "x"), ("q3", "d5", "-1")]
+
+
+@query("qrels_tsv", f"WITH {literal_cte('q', 'query_id, doc_id, grade', _QRELS)} SELECT query_id, doc_id, try_cast(grade AS DOUBLE) AS grade FROM q WHERE try_cast(grade AS DOUBLE) > 0")
+def qrels(spark, sf):
+    return rd.positive_qrels(spark.createDataFrame(_QRELS, "query_id string, doc_id string, grade string"))
+
+
+_LINES = {
+    "flat": [(1, '{"role":"user","content":" hi "}'), (2, '{"role":"assistant","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}'), (3, "not json"), (4, '{"role":"tool","content":"x"}')],
+    "nested": [(1, '{"response_item":{"payload":{"role":"user","content":[{"type":"t","text":"n1"}]}}}'), (2, '{"payload":{"role":"assistant","content":"n2"}}')],
+    "step": [(1, '{"type":"USER_INPUT","content":"do"}'), (2, '{"type":"PLANNER_RESPONSE","content":"<thought>x</thought>done"}'), (3, '{"type":"OTHER","content":"y"}')],
+    "tree": [(1, '{"type":"message","id":"a","message":{"role":"user","content":"t1"}}'), (2, '{"type":"model_change","id":"b"}')],
+}
+_TURNS = [("flat", 1, "user", "hi"), ("flat", 2, "assistant", "a\nb"), ("nested", 1, "user", "n1"), ("nested", 2, "assistant", "n2"), ("step", 1, "user", "do"), ("step", 2, "assistant", "done"), ("tree", 1, "user", "t1")]
+
+
+@query("transcript_turns", f"WITH {literal_cte('t', 'file, n, role, content', _TURNS)} SELECT * FROM t")
+def transcripts(spark, sf):
+    parts = [rd.parse_turns(spark.createDataFrame([(d, n, x) for n, x in rows], "file string, n int, line string"), d) for d, rows in _LINES.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+_ITEMS = [("q1", "type-a", "where?", "here", ["s1", "s2"], ["2024-01-01", "2024-01-02"], [[("user", "hi"), ("assistant", "yo")], [("user", "bye")]], ["s2"]), ("q2_abs", "type-b", "who?", "nobody", ["s3"], ["2024-02-01"], [[("user", "x")]], [])]
+_ITEM = f"question_id string, question_type string, question string, answer string, haystack_session_ids array<string>, haystack_dates array<string>, haystack_sessions array<array<{rd.TURN}>>, answer_session_ids array<string>"
+_CORPUS = [("q1_s1", "Date: 2024-01-01\nUser: hi\nAssistant: yo"), ("q1_s2", "Date: 2024-01-02\nUser: bye"), ("q2_abs_s3", "Date: 2024-02-01\nUser: x")]
+
+
+@query("dataset_corpus", f"WITH {literal_cte('c', 'id, text', _CORPUS)} SELECT * FROM c")
+def corpus(spark, sf):
+    return rd.long_memory(spark.createDataFrame(_ITEMS, _ITEM))[0].select("id", "text")
+
+
+@query("dataset_queries", f"WITH {literal_cte('q', 'query_id, category, expected_empty, relevant', [('q1', 'type-a', False, 1), ('q2_abs', 'type-b', True, 0)])} SELECT query_id, category, expected_empty, CAST(relevant AS BIGINT) AS relevant FROM q")
+def dataset_queries(spark, sf):
+    _, queries, rels = rd.long_memory(spark.createDataFrame(_ITEMS, _ITEM))
+    n = rels.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    return queries.join(n, "query_id", "left").select("query_id", "category", "expected_empty", F.coalesce("relevant", F.lit(0).cast("bigint")).alias("relevant"))
+
+
+_DIALOGUE = [("s1", '{"session_2":[{"speaker":"B","dia_id":"D2:1","text":"later"}],"session_2_date_time":"Feb","session_10":[{"speaker":"A","dia_id":"D10:1","text":"last"}],"session_1":[{"speaker":"A","dia_id":"D1:1","text":"one"},{"speaker":"B","dia_id":"D1:2","text":"two"}],"session_1_date_time":"Jan","speaker_a":"A"}', [("q?", ["D1:2", "D9:9"])])]
+
+
+@query("dialogue_corpus", f"WITH {literal_cte('c', 'id, session, text', [('s1:D1:1', 1, '[Jan] A: one'), ('s1:D1:2', 1, '[Jan] B: two'), ('s1:D2:1', 2, '[Feb] B: later'), ('s1:D10:1', 10, '[] A: last')])} SELECT id, session, text FROM c")
+def dialogue(spark, sf):
+    return rd.dialogue(spark.createDataFrame(_DIALOGUE, "sample_id string, conversation string, qa array<struct<question:string,evidence:array<string>>>"))[0].select("id", "session", "text")
+
+
+@query("dialogue_evidence", f"WITH {literal_cte('c', 'query_id, doc_id', [('s1_q0', 's1:D1:2')])} SELECT query_id, doc_id FROM c")
+def evidence(spark, sf):
+    return rd.dialogue(spark.createDataFrame(_DIALOGUE, "sample_id string, conversation string, qa array<struct<question:string,evidence:array<string>>>"))[1].select("query_id", "doc_id")
+
+
+@query("legacy_group", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE concat('proj', doc_id % 3) END AS project, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def legacy(spark, sf):
+    raw = table(spark, sf, "documents").select(F.concat(F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("cwd: /home/x/proj"), F.col("doc_id") % 3, F.lit("\n"))).otherwise(F.lit("")), F.lit("description: d\n"), "text").alias("raw_memory"), F.length("text").alias("n"))
+    parsed = rd.legacy_sections(raw.select("raw_memory")).select("project", F.length("raw_memory").alias("n"))
+    extra = F.when(F.col("project") == "unknown", 15).otherwise(15 + 19)
+    return parsed.select(F.coalesce(F.nullif("project", F.lit("")), F.lit("unknown")).alias("project"), (F.col("n") - extra).alias("n")).groupBy("project").agg(F.count("*").alias("n"), F.sum("n").cast("bigint").alias("chars"))
+
+
+@query("chunk_pack")
+def chunks(spark, sf):
+    """Texts of a source's documents, in blocks of a hundred by number, packed greedily; order-dependent, so tests compare it with a loop."""
+    docs = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / 100).alias("block"), "doc_id", "text")
+    by = docs.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("texts"))
+    return by.select("source", "block", F.posexplode(rd.pack_chunks(F.col("texts"))).alias("chunk", "text")).select("source", "block", "chunk", F.length("text").alias("n_chars"))

@@ -1,0 +1,135 @@
+"""Sources: memory notes, transcripts, qrels, benchmark datasets; all by Spark's own readers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+MAX_LINES = 2000
+TURN = "struct<role:string,content:string>"
+
+
+def markdown_notes(spark: SparkSession, path: str) -> DataFrame:
+    """Notes with front matter, one a file; an index file is skipped. Fields: name, description, kind, body, project."""
+    raw = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return parse_notes(raw.where(~F.col("file").rlike(r"/MEMORY\.md$")))
+
+
+def parse_notes(raw: DataFrame) -> DataFrame:
+    """(file, value) -> fields of the front matter between --- lines, and the text after it; without front matter all is body."""
+    head = F.regexp_extract("value", r"(?s)^---\s*\n(.*?)\n---\s*\n?(.*)$", 1)
+    has = F.col("value").rlike(r"(?s)^---\s*\n.*?\n---")
+    body = F.when(has, F.regexp_extract("value", r"(?s)^---\s*\n(.*?)\n---\s*\n?(.*)$", 2)).otherwise(F.col("value"))
+    field = lambda n: F.nullif(F.trim(F.regexp_extract(head, rf"(?m)^{n}:\s*(.*)$", 1)), F.lit(""))
+    folder = F.regexp_extract("file", r"([^/]+)/[^/]*$", 1)
+    return raw.select("file", field("name").alias("name"), field("description").alias("description"), field("type").alias("kind"), F.trim(body).alias("body"), F.regexp_replace(folder, r"-[0-9a-fA-F]{8,}$", "").alias("project"))
+
+
+def transcript_lines(spark: SparkSession, path: str, max_lines: int = MAX_LINES) -> DataFrame:
+    """(file, n, line): the last max_lines lines of each file, in file order."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line")).where("line <> ''")
+    late = Window.partitionBy("file").orderBy(F.desc("n"))
+    return lines.withColumn("r", F.row_number().over(late)).where(F.col("r") <= max_lines).drop("r")
+
+
+def _text(node: Column) -> Column:
+    """Content that is a string or a list of {type, text} parts, given as JSON text."""
+    parts = F.from_json(node, "array<struct<type:string,text:string>>")
+    return F.when(F.substring(F.ltrim(node), 1, 1) == "[", F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t.isNotNull()), "\n")).otherwise(node)
+
+
+def parse_turns(lines: DataFrame, dialect: str) -> DataFrame:
+    """Turns (file, n, role, content) of JSON lines in one of four shapes: flat, nested, step, tree. Bad lines are left out."""
+    j = lambda path: F.get_json_object("line", path)
+    if dialect == "flat":
+        role, content = j("$.role"), _text(j("$.content"))
+    elif dialect == "nested":
+        role = F.coalesce(j("$.response_item.payload.role"), j("$.payload.role"))
+        content = _text(F.coalesce(j("$.response_item.payload.content"), j("$.payload.content")))
+    elif dialect == "step":
+        role = F.when(j("$.type") == "USER_INPUT", "user").when(j("$.type") == "PLANNER_RESPONSE", "assistant")
+        content = F.regexp_replace(j("$.content"), r"(?is)<thought>.*?</thought>", "")
+    elif dialect == "tree":
+        role, content = F.when(j("$.type") == "message", j("$.message.role")), _text(j("$.message.content"))
+    else:
+        raise ValueError(f"unknown dialect {dialect!r}")
+    clean = F.regexp_replace(content, r"^\s+|\s+$", "")
+    return lines.select("file", "n", role.alias("role"), clean.alias("content")).where(F.col("role").isin("user", "assistant") & (F.col("content") != ""))
+
+
+def qrels_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, doc_id, grade) of a tab-separated file with a header; positive grades only."""
+    raw = spark.read.csv(path, sep="\t", header=True).toDF("query_id", "doc_id", "grade")
+    return positive_qrels(raw)
+
+
+def positive_qrels(raw: DataFrame) -> DataFrame:
+    return raw.select("query_id", "doc_id", F.expr("try_cast(grade as double)").alias("grade")).where("grade > 0")
+
+
+# --- benchmark datasets: nested JSON to corpus, queries, qrels ------------------
+
+
+def long_memory(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Question items with parallel arrays of sessions, dates and ids; arrays of other lengths are an error.
+
+    Corpus: one row a session, as dated transcript. Qrels: the answer sessions.
+    """
+    same = (F.size("haystack_session_ids") == F.size("haystack_sessions")) & (F.size("haystack_dates") == F.size("haystack_sessions"))
+    checked = items.withColumn("ok", F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("arrays of unequal length in "), F.coalesce("question_id", F.lit("?"))))))
+    s = checked.where("ok").select("question_id", F.explode(F.arrays_zip(F.col("haystack_session_ids").alias("id"), F.col("haystack_dates").alias("date"), F.col("haystack_sessions").alias("turns"))).alias("s"))
+    line = lambda t: F.concat(F.initcap(t["role"]), F.lit(": "), t["content"])
+    text = F.concat(F.lit("Date: "), F.col("s.date"), F.lit("\n"), F.array_join(F.transform("s.turns", line), "\n"))
+    corpus = s.select(F.concat_ws("_", "question_id", "s.id").alias("id"), text.alias("text"), F.col("s.date").alias("date"))
+    queries = items.select(F.col("question_id").alias("query_id"), F.col("question").alias("query"), F.col("question_type").alias("category"), F.col("question_id").endswith("_abs").alias("expected_empty"), F.col("answer").alias("reference_answer"))
+    qrels = items.select(F.col("question_id").alias("query_id"), F.explode("answer_session_ids").alias("sid")).select("query_id", F.concat_ws("_", "query_id", "sid").alias("doc_id"), F.lit(1).alias("grade"))
+    return corpus, queries, qrels
+
+
+def dialogue(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sample_id, conversation json, qa): sessions under numbered keys, in numeric order; corpus rows and questions."""
+    keys = F.filter(F.map_entries(F.from_json("conversation", "map<string,string>")), lambda e: e["key"].rlike(r"^session_\d+$"))
+    s = samples.select("sample_id", F.from_json("conversation", "map<string,string>").alias("m"), F.explode(keys).alias("e"))
+    turns = F.from_json("e.value", "array<struct<speaker:string,dia_id:string,text:string>>")
+    date = F.element_at("m", F.concat(F.col("e.key"), F.lit("_date_time")))
+    rows = s.select("sample_id", F.expr("cast(substring(e.key, 9) as int)").alias("session"), date.alias("date"), F.posexplode(turns).alias("pos", "t"))
+    corpus = rows.select(F.concat_ws(":", "sample_id", "t.dia_id").alias("id"), "session", "pos", F.concat(F.lit("["), F.coalesce("date", F.lit("")), F.lit("] "), "t.speaker", F.lit(": "), "t.text").alias("text"))
+    qa = samples.select("sample_id", F.posexplode("qa").alias("k", "q"))
+    qrels = qa.select(F.concat_ws("_q", "sample_id", F.col("k").cast("string")).alias("query_id"), F.explode("q.evidence").alias("ev"), "sample_id").select("query_id", F.concat_ws(":", "sample_id", "ev").alias("doc_id"), F.lit(1).alias("grade"))
+    # evidence that names no turn is dropped
+    return corpus, qrels.join(corpus.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+
+
+def detect_shape(fields: set[str]) -> str:
+    """Which dataset a JSON object's fields belong to."""
+    for name, needs in (("long_memory", {"question_id", "haystack_sessions"}), ("dialogue", {"sample_id", "conversation", "qa"}), ("memories", {"memories", "queries"}), ("retrieval", {"corpus", "queries"})):
+        if needs <= fields:
+            return name
+    raise ValueError(f"unknown dataset with fields {sorted(fields)}")
+
+
+def digest_guard(spark: SparkSession, path: str, sha256: str) -> None:
+    """Fail unless the file's content has this digest."""
+    got = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).first()
+    if got is None or got.d != sha256:
+        raise ValueError(f"digest of {path} is {got and got.d}")
+
+
+def legacy_sections(raw: DataFrame) -> DataFrame:
+    """(raw_memory) -> project (from a cwd line), description and the text of each named section."""
+    line = lambda n: F.nullif(F.trim(F.regexp_extract("raw_memory", rf"(?m)^{n}:\s*(.*)$", 1)), F.lit(""))
+    return raw.where("raw_memory is not null").select(F.coalesce(F.regexp_extract(line("cwd"), r"([^/]+)/*$", 1), F.lit("unknown")).alias("project"), line("description").alias("description"), "raw_memory")
+
+
+def pack_chunks(texts: Column, limit: int = 3500) -> Column:
+    """An ordered array of texts as chunks: a chunk takes the next text while its length stays within the limit; joined by a rule line."""
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
+
+    def step(acc, t):
+        fits = acc["open"].isNotNull() & (acc["n"] + F.length(t) <= limit)
+        return F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), t.alias("open"), F.length(t).alias("n"))).when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit("\n---\n"), t).alias("open"), (acc["n"] + F.length(t)).alias("n"))).otherwise(
+            F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), t.alias("open"), F.length(t).alias("n"))
+        )
+
+    return F.aggregate(texts, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
