@@ -27,7 +27,8 @@ def proxy_candidates(queries: DataFrame, memories: DataFrame, k: int) -> DataFra
     sizes = queries.select("query_id", F.size(tx.proxy_tokens(F.col("query"))).alias("n_tokens"))
     words = memories.select("id", F.explode(tx.proxy_tokens(F.col("memory"))).alias("token"))
     shared = words.join(asked, "token").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
-    rest = queries.select("query_id").crossJoin(F.broadcast(memories.orderBy(F.desc("id")).limit(k).select("id")))
+    last = [F.lit(r.id) for r in memories.select("id").orderBy(F.desc("id")).limit(k).collect()]
+    rest = queries.select("query_id", F.explode(F.array(*last).cast("array<string>")).alias("id"))
     every = shared.unionByName(rest.join(shared, ["query_id", "id"], "left_anti").withColumn("overlap", F.lit(0).cast("bigint")))
     ratio = F.col("overlap") / F.col("n_tokens")
     score = F.when(F.col("overlap") > 0, F.lit(0.05) + F.lit(0.90) * F.pow(ratio, F.lit(1.35))).otherwise(0.05)
@@ -41,13 +42,13 @@ def bm25(queries: DataFrame, memories: DataFrame) -> DataFrame:
     words = memories.select("id", F.explode(F.filter(tx.all_matches(F.lower("memory"), r"[a-zA-Z0-9_\-]+"), lambda w: (F.length(w) >= 2) & ~w.isin(tx.PROXY_STOP_WORDS))).alias("token"))
     tf = words.groupBy("id", "token").agg(F.count("*").alias("tf"))
     length = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
-    stats = length.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs"))
+    stats = length.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs")).first()
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", F.explode(tx.proxy_tokens(F.col("query"))).alias("token"))
     # only query tokens survive, so the semi-join comes before lengths are looked up
-    hits = tf.join(asked, "token").join(df, "token").join(length, "id").crossJoin(F.broadcast(stats))
-    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = tf.join(asked, "token").join(df, "token").join(length, "id")
+    idf = F.log(F.lit(1.0) + (F.lit(stats.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avgdl or 1.0)))
     return hits.groupBy("query_id", "id").agg(F.sum(gain).alias("bm25_raw"))
 
 

@@ -123,10 +123,10 @@ def breach(spark, sf):
 def security(spark, sf):
     # the ungated pool stands for a run without isolation
     found = search.proxy_candidates(asked(spark, sf), view(spark, sf, "mem"), 20).where("rank <= 5").join(view(spark, sf, "mem").select("id", "user_id", "agent_id", "scope", "status"), "id")
-    empties = asked(spark, sf).where(_EMPTY).agg(F.count("*").alias("n"))
+    empties = asked(spark, sf).where(_EMPTY).count()
     mine = F.col("user_id") == "u2"
     out = found.agg(F.count_if(~mine).alias("cross_user"), F.count_if(mine & (F.col("scope") == "project") & (F.col("agent_id") != "p1")).alias("cross_project"), F.count_if(F.col("status") == "superseded").alias("superseded"), F.count_distinct(F.when(F.expr(_EMPTY), F.col("query_id"))).alias("fp"))
-    return out.crossJoin(empties).select("cross_user", "cross_project", "superseded", F.round(F.col("fp") / F.col("n"), 4).alias("false_positive_rate"))
+    return out.select("cross_user", "cross_project", "superseded", F.round(F.try_divide(F.col("fp"), F.lit(empties)), 4).alias("false_positive_rate"))
 
 
 @query("dataset_integrity", f"WITH {cte('mem')}, v AS (SELECT 'duplicate_text' AS violation, count(*) AS n FROM (SELECT memory FROM mem GROUP BY memory HAVING count(*) > 1) UNION ALL SELECT 'label_without_document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'empty_text', count(*) FROM mem WHERE trim(memory) = '' UNION ALL SELECT 'toxic_but_good', count(*) FROM labels WHERE toxic = 1 AND quality = 1 UNION ALL SELECT 'secret_in_text', count(*) FROM mem WHERE regexp_matches(memory, '{_SECRET}')) SELECT violation, n FROM v WHERE n > 0")
@@ -208,22 +208,20 @@ def token_f1(spark, sf):
 
 @query("abstention_phrases", f"WITH {literal_cte('a', 'id, gold, answer', _ANSWERS)} SELECT id, " + " OR ".join("contains(lower(answer), '" + p.replace("'", "''") + "')" for p in tx.ABSTENTIONS) + " AS abstains FROM a")
 def abstains(spark, sf):
-    low = F.lower("answer")
-    phrases = F.array(*[F.lit(p) for p in tx.ABSTENTIONS])
-    return spark.createDataFrame(_ANSWERS, "id int, gold string, answer string").select("id", F.exists(phrases, lambda p: F.contains(low, p)).alias("abstains"))
+    return spark.createDataFrame(_ANSWERS, "id int, gold string, answer string").select("id", tx.holds_any(F.col("answer"), tx.ABSTENTIONS).alias("abstains"))
 
 
-_MULTI = [(1, "red; blue ", "blue;green"), (2, "new york; paris", "york;the paris"), (3, "one", "two")]
+_MULTI = [(1, "red, blue ", "blue,green"), (2, "new york, paris", "york,the paris"), (3, "one", "two")]
 
 
-@query("multi_answer_f1", f"""WITH {literal_cte('m', 'id, golds, preds', _MULTI)}, g AS (SELECT id, gi, {_NORM.format('ga')} AS g FROM (SELECT id, unnest(range(1, len(string_split(golds, ';')) + 1)) AS gi, unnest(string_split(golds, ';')) AS ga FROM m)),
-p AS (SELECT id, pi, {_NORM.format('pa')} AS p FROM (SELECT id, unnest(range(1, len(string_split(preds, ';')) + 1)) AS pi, unnest(string_split(preds, ';')) AS pa FROM m)),
+@query("multi_answer_f1", f"""WITH {literal_cte('m', 'id, golds, preds', _MULTI)}, g AS (SELECT id, gi, {_NORM.format('ga')} AS g FROM (SELECT id, unnest(range(1, len(string_split(golds, ',')) + 1)) AS gi, unnest(string_split(golds, ',')) AS ga FROM m)),
+p AS (SELECT id, pi, {_NORM.format('pa')} AS p FROM (SELECT id, unnest(range(1, len(string_split(preds, ',')) + 1)) AS pi, unnest(string_split(preds, ',')) AS pa FROM m)),
 x AS (SELECT id, gi, pi, g, p, (SELECT sum(least(len(list_filter(g, lambda y: y = w)), len(list_filter(p, lambda y: y = w)))) FROM (SELECT DISTINCT unnest(g) AS w)) AS s FROM g JOIN p USING (id)),
 f AS (SELECT id, gi, max(CASE WHEN s > 0 THEN 2.0 * s / (len(g) + len(p)) ELSE 0 END) AS best FROM x GROUP BY 1, 2) SELECT id, round(avg(best), 6) AS f1 FROM f GROUP BY id""")
 def multi_f1(spark, sf):
     rows = spark.createDataFrame(_MULTI, "id int, golds string, preds string")
-    g = rows.select("id", F.posexplode(F.split("golds", ";")).alias("gi", "ga")).select("id", "gi", tx.answer_words(F.col("ga")).alias("g"))
-    p = rows.select("id", F.explode(F.split("preds", ";")).alias("pa")).select("id", tx.answer_words(F.col("pa")).alias("p"))
+    g = rows.select("id", F.posexplode(F.split("golds", ",")).alias("gi", "ga")).select("id", "gi", tx.answer_words(F.col("ga")).alias("g"))
+    p = rows.select("id", F.explode(F.split("preds", ",")).alias("pa")).select("id", tx.answer_words(F.col("pa")).alias("p"))
     times = lambda words, w: F.size(F.filter(words, lambda y: y == w))
     shared = F.aggregate(F.array_distinct("g"), F.lit(0), lambda acc, w: acc + F.least(times(F.col("g"), w), times(F.col("p"), w)))
     f1 = F.try_divide(2.0 * shared, F.size("g") + F.size("p"))

@@ -110,6 +110,12 @@ def secret_detect(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.count_if(tx.has_secret(F.col("text"))).alias("with_secret"))
 
 
+@query("sensitive_text", f"WITH {_T}, x AS (SELECT CAST(id AS BIGINT) AS id, text FROM t UNION ALL SELECT doc_id + 1000, text FROM documents) SELECT id, " + " OR ".join(f"regexp_matches(text, '{_re(p)}')" for p in tx.SENSITIVE) + " AS sensitive, " + " OR ".join(f"regexp_matches(text, '{_re(p)}')" for p in tx.NEEDS_REDACTION) + " AS needs_redaction FROM x")
+def sensitive(spark, sf):
+    rows = texts(spark).select(F.col("id").cast("bigint").alias("id"), "text").union(table(spark, sf, "documents").select(F.col("doc_id") + 1000, "text"))
+    return rows.select("id", tx.matches_any(F.col("text"), tx.SENSITIVE).alias("sensitive"), tx.matches_any(F.col("text"), tx.NEEDS_REDACTION).alias("needs_redaction"))
+
+
 @query("xml_escape", f"WITH {_T}, x AS (SELECT CAST(id AS BIGINT) AS id, text FROM t UNION ALL SELECT doc_id + 1000, text FROM documents) SELECT id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM x")
 def xml_escape(spark, sf):
     rows = texts(spark).select(F.col("id").cast("bigint").alias("id"), "text").union(table(spark, sf, "documents").select(F.col("doc_id") + 1000, "text"))
