@@ -72,12 +72,71 @@ def evidence(spark, sf):
     return rd.dialogue(spark.createDataFrame(_DIALOGUE, "sample_id string, conversation string, qa array<struct<question:string,evidence:array<string>>>"))[1].select("query_id", "doc_id")
 
 
-@query("legacy_group", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE concat('proj', doc_id % 3) END AS project, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+@query("legacy_group", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'global' ELSE concat('proj', doc_id % 3) END AS project, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def legacy(spark, sf):
-    raw = table(spark, sf, "documents").select(F.concat(F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("cwd: /home/x/proj"), F.col("doc_id") % 3, F.lit("\n"))).otherwise(F.lit("")), F.lit("description: d\n"), "text").alias("raw_memory"), F.length("text").alias("n"))
+    folder = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("/home/x/proj"), F.col("doc_id") % 3, F.lit("/"))).otherwise(F.lit("/tmp/new-chat"))
+    raw = table(spark, sf, "documents").select(F.concat(F.lit("cwd: "), folder, F.lit("\ndescription: d\n"), "text").alias("raw_memory"), F.length("text").alias("n"))
     parsed = rd.legacy_sections(raw.select("raw_memory")).select("project", F.length("raw_memory").alias("n"))
-    extra = F.when(F.col("project") == "unknown", 15).otherwise(15 + 19)
-    return parsed.select(F.coalesce(F.nullif("project", F.lit("")), F.lit("unknown")).alias("project"), (F.col("n") - extra).alias("n")).groupBy("project").agg(F.count("*").alias("n"), F.sum("n").cast("bigint").alias("chars"))
+    extra = 16 + F.when(F.col("project") == "global", 5 + len("/tmp/new-chat")).otherwise(5 + len("/home/x/proj1/"))
+    return parsed.select("project", (F.col("n") - extra).alias("n")).groupBy("project").agg(F.count("*").alias("n"), F.sum("n").cast("bigint").alias("chars"))
+
+
+_LEGACY = "cwd: /h/alpha/\ndescription: fix it\n\nPreference signals:\n- short\n\nReusable knowledge:\n- port 1\n- port 2\n---\nrest"
+
+
+@query("legacy_content", "SELECT 'alpha' AS project, concat('任务: fix it', chr(10), chr(10), '用户偏好:', chr(10), '- short', chr(10), chr(10), '项目核心经验:', chr(10), '- port 1', chr(10), '- port 2') AS content")
+def legacy_content(spark, sf):
+    return rd.legacy_sections(spark.createDataFrame([(_LEGACY,), (None,), ("cwd: /x\n",)], "raw_memory string")).select("project", "content")
+
+
+_CALLS = [
+    ("f", 1, '{"turnId":"t1","request":{"messages":[{"role":"system","content":"s"},{"role":"user","content":"ask 1"}]},"response":{"text":"draft"}}'), ("f", 2, '{"turnId":"t1","request":{"messages":[]},"response":{"text":"final 1"}}'),
+    ("f", 3, '{"turnId":"t1","response":{"text":"  "}}'), ("f", 4, '{"turnId":"t2","request":{"messages":[{"role":"user","content":"ask 2"}]},"response":{"text":""}}'), ("f", 5, "broken"),
+]
+
+
+@query("model_io_turns", f"WITH {literal_cte('t', 'first_n, role, content', [(1, 'user', 'ask 1'), (1, 'assistant', 'final 1'), (4, 'user', 'ask 2')])} SELECT * FROM t")
+def model_io(spark, sf):
+    return rd.model_io_turns(spark.createDataFrame(_CALLS, "file string, n int, line string")).select("first_n", "role", "content")
+
+
+_TYPES = [("a", "single-session-user"), ("b_abs", "multi-session"), ("c", "temporal-reasoning"), ("d", "knowledge update")]
+
+
+@query("category_mapping", f"WITH {literal_cte('c', 'id, category', [('a', 'information_extraction'), ('b_abs', 'abstention'), ('c', 'temporal_reasoning'), ('d', 'knowledge_update')])} SELECT * FROM c")
+def categories(spark, sf):
+    rows = spark.createDataFrame(_TYPES, "id string, kind string")
+    return rows.select("id", rd.question_category(F.col("id"), F.col("kind")).alias("category"))
+
+
+_EVIDENCE = [("q1", ["s2"], [("s1", [("no", True)]), ("s2", [(" yes ", True), ("skip", None), ("more", True)])]), ("q2", [], [("s3", [("x", True)]), ("s4", [("y", False)])])]
+
+
+@query("evidence_by_session", f"WITH {literal_cte('e', 'question_id, session_id, evidence', [('q1', 's2', 'yes' + chr(10) + 'more'), ('q2', 's3', 'x')])} SELECT * FROM e")
+def session_evidence(spark, sf):
+    return rd.evidence_by_session(spark.createDataFrame(_EVIDENCE, "question_id string, answer_session_ids array<string>, sessions array<struct<id:string,turns:array<struct<content:string,has_answer:boolean>>>>"))
+
+
+_NESTED = [("a", '[{"turns":[{"role":"user","content":"x"},[{"id":1,"content":"y"}]]},{"other":{"deep":[{"index":0,"content":"z"}]}}]'), ("b", "bad")]
+
+
+@query("nested_turns", f"WITH {literal_cte('t', 'id, pos, content', [('a', 0, 'x'), ('a', 1, 'y'), ('a', 2, 'z')])} SELECT * FROM t")
+def nested(spark, sf):
+    return rd.nested_turns(spark.createDataFrame(_NESTED, "id string, json string")).select("id", "pos", "content")
+
+
+_LITERALS = [("a", "{'k': [1, None]}"), ("b", '{"k": null}'), ("c", "[1]"), ("d", "oops("), ("e", None)]
+
+
+@query("literal_questions", f"WITH {literal_cte('t', 'id, json', [('a', '{' + chr(34) + 'k' + chr(34) + ': [1, null]}'), ('b', '{' + chr(34) + 'k' + chr(34) + ': null}'), ('c', '{}'), ('d', '{}'), ('e', '{}')])} SELECT * FROM t")
+def literals(spark, sf):
+    return rd.literal_maps(spark.createDataFrame(_LITERALS, "id string, raw string"))
+
+
+@query("first_non_empty", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'c' WHEN doc_id % 3 = 1 THEN 'b' ELSE 'a' END AS value FROM documents")
+def first_field(spark, sf):
+    k = F.col("doc_id") % 3
+    return table(spark, sf, "documents").select("doc_id", rd.first_non_empty(F.when(k == 2, "a").otherwise(""), F.when(k == 1, "b"), F.lit("c")).alias("value"))
 
 
 @query("chunk_pack")
