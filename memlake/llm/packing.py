@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import chunks, flat, reduce_rows, word_bounds, word_hashes
-from memlake.llm.tokens import encoder, vocabulary
+from memlake.llm.tokens import TOKEN_CHUNK, encoder, vocabulary
 
 LENGTH = 2048
 DIMENSIONS, BITS = 4, 7
@@ -112,7 +112,7 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
 
     def encode(batches):
         ids = encoder(path, end_id, "<u2")
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", TOKEN_CHUNK):
             col = part.column("text")
             tie = np.array([zlib.crc32(str(x).encode()) >> 1 for x in part.column("doc_id").to_pylist()], dtype=np.int64)
             keys = curve_keys(*flat(col)) + tie

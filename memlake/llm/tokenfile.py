@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memlake.llm.common import Scratch, chunks
-from memlake.llm.tokens import encoder, vocabulary
+from memlake.llm.tokens import TOKEN_CHUNK, encoder, vocabulary
 
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -48,7 +48,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
 
     def run(batches):
         ids, at = encoder(path, end_id), 0
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", TOKEN_CHUNK):
             values, limits = ids.encode(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(values.view(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.array(at + limits[:-1]), lists], ["part", "doc_id", "local_start", "ids"])

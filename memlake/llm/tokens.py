@@ -19,10 +19,15 @@ import pyarrow as pa
 
 from memlake.llm.common import LOWER, flat, mix
 
-#: Slots of the table; it is emptied when half full.
-SLOTS = 1 << 21
+#: Slots of the table, and how many may be used before it is emptied.
+SLOTS = 1 << 20
+MOST_PIECES = 650_000
+#: Ids that the pieces of the table and long pieces may hold before it is emptied.
+MOST_IDS = 6_000_000
 #: Longer pieces are encoded where they occur.
 LONGEST = 24
+#: Bytes of text encoded at once.
+TOKEN_CHUNK = 1 << 19
 #: Pieces encoded in one string.
 GROUP = 96
 
@@ -85,7 +90,7 @@ class Encoder:
         self.ids = np.zeros(1 << 16, dtype=self.kind)
         self.ids[0] = self.end
         self.n_ids = 1
-        self.first, self.count = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
+        self.first, self.count = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 12, dtype=np.int32)
         self.count[0] = 1  # entry 0: the end id
         self.n_entries = 1
 
@@ -189,7 +194,7 @@ class Encoder:
             last = bounds[1:][np.diff(bounds) > 0] - 1
             bad = np.concatenate([np.flatnonzero(pair), last[white[last]], _strange_space(data)])
             whole[np.searchsorted(bounds, bad, side="right") - 1] = True
-        if self.used > SLOTS // 2 or self.n_entries > 2 * SLOTS:
+        if self.used > MOST_PIECES or self.n_ids > MOST_IDS:
             self._clear()
         start, end, flag = self._cut(data, bounds, kinds, white)
         entries = self._entries(data, start, end, flag)
@@ -202,7 +207,7 @@ class Encoder:
         inner[ends] = False
         every[inner] = entries
         counts = self.count[every]
-        total = np.concatenate([[0], np.cumsum(counts)])
+        total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         ids = self.ids[np.repeat(self.first[every] - total[:-1], counts) + np.arange(total[-1])]
         limits = np.concatenate([[0], total[ends + 1]])
         if whole.any():
