@@ -78,9 +78,9 @@ def file_digest(spark: SparkSession, out: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             lists = batch.column("ids")
-            values = np.asarray(lists.values).astype("<u4", copy=False)
+            values = np.asarray(lists.values).view("<u4")
             bounds = np.asarray(lists.offsets)
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+            crc = [zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("local_start"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())], ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
     read = rows.mapInArrow(run, f"part int, doc_id {kind}, local_start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -20,10 +20,10 @@ import pyarrow as pa
 from memlake.llm.common import LOWER, flat, mix
 
 #: Slots of the table, and how many may be used before it is emptied.
-SLOTS = 1 << 20
-MOST_PIECES = 650_000
+SLOTS = 1 << 21
+MOST_PIECES = 1_000_000
 #: Ids that the pieces of the table and long pieces may hold before it is emptied.
-MOST_IDS = 6_000_000
+MOST_IDS = 8_000_000
 #: Longer pieces are encoded where they occur.
 LONGEST = 24
 #: Bytes of text encoded at once.
