@@ -106,6 +106,21 @@ def operation_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]), 256), 1, 20)
 
 
+def _cutter(spark):
+    """A function that writes a table to the shared checkpoint folder and reads it again, so that rounds don't pile up a plan."""
+    from uuid import uuid4
+
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/memlake-checkpoint').rstrip('/')}/rounds-{uuid4().hex}"
+    steps = iter(range(1_000_000))
+
+    def cut(df: DataFrame) -> DataFrame:
+        path = f"{root}/{next(steps)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return cut
+
+
 def first_edges(decided: DataFrame, most: int = 100) -> DataFrame:
     """Edges that take effect when taken in order (a, b): an edge whose member was superseded before is skipped.
 
@@ -113,18 +128,7 @@ def first_edges(decided: DataFrame, most: int = 100) -> DataFrame:
     edge shares a member; each round settles at least the first open edge of every
     component, and works on joins alone.
     """
-    spark = decided.sparkSession
-    from uuid import uuid4
-
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/memlake-checkpoint').rstrip('/')}/edges-{uuid4().hex}"
-    step = 0
-
-    def cut(df):
-        nonlocal step
-        step += 1
-        df.write.parquet(f"{root}/{step}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{step}")
-
+    cut = _cutter(decided.sparkSession)
     left = cut(decided.withColumn("key", F.struct("a", "b")))
     taken = None
     for _ in range(most):
@@ -151,18 +155,44 @@ def apply_supersede(memories: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.withColumn("old_status", F.col("status")).withColumn("status", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise(F.col("status")))
 
 
+def own_counts(members: DataFrame, most: int = 50) -> DataFrame:
+    """(id, own): each member's own confirmations, its count less what its merged members own, at least 1.
+
+    members: id, count, merged_ids. Merged ids without a record own 1. Rounds settle
+    members whose merged members are settled; what is left then lies on a cycle and owns 1.
+    """
+    cut = _cutter(members.sparkSession)
+    known = members.select(F.col("id").alias("y"), F.lit(True).alias("there"))
+    parts = cut(members.select("id", "count", F.explode("merged_ids").alias("y")).where("y <> id").join(known, "y", "left"))
+    settled = cut(members.join(parts.select("id").distinct(), "id", "left_anti").select("id", F.greatest(F.lit(1), F.col("count")).alias("own")))
+    every = settled
+    for _ in range(most):
+        value = parts.join(every.select(F.col("id").alias("y"), "own"), "y", "left").select("id", "count", F.when(F.col("there").isNull(), 1).otherwise(F.col("own")).alias("own"))
+        ready = value.groupBy("id", "count").agg(F.count_if(F.col("own").isNull()).alias("open"), F.sum("own").alias("s")).where("open = 0")
+        new = cut(ready.join(every, "id", "left_anti").select("id", F.greatest(F.lit(1), F.col("count") - F.col("s")).cast("int").alias("own")))
+        if new.isEmpty():
+            break
+        every = every.unionByName(new)
+    rest = members.join(every, "id", "left_anti").select("id", F.lit(1).alias("own"))
+    return cut(every.unionByName(rest))
+
+
 def lineage_counts(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(winner_id, confirmation_count, merged_ids, freshness) of disjoint merges.
+    """(winner_id, confirmation_count, merged_ids, freshness) after winners take in their losers.
 
-    members: id, count, merged_ids, freshness; edges: winner_id, loser_id. A loser
-    that was merged before brings its own part, at least 1: its count less that of
-    members it holds, which count for themselves.
+    members: id, count, merged_ids, freshness; edges: winner_id, loser_id. The count
+    is what the winner and every member of the union own, each member once however
+    many of the records held it.
     """
-    lost = edges.join(members.select(F.col("id").alias("loser_id"), F.col("count").alias("l_count"), F.col("merged_ids").alias("l_ids"), F.col("freshness").alias("l_fresh")), "loser_id")
-    own = F.greatest(F.lit(1), F.col("l_count") - F.size("l_ids"))
-    by = lost.groupBy("winner_id").agg(F.sum(own + F.size("l_ids")).alias("gain"), F.flatten(F.collect_list(F.concat("l_ids", F.array("loser_id")))).alias("ids"), F.max("l_fresh").alias("fresh"))
-    w = members.select(F.col("id").alias("winner_id"), "count", "merged_ids", "freshness")
-    return by.join(w, "winner_id").select("winner_id", (F.greatest(F.lit(1), F.col("count") - F.size("merged_ids")) + F.size("merged_ids") + F.col("gain")).alias("confirmation_count"), F.array_sort(F.array_union("merged_ids", "ids")).alias("merged_ids"), F.greatest("freshness", "fresh").alias("freshness"))
+    own = own_counts(members)
+    w = members.select(F.col("id").alias("winner_id"), "merged_ids", "freshness")
+    lost = edges.join(members.select(F.col("id").alias("loser_id"), F.col("merged_ids").alias("l_ids"), F.col("freshness").alias("l_fresh")), "loser_id")
+    ids = lost.select("winner_id", F.explode(F.concat("l_ids", F.array("loser_id"))).alias("y")).union(w.join(edges.select("winner_id").distinct(), "winner_id", "left_semi").select("winner_id", F.explode("merged_ids").alias("y")))
+    union = ids.where("y <> winner_id").distinct().join(own.select(F.col("id").alias("y"), "own"), "y", "left")
+    total = union.groupBy("winner_id").agg(F.sum(F.coalesce("own", F.lit(1))).alias("gain"), F.array_sort(F.collect_list("y")).alias("merged_ids"))
+    fresh = lost.groupBy("winner_id").agg(F.max("l_fresh").alias("fresh"))
+    mine = own.select(F.col("id").alias("winner_id"), "own")
+    return total.join(fresh, "winner_id").join(mine, "winner_id").join(w.drop("merged_ids"), "winner_id").select("winner_id", (F.col("own") + F.col("gain")).alias("confirmation_count"), "merged_ids", F.greatest("freshness", "fresh").alias("freshness"))
 
 
 def new_only(candidates: DataFrame, existing: DataFrame) -> DataFrame:

@@ -88,6 +88,14 @@ def test_lineage_floor(spark):
     assert (got.confirmation_count, got.merged_ids, got.freshness) == (5, ["l", "m1", "m2"], 9)
 
 
+def test_lineage_counts_shared_members_once(spark):
+    rows = [("A", 3, ["B", "C"], 1), ("B", 2, ["C"], 1), ("C", 1, [], 1), ("D", 1, [], 7), ("X", 5, ["Y"], 1), ("Y", 4, ["X"], 2)]
+    members = spark.createDataFrame(rows, "id string, count int, merged_ids array<string>, freshness int")
+    edges = spark.createDataFrame([("A", "D"), ("D", "X")], "winner_id string, loser_id string")
+    got = {r.winner_id: (r.confirmation_count, r.merged_ids, r.freshness) for r in consolidate.lineage_counts(members, edges).collect()}
+    assert got == {"A": (4, ["B", "C", "D"], 7), "D": (3, ["X", "Y"], 7)}  # a cycle owns 1 each
+
+
 def test_first_edges_against_a_loop(spark):
     rows = [(1, 2, 1, 2), (2, 3, 3, 2), (1, 4, 4, 1), (4, 5, 4, 5), (3, 6, 3, 6), (7, 8, 8, 7), (7, 9, 7, 9)]
     got = {(r.a, r.b) for r in consolidate.first_edges(spark.createDataFrame(rows, "a int, b int, winner_id int, loser_id int")).collect()}
