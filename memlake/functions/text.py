@@ -86,9 +86,12 @@ PREMISE_ABSTENTIONS = [*STRICT_ABSTENTIONS, "don't know", "do not know", "unknow
 TRANSIENT_ERRORS = ["429", "resource_exhausted", "rate limit", "timeout", "timed out", "deadline exceeded", "500", "502", "503", "504", "unavailable", "internal error", "connection reset", "connection refused"]
 
 
+_WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space at either end; looks at the ends alone."""
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def ascii_only(c: Column) -> Column:
@@ -127,20 +130,20 @@ def _full(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def is_raw_log(c: Column) -> Column:
-    return F.coalesce(_full(c) & strip(c).rlike(RAW_LOG), F.lit(False))
+def is_raw_log(c: Column, stripped: bool = False) -> Column:
+    return F.coalesce(_full(c) & (c if stripped else strip(c)).rlike(RAW_LOG), F.lit(False))
 
 
-def is_control_tag(c: Column) -> Column:
-    return F.coalesce(_full(c) & strip(c).rlike(CONTROL_TAG), F.lit(False))
+def is_control_tag(c: Column, stripped: bool = False) -> Column:
+    return F.coalesce(_full(c) & (c if stripped else strip(c)).rlike(CONTROL_TAG), F.lit(False))
 
 
-def is_override(c: Column) -> Column:
-    return F.coalesce(_full(c) & strip(c).rlike(OVERRIDE), F.lit(False))
+def is_override(c: Column, stripped: bool = False) -> Column:
+    return F.coalesce(_full(c) & (c if stripped else strip(c)).rlike(OVERRIDE), F.lit(False))
 
 
-def is_transient(c: Column) -> Column:
-    return F.coalesce(_full(c) & strip(c).rlike(TRANSIENT), F.lit(False))
+def is_transient(c: Column, stripped: bool = False) -> Column:
+    return F.coalesce(_full(c) & (c if stripped else strip(c)).rlike(TRANSIENT), F.lit(False))
 
 
 def is_hazard(c: Column) -> Column:
@@ -156,16 +159,21 @@ def clean_transient(c: Column) -> Column:
     return F.regexp_replace(c, rf"^[{_WRAP}]+|[^\p{{L}}\p{{N}}]+$", "")
 
 
-def is_acknowledgement(c: Column) -> Column:
+def is_acknowledgement(c: Column, stripped: bool = False) -> Column:
     """Nothing but acknowledgements; empty text counts, feedback marks don't."""
-    s = strip(F.coalesce(c, F.lit("")))
+    s = F.coalesce(c, F.lit("")) if stripped else strip(F.coalesce(c, F.lit("")))
     marked = F.lit(False)
     for mark in FEEDBACK_MARKS:
         marked = marked | s.contains(mark)
     cleaned = F.lower(clean_transient(s))
-    parts = F.filter(F.transform(F.split(s, r"[，,。.!！；;]+"), lambda p: F.lower(clean_transient(p))), lambda p: p != "")
     known = lambda p: p.isin(TRANSIENT_PHRASES)
-    phrase = s.rlike(TRANSIENT) | s.rlike(ACKNOWLEDGEMENT) | ((F.length(s) < 60) & known(cleaned)) | ((F.size(parts) > 0) & F.forall(parts, known))
+    part = lambda p: F.lower(clean_transient(p))
+    parts = F.split(s, r"[，,。.!！；;]+")
+    # a text whose first part is no phrase isn't split at all
+    first = part(F.regexp_extract(s, r"^[^，,。.!！；;]*", 0))
+    every = F.forall(parts, lambda p: (part(p) == "") | known(part(p))) & F.exists(parts, lambda p: part(p) != "")
+    short = F.length(s) < 60
+    phrase = s.rlike(TRANSIENT) | s.rlike(ACKNOWLEDGEMENT) | F.when(short, known(cleaned)).otherwise(F.lit(False)) | F.when((first == "") | known(first), every).otherwise(F.lit(False))
     return (F.coalesce(c, F.lit("")) == "") | (~marked & phrase)
 
 

@@ -39,14 +39,15 @@ def proxy_candidates(queries: DataFrame, memories: DataFrame, k: int) -> DataFra
 
 def bm25(queries: DataFrame, memories: DataFrame) -> DataFrame:
     """Okapi BM25 of every pair that shares a token: (query_id, id, bm25_raw)."""
-    words = memories.select("id", F.explode(F.filter(tx.all_matches(F.lower("memory"), r"[a-zA-Z0-9_\-]+"), lambda w: (F.length(w) >= 2) & ~w.isin(tx.PROXY_STOP_WORDS))).alias("token"))
-    tf = words.groupBy("id", "token").agg(F.count("*").alias("tf"))
-    length = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
-    stats = length.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs")).first()
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    tokens = F.filter(tx.all_matches(F.lower("memory"), r"[a-zA-Z0-9_\-]+"), lambda w: (F.length(w) >= 2) & ~w.isin(tx.PROXY_STOP_WORDS))
+    sized = memories.select("id", tokens.alias("t")).where(F.size("t") > 0)
+    stats = sized.agg(F.avg(F.size("t")).alias("avgdl"), F.count("*").alias("n_docs")).first()
     asked = queries.select("query_id", F.explode(tx.proxy_tokens(F.col("query"))).alias("token"))
-    # only query tokens survive, so the semi-join comes before lengths are looked up
-    hits = tf.join(asked, "token").join(df, "token").join(length, "id")
+    # only tokens that are asked for go into the aggregates
+    words = sized.select("id", F.size("t").alias("dl"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    tf = words.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    hits = tf.join(df, "token").join(asked, "token")
     idf = F.log(F.lit(1.0) + (F.lit(stats.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avgdl or 1.0)))
     return hits.groupBy("query_id", "id").agg(F.sum(gain).alias("bm25_raw"))

@@ -19,8 +19,8 @@ def skip_sessions(turns: DataFrame, touched: DataFrame | None = None) -> DataFra
     """
     s = tx.strip(F.coalesce("content", F.lit("")))
     t = F.col("s")
-    noise = tx.is_acknowledgement(t) | tx.is_placeholder(t)
-    flags = turns.select("conv_id", s.alias("s")).select("conv_id", (t != "").alias("full"), ((t != "") & ~noise & ~tx.is_raw_log(t)).alias("substantive"), ((t != "") & ~noise & tx.is_raw_log(t)).alias("log"), tx.has_durable_hint(t).alias("hint"))
+    noise = tx.is_acknowledgement(t, True) | tx.is_placeholder(t)
+    flags = turns.select("conv_id", s.alias("s")).select("conv_id", (t != "").alias("full"), ((t != "") & ~noise & ~tx.is_raw_log(t, True)).alias("substantive"), ((t != "") & ~noise & tx.is_raw_log(t, True)).alias("log"), tx.has_durable_hint(t).alias("hint"))
     by = flags.groupBy("conv_id").agg(F.bool_or("full").alias("full"), F.bool_or("substantive").alias("substantive"), F.bool_or("log").alias("log"), F.bool_or(F.col("log") & F.col("hint")).alias("durable"))
     if touched is not None:
         by = by.join(touched.select("conv_id", F.lit(True).alias("files")).distinct(), "conv_id", "left")
@@ -33,12 +33,11 @@ def skip_sessions(turns: DataFrame, touched: DataFrame | None = None) -> DataFra
     return by.select("conv_id", reason.startswith("pre_").alias("skip"), reason.alias("reason"))
 
 
-def audit_reason(c: Column) -> Column:
-    """Why a distilled memory is dropped, or post_accepted; the first rule that matches."""
-    s = tx.strip(F.coalesce(c, F.lit("")))
+def audit_reason(s: Column) -> Column:
+    """Why a distilled memory, trimmed by the caller, is dropped, or post_accepted; the first rule that matches."""
     return (
-        F.when(s == "", "post_empty").when(tx.is_control_tag(s), "post_control_tag").when(tx.is_override(s), "post_instruction_override").when(tx.is_acknowledgement(s), "post_transient_only")
-        .when(tx.is_raw_log(s), "post_raw_log").when(tx.is_placeholder(s), "post_placeholder_noise").otherwise("post_accepted")
+        F.when(F.coalesce(s, F.lit("")) == "", "post_empty").when(tx.is_control_tag(s, True), "post_control_tag").when(tx.is_override(s, True), "post_instruction_override")
+        .when(tx.is_acknowledgement(s, True), "post_transient_only").when(tx.is_raw_log(s, True), "post_raw_log").when(tx.is_placeholder(s), "post_placeholder_noise").otherwise("post_accepted")
     )
 
 

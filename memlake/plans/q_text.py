@@ -151,4 +151,5 @@ _POST = f"CASE WHEN s = '' THEN 'post_empty' WHEN regexp_matches(s, '{_re(tx.CON
 @query("post_audit", f"WITH {_T}, x AS (SELECT CAST(id AS BIGINT) AS id, text FROM t UNION ALL SELECT doc_id + 1000, text FROM documents), y AS (SELECT id, {_STRIP} AS s FROM x) SELECT id, {_POST} AS reason FROM y")
 def post_audit(spark, sf):
     rows = texts(spark).select(F.col("id").cast("bigint").alias("id"), "text").union(table(spark, sf, "documents").select(F.col("doc_id") + 1000, "text"))
-    return rows.select("id", sessions.audit_reason(F.col("text")).alias("reason"))
+    # trimmed once: the rules below use it many times
+    return rows.select("id", tx.strip(F.col("text")).alias("s")).select("id", sessions.audit_reason(F.col("s")).alias("reason"))
