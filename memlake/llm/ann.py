@@ -4,7 +4,10 @@ Coarse centroids and codebooks are fitted on a bounded sample; every vector is
 indexed: its list is its nearest centroid, its code the quantised residual. A query
 probes the lists whose centroids lie best; within a list its inner product with a
 vector is that with the centroid plus a sum over one table entry for each code
-byte; the best by that are reranked exactly, in double precision.
+byte, and wrong by no more than the lengths of the query's parts times those of the
+quantisation errors. The best by that are scored exactly, in double precision, and
+then all that may still reach the k-th of them, a whole block if need be: within the
+probed lists the result is exact.
 
 Lists are dealt in blocks of vectors and blocks of queries, so that neither a list
 with a third of all vectors nor a query that many rows repeat meets in one task.
@@ -32,6 +35,7 @@ SAMPLE = 16_384
 MAX_LISTS = 1024
 PROBED_SHARE = 0.6
 SUBSPACES, CODES = 16, 256
+#: Vectors of a block scored exactly first; the k-th best of them says how far to go on.
 RERANK = 96
 LIST_BLOCK, QUERY_BLOCK = 8192, 1024
 NEIGHBOURS = 20
@@ -75,6 +79,15 @@ class Index:
             out[:, k, : len(b)] = q[:, c] @ b.T
         return out
 
+    def errors(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
+        """(vectors of list at, subspaces) lengths of what their codes leave out."""
+        rest = x - self.centres[at]
+        return np.stack([np.linalg.norm(rest[:, c] - b[codes[:, k]], axis=1) for k, (c, b) in enumerate(zip(self.cuts, self.books))], axis=1)
+
+    def lengths(self, q: np.ndarray) -> np.ndarray:
+        """(queries, subspaces) lengths of the parts of queries."""
+        return np.stack([np.linalg.norm(q[:, c], axis=1) for c in self.cuts], axis=1)
+
     def probes(self, q: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:
         """Lists of each query, best first: a share of all, and as many as hold enough vectors."""
         order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
@@ -166,17 +179,27 @@ def search(vectors: DataFrame, is_query, index: Index | None = None, k: int = NE
         x = np.frombuffer(b"".join(left.column("vec").to_pylist())).reshape(len(ids), -1)
         queries = np.asarray(right.column("query_id"))
         q = np.frombuffer(b"".join(right.column("query").to_pylist())).reshape(len(queries), -1)
-        centre = q @ fitted.centres[left.column("list")[0].as_py()]
+        at = left.column("list")[0].as_py()
+        centre = q @ fitted.centres[at]
+        errors, lengths = fitted.errors(x, at, codes), fitted.lengths(q)
+        # sums in another order differ by far less than this
+        rounding = 1e-9 * np.linalg.norm(q, axis=1) * max(np.linalg.norm(x, axis=1).max(), np.linalg.norm(fitted.centres[at]))
+        depth = max(RERANK, k)
+        # row by row, so that equal vectors get equal scores wherever they stand
+        exactly = lambda rows, v: (x[rows] * v).sum(axis=1)
         found_ids, found = [], []
         for low in range(0, len(q), 64):
             table = fitted.tables(q[low : low + 64])
             guess = centre[low : low + 64, None] + sum(table[:, m, codes[:, m]] for m in range(codes.shape[1]))
-            guess[queries[low : low + 64, None] == ids[None, :]] = -np.inf
+            most = guess + lengths[low : low + 64] @ errors.T + rounding[low : low + 64, None]
             for j, g in enumerate(guess):
-                # equal guesses by id: the rows are sorted by it and the sort is stable
-                best = np.argsort(-g, kind="stable")[:RERANK]
-                best = best[np.isfinite(g[best])]
-                exact = x[best] @ q[low + j]
+                v, others = q[low + j], ids != queries[low + j]
+                best = np.flatnonzero(others)
+                if len(best) > depth:
+                    first = best[np.argpartition(-g[best], depth)[:depth]]
+                    kth = -np.partition(-exactly(first, v), k - 1)[k - 1]
+                    best = np.flatnonzero(others & ~(most[j] < kth))
+                exact = exactly(best, v)
                 order = np.lexsort((ids[best], -exact))[:k]
                 found_ids.append(ids[best][order])
                 found.append(exact[order])

@@ -420,6 +420,23 @@ def test_search_ties_blocks_and_odd_vectors(spark, monkeypatch):
     assert [(r.query_id, r.vec_id) for r in ann.search(few, F.col("vec_id") % 20 == 0).collect()] == [(0, 1)]
 
 
+def test_search_inside_a_tight_cluster(spark):
+    state = np.random.RandomState(7)
+    x = state.randn(3000, 16)
+    x[:1000] = 2 * x[0] + 0.002 * state.randn(1000, 16)
+    # few lists and few of its vectors fitted on: one list holds the whole cluster, its codes can't tell the vectors apart
+    index = ann.Index(x[995:], 4)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, (F.col("vec_id") < 1000) & (F.col("vec_id") % 25 == 0), index).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 40
+    for k, near in got.items():
+        s = x @ x[k]
+        s[k] = -np.inf
+        assert near == np.lexsort((np.arange(3000), -s))[:20].tolist()
+
+
 def test_chunks_are_bounded():
     batch = pa.RecordBatch.from_pydict({"text": pa.array(["a" * 10, None, "b" * 100, "c", "d" * 5])})
     assert [p.num_rows for p in chunks(iter([batch]), "text", 12)] == [2, 1, 2]
