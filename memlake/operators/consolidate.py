@@ -221,7 +221,12 @@ def reindex_classes(source: DataFrame, target: DataFrame) -> DataFrame:
     return source.join(t, "id", "left").select("id", why.alias("action"))
 
 
+def prune_link_rows(links: DataFrame, removed: DataFrame) -> DataFrame:
+    """Links (entity_id, id) without those to removed memories, each once; nothing is gathered by entity."""
+    return links.select("entity_id", "id").join(removed.select("id").distinct(), "id", "left_anti").select("entity_id", "id").distinct()
+
+
 def prune_links(entities: DataFrame, removed: DataFrame) -> DataFrame:
     """Entities without links to removed memories; an entity without links goes."""
     links = entities.select("entity_id", F.explode("linked_memory_ids").alias("id"))
-    return links.join(removed.select("id").distinct(), "id", "left_anti").groupBy("entity_id").agg(F.array_sort(F.collect_set("id")).alias("linked_memory_ids"))
+    return prune_link_rows(links, removed).groupBy("entity_id").agg(F.array_sort(F.collect_list("id")).alias("linked_memory_ids"))

@@ -187,6 +187,14 @@ def entity_prune(spark, sf):
     return out.select("entity_id", F.array_join("linked_memory_ids", ",").alias("linked"))
 
 
+@query("entity_link_prune_rows", f"WITH {cte('mem')}, t AS (SELECT id, unnest(regexp_extract_all(lower(memory), '[a-z]{{7,}}')) AS entity_id FROM mem) SELECT DISTINCT entity_id, id FROM t WHERE CAST(id AS BIGINT) % 7 <> 0")
+def entity_prune_rows(spark, sf):
+    """Links of all entities, however many memories name them; entity_link_prune keeps the bounds of its SQL."""
+    mem = view(spark, sf, "mem")
+    links = mem.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("memory"), F.lit("[a-z]{7,}"), F.lit(0)))).alias("entity_id"))
+    return co.prune_link_rows(links, mem.where("doc_id % 7 = 0"))
+
+
 _ACTION = "CASE WHEN doc_id % 10 = 9 THEN 'new' WHEN doc_id % 13 = 0 THEN 'conflicted' WHEN doc_id % 6 = 0 THEN 'recompute' ELSE 'skipped' END"
 
 

@@ -161,3 +161,12 @@ def test_sources(spark, tmp_path):
 def test_decision_lists_every_reason():
     assert calibration.decide({"samples": 40, "errors": 0, "coverage": .6, "recall_drop": 0, "cost_ratio": .1}) == (True, [])
     assert calibration.decide({"samples": 3, "errors": 1}) == (False, ["samples", "errors", "coverage", "recall_drop", "cost_ratio"])
+
+
+def test_links_of_frequent_and_rare_entities_stay(spark, tmp_path):
+    from memlake.plans import registry
+
+    rows = [(k, "frequent frequent" + (" singular" if k == 3 else ""), "en") for k in range(100)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["entity_link_prune_rows"](spark, str(tmp_path)).collect())
+    assert got == sorted([("frequent", str(k)) for k in range(100) if k % 7] + [("singular", "3")])
