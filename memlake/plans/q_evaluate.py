@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from memlake.functions import text as tx
 from memlake.operators import calibration as cal
 from memlake.operators import evaluation as ev
 from memlake.operators import search
-from memlake.plans.q_search import _PROXY, asked
-from memlake.plans.registry import query
+from memlake.plans.q_search import _ASKED, _ASKED_WHOLE, _PROXY, asked, asked_whole
+from memlake.plans.registry import ORACLES, QUERIES, query
 from memlake.plans.views import cte, literal_cte, table, view
 
 _SECRET = tx.SECRET_RULES[0][0].replace("'", "''")
@@ -19,10 +21,10 @@ _EMPTY = "query_id % 8 = 3"
 _GRADE = "CASE WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END"
 
 
-def _inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _inputs(spark, sf, ask=asked) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Queries, the ranked candidates, relevance by a document's number, forbidden by toxicity."""
-    queries = asked(spark, sf).selectExpr("query_id", f"{_CATEGORY} AS category", f"{_EMPTY} AS expected_empty")
-    found = search.proxy_candidates(asked(spark, sf), view(spark, sf, "mem"), 20).select("query_id", F.col("id").cast("bigint").alias("doc_id"), F.col("rank").alias("pos")).where(~F.expr(_EMPTY) | (F.col("query_id") % 16 == 11))
+    queries = ask(spark, sf).selectExpr("query_id", f"{_CATEGORY} AS category", f"{_EMPTY} AS expected_empty")
+    found = search.proxy_candidates(ask(spark, sf), view(spark, sf, "mem"), 20).select("query_id", F.col("id").cast("bigint").alias("doc_id"), F.col("rank").alias("pos")).where(~F.expr(_EMPTY) | (F.col("query_id") % 16 == 11))
     qrels = found.where((F.col("pos") % 4 <= 1) & ~F.expr(_EMPTY)).selectExpr("query_id", "doc_id", f"{_GRADE} AS grade")
     toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
     return queries, found, qrels, found.join(toxic, "doc_id", "left_semi").select("query_id", "doc_id")
@@ -49,45 +51,45 @@ _SKIP = "NOT (expected_empty AND (" + " OR ".join(f"starts_with(metric, '{p}')"
 
 
 @query("ir_metrics_per_query", f"{_CELLS} SELECT query_id, metric, round(value, 6) AS value FROM cells")
-def ir_per_query(spark, sf):
-    return ev.per_query(*_inputs(spark, sf)).select("query_id", "metric", F.round("value", 6).alias("value"))
+def ir_per_query(spark, sf, ask=asked):
+    return ev.per_query(*_inputs(spark, sf, ask)).select("query_id", "metric", F.round("value", 6).alias("value"))
 
 
 @query("ir_metrics_overall", f"{_CELLS} SELECT metric, round(avg(value), 4) AS value FROM cells WHERE {_SKIP} GROUP BY metric")
-def ir_overall(spark, sf):
-    return ev.means(ev.per_query(*_inputs(spark, sf)))
+def ir_overall(spark, sf, ask=asked):
+    return ev.means(ev.per_query(*_inputs(spark, sf, ask)))
 
 
 @query("ir_metrics_by_category", f"{_CELLS} SELECT category, metric, round(avg(value), 4) AS value FROM cells WHERE {_SKIP} GROUP BY ALL")
-def ir_by_category(spark, sf):
-    return ev.means(ev.per_query(*_inputs(spark, sf)), "category")
+def ir_by_category(spark, sf, ask=asked):
+    return ev.means(ev.per_query(*_inputs(spark, sf, ask)), "category")
 
 
 @query("report_query_diff", f"{_CELLS}, x AS (SELECT query_id, value AS base, CASE WHEN query_id % 5 = 0 THEN greatest(0, value - 0.2) WHEN query_id % 5 = 1 THEN least(1, value + 0.2) ELSE value END AS new FROM cells WHERE metric = 'recall@3') SELECT query_id, round(new - base, 4) AS delta, CASE WHEN new < base THEN 'regressed' ELSE 'improved' END AS change FROM x WHERE new <> base")
-def query_diff(spark, sf):
-    base = ev.per_query(*_inputs(spark, sf)).where("metric = 'recall@3'").select("query_id", F.col("value").alias("base"))
+def query_diff(spark, sf, ask=asked):
+    base = ev.per_query(*_inputs(spark, sf, ask)).where("metric = 'recall@3'").select("query_id", F.col("value").alias("base"))
     new = base.selectExpr("query_id", "CASE WHEN query_id % 5 = 0 THEN greatest(0D, base - 0.2D) WHEN query_id % 5 = 1 THEN least(1D, base + 0.2D) ELSE base END AS new")
     both = base.join(new, "query_id").where("new <> base")
     return both.select("query_id", F.round(F.col("new") - F.col("base"), 4).alias("delta"), F.when(F.col("new") < F.col("base"), "regressed").otherwise("improved").alias("change"))
 
 
 @query("report_metric_diff", f"{_CELLS}, m AS (SELECT metric, query_id % 2 AS half, round(avg(value), 4) AS value FROM cells WHERE {_SKIP} AND NOT (metric = 'mrr' AND query_id % 2 = 1) GROUP BY 1, 2), d AS (SELECT coalesce(b.metric, n.metric) AS metric, coalesce(b.value, 0) AS base, coalesce(n.value, 0) AS new FROM (SELECT * FROM m WHERE half = 0) b FULL JOIN (SELECT * FROM m WHERE half = 1) n ON b.metric = n.metric) SELECT metric, base, new, round(new - base, 4) AS delta, CASE WHEN metric IN ('recall@3', 'ndcg@3', 'mrr') AND round(new - base, 4) < -0.02 THEN 'regressed' WHEN starts_with(metric, 'forbidden_leakage') AND new > 0 THEN 'leak' ELSE 'ok' END AS status FROM d")
-def metric_diff(spark, sf):
-    cells = ev.per_query(*_inputs(spark, sf)).where("not (metric = 'mrr' and query_id % 2 = 1)").withColumn("half", F.col("query_id") % 2)
+def metric_diff(spark, sf, ask=asked):
+    cells = ev.per_query(*_inputs(spark, sf, ask)).where("not (metric = 'mrr' and query_id % 2 = 1)").withColumn("half", F.col("query_id") % 2)
     runs = ev.means(cells, "half")
     return ev.metric_diff(runs.where("half = 0").drop("half"), runs.where("half = 1").drop("half"))
 
 
 @query("candidate_recall20", f"{_CELLS} SELECT qr.query_id, round(count(*) FILTER (WHERE pos <= 20) / count(*), 6) AS recall FROM qr JOIN f USING (query_id, doc_id) WHERE grade > 0 GROUP BY qr.query_id")
-def candidate_recall(spark, sf):
-    _, found, qrels, _ = _inputs(spark, sf)
+def candidate_recall(spark, sf, ask=asked):
+    _, found, qrels, _ = _inputs(spark, sf, ask)
     j = qrels.where("grade > 0").join(found, ["query_id", "doc_id"], "left")
     return j.groupBy("query_id").agg(F.round(F.count_if(F.col("pos") <= 20) / F.count("*"), 6).alias("recall"))
 
 
 @query("injected_tokens", f"{_CELLS} SELECT round(sum(greatest(1, length(memory) // 4)) / count(DISTINCT query_id), 4) AS avg_tokens, CAST(sum(length(memory)) AS BIGINT) AS chars FROM f JOIN mem USING (doc_id) WHERE pos <= 3")
-def injected_tokens(spark, sf):
-    _, found, _, _ = _inputs(spark, sf)
+def injected_tokens(spark, sf, ask=asked):
+    _, found, _, _ = _inputs(spark, sf, ask)
     text = found.where("pos <= 3").join(view(spark, sf, "mem").select("doc_id", F.length("memory").alias("n")), "doc_id")
     return text.agg(F.round(F.sum(F.greatest(F.lit(1), F.floor(F.col("n") / 4))) / F.count_distinct("query_id"), 4).alias("avg_tokens"), F.sum("n").cast("bigint").alias("chars"))
 
@@ -120,10 +122,10 @@ def breach(spark, sf):
 
 
 @query("security_audit", f"WITH {_PROXY}, j AS (SELECT cand.query_id, mem.user_id, mem.agent_id, mem.scope, mem.status, {_EMPTY.replace('query_id', 'cand.query_id')} AS expected_empty FROM cand JOIN mem USING (id) WHERE rank <= 5) SELECT count(*) FILTER (WHERE user_id <> 'u2') AS cross_user, count(*) FILTER (WHERE user_id = 'u2' AND scope = 'project' AND agent_id <> 'p1') AS cross_project, count(*) FILTER (WHERE status = 'superseded') AS superseded, round(count(DISTINCT query_id) FILTER (WHERE expected_empty) / (SELECT count(*) FROM asked WHERE {_EMPTY}), 4) AS false_positive_rate FROM j")
-def security(spark, sf):
+def security(spark, sf, ask=asked):
     # the ungated pool stands for a run without isolation
-    found = search.proxy_candidates(asked(spark, sf), view(spark, sf, "mem"), 20).where("rank <= 5").join(view(spark, sf, "mem").select("id", "user_id", "agent_id", "scope", "status"), "id")
-    empties = asked(spark, sf).where(_EMPTY).count()
+    found = search.proxy_candidates(ask(spark, sf), view(spark, sf, "mem"), 20).where("rank <= 5").join(view(spark, sf, "mem").select("id", "user_id", "agent_id", "scope", "status"), "id")
+    empties = ask(spark, sf).where(_EMPTY).count()
     mine = F.col("user_id") == "u2"
     out = found.agg(F.count_if(~mine).alias("cross_user"), F.count_if(mine & (F.col("scope") == "project") & (F.col("agent_id") != "p1")).alias("cross_project"), F.count_if(F.col("status") == "superseded").alias("superseded"), F.count_distinct(F.when(F.expr(_EMPTY), F.col("query_id"))).alias("fp"))
     return out.select("cross_user", "cross_project", "superseded", F.round(F.try_divide(F.col("fp"), F.lit(empties)), 4).alias("false_positive_rate"))
@@ -236,3 +238,9 @@ def loss(spark, sf):
     rows = spark.createDataFrame(_LOSS, "category string, facts double, retrieved double, answered double")
     delta = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.greatest(F.lit(0.0), F.round(F.col(a) - F.col(b), 4)))
     return rows.select("category", delta("facts", "retrieved").alias("retrieval_loss"), delta("retrieved", "answered").alias("answer_loss"))
+
+
+# every query that asks with the first sentences, with whole items: NAME_whole
+for _name, _sql in list(ORACLES.items()):
+    if _ASKED in _sql:
+        query(f"{_name}_whole", _sql.replace(_ASKED, _ASKED_WHOLE))(partial(QUERIES[_name], ask=asked_whole))

@@ -170,3 +170,12 @@ def test_links_of_frequent_and_rare_entities_stay(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in registry.QUERIES["entity_link_prune_rows"](spark, str(tmp_path)).collect())
     assert got == sorted([("frequent", str(k)) for k in range(100) if k % 7] + [("singular", "3")])
+
+
+def test_later_sentences_are_asked(spark, tmp_path):
+    from memlake.plans import registry
+
+    spark.createDataFrame([(1, "First words. Then zebras!")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "zebras graze", "en"), (2, "nothing here", "en")], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.query_id, r.id) for r in registry.QUERIES["bm25_scores_whole"](spark, str(tmp_path)).collect()] == [(1, "1")]
+    assert [(r.id, r.overlap) for r in registry.QUERIES["lexical_candidates_topk_whole"](spark, str(tmp_path)).orderBy("rank").collect()] == [("1", 1), ("2", 0)]
