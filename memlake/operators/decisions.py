@@ -74,11 +74,15 @@ def takeover(probabilities: Column, floors: dict[str, tuple[float, float]] | Non
     return F.struct(F.when(reason == "accepted", x["best"]).alias("relation"), reason.alias("reason"))
 
 
-def shadow(decided: DataFrame, salt: str, budget: int) -> DataFrame:
-    """Observations of a second opinion (relation, shadow_relation, pair ids): salted fingerprints instead of ids, at most budget rows by fingerprint; the primary stays as it is."""
+def observations(decided: DataFrame, salt: str) -> DataFrame:
+    """Observations of a second opinion (relation, shadow_relation, pair ids), all of them: salted fingerprints instead of ids; the primary stays as it is."""
     mark = F.sha2(F.concat_ws("|", F.lit(salt), F.least("id_a", "id_b"), F.greatest("id_a", "id_b")), 256)
-    rows = decided.select(F.substring(mark, 1, 16).alias("fingerprint"), "relation", "shadow_relation", (F.col("relation") == F.col("shadow_relation")).alias("agrees"))
-    return rows.orderBy("fingerprint").limit(budget)
+    return decided.select(F.substring(mark, 1, 16).alias("fingerprint"), "relation", "shadow_relation", (F.col("relation") == F.col("shadow_relation")).alias("agrees"))
+
+
+def shadow(decided: DataFrame, salt: str, budget: int) -> DataFrame:
+    """The observations to store: at most budget rows by fingerprint. Counts are taken over observations()."""
+    return observations(decided, salt).orderBy("fingerprint").limit(budget)
 
 
 def transient_error(message: Column) -> Column:

@@ -158,7 +158,7 @@ def takeover(spark, sf):
 @query("shadow_agreement", f"WITH {_CHOICE} SELECT agrees, count(*) AS n FROM (SELECT best = CASE WHEN doc_id % 4 = 0 THEN 'DISTINCT' ELSE best END AS agrees FROM s) GROUP BY agrees")
 def shadow(spark, sf):
     rows = table(spark, sf, "labels").selectExpr("CAST(doc_id AS STRING) AS id_a", "concat('x', CAST(doc_id AS STRING)) AS id_b", "CASE WHEN quality = 1 AND toxic = 0 THEN 'EQUIVALENT' WHEN quality = 1 THEN 'CONFLICT' ELSE 'DISTINCT' END AS relation", "doc_id")
-    seen = de.shadow(rows.withColumn("shadow_relation", F.when(F.col("doc_id") % 4 == 0, "DISTINCT").otherwise(F.col("relation"))), "salt", 1_000_000)
+    seen = de.observations(rows.withColumn("shadow_relation", F.when(F.col("doc_id") % 4 == 0, "DISTINCT").otherwise(F.col("relation"))), "salt")
     return seen.groupBy("agrees").agg(F.count("*").alias("n"))
 
 

@@ -179,3 +179,13 @@ def test_later_sentences_are_asked(spark, tmp_path):
     spark.createDataFrame([(1, "zebras graze", "en"), (2, "nothing here", "en")], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.query_id, r.id) for r in registry.QUERIES["bm25_scores_whole"](spark, str(tmp_path)).collect()] == [(1, "1")]
     assert [(r.id, r.overlap) for r in registry.QUERIES["lexical_candidates_topk_whole"](spark, str(tmp_path)).orderBy("rank").collect()] == [("1", 1), ("2", 0)]
+
+
+def test_agreement_is_counted_over_all_observations(spark, sf):
+    from memlake.operators import decisions
+    from memlake.plans import registry
+
+    rows = spark.range(10).selectExpr("CAST(id AS STRING) AS id_a", "concat('x', id) AS id_b", "'DISTINCT' AS relation", "IF(id < 4, 'CONFLICT', 'DISTINCT') AS shadow_relation")
+    assert {r.agrees: r["count"] for r in decisions.observations(rows, "salt").groupBy("agrees").count().collect()} == {True: 6, False: 4}
+    assert decisions.shadow(rows, "salt", 3).count() == 3
+    assert "Limit" not in registry.QUERIES["shadow_agreement"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
