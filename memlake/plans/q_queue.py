@@ -62,6 +62,11 @@ def status(spark, sf):
     return qu.status_counts(jobs(spark, sf).where("rowid % 9 <> 3"))
 
 
+@query("queue_status_all", f"WITH {_J}, s AS (SELECT unnest({list(qu.STATES)}) AS state) SELECT s.state, count(j.state) AS n FROM s LEFT JOIN j ON j.state = s.state GROUP BY s.state")
+def status_all(spark, sf):
+    return qu.status_counts(jobs(spark, sf))
+
+
 _LEDGER = "SELECT session_id, user_id % 6 = 0 AS blocked FROM j WHERE user_id % 4 <> 3 GROUP BY ALL"
 
 

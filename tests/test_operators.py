@@ -189,3 +189,23 @@ def test_agreement_is_counted_over_all_observations(spark, sf):
     assert {r.agrees: r["count"] for r in decisions.observations(rows, "salt").groupBy("agrees").count().collect()} == {True: 6, False: 4}
     assert decisions.shadow(rows, "salt", 3).count() == 3
     assert "Limit" not in registry.QUERIES["shadow_agreement"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_tables_without_subset_filters(spark, sf):
+    from memlake.plans import registry
+
+    count = lambda t: spark.read.parquet(f"{sf}/{t}.parquet").count()
+    assert registry.QUERIES["epoch_to_iso_all"](spark, sf).count() == count("events")
+    status = {r.state: r.n for r in registry.QUERIES["queue_status_all"](spark, sf).collect()}
+    assert sum(status.values()) == count("events") and status["skipped"] > 0
+    assert sum(r.n for r in registry.QUERIES["takeover_thresholds_all"](spark, sf).collect()) == count("labels")
+
+
+def test_zero_counts_and_ties(spark):
+    from memlake.operators import decisions
+
+    jobs = spark.createDataFrame([("skipped",), ("skipped",)], "state string")
+    assert {r.state: r.n for r in queue.status_counts(jobs).collect() if r.n} == {"skipped": 2}
+    assert queue.status_counts(jobs).count() == len(queue.STATES)
+    tie = F.create_map(F.lit("EQUIVALENT"), F.lit(0.4), F.lit("CONFLICT"), F.lit(0.4), F.lit("DISTINCT"), F.lit(0.2))
+    assert spark.range(1).select(decisions.takeover(tie).alias("t")).first().t.reason == "tie"
