@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import chunks, flat, reduce_rows, word_bounds, word_hashes
-from memlake.llm.tokens import TOKEN_CHUNK, encoder, vocabulary
+from memlake.llm.tokens import TOKEN_CHUNK, encoder, release, vocabulary
 
 LENGTH = 2048
 DIMENSIONS, BITS = 4, 7
@@ -121,6 +121,7 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, keys, side="right"), pa.int32()), pa.array(keys), part.column("doc_id"), raw], ["range", "key", "doc_id", "ids"])
 
     def pack(batches):
+        release()
         sequence, used = (TaskContext.get().partitionId() << 40), 0
         held: list[tuple] = []  # pieces of the open sequence: doc_id, start, ids, doc_tokens
 

@@ -9,7 +9,8 @@ apostrophe or a character beyond Latin letters is one piece. A text whose white
 space the tokenizer may group is encoded whole.
 
 Which rule holds is found by probing the tokenizer; one that fits neither encodes
-every text whole.
+every text whole. So is a text that holds the string of an added token of the file,
+which the library turns into that token's id.
 """
 
 from __future__ import annotations
@@ -74,12 +75,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype(kind)
         if self.kind.itemsize == 2 and self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need four bytes")
         self.end = end
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added]
         self.rule, self.joint = self._rules()
+        if any(t.normalized or not t.content for t in added):  # found in normalised text: not by its bytes
+            self.rule = "whole"
         self._clear()
 
     def _clear(self) -> None:
@@ -194,6 +198,8 @@ class Encoder:
             last = bounds[1:][np.diff(bounds) > 0] - 1
             bad = np.concatenate([np.flatnonzero(pair), last[white[last]], _strange_space(data)])
             whole[np.searchsorted(bounds, bad, side="right") - 1] = True
+        for at in self._added(data):
+            whole[np.searchsorted(bounds, at, side="right") - 1] = True
         if self.used > MOST_PIECES or self.n_ids > MOST_IDS:
             self._clear()
         start, end, flag = self._cut(data, bounds, kinds, white)
@@ -214,6 +220,15 @@ class Encoder:
             return self._joined([self._whole(col[k].as_py()) if whole[k] else ids[limits[k] : limits[k + 1]] for k in range(n_rows)])
         return ids, limits
 
+    def _added(self, data: np.ndarray):
+        """Where the strings of added tokens begin, or what becomes one when pieces are lower-cased."""
+        raw = (LOWER[data] if self.rule == "bare" else data).tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                yield at
+                at = raw.find(token, at + 1)
+
     def _whole(self, text: str | None) -> np.ndarray:
         return np.array(self._plain(text or "") + [self.end], dtype=self.kind)
 
@@ -300,6 +315,11 @@ def encoder(path: str, end: int, kind: str = "<u4") -> Encoder:
     return _encoders[key]
 
 
+def release() -> None:
+    """Frees this process's table, for a stage that encodes nothing."""
+    _encoders.clear()
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer file on this machine."""
     import public_tokenizers
