@@ -1,16 +1,21 @@
 """Nearest neighbours by inner product: an inverted file with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted on a bounded sample; every vector is
-indexed: its list is its nearest centroid, its code the quantised residual. A query
-probes the lists whose centroids lie best; within a list its inner product with a
-vector is that with the centroid plus a sum over one table entry for each code
-byte, and wrong by no more than the lengths of the query's parts times those of the
-quantisation errors. The best by that are scored exactly, in double precision, and
-then all that may still reach the k-th of them, a whole block if need be: within the
-probed lists the result is exact.
-
-Lists are dealt in blocks of vectors and blocks of queries, so that neither a list
-with a third of all vectors nor a query that many rows repeat meets in one task.
+indexed: its list is its nearest centroid, its code the quantised residual. There
+are about as many lists as the square root of the number of vectors. A query probes
+the lists whose centroids lie best; its inner product with a vector is guessed as
+that with the centroid plus a sum over one entry of the query's table for each code
+byte. The RERANK best guesses are scored exactly, in double precision, and then all
+whose guess may still reach the k-th of these: a guess is wrong by about the lengths
+of the query's parts times those of the quantisation errors, as of random
+directions, and SIGMAS times that is allowed for. A dense cluster whose codes can't
+tell its vectors apart has equal guesses and is thus scored as a whole.
+
+Lists are put together into bins of about BIN vectors, a longer list is cut into
+several; queries come in blocks. A task scores a block of queries against a bin, so
+neither a list with a third of all vectors nor a vector that many rows repeat meets
+in one task. A query is sent to a bin once, its probes as bits beside it, and each
+pair of block and bin returns at most k rows a query.
 
 Null vectors, zero vectors, vectors with null or non-finite components or of
 another dimension than the sample's most common take no part, nor do null ids.
@@ -27,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from memlake.llm.common import Scratch
 
@@ -35,9 +41,13 @@ SAMPLE = 16_384
 MAX_LISTS = 1024
 PROBED_SHARE = 0.6
 SUBSPACES, CODES = 16, 256
-#: Vectors of a block scored exactly first; the k-th best of them says how far to go on.
-RERANK = 96
-LIST_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors of a bin scored exactly first; the k-th best of them says how far to go on.
+RERANK = 64
+#: How many standard deviations of the quantisation error a guess may fall short by.
+SIGMAS = 3.0
+BIN, QUERY_BLOCK = 4096, 2048
+#: Pairs of query and vector that are guessed at once.
+STEP_PAIRS = 1 << 20
 NEIGHBOURS = 20
 
 
@@ -73,27 +83,29 @@ class Index:
         return lists, np.stack([nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books)], axis=1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """(queries, subspaces, codes) inner products with the codebooks."""
-        out = np.zeros((len(q), len(self.cuts), CODES))
+        """(subspaces, codes, queries) inner products with the codebooks."""
+        out = np.zeros((len(self.cuts), CODES, len(q)), dtype=np.float32)
         for k, (c, b) in enumerate(zip(self.cuts, self.books)):
-            out[:, k, : len(b)] = q[:, c] @ b.T
+            out[k, : len(b)] = b @ q[:, c].T
         return out
 
-    def errors(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """(vectors of list at, subspaces) lengths of what their codes leave out."""
-        rest = x - self.centres[at]
-        return np.stack([np.linalg.norm(rest[:, c] - b[codes[:, k]], axis=1) for k, (c, b) in enumerate(zip(self.cuts, self.books))], axis=1)
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(vectors, subspaces) mean square of what the codes leave out of a component."""
+        rest = x - self.centres[lists]
+        return np.stack([((rest[:, c] - b[codes[:, k]]) ** 2).mean(axis=1) for k, (c, b) in enumerate(zip(self.cuts, self.books))], axis=1)
 
     def lengths(self, q: np.ndarray) -> np.ndarray:
-        """(queries, subspaces) lengths of the parts of queries."""
-        return np.stack([np.linalg.norm(q[:, c], axis=1) for c in self.cuts], axis=1)
+        """(queries, subspaces) squared lengths of the parts of queries."""
+        return np.stack([(q[:, c] ** 2).sum(axis=1) for c in self.cuts], axis=1)
 
-    def probes(self, q: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:
-        """Lists of each query, best first: a share of all, and as many as hold enough vectors."""
+    def probes(self, q: np.ndarray, sizes: np.ndarray, k: int, share: float = PROBED_SHARE) -> np.ndarray:
+        """(queries, lists) whether a query probes a list: the best share of all, and as many as hold enough vectors."""
         order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
         held = np.cumsum(sizes[order], axis=1)
-        least = max(1, int(np.ceil(PROBED_SHARE * len(sizes))))
-        return [o[: max(least, int(np.searchsorted(h, 4 * k + 1)) + 1)] for o, h in zip(order, held)]
+        most = np.maximum(max(1, int(np.ceil(share * len(sizes)))), (held < 4 * k + 1).sum(axis=1) + 1)
+        out = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(out, order, np.arange(order.shape[1]) < most[:, None], axis=1)
+        return out
 
 
 def _valid(col: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +137,99 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> Index | None:
         return None
     size = Counter(map(len, raw)).most_common(1)[0][0]
     x = np.stack([np.frombuffer(r) for r in sorted(raw) if len(r) == size])
-    return Index(x, int(np.clip(np.sqrt(len(x)) * 3, 1, MAX_LISTS)))
-
+    return Index(x, int(np.clip(np.sqrt(max(vectors.count(), len(x))), 1, MAX_LISTS)))
+
+
+def bins_of(sizes: np.ndarray, most: int = BIN) -> tuple[np.ndarray, np.ndarray]:
+    """First bin and number of bins of each list: short lists share a bin while they fit, a long one is cut into bins of its own."""
+    first, parts = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64)
+    at, held = -1, most
+    for k in np.argsort(sizes, kind="stable"):
+        n = int(sizes[k])
+        if n > most:
+            parts[k] = -(-n // most)
+            first[k], at, held = at + 1, at + int(parts[k]), most
+        else:
+            if held + n > most:
+                at, held = at + 1, 0
+            first[k], held = at, held + n
+    return first, parts
+
+
+class Scorer:
+    """Of a bin's vectors: the k best for each query of a block."""
+
+    def __init__(self, index: Index, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, x: np.ndarray, rerank: int, sigmas: float):
+        order = np.lexsort((ids, lists))
+        self.index, self.rerank, self.sigmas = index, rerank, sigmas
+        self.ids, self.lists, self.codes, self.x = ids[order], lists[order], codes[order], x[order]
+        self.own, edges = np.unique(self.lists, return_index=True)
+        self.edges = np.append(edges, len(ids))
+        self.errors = index.errors(self.x, self.lists, self.codes).astype(np.float32)
+        # sums of floats differ from those of doubles by less than this times the query's length
+        self.rounding = np.float32(2e-6) * np.float32(np.linalg.norm(self.x, axis=1).max() + np.linalg.norm(index.centres[self.own], axis=1).max())
+
+    def guesses(self, q: np.ndarray, probed: np.ndarray) -> np.ndarray:
+        """(queries, vectors) guessed products, minus infinity where a list isn't probed."""
+        tables, out = self.index.tables(q), np.full((len(self.ids), len(q)), -np.inf, dtype=np.float32)
+        centre = (self.index.centres[self.own] @ q.T).astype(np.float32)
+        for k, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:])):
+            asks = np.flatnonzero(probed[:, self.own[k]])
+            if not len(asks):
+                continue
+            whole = len(asks) == len(q)
+            part = np.broadcast_to(centre[k] if whole else centre[k, asks], (b - a, len(asks))).copy()
+            for m in range(self.codes.shape[1]):
+                part += (tables[m] if whole else tables[m][:, asks])[self.codes[a:b, m]]
+            if whole:
+                out[a:b] = part
+            else:
+                out[a:b, asks] = part
+        return out.T
+
+    def exactly(self, q: np.ndarray, asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Row by row, so that equal vectors get equal scores wherever they stand."""
+        out = np.empty(len(rows))
+        for low in range(0, len(rows), 1 << 15):
+            part = slice(low, low + (1 << 15))
+            out[part] = (self.x[rows[part]] * q[asked[part]]).sum(axis=1)
+        return out
 
-def search(vectors: DataFrame, is_query, index: Index | None = None, k: int = NEIGHBOURS) -> DataFrame:
+    def best(self, q: np.ndarray, own: np.ndarray, probed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Positions of queries, positions of vectors, scores: at most k a query; and how many pairs were scored exactly."""
+        guess = self.guesses(q, probed)
+        guess[own[:, None] == self.ids[None, :]] = -np.inf
+        n = guess.shape[1]
+        depth = min(max(self.rerank, k), n)
+        first = np.argpartition(-guess, depth - 1, axis=1)[:, :depth] if depth < n else np.broadcast_to(np.arange(n), guess.shape)
+        asked, rows = np.repeat(np.arange(len(q)), depth), first.ravel()
+        real = np.isfinite(guess[asked, rows])
+        exact = np.where(real, self.exactly(q, asked, rows), -np.inf).reshape(len(q), depth)
+        scored = int(real.sum())
+        asked, rows, score = asked[real], rows[real], exact.ravel()[real]
+        if depth < n:
+            kth = -np.partition(-exact, k - 1, axis=1)[:, k - 1]
+            spread = np.sqrt(self.index.lengths(q).astype(np.float32) @ self.errors.T)
+            spread *= np.float32(self.sigmas)
+            spread += guess
+            spread += (self.rounding * np.linalg.norm(q, axis=1).astype(np.float32))[:, None]
+            open_ = (spread >= kth[:, None].astype(np.float32)) & np.isfinite(guess)
+            open_[np.repeat(np.arange(len(q)), depth), first.ravel()] = False  # scored before
+            more_asked, more_rows = np.nonzero(open_)
+            scored += len(more_rows)
+            asked, rows, score = np.concatenate([asked, more_asked]), np.concatenate([rows, more_rows]), np.concatenate([score, self.exactly(q, more_asked, more_rows)])
+        order = np.lexsort((self.ids[rows], -score, asked))
+        asked, rows, score = asked[order], rows[order], score[order]
+        place = np.arange(len(asked)) - np.searchsorted(asked, asked)
+        keep = place < k
+        return asked[keep], rows[keep], score[keep], scored
+
+
+def search(vectors: DataFrame, is_query, index: Index | None = None, k: int = NEIGHBOURS, share: float = PROBED_SHARE, rerank: int = RERANK, sigmas: float = SIGMAS, bin_size: int = BIN, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k best of all other rows for each row where is_query holds: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    source = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", is_query.alias("q"))
+    source = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("q"))
     index = index or fit(source)
     if index is None:
         return spark.createDataFrame([], schema)
@@ -149,66 +246,52 @@ def search(vectors: DataFrame, is_query, index: Index | None = None, k: int = NE
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(keep), b.column("q").take(keep), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "q", "list", "code", "vec"])
 
     rows = scratch.write(source.mapInArrow(encode, "vec_id bigint, q boolean, list int, code binary, vec binary"))
-    sizes = np.zeros(len(index.centres), dtype=np.int64)
-    for r in rows.groupBy("list").count().collect():  # at most MAX_LISTS rows
-        sizes[r["list"]] = r["count"]
+    sizes, asking = np.zeros(len(index.centres), dtype=np.int64), 0
+    for r in rows.groupBy("list").agg(F.count("*").alias("n"), F.count_if("q").alias("q")).collect():  # at most MAX_LISTS rows
+        sizes[r["list"]] = r["n"]
+        asking += r["q"]
+    first, parts = bins_of(sizes, bin_size)
+    n_bins, n_blocks = int((first + parts).max()), max(1, -(-asking // query_block))
+    shape = F.broadcast(spark.createDataFrame([(k, int(a), int(p)) for k, (a, p) in enumerate(zip(first, parts))], "list int, first int, parts int"))
+    homes = F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts").cast("int")
+    mine = rows.join(shape, "list").select(homes.alias("bin"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "vec_id", "list", "code", "vec")
 
     def probe(batches):
         fitted = pickle.loads(packed)
+        in_bin = np.zeros((len(sizes), n_bins), dtype=bool)
+        for c in range(len(sizes)):
+            in_bin[c, first[c] : first[c] + parts[c]] = True
         for b in batches:
-            q = np.stack([np.frombuffer(v.as_buffer()) for v in b.column("vec")]) if b.num_rows else np.zeros((0, fitted.dim))
-            lists = fitted.probes(q, sizes, k)
-            take = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("vec").take(take), pa.array(np.concatenate(lists) if lists else [], pa.int32())], ["query_id", "query", "list"])
-
-    asked = scratch.write(rows.where("q").select("vec_id", "vec").mapInArrow(probe, "query_id bigint, query binary, list int"))
-    loads = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    plan = [(int(c), int(-(-sizes[c] // LIST_BLOCK)), int(-(-n // QUERY_BLOCK))) for c, n in loads.items() if sizes[c]]
-    shape = F.broadcast(spark.createDataFrame(plan or [(-1, 1, 1)], "list int, blocks int, qblocks int"))
-    mine = rows.join(shape, "list").select("list", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"), "vec_id", "code", "vec")
-    theirs = asked.join(shape, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), "qblocks").cast("int").alias("qblock"), "query_id", "query")
+            if not b.num_rows:
+                continue
+            probed = fitted.probes(np.stack([np.frombuffer(v.as_buffer()) for v in b.column("vec")]), sizes, k, share)
+            asked, bins = np.nonzero(probed @ in_bin)
+            take = pa.array(asked)
+            bits = pa.array([x.tobytes() for x in np.packbits(probed, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("vec").take(take), bits.take(take), pa.array(bins, pa.int32())], ["query_id", "query", "probed", "bin"])
+
+    theirs = rows.where("q").select("vec_id", "vec").mapInArrow(probe, "query_id bigint, query binary, probed binary, bin int")
+    theirs = theirs.select("bin", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"), "query_id", "query", "probed")
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_type = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
-            return out_type.empty_table()
+            return out.empty_table()
         fitted = pickle.loads(packed)
-        left = left.sort_by("vec_id")
         ids = np.asarray(left.column("vec_id"))
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         x = np.frombuffer(b"".join(left.column("vec").to_pylist())).reshape(len(ids), -1)
+        scorer = Scorer(fitted, ids, np.asarray(left.column("list")), codes, x, rerank, sigmas)
         queries = np.asarray(right.column("query_id"))
         q = np.frombuffer(b"".join(right.column("query").to_pylist())).reshape(len(queries), -1)
-        at = left.column("list")[0].as_py()
-        centre = q @ fitted.centres[at]
-        errors, lengths = fitted.errors(x, at, codes), fitted.lengths(q)
-        # sums in another order differ by far less than this
-        rounding = 1e-9 * np.linalg.norm(q, axis=1) * max(np.linalg.norm(x, axis=1).max(), np.linalg.norm(fitted.centres[at]))
-        depth = max(RERANK, k)
-        # row by row, so that equal vectors get equal scores wherever they stand
-        exactly = lambda rows, v: (x[rows] * v).sum(axis=1)
-        found_ids, found = [], []
-        for low in range(0, len(q), 64):
-            table = fitted.tables(q[low : low + 64])
-            guess = centre[low : low + 64, None] + sum(table[:, m, codes[:, m]] for m in range(codes.shape[1]))
-            most = guess + lengths[low : low + 64] @ errors.T + rounding[low : low + 64, None]
-            for j, g in enumerate(guess):
-                v, others = q[low + j], ids != queries[low + j]
-                best = np.flatnonzero(others)
-                if len(best) > depth:
-                    first = best[np.argpartition(-g[best], depth)[:depth]]
-                    kth = -np.partition(-exactly(first, v), k - 1)[k - 1]
-                    best = np.flatnonzero(others & ~(most[j] < kth))
-                exact = exactly(best, v)
-                order = np.lexsort((ids[best], -exact))[:k]
-                found_ids.append(ids[best][order])
-                found.append(exact[order])
-        return pa.Table.from_arrays([pa.array(queries), pa.array(found_ids, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.float64()))], schema=out_type)
-
-    keys = ["list", "block", "qblock"]
-    parts = mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(match, "query_id bigint, ids array<bigint>, scores array<double>")
-    every = parts.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("query_id", F.struct((-F.col("c.scores")).alias("minus"), F.col("c.ids").alias("id")).alias("c"))
-    # a query gets k rows from each block it probed
-    best = every.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k).alias("best"))
-    flat = best.select("query_id", F.posexplode("best").alias("pos", "c"))
-    return flat.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("c.id").alias("vec_id"), (-F.col("c.minus")).alias("score"))
+        probed = np.unpackbits(np.frombuffer(b"".join(right.column("probed").to_pylist()), dtype=np.uint8).reshape(len(queries), -1), axis=1, count=len(sizes)).astype(bool)
+        step, found = max(1, STEP_PAIRS // len(ids)), []
+        for low in range(0, len(q), step):
+            asked, at, score, _ = scorer.best(q[low : low + step], queries[low : low + step], probed[low : low + step], k)
+            found.append((queries[low + asked], scorer.ids[at], score))
+        return pa.Table.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in range(3)], schema=out)
+
+    near = mine.groupBy("bin", "block").cogroup(theirs.groupBy("bin", "block")).applyInArrow(match, "query_id bigint, vec_id bigint, score double")
+    # at most k rows a query and bin; the limit by rank is applied before the shuffle, too
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
