@@ -7,14 +7,17 @@ it, blocks in elements whose weight is negative (menus, adverts, forms, comments
 in the midst of an article) are left out.
 
 White space inside a block becomes one space, blocks are joined by a newline,
-character references are decoded. Scripts, styles, templates and HTML comments are
-never text. Null html counts as empty; a page without a positive word has an empty
-text. Repeated rows give repeated results, extra columns are ignored, an empty
-table gives an empty result. An unclosed element ends where its parent ends.
+character references are decoded. Scripts, styles, templates, form controls and
+HTML comments are never text. Null html counts as empty; a page without a positive
+word has an empty text. Repeated rows give repeated results, extra columns are
+ignored, an empty table gives an empty result. An unclosed element ends where its
+parent ends, an unclosed tag, comment or script where the page ends. The time is
+in proportion to the page's length, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import pickle
@@ -24,107 +27,199 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from memlake.llm.common import chunks
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|object|canvas|math|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+from memlake.llm.common import chunks, fields
+
+#: A tag without attributes.
+_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+#: An attribute's name, which may begin with an equals sign, and the sign before its value.
+_ATTRIBUTE = re.compile(r"(=?[^\s/>=]*)(\s*=\s*)?")
+_UNQUOTED = re.compile(r"[^\s>]*")
+#: Elements whose contents are no text of the page, up to their end tag.
+_RAW = frozenset("script style noscript noframes noembed template iframe svg textarea select button datalist title".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+_LONG_NUMBER = re.compile(r"&#([xX]?)0*([0-9a-fA-F]*)(;?)")
 _PARTS = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr img".split())
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_NAMING = frozenset(("class", "id", "role", "itemprop", "aria-label"))
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark object output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr img"
+    " math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mstyle mfenced munder mover munderover mmultiscripts mpadded mphantom semantics annotation".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of these ends an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_P_LIMITS = ("article", "section", "div", "main", "td", "li", "blockquote", "aside", "form", "table")
 #: A start tag ends an open element of the same group.
-_SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+_SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 TABLE_PAGES = 400
 
 
-def _features(tag: str, rest: str) -> tuple[str, ...]:
+def _attributes(page: str, at: int) -> tuple[int, list[tuple[str, str]]]:
+    """Where the tag whose attributes begin at ``at`` ends (-1: nowhere), and its attributes. A quote counts after an equals sign alone."""
+    found, n = [], len(page)
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= n:
+            return -1, found
+        if page[at] == ">":
+            return at + 1, found
+        m = _ATTRIBUTE.match(page, at)
+        name, at, value = m[1], m.end(), ""
+        if m[2]:
+            quote = page[at : at + 1]
+            if quote in ("'", '"') and quote:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return -1, found
+                value, at = page[at + 1 : end], end + 1
+            else:
+                end = _UNQUOTED.match(page, at).end()
+                value, at = page[at:end], end
+        found.append((name.lower(), value))
+
+
+def tags(page: str):
+    """(start, end, end tag?, name, attributes) of every tag, and of what else is no text with an empty name.
+
+    One pass: each character is looked at a bounded number of times, as what has no
+    end reaches to the end of the page.
+    """
+    at, n = page.find("<"), len(page)
+    while at >= 0:
+        if m := _BARE.match(page, at):
+            end, closing, name, attributes = m.end(), bool(m[1]), m[2].lower(), ()
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end, closing, name, attributes = (n if end < 0 else end + 3), False, "", ()
+        else:
+            closing = page.startswith("</", at)
+            if m := _NAME.match(page, at + 1 + closing):
+                end, attributes = _attributes(page, m.end())
+                name = m[0].lower()
+                if end < 0:
+                    end, name = n, ""
+            elif closing or page.startswith(("<!", "<?"), at):
+                end = page.find(">", at + 2)
+                end, name, attributes = (n if end < 0 else end + 1), "", ()
+            else:  # a plain character
+                at = page.find("<", at + 1)
+                continue
+        if name in _RAW and not closing:
+            stop = _RAW_END[name].search(page, end)
+            if stop:
+                last, _ = _attributes(page, stop.end())
+                end = last if last >= 0 else n
+            else:
+                end = n
+        yield at, end, closing, name, attributes
+        at = page.find("<", end)
+
+
+def _features(tag: str, attributes) -> tuple[str, ...]:
     """What an element says of its contents: its name and the words of its class, id and role."""
-    if not rest or "=" not in rest:
-        return (tag,) if not (rest and _HIDDEN.search(rest)) else (tag, "=hidden")
-    words = {"." + w for m in _NAMES.finditer(rest) for w in _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2]).lower())}
-    return (tag, *sorted(words), *(("=hidden",) if _HIDDEN.search(rest) else ()))
+    if not attributes:
+        return (tag,)
+    words, hidden = set(), False
+    for name, value in attributes:
+        if name in _NAMING:
+            words.update("." + w for w in _PARTS.findall(_CAMEL.sub(r"\1 \2", value).lower()))
+        hidden |= name == "hidden" or name == "style" and bool(_NO_DISPLAY.search(value)) or name == "aria-hidden" and value.strip().lower() == "true"
+    return (tag, *sorted(words), *(("=hidden",) if hidden else ()))
+
+
+class Element:
+    """An open element; its parents lead to the root. low and high: bounds of the weights on that way, once known."""
+
+    __slots__ = ("parent", "tag", "features", "low", "high")
+
+    def __init__(self, parent: Element | None, tag: str, features: tuple[str, ...]):
+        self.parent, self.tag, self.features, self.low, self.high = parent, tag, features, None, None
+
+    def path(self):
+        """Feature tuples from the element to the root."""
+        at = self
+        while at is not None:
+            yield at.features
+            at = at.parent
+
+
+def _number(m: re.Match) -> str:
+    digits = m[2] if m[1] else re.match("[0-9]*", m[2])[0]
+    rest = m[2][len(digits) :]
+    if len(digits) <= 7:
+        return f"&#{m[1]}{digits or '0'}{rest}{m[3]}"
+    return f"&#1114112;{rest}{m[3] if rest else ''}"  # beyond Unicode
+
+
+def _decoded(raw: str) -> str:
+    if "&" not in raw:
+        return raw
+    return html.unescape(_LONG_NUMBER.sub(lambda m: _number(m) if len(m[0]) > 9 else m[0], raw) if "&#" in raw else raw)
 
 
 def stream(page: str):
-    """Blocks of the page: (text, path of feature tuples, tags since the last block, share of the text in links)."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """Blocks of the page: (text, innermost element or None, tags since the last block, share of the text in links)."""
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each name
     text: list[str] = []
-    linked = total = tags = 0
-    at = 0
-
-    def block():
-        joined = " ".join(html.unescape("".join(text)).split())
-        text.clear()
-        return joined
-
-    def pieces(upto: int):
-        nonlocal linked, total
-        if upto > at:
-            raw = page[at:upto]
-            text.append(raw)
-            n = len(raw) if not raw.isspace() else 0
-            total += n
-            if any(s[0] == "a" for s in stack):
-                linked += n
+    linked = total = count = at = 0
 
-    def flush():
-        nonlocal linked, total, tags
-        if text:
-            joined = block()
-            if joined:
-                out = (joined, tuple(s[1] for s in stack), tags, linked / max(total, 1))
-                linked = total = tags = 0
-                return out
-        linked = total = 0
-        return None
-
-    def close(names, limits=()):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in limits:
-                return
-
-    for m in _TOKEN.finditer(page):
-        pieces(m.start())
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            places[stack.pop().tag].pop()
+
+    def top(names) -> int:
+        return max([places[x][-1] for x in names if places.get(x)], default=-1)
+
+    for start, end, closing, tag, attributes in (*tags(page), (len(page), len(page), False, None, ())):
+        if start > at:
+            raw = page[at:start]
+            text.append(raw)
+            if not raw.isspace():
+                total += len(raw)
+                if places.get("a"):
+                    linked += len(raw)
+        at = end
+        if tag == "" or tag in _RAW:
             continue
         if tag in _INLINE:
-            if m["end"]:
-                if tag == "a":
-                    close(("a",))
-                continue
             if tag == "a":
-                stack.append(("a", ("a",)))
+                if not closing:
+                    places.setdefault("a", []).append(len(stack))
+                    stack.append(Element(stack[-1] if stack else None, "a", ("a",)))
+                elif places.get("a"):
+                    cut(places["a"][-1])
             continue
-        if done := flush():
-            yield done
-        tags += 1
-        if m["end"]:
-            if any(s[0] == tag for s in stack):
-                close((tag,))
+        if text:
+            joined = " ".join(_decoded("".join(text)).split())
+            text.clear()
+            if joined:
+                yield joined, stack[-1] if stack else None, count, linked / max(total, 1)
+                count = 0
+            linked = total = 0
+        if tag is None:
+            return
+        count += 1
+        if closing:
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
-        if tag in _ENDS_P:
-            close(("p",), ("article", "section", "div", "main", "td", "li", "blockquote", "aside", "form", "table"))
+        if tag in _ENDS_P and (k := top(("p",))) > top(_P_LIMITS):
+            cut(k)
         if tag in _SIBLINGS:
             names, limits = _SIBLINGS[tag]
-            close(tuple(names.split()), limits)
-        if tag in _VOID or (m["rest"] or "").endswith("/") and tag not in ("div", "p", "section", "article"):
+            # the outermost of the group inside the limit
+            limit = top(limits)
+            inside = [k for x in names if places.get(x) for k in (places[x][bisect.bisect_right(places[x], limit) :][:1])]
+            if inside:
+                cut(min(inside))
+        if tag in _VOID or page[end - 2] == "/" and tag not in ("div", "p", "section", "article"):
             continue
-        stack.append((tag, _features(tag, m["rest"] or "")))
-    pieces(len(page))
-    if done := flush():
-        yield done
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Element(stack[-1] if stack else None, tag, _features(tag, attributes)))
 
 
 # --- the labelled table ----------------------------------------------------
@@ -148,13 +243,15 @@ def labelled_pages(pages: int = TABLE_PAGES, seed: int = 11) -> list[tuple[str,
     def box(kind: str) -> str:
         name = r.choice(kind.split("|"))
         body = r.choice((f"<p>{prose(3, 30)}</p>", links(r.randint(2, 6)), prose(2, 12), f"<h3>{prose(1, 3)}</h3><p>{prose(5, 40)}</p>"))
+        if name == "hidden":
+            return f"<{(tag := r.choice(('div', 'p')))} {r.choice(('hidden', 'style="display: none"', 'aria-hidden="true"'))}>{prose(3, 30)}</{tag}>"
         if name.startswith("<"):
             tag = name.strip("<>")
             return f"<{tag}>{body}</{tag}>"
         return f'<{r.choice(("div", "section", "div"))} {r.choice(("class", "class", "id"))}="{name}">{body}</div>'.replace("<section", "<div")
 
-    outside = "<nav>|<nav>|<footer>|<footer>|<header>|<aside>|<form>|ad|ads|advert|banner|sidebar|menu|navbar|breadcrumb|cookie|notice|consent|promo|sponsored|related|share|social|newsletter|subscribe|popup|comments|comment|disqus|replies|pagination|copyright|widget|login|search"
-    inside = "<aside>|<form>|ad|advert|share|related|promo|newsletter|sponsored|comments"
+    outside = "<nav>|<nav>|<footer>|<footer>|<header>|<aside>|<form>|ad|ads|advert|banner|sidebar|menu|navbar|breadcrumb|cookie|notice|consent|promo|sponsored|related|share|social|newsletter|subscribe|popup|comments|comment|disqus|replies|pagination|copyright|widget|login|search|hidden"
+    inside = "<aside>|<form>|ad|advert|share|related|promo|newsletter|sponsored|comments|hidden"
     table = []
     for _ in range(pages):
         blocks, body = [], ""
@@ -182,10 +279,22 @@ class PageModel:
     def __init__(self, weights: dict[str, float], prior: float, tag: float, linked: float):
         self.weights, self.prior, self.tag, self.linked = weights, prior, tag, linked
 
-    def word_weight(self, path, share: float) -> float:
+    def bounds(self, element: Element | None) -> tuple[float, float]:
+        """Least and greatest weight of the features on the way to the root, each element's own found once."""
+        open_ = []
+        while element is not None and element.low is None:
+            open_.append(element)
+            element = element.parent
+        low, high = (element.low, element.high) if element is not None else (math.inf, -math.inf)
+        for x in reversed(open_):
+            own = [self.weights.get(f, 0.0) for f in x.features]
+            low, high = min(low, *own), max(high, *own)
+            x.low, x.high = low, high
+        return (low, high) if low <= high else (0.0, 0.0)
+
+    def word_weight(self, element: Element | None, share: float) -> float:
         """Of a word: its elements' weights, the strongest denial counting in full."""
-        found = [self.weights.get(f, 0.0) for element in path for f in element]
-        low, high = min(found, default=0.0), max(found, default=0.0)
+        low, high = self.bounds(element)
         # bounded, so that a box in the midst of an article costs less than the paragraphs after it bring
         return max(-0.4, min(self.prior + max(high, 0.0) + 3 * min(low, 0.0) - self.linked * (share > 0.6), 3.0))
 
@@ -193,16 +302,16 @@ class PageModel:
         """Text of the best region."""
         blocks = list(stream(page))
         scored = []
-        for text, path, tags, share in blocks:
-            w = self.word_weight(path, share)
-            scored.append((w * (1 + text.count(" ")), -self.tag * tags, w))
+        for text, element, n_tags, share in blocks:
+            w = self.word_weight(element, share)
+            scored.append((w * (1 + text.count(" ")), -self.tag * n_tags, w))
         best, low, high = 0.0, 0, 0
         total, start = 0.0, 0
-        for k, (words, tags, _) in enumerate(scored):
-            if total + tags <= 0:
+        for k, (words, cost, _) in enumerate(scored):
+            if total + cost <= 0:
                 total, start = 0.0, k
             else:
-                total += tags
+                total += cost
             total += words
             if total > best:
                 best, low, high = total, start, k + 1
@@ -214,16 +323,15 @@ class PageModel:
 def train_pages(table: list[tuple[str, list[str]]] | None = None) -> PageModel:
     """Smoothed log odds of every feature over the table's blocks (a block: one count for each square root of its words)."""
     seen: dict[str, list[float]] = {}
-    sides, tag_sides, link_sides = [1.0, 1.0], [1.0, 1.0], [1.0, 1.0]
+    sides, link_sides = [1.0, 1.0], [1.0, 1.0]
     for page, content in table if table is not None else labelled_pages():
         wanted = set(content)
-        for text, path, tags, share in stream(page):
+        for text, element, _, share in stream(page):
             good = int(text in wanted)
             n = math.sqrt(1 + text.count(" "))
             sides[good] += n
-            tag_sides[good] += tags
             link_sides[good] += share > 0.6
-            for f in {f for element in path for f in element}:
+            for f in {f for features in (element.path() if element else ()) for f in features}:
                 seen.setdefault(f, [0.0, 0.0])[good] += n
     base = math.log(sides[1] / sides[0])
     weights = {f: math.log((a[1] + 0.5) / (a[0] + 0.5)) - base for f, a in seen.items()}
@@ -236,7 +344,6 @@ def train_pages(table: list[tuple[str, list[str]]] | None = None) -> PageModel:
 def extract_text(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     packed = pickle.dumps(model or train_pages())
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def run(batches):
         fitted = pickle.loads(packed)
@@ -244,4 +351,4 @@ def extract_text(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
             out = [fitted.extract(x) if x else "" for x in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(run, fields(pages.select("page_id", "url").schema, "text string, n_chars bigint"))
