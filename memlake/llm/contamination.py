@@ -6,12 +6,13 @@ the test items; a pattern is a window of consecutive item words (a shorter item
 one window). Each document is scanned once; hits map back to offsets in the text.
 
 The items' text is what travels to the executors, so its size is checked: beyond
-BLOCK_BYTES the items are dealt into blocks by hash, each with its own automaton
-and its own scan, and a document's hits are joined.
+BLOCK_BYTES the items are dealt into blocks by hash, each with its own automaton.
+The blocks scan one after the other, and each row carries its hits so far, so that
+a row is never grouped with another.
 
 Null text, on either side, has no words. Items with a null id take no part;
-repeated items count once. Repeated documents give repeated results only where
-there is one block, else one result for each id; extra columns are ignored.
+repeated items count once. Null and repeated document ids give a result a row;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from memlake.llm.common import chunks, texts
+from memlake.llm.common import Scratch, chunks, texts
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -79,10 +81,30 @@ def spans_of(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(len(raw[: at[a][0]].decode(errors="ignore")), len(raw[: at[b - 1][1]].decode(errors="ignore"))) for a, b in ranges]
 
 
-def _scan_block(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:
+_PAIRS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+_ARROW_PAIRS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_ITEMS = T.ArrayType(T.StringType())
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching ranges as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _pairs(rows: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"a": a, "b": b} for a, b in r] for r in rows], _ARROW_PAIRS)
+
+
+def _scan_block(source: DataFrame, items: list[tuple[str, str]], width: int, last: bool) -> DataFrame:
+    """source: row, text and, after another block, ranges and items. Adds this block's hits to each row; the last block gives n_words and spans instead of the text."""
     name = uuid.uuid4().hex
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    again = "ranges" in source.columns
 
     def run(batches):
         scanner = _built.get(name)
@@ -90,43 +112,45 @@ def _scan_block(docs: DataFrame, items: list[tuple[str, str]], width: int) -> Da
             _built.clear()
             scanner = _built[name] = Scanner(items, width)
         for part in chunks(batches, "text"):
-            out = []
-            for text in texts(part.column("text")):
-                n, ranges, found = scanner.scan(text)
-                out.append((n, [{"a": a, "b": b} for a, b in ranges], [{"a": a, "b": b} for a, b in spans_of(text, ranges)], sorted(found)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], shape), pa.array([x[2] for x in out], shape), pa.array([x[3] for x in out], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "ranges", "spans", "items"],
-            )
-
-    pair = "array<struct<a:bigint,b:bigint>>"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, ranges {pair}, spans {pair}, items array<string>")
-
-
-def _merged(column: str):
-    """Overlapping or touching ranges of a sorted array as one."""
-    return F.aggregate(
-        F.array_sort(F.flatten(F.collect_list(column))),
-        F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each document: doc_id, n_words, ranges of hit words, their spans in the text, the items found."""
+            whole = texts(part.column("text"))
+            before = zip(part.column("ranges").to_pylist(), part.column("items").to_pylist()) if again else [([], [])] * len(whole)
+            counts, ranges, found = [], [], []
+            for text, (old, names) in zip(whole, before):
+                n, hits, got = scanner.scan(text)
+                counts.append(n)
+                ranges.append(merged([(x["a"], x["b"]) for x in old] + hits) if old else hits)
+                found.append(sorted(got.union(names)))
+            hit = [_pairs(ranges), pa.array(found, pa.list_(pa.string()))]
+            if last:
+                spans = _pairs([spans_of(t, r) for t, r in zip(whole, ranges)])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(counts, pa.int64()), hit[0], spans, hit[1]], ["row", "n_words", "ranges", "spans", "items"])
+            else:
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), *hit], ["row", "text", "ranges", "items"])
+
+    fields = [source.schema["row"]]
+    fields += [T.StructField("n_words", T.LongType()), T.StructField("ranges", _PAIRS), T.StructField("spans", _PAIRS)] if last else [T.StructField("text", T.StringType()), T.StructField("ranges", _PAIRS)]
+    return source.mapInArrow(run, T.StructType([*fields, T.StructField("items", _ITEMS)]))
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], width: int, block_bytes: int) -> DataFrame:
+    """(row, n_words, ranges, spans, items): row is a struct of the kept columns, so that their names can't clash."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    parts = []
+    scratch = Scratch(docs.sparkSession)
+    now = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
-        parts.append(_scan_block(docs, sorted({(r.item, r.text) for r in mine}), width))
-    if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), _merged("ranges").alias("ranges"), _merged("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        before, now = now, _scan_block(now, sorted({(r.item, r.text) for r in mine}), width, b == blocks - 1)
+        if b < blocks - 1:
+            now = scratch.write(now)
+            scratch.drop(before)
+    return now
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each row of docs: doc_id, n_words, ranges of hit words, their spans in the text, the items found."""
+    return _scanned(docs, benchmark, ["doc_id"], width, block_bytes).select("row.doc_id", "n_words", "ranges", "spans", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -138,10 +162,9 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Documents without a hit, with their own columns: one scan of each, no join where there is one block."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col("text").alias("text"))
-    return find_contamination(named, benchmark, width).where(F.size("ranges") == 0).select("doc_id.*")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without a hit, with their own columns: no join, no regrouping."""
+    return _scanned(docs, benchmark, docs.columns, width, block_bytes).where(F.size("ranges") == 0).select("row.*")
 
 
 def sha256_of(items: list[str]) -> str:
