@@ -10,12 +10,14 @@ of values make buckets.
    a star, not all pairs; sets are fetched for those classes alone.
 3. Buckets that still hold more than one component are open. Their classes are
    gathered into clusters, split by set size (sets whose sizes differ too much
-   can't be linked) and into blocks; blocks that may hold links between different
-   components meet two by two, and a task multiplies the blocks' incidence
-   matrices slice by slice and returns a spanning forest of the links.
+   can't be linked) and into blocks; blocks that share an open bucket and may hold
+   links between different components meet two by two, and a task multiplies the
+   blocks' incidence matrices slice by slice and returns a spanning forest of the
+   links.
 
 A class therefore meets every class it could be linked with, no group is gathered
-in a task, and no pairs of a group are emitted.
+in a task, and no pairs of a group are emitted. Nodes are classes, not ids: rows
+that share an id but differ in text are documents of their own.
 
 Null and empty texts have an empty set, n_shingles 0 and are linked with nothing.
 Rows with a null id keep their n_shingles, have a null component and are kept.
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.llm.common import LOWER, Scratch, chunks, flat, mix, word_bounds, word_hashes
 from memlake.llm.graph import components
@@ -118,10 +121,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat_.view(np.int64), pa.int64()))
 
 
+_NUMBERS = [T.StructField(c, T.LongType()) for c in ("n", "h1", "h2")]
+_SET = T.ArrayType(T.LongType())
+
+
 def sketch(docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(id, n, h1, h2, keys) of (id, text)."""
+    """(id, t, n, h1, h2, keys) of (id, t, text)."""
     rows, bands = bands_for(threshold)
-    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         hasher = MinMax(rows, bands)
@@ -133,20 +139,21 @@ def sketch(docs: DataFrame, k: int, threshold: float) -> DataFrame:
             if full:
                 for j, row in zip(full, hasher.keys([sets[j] for j in full])):
                     keys[j] = row
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), _lists(keys)], ["id", "n", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), _lists(keys)], ["id", "t", "n", "h1", "h2", "keys"])
 
-    return docs.mapInArrow(run, f"id {kind}, n bigint, h1 bigint, h2 bigint, keys array<bigint>")
+    return docs.mapInArrow(run, T.StructType([docs.schema["id"], docs.schema["t"], *_NUMBERS, T.StructField("keys", _SET)]))
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
-    kind = docs.schema["id"].dataType.simpleString()
+    """(id, n, h1, h2, s) of (id, text)."""
 
     def run(batches):
         for part in chunks(batches, "text"):
             sets = shingle_sets(*flat(part.column("text")), k)
-            yield pa.RecordBatch.from_arrays([part.column("id"), _lists(sets)], ["id", "s"])
+            h1, h2 = _digests(sets)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), _lists(sets)], ["id", "n", "h1", "h2", "s"])
 
-    return docs.mapInArrow(run, f"id {kind}, s array<bigint>")
+    return docs.mapInArrow(run, T.StructType([docs.schema["id"], *_NUMBERS, T.StructField("s", _SET)]))
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -199,7 +206,6 @@ def _forest(ids_a, ids_b, comps_a, comps_b, hits: np.ndarray) -> list[tuple]:
 
 def _block_links(members: DataFrame, percent: int) -> DataFrame:
     """members (task, side, id, comp, s), tasks in a row: links (a, b) between sides 0 and 1."""
-    kind = members.schema["id"].dataType.simpleString()
 
     def groups(batches):
         held: list[dict] = []
@@ -222,93 +228,135 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
             hits = linked_pairs([r[4] for r in sides[0]], [r[4] for r in sides[1]], percent)
             links = _forest(*[[r[2] for r in side] for side in sides], *[[r[3] for r in side] for side in sides], hits)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], batches_type) for k in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    batches_type = pa.string() if kind == "string" else {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16()}.get(kind, pa.int64())
-    return members.mapInArrow(run, f"a {kind}, b {kind}")
+    return members.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    spark, percent = docs.sparkSession, round(100 * threshold)
-    scratch = Scratch(spark)
-    source = docs.select(F.col("doc_id").alias("id"), "text")
-    marks = scratch.write(sketch(source, shingle_words, threshold))
+def place(member: DataFrame) -> DataFrame:
+    """member (cid, comp, cluster, cell, mk): each class's block of at most about BLOCK classes.
+
+    A large component has blocks of its own: they need not meet each other. The other
+    classes of a cluster's cell share one block; where they are too many for it, those
+    of one bucket (mk, the least open one of a class) stay together.
+    """
+    here = ["cluster", "cell"]
+    alone = F.col("m") >= BLOCK // 2
+    by_comp = member.groupBy(*here, "comp").agg(F.count("*").alias("m")).where(alone).select(*here, "comp", F.col("m").alias("m_comp"))
+    rest = member.join(by_comp, [*here, "comp"], "left")
+    small = F.col("m_comp").isNull()
+    by_bucket = rest.where(small).groupBy(*here, "mk").agg(F.count("*").alias("m_mk"))
+    mixed = by_bucket.groupBy(*here).agg(F.sum("m_mk").alias("mixed"))
+    rest = rest.join(by_bucket, [*here, "mk"], "left").join(mixed, here, "left")
+    crowded = small & (F.col("mixed") > BLOCK)
+    tied = crowded & (F.col("m_mk") >= BLOCK // 2)
+    parts = lambda m: F.ceil(F.col(m) / BLOCK).cast("bigint")
+    split = lambda c, m: F.pmod(F.xxhash64(c), parts(m))
+    block = (
+        F.when(~small, F.xxhash64(F.lit("comp"), "comp", split("cid", "m_comp"))).when(tied, F.xxhash64(F.lit("bucket"), "mk", split("cid", "m_mk")))
+        .when(crowded, F.xxhash64(F.lit("mixed"), split("mk", "mixed"))).otherwise(F.lit(0).cast("bigint"))
+    )
+    return rest.select("cid", "comp", *here, block.alias("block"))
+
+
+def block_pairs(open_: DataFrame, placed: DataFrame) -> DataFrame:
+    """(cluster, cell, block, cell2, block2): blocks that share an open bucket, of equal or next sizes, and not all of one component."""
+    blocks = placed.groupBy("cluster", "cell", "block").agg(F.min("comp").alias("p"), F.max("comp").alias("q"))
+    held = open_.select("key", "cid").join(placed, "cid").select("key", "cluster", "cell", "block").distinct().join(blocks, ["cluster", "cell", "block"])
+    other = held.select("key", F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.col("p").alias("p2"), F.col("q").alias("q2"))
+    order = (F.col("cell2") == F.col("cell") + 1) | ((F.col("cell2") == F.col("cell")) & (F.col("block2") >= F.col("block")))
+    differ = ~((F.col("p") == F.col("q")) & (F.col("p2") == F.col("q2")) & (F.col("p") == F.col("p2")))
+    return held.join(other, "key").where(order & differ).select("cluster", "cell", "block", "cell2", "block2").distinct()
+
+
+def _resolve(docs: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """marks (id, t, n, h1, h2) of every row and classes (h1, h2, n, component, root) of every set: the component's least id, and whether the class is its least one."""
+    percent = round(100 * threshold)
+    scratch = Scratch(docs.sparkSession)
+    source = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), F.col("text").alias("text"))
+    marks = scratch.write(sketch(source, k, threshold))
     real = marks.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = scratch.write(real.groupBy("h1", "h2", "n").agg(F.min("id").alias("cid")))
+    # classes are numbered in the order of their least ids, so that a component's least class holds its least id
+    classes = real.groupBy("h1", "h2", "n").agg(F.min("id").alias("id")).orderBy("id", "h1", "h2", "n")
+    classes = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()))
+    own = ["id", "h1", "h2", "n"]
 
     # buckets of classes
-    keyed = real.select("id", "h1", "h2", "n", "keys").join(classes.withColumnRenamed("cid", "id"), ["id", "h1", "h2", "n"], "left_semi")
-    keyed = keyed.select(F.col("id").alias("cid"), F.explode("keys").alias("key")).distinct()
-    keyed = scratch.write(keyed)
-    shared = keyed.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    keyed = scratch.write(real.select(*own, "keys").join(classes, own).select("cid", F.explode("keys").alias("key")).distinct())
+    shared = keyed.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
     met = scratch.write(keyed.join(shared, "key"))
     scratch.drop(keyed)
 
     # full sets of the classes that meet another
-    wanted = met.select("cid").distinct().join(classes, "cid")
-    texts = source.join(wanted.select(F.col("cid").alias("id")).distinct(), "id", "left_semi")
-    sets = _full_sets(texts, shingle_words).select(F.col("id").alias("cid"), "s", F.size("s").alias("n"))
-    sets = scratch.write(sets.dropDuplicates(["cid"]))
+    wanted = classes.join(met.select("cid").distinct(), "cid", "left_semi")
+    texts = source.select("id", "text").join(wanted.select("id").distinct(), "id", "left_semi")
+    sets = scratch.write(_full_sets(texts, k).dropDuplicates(own).join(wanted, own).select("cid", "s", "n"))
 
     # a star in each bucket
     star = met.where("cid <> leader").select("cid", "leader").distinct()
     one, two = sets.select("cid", F.col("s").alias("s1"), F.col("n").alias("n1")), sets.select(F.col("cid").alias("leader"), F.col("s").alias("s2"), F.col("n").alias("n2"))
     common = F.size(F.array_intersect("s1", "s2"))
     fits = F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2")
-    near = star.join(one, "cid").join(two, "leader").where(fits).select("cid", "leader", common.alias("x"), (F.col("n1") + F.col("n2")).alias("n"))
-    links = scratch.write(near.where(F.lit(100) * F.col("x") >= F.lit(percent) * (F.col("n") - F.col("x"))).select(F.col("cid").alias("a"), F.col("leader").alias("b")))
+    near = star.join(one, "cid").join(two, "leader").where(fits).select("cid", "leader", common.alias("x"), (F.col("n1") + F.col("n2")).alias("m"))
+    links = scratch.write(near.where(F.lit(100) * F.col("x") >= F.lit(percent) * (F.col("m") - F.col("x"))).select(F.col("cid").alias("a"), F.col("leader").alias("b")))
     first = scratch.write(components(scratch, links))
 
     # open buckets: more than one component
-    comp = F.coalesce("component", "cid")
-    known = met.join(first.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "leader", comp.alias("comp"))
+    known = met.join(first.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "leader", F.coalesce("component", "cid").alias("comp"))
     open_keys = known.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("key")
-    open_ = scratch.write(known.join(open_keys, "key", "left_semi").select("cid", "leader", "comp").distinct())
-    cluster = components(scratch, open_.where("cid <> leader").select("cid", "leader"))
+    open_ = scratch.write(known.join(open_keys, "key", "left_semi"))
+    cluster = components(scratch, open_.where("cid <> leader").select("cid", "leader").distinct())
     cell = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    member = open_.select("cid", "comp").distinct().join(cluster.withColumnRenamed("node", "cid"), "cid").withColumnRenamed("component", "cluster")
-    member = scratch.write(member.join(sets.select("cid", "n"), "cid").select("cid", "comp", "cluster", cell.alias("cell")))
-    # a large component has blocks of its own, the others of a cell share blocks
-    by_comp = member.groupBy("cluster", "cell", "comp").agg(F.count("*").alias("m"))
-    alone = F.col("m") >= BLOCK // 2
-    mixed = by_comp.where(~alone).groupBy("cluster", "cell").agg(F.sum("m").alias("mixed"))
-    plan = by_comp.join(mixed, ["cluster", "cell"], "left").select(
-        "cluster", "cell", "comp", F.when(alone, F.col("comp")).alias("own"), F.ceil(F.when(alone, F.col("m")).otherwise(F.col("mixed")) / BLOCK).cast("int").alias("parts")
-    )
-    placed = member.join(plan, ["cluster", "cell", "comp"]).withColumn("block", F.xxhash64(F.coalesce(F.col("own").cast("string"), F.lit("-")), F.pmod(F.xxhash64("cid"), F.col("parts"))))
-    placed = scratch.write(placed.select("cid", "comp", "cluster", "cell", "block", "own"))
-    blocks = scratch.write(placed.groupBy("cluster", "cell", "block").agg(F.first("own").alias("own"), F.min("comp").alias("p"), F.max("comp").alias("q")))
-    other = blocks.select("cluster", F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.col("p").alias("p2"), F.col("q").alias("q2"))
-    order = (F.col("cell2") == F.col("cell") + 1) | ((F.col("cell2") == F.col("cell")) & (F.col("block2") >= F.col("block")))
-    differ = ~((F.col("p") == F.col("q")) & (F.col("p2") == F.col("q2")) & (F.col("p") == F.col("p2")))
-    tasks = blocks.join(other, "cluster").where(order & differ).withColumn("task", F.xxhash64("cluster", "cell", "block", "cell2", "block2"))
-    tasks = scratch.write(tasks.select("task", "cluster", "cell", "block", "cell2", "block2"))
+    member = open_.groupBy("cid", "comp").agg(F.min("key").alias("mk")).join(cluster.withColumnRenamed("node", "cid"), "cid").withColumnRenamed("component", "cluster")
+    member = scratch.write(member.join(sets.select("cid", "n"), "cid").select("cid", "comp", "cluster", cell.alias("cell"), "mk"))
+    placed = scratch.write(place(member))
+    tasks = scratch.write(block_pairs(open_, placed).withColumn("task", F.xxhash64("cluster", "cell", "block", "cell2", "block2")))
     here = placed.join(tasks.select("task", "cluster", "cell", "block"), ["cluster", "cell", "block"]).select("task", F.lit(0).alias("side"), "cid", "comp")
     apart = tasks.where("cell <> cell2 or block <> block2").select("task", "cluster", F.col("cell2").alias("cell"), F.col("block2").alias("block"))
     there = placed.join(apart, ["cluster", "cell", "block"]).select("task", F.lit(1).alias("side"), "cid", "comp")
     loaded = here.union(there).join(sets.select("cid", "s"), "cid").select("task", "side", F.col("cid").alias("id"), "comp", "s")
     loaded = loaded.repartition("task").sortWithinPartitions("task", "side", "id")
-    more = _block_links(loaded, percent)
-
-    final = components(scratch, links.union(more))
-    final = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").select("h1", "h2", F.col("n").alias("cn"), F.coalesce("component", "cid").alias("component"))
-    final = scratch.write(final)
-    for t in (met, sets, links, first, open_, member, placed, blocks, tasks, classes):
-        scratch.drop(t)
-    hit = (F.col("m.h1") == F.col("f.h1")) & (F.col("m.h2") == F.col("f.h2")) & (F.col("m.n") == F.col("f.cn")) & (F.col("m.n") > 0) & F.col("m.id").isNotNull()
+
+    final = components(scratch, links.union(_block_links(loaded, percent)))
+    roots = classes.select(F.col("cid").alias("component"), F.col("id").alias("least"))
+    final = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").select("h1", "h2", "n", "cid", F.coalesce("component", "cid").alias("component")).join(roots, "component")
+    final = scratch.write(final.select("h1", "h2", "n", F.col("least").alias("component"), (F.col("cid") == F.col("component")).alias("root")))
+    for table in (met, sets, links, first, open_, member, placed, tasks, classes):
+        scratch.drop(table)
+    return marks.drop("keys"), final
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    marks, final = _resolve(docs, shingle_words, threshold)
+    hit = (F.col("m.h1") == F.col("f.h1")) & (F.col("m.h2") == F.col("f.h2")) & (F.col("m.n") == F.col("f.n")) & (F.col("m.n") > 0) & F.col("m.id").isNotNull()
     joined = marks.alias("m").join(final.alias("f"), hit, "left")
     component = F.when(F.col("m.id").isNotNull(), F.coalesce("f.component", "m.id"))
     return joined.select(F.col("m.id").alias("doc_id"), F.col("m.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("m.id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the first row alone of each group; rows that repeat the kept id count as its copies."""
-    kept = near_duplicates(docs, shingle_words, threshold).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if _has_repeats(docs) else out
+def _comparable(kind: T.DataType) -> bool:
+    """Whether columns of this type can be hashed."""
+    if isinstance(kind, T.ArrayType):
+        return _comparable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_comparable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def _has_repeats(docs: DataFrame) -> bool:
-    counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return bool(counts.where("n > 1 and doc_id is not null").limit(1).count())
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each group of docs, with its own columns: that of the least doc_id and, of rows with that id, of the least digests.
+
+    Rows that are alike in id and text: the one whose columns have the least hash.
+    Rows with a null id or without words belong to no group and stay, each of them.
+    """
+    marks, final = _resolve(docs, shingle_words, threshold)
+    root = final.where("root").select("h1", "h2", "n", F.col("component").alias("id"))
+    kept = marks.join(root, ["h1", "h2", "n", "id"]).groupBy("h1", "h2", "n", "id").agg(F.min("t").alias("t")).select(F.col("id").alias("__id"), F.col("t").alias("__text")).distinct()
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    rank = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if _comparable(f.dataType)])
+    free = F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(~free).select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), F.struct(*every).alias("row"), rank.alias("rank"))
+    # the aggregate needs no shuffle beyond the join's
+    one = rows.join(kept, ["__id", "__text"], "left_semi").groupBy("__id", "__text").agg(F.min_by("row", "rank").alias("row"))
+    return one.select("row.*").unionByName(docs.where(free))
