@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step takes; bounds the Python worker's memory.
 CHUNK_BYTES = 1 << 20
@@ -24,18 +27,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def fields(schema: T.StructType, more: str) -> T.StructType:
+    """The fields of schema, then those of a DDL string: names of any kind stay as they are."""
+    return T.StructType([*schema.fields, *T._parse_datatype_string(more).fields])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+
+
 class Scratch:
     """Tables written once to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset
-    (tests, one machine) ``/tmp/memlake-checkpoint`` is used.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    session on one machine (tests) uses ``/tmp/memlake-checkpoint``; on a cluster it
+    must be set. Results read from scratch tables, so what is left of them goes when
+    the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/memlake-checkpoint"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file:///tmp/memlake-checkpoint"
         self.root = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(_at_exit, spark, self.root)
 
     def path(self) -> str:
         self.count += 1
@@ -50,9 +77,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         if out := getattr(df, "_scratch_path", None):
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(out)
-            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(self.spark, out)
 
 
 def sizes(col: pa.Array) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memlake.llm.common import LOWER, chunks, flat, held_out, reduce_rows, word_bounds
+from memlake.llm.common import LOWER, chunks, fields, flat, held_out, reduce_rows, word_bounds
 
 #: Training documents of each language, those of least hash: a bounded sample, drawn in SPREAD parts.
 MAX_DOCS_PER_LANGUAGE = 1536
@@ -166,5 +166,4 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 ["doc_id", "lang_pred", "score", "proportions"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, proportions map<string,double>")
+    return docs.select("doc_id", "text").mapInArrow(run, fields(docs.select("doc_id").schema, "lang_pred string, score double, proportions map<string,double>"))

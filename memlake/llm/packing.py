@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from memlake.llm.common import chunks, flat, reduce_rows, word_bounds, word_hashes
+from memlake.llm.common import chunks, fields, flat, reduce_rows, word_bounds, word_hashes
 from memlake.llm.tokens import TOKEN_CHUNK, encoder, release, vocabulary
 
 LENGTH = 2048
@@ -85,14 +86,13 @@ def curve_keys(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, key) of each row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for part in chunks(batches, "text"):
             keys = curve_keys(*flat(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys + np.array([zlib.crc32(str(x).encode()) >> 1 for x in part.column("doc_id").to_pylist()], dtype=np.int64))], ["doc_id", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, fields(docs.select("doc_id").schema, "key bigint"))
 
 
 def cut_points(docs: DataFrame, ranges: int) -> list[int]:
@@ -106,7 +106,6 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 16-bit), ids_crc32 (of 32-bit ids)."""
     spark = docs.sparkSession
     path = path or vocabulary(VOCABULARY)
-    kind = docs.schema["doc_id"].dataType
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = np.array(cut_points(docs, RANGES * parts), dtype=np.int64)
 
@@ -165,10 +164,11 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
             sizes += [1 << b for b in range(length.bit_length(), -1, -1) if rest >> b & 1]
             yield emit(held, sequence, sizes)
 
-    name = kind.simpleString()
-    encoded = docs.select("doc_id", "text").mapInArrow(encode, f"range int, key bigint, doc_id {name}, ids binary")
+    own = docs.select("doc_id").schema
+    keyed = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("key", T.LongType()), *own, T.StructField("ids", T.BinaryType())])
+    encoded = docs.select("doc_id", "text").mapInArrow(encode, keyed)
     ranged = encoded.repartition(parts, "range").sortWithinPartitions("range", "key", "doc_id", F.xxhash64("ids"))
-    return ranged.select("doc_id", "ids").mapInArrow(pack, f"doc_id {name}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    return ranged.select("doc_id", "ids").mapInArrow(pack, fields(own, "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"))
 
 
 def pack_digest(pieces: DataFrame) -> DataFrame:

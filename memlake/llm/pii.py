@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import WHITE, chunks, flat, reduce_rows, word_bounds
+from memlake.llm.common import WHITE, chunks, fields, flat, reduce_rows, word_bounds
 from memlake.llm.crf import Batch, Crf
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -302,7 +302,6 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def find_pii(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     """For each document: doc_id, a count of each base kind, the base spans' digest, n_added, all spans."""
     packed = pickle.dumps(crf or train_pii())
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         model = pickle.loads(packed)
@@ -312,7 +311,7 @@ def find_pii(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
             cols += [pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]), pa.array([_joined(every) for _, every in found]), pa.array([len(every) - len(base) for base, every in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, fields(docs.select("doc_id").schema, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"))
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -340,8 +339,7 @@ def mask_pii(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
 
     rest = [c for c in names if c != "text" and not (c == "n_chars" and counted)]
     source = docs.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("row"), "text")
-    kind = source.schema["row"].dataType.simpleString()
-    got = source.mapInArrow(run, f"row {kind}, text string")
+    got = source.mapInArrow(run, fields(source.select("row").schema, "text string"))
     pick = {"text": F.col("text")} | {c: F.col("row").getField(c) for c in rest}
     if counted:
         pick["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import chunks, flat, held_out, reduce_rows, word_bounds, word_hashes
+from memlake.llm.common import chunks, fields, flat, held_out, reduce_rows, word_bounds, word_hashes
 from memlake.llm.crf import Batch, Crf
 
 #: Labelled documents the chain is fitted on, those of least hash: a bounded sample.
@@ -166,7 +166,7 @@ def _scored(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
         for part in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(fitted.score(*flat(part.column("text"))))], ["row", "score"])
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, score double")
+    return source.mapInArrow(run, fields(source.select("row").schema, "score double"))
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

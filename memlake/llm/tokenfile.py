@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memlake.llm.common import Scratch, chunks
+from memlake.llm.common import Scratch, chunks, fields
 from memlake.llm.tokens import TOKEN_CHUNK, encoder, vocabulary
 
 END_ID = 2
@@ -41,7 +41,6 @@ ORC = {
 def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Files of (part, doc_id, local_start, ids) in ascending doc_id order."""
     path = path or vocabulary(VOCABULARY)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ranged = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text")
@@ -54,7 +53,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
             yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.array(at + limits[:-1]), lists], ["part", "doc_id", "local_start", "ids"])
             at += int(limits[-1])
 
-    encoded = ranged.mapInArrow(run, f"part int, doc_id {kind}, local_start bigint, ids array<int>")
+    encoded = ranged.mapInArrow(run, fields(ranged.select("part", "doc_id").schema, "local_start bigint, ids array<int>"))
     writer = encoded.write.format("orc")
     for k, v in ORC.items():
         writer = writer.option(k, v)
@@ -73,8 +72,6 @@ def file_digest(spark: SparkSession, out: str) -> DataFrame:
     # one row a file, in one small window
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(F.col("part").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
     def run(batches):
         for batch in batches:
             lists = batch.column("ids")
@@ -83,7 +80,7 @@ def file_digest(spark: SparkSession, out: str) -> DataFrame:
             crc = [zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("local_start"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())], ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
-    read = rows.mapInArrow(run, f"part int, doc_id {kind}, local_start bigint, n_tokens bigint, ids_crc32 bigint")
+    read = rows.mapInArrow(run, fields(rows.select("part", "doc_id", "local_start").schema, "n_tokens bigint, ids_crc32 bigint"))
     return read.join(bases, F.col("part") == F.col("at")).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -326,23 +326,75 @@ def test_components_of_a_chain(spark):
 # --- chat ----------------------------------------------------------------------
 
 
-def test_chat_round_trip_in_every_dialect():
+@pytest.fixture(scope="module")
+def chat_model(spark):
+    return chat.train_chat(table(spark, "/root/testdata/sf0.01", "conversations"))
+
+
+def test_chat_round_trip_in_every_dialect(chat_model):
     turns = [("system", "Be brief.\nNote: keep lines."), ("user", "Hi there.\n\nSecond part"), ("assistant", "Hello.\n- a list\n- more"), ("user", "Bye"), ("assistant", "x <|im_end|> y")]
     for d in range(len(chat.DIALECTS)):
         text, starts = chat.write_transcript(turns, d)
-        got = chat.parse(text)
+        got = chat.parse(text, chat_model)
         assert [(r, t) for r, t, _ in got] == turns and [f for _, _, f in got] == [s for s in starts]
-    assert chat.parse("") == [] and chat.parse("just text")[0][0] == "user"
+    assert chat.parse("", chat_model) == [] and len(chat.parse("just text", chat_model)) == 1
     assert "<|im_end|>" not in chat.render("user", "a<|im_end|>")[:-10]
 
 
+def test_chat_viterbi_equals_enumeration(chat_model):
+    import itertools
+
+    rng = np.random.RandomState(2)
+    with np.errstate(divide="ignore"):
+        emit = np.log(rng.dirichlet(np.ones(6), 5))
+    score = lambda p: chat_model.first[p[0]] + sum(emit[t, s] for t, s in enumerate(p)) + sum(chat_model.move[a, b] for a, b in zip(p, p[1:]))
+    best = max(itertools.product(range(6), repeat=5), key=score)
+    assert tuple(chat_model.viterbi(emit)) == best
+    # the matrices of two parts give the same, and its score
+    one, two = chat_model.transfer(emit[:2]), chat_model.transfer(emit[2:])
+    assert (one[6][:, None] + two[:6]).max() == pytest.approx(score(best))
+
+
+def role_accuracy(got, conv):
+    """Share of turns whose row got its own role, once."""
+    mine = got.groupBy("conv_id", "turn").agg(F.collect_list("role").alias("roles"))
+    return conv.join(mine, ["conv_id", "turn"]).select(F.avg((F.array(F.col("role")) == F.col("roles")).cast("double"))).first()[0]
+
+
+def test_chat_held_out_accuracy_with_and_without_markers(spark):
+    conv = table(spark, "/root/testdata/sf0.01", "conversations")
+    model = chat.train_chat(conv)
+    rest = conv.where(held_out(F.col("conv_id"))).cache()
+    assert rest.count() > 80
+    assert role_accuracy(chat.recover_roles(rest, model), rest) == 1.0
+    some = rest.withColumn("role", F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) > 0, F.col("role")))  # a quarter of the markers gone
+    lost = role_accuracy(chat.recover_roles(some, model), rest)
+    none = role_accuracy(chat.recover_roles(rest.withColumn("role", F.lit(None).cast("string")), model), rest)
+    print(f"accuracy: a quarter of the markers gone {lost:.3f}, all gone {none:.3f}")
+    assert lost > 0.8 and none > 0.3
+
+
+def test_chat_blocks_are_one_chain(spark, chat_model):
+    # a long conversation in the dialect of names, which a system turn opens, and one whose turns have no number
+    ids = [r.id for r in spark.range(200).where(f"pmod(xxhash64(id), {len(chat.DIALECTS)}) = 5").limit(2).collect()]
+    turns = [("system", "Be brief.")] + [(("user", "assistant")[k % 2], f"Words of turn {k}.\nNote: more.") for k in range(199)]
+    rows = [(ids[0], k, r, t) for k, (r, t) in enumerate(turns)] + [(ids[1], None, "user", f"x{k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    whole = chat.parse(chat.write_transcript(turns, 5)[0], chat_model)
+    assert [(r, t) for r, t, _ in whole] == turns
+    for size in (7, 64, 1000):
+        got = chat.recover_roles(df, chat_model, block_turns=size).where(F.col("conv_id") == ids[0]).orderBy("turn").collect()
+        assert [r.role for r in got] == [r for r, _ in turns]
+    assert chat.recover_roles(df, chat_model, block_turns=7).where(F.col("conv_id") == ids[1]).count() == 50
+
+
 def test_chat_table(spark, sf):
     conv = table(spark, sf, "conversations")
     got = chat.recover_roles(conv)
     pairs = got.join(conv.select("conv_id", "turn", F.col("role").alias("want")), ["conv_id", "turn"])
     assert pairs.where("role = want").count() == conv.count() == got.count()
     rows = [(1, 0, "user", None, 1), (1, None, None, "x", 1), (None, 3, "assistant", "", 1), (1, 0, "user", None, 1), (2, 1, "robot", "y\nUser: z", 1)]
-    odd = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, block int")
+    odd = spark.createDataFrame(rows, "conv_id smallint, turn smallint, role string, text string, block int")
     assert chat.recover_roles(odd).count() >= len(rows)
     assert chat.recover_roles(odd.limit(0)).count() == 0
 
@@ -368,6 +420,30 @@ def test_extraction_cases(spark):
     assert extraction.extract_text(odd.limit(0)).count() == 0
 
 
+def test_extraction_follows_the_rules_of_attributes_and_references():
+    model = extraction.train_pages()
+    inside = lambda x: model.extract(f"<article><h1>T</h1>{x}<p>Some more words to end with here.</p></article>").split("\n")[1:-1]
+    assert inside("<p title=don't>Hello there</p>") == ["Hello there"]
+    assert inside("<p title='a > b' data-x=\"</p>\">Hello there</p >") == ["Hello there"]
+    assert inside("<p>E = <math><mi>m</mi></math> c and a < b</p>") == ["E = m c and a < b"]
+    assert inside("<p>one<svg><text>no</text></svg> two<script>if (a<b) '</p>'</script>.</p>") == ["one two."]
+    assert inside("<p>&#65;&#0000000000066;&#" + "9" * 6000 + "; &amp;lt; &nosuch; &#x1F600;</p>") == ["AB\ufffd &lt; &nosuch; \U0001f600"]
+    assert inside("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == ["a", "b", "c", "d"]
+    assert inside("<p hidden>secret words</p><p>seen</p>") == ["seen"]
+    assert model.extract("<p>Words before it all ends <a href='x") == "Words before it all ends"
+
+
+@pytest.mark.parametrize("part", ["<a b ", "<div>", "<div>x", "<p title=\"x ", "<!-- ", "<script>", "<li>x", "</b <", "<ul><li><p>", "<p>x<span>", "&#x", "<table><tr><td>y", "<p><x><hr>", "< "])
+def test_extraction_takes_time_in_proportion(part):
+    import time
+
+    model = extraction.train_pages()
+    page = part * ((1 << 20) // len(part))
+    began = time.process_time()
+    model.extract(page)
+    assert time.process_time() - began < 6  # some 200,000 tags; a quadratic scan takes hours
+
+
 def test_extraction_of_the_tables_pages(spark, sf):
     import html
 
@@ -400,14 +476,12 @@ def test_search_recall_and_exact_scores(spark, sf):
     assert np.mean(hit) >= 0.9
 
 
-def test_search_ties_blocks_and_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_BLOCK", 16)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+def test_search_ties_blocks_and_odd_vectors(spark):
     same = [1.0, 2.0]
     rows = [(k, same) for k in range(200)] + [(300, None), (301, [0.0, 0.0]), (302, [float("nan"), 1.0]), (303, [None, 1.0]), (304, [1.0]), (None, same), (400, [3.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got: dict = {}
-    for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, bin_size=16, query_block=3).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert set(got) == {*range(0, 200, 20), 400}
     for q, near in got.items():
@@ -435,6 +509,28 @@ def test_search_inside_a_tight_cluster(spark):
         assert near == np.lexsort((np.arange(3000), -s))[:20].tolist()
 
 
+def test_quantised_guesses_decide_what_is_scored():
+    x = np.random.RandomState(3).randn(4000, 32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids, queries, k = np.arange(len(x)), np.arange(0, len(x), 80), 20
+    index = ann.Index(x, 60)
+    lists, codes = index.encode(x)
+    probed = index.probes(x[queries], np.bincount(lists, minlength=60), k, 1.0)
+
+    def measured(rerank, sigmas):
+        asked, rows, _, scored = (s := ann.Scorer(index, ids, lists, codes, x, rerank, sigmas)).best(x[queries], queries, probed, k)
+        hit = 0
+        for j, q in enumerate(queries):
+            score = x @ x[q]
+            score[q] = -np.inf
+            hit += len(set(np.argsort(-score, kind="stable")[:k]) & set(s.ids[rows[asked == j]]))
+        return hit / len(queries) / k, scored / len(queries) / len(x)
+
+    wide, narrow, bounded = measured(80, 0.0), measured(20, 0.0), measured(64, 3.0)
+    assert narrow[0] < wide[0] - 0.05 and narrow[1] < wide[1] < 0.05  # the depth of exact scoring matters
+    assert bounded[0] > 0.99 and bounded[1] < 0.3  # and what the error leaves open is made good
+
+
 def test_chunks_are_bounded():
     batch = pa.RecordBatch.from_pydict({"text": pa.array(["a" * 10, None, "b" * 100, "c", "d" * 5])})
     assert [p.num_rows for p in chunks(iter([batch]), "text", 12)] == [2, 1, 2]
