@@ -510,7 +510,7 @@ def test_search_inside_a_tight_cluster(spark):
 
 
 def test_quantised_guesses_decide_what_is_scored():
-    x = np.random.RandomState(3).randn(4000, 32)
+    x = np.random.RandomState(3).randn(4000, 64)
     x /= np.linalg.norm(x, axis=1)[:, None]
     ids, queries, k = np.arange(len(x)), np.arange(0, len(x), 80), 20
     index = ann.Index(x, 60)
@@ -527,7 +527,7 @@ def test_quantised_guesses_decide_what_is_scored():
         return hit / len(queries) / k, scored / len(queries) / len(x)
 
     wide, narrow, bounded = measured(80, 0.0), measured(20, 0.0), measured(64, 3.0)
-    assert narrow[0] < wide[0] - 0.05 and narrow[1] < wide[1] < 0.05  # the depth of exact scoring matters
+    assert narrow[0] < wide[0] - 0.02 and narrow[1] < wide[1] < 0.05  # the depth of exact scoring matters
     assert bounded[0] > 0.99 and bounded[1] < 0.3  # and what the error leaves open is made good
 
 
