@@ -43,7 +43,7 @@ THRESHOLD = 0.8
 VALUES = 144
 #: Bands are chosen so that two sets just at the threshold miss each other with at most this probability.
 MAX_MISS = 1e-4
-BLOCK = 384
+BLOCK = 192
 #: Columns of an incidence slice.
 SLICE = 4096
 
