@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from memlake.functions import text as tx
 from memlake.operators.filters import active
+from memlake.scratch import Scratch
 
 RECENCY_MARGIN = 60
 AUTHORITY = {"agent_explicit": 2, "session_distillation": 1}
@@ -106,45 +109,67 @@ def operation_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]), 256), 1, 20)
 
 
-def _cutter(spark):
-    """A function that writes a table to the shared checkpoint folder and reads it again, so that rounds don't pile up a plan."""
-    from uuid import uuid4
+#: Edges that one task takes in order.
+CHUNK = 500_000
 
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/memlake-checkpoint').rstrip('/')}/rounds-{uuid4().hex}"
-    steps = iter(range(1_000_000))
 
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{root}/{next(steps)}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+def _in_order(batches):
+    """Edges, in order, that no edge taken before them forbids; a flag says which ones are taken."""
+    dead: set = set()
+    for batch in batches:
+        a, b, lost = (batch.column(c).to_pylist() for c in ("a", "b", "loser_id"))
+        taken = []
+        for x, y, loser in zip(a, b, lost):
+            taken.append(x not in dead and y not in dead)
+            if taken[-1]:
+                dead.add(loser)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], [*batch.schema.names, "taken"])
 
-    return cut
 
-
-def first_edges(decided: DataFrame, most: int = 100) -> DataFrame:
+def first_edges(decided: DataFrame, rounds: int = 12, chunk: int = CHUNK) -> DataFrame:
     """Edges that take effect when taken in order (a, b): an edge whose member was superseded before is skipped.
 
-    decided: a, b, winner_id, loser_id. Rounds: an edge is settled once no earlier open
-    edge shares a member; each round settles at least the first open edge of every
-    component, and works on joins alone.
+    decided: a, b, winner_id, loser_id. An edge waits only for earlier open edges that
+    may supersede one of its members. Rounds of joins settle all edges that wait for
+    none, the bulk of any table. What is left then are long chains, in which each edge
+    waits for the one before: they are cut by order into chunks of about ``chunk``
+    edges, and one task after the other takes a chunk's edges in order. A chain may be
+    of any length; memory is bounded by the chunk.
     """
-    cut = _cutter(decided.sparkSession)
-    left = cut(decided.withColumn("key", F.struct("a", "b")))
-    taken = None
-    for _ in range(most):
+    scratch = Scratch(decided.sparkSession)
+    columns = decided.columns
+    won_at = scratch.path()
+    left = scratch.write(decided.withColumn("key", F.struct("a", "b")))
+    taken = scratch.add(left.limit(0), won_at)
+    for _ in range(rounds):
         if left.isEmpty():
-            break
+            return taken.select(*columns)
         ends = left.select("key", F.explode(F.array("a", "b")).alias("m"))
-        first = ends.groupBy("m").agg(F.min("key").alias("first"))
-        ready = ends.join(first, "m").groupBy("key").agg(F.bool_and(F.col("key") == F.col("first")).alias("ok")).where("ok").select("key")
-        won = cut(left.join(ready, "key", "left_semi"))
-        taken = won if taken is None else taken.union(won)
-        dead = won.select(F.col("loser_id").alias("m")).distinct()
-        hit = ends.join(dead, "m", "left_semi").select("key").distinct()
-        left = cut(left.join(won.select("key"), "key", "left_anti").join(hit, "key", "left_anti"))
-    else:
-        raise RuntimeError("edges did not settle")
-    return (taken if taken is not None else left).drop("key")
+        threat = left.groupBy(F.col("loser_id").alias("m")).agg(F.min("key").alias("first"))
+        ready = ends.join(threat, "m", "left").groupBy("key").agg(F.bool_and(F.col("first").isNull() | (F.col("key") <= F.col("first"))).alias("ok")).where("ok").select("key")
+        won = scratch.write(left.join(ready, "key", "left_semi").select(*left.columns))
+        taken = scratch.add(won, won_at)
+        dead = won.groupBy(F.col("loser_id").alias("m")).agg(F.min("key").alias("at"))
+        hit = ends.join(dead, "m").where("key > at").select("key").distinct()
+        left, before = scratch.write(left.join(won.select("key"), "key", "left_anti").join(hit, "key", "left_anti").select(*left.columns)), left
+        scratch.drop(before)
+        scratch.drop(won)
+    n = left.count()
+    if not n:
+        return taken.select(*columns)
+    chunks = -(-n // chunk)
+    ranged = scratch.write(left.repartitionByRange(chunks, "a", "b").withColumn("chunk", F.spark_partition_id()))
+    schema = T.StructType([*left.schema.fields, T.StructField("taken", T.BooleanType())])
+    gone_at, gone = scratch.path(), None
+    for k in range(chunks):
+        mine = ranged.where(F.col("chunk") == k).drop("chunk")
+        if gone is not None:
+            for c in ("a", "b"):
+                mine = mine.join(gone, F.col(c) == F.col("m"), "left_anti")
+        found = scratch.write(mine.select(*left.columns).repartition(1).sortWithinPartitions("a", "b").mapInArrow(_in_order, schema).where("taken").drop("taken"))
+        taken = scratch.add(found, won_at)
+        gone = scratch.add(found.select(F.col("loser_id").alias("m")), gone_at)
+    return taken.select(*columns)
 
 
 def apply_supersede(memories: DataFrame, plan: DataFrame) -> DataFrame:
@@ -155,26 +180,32 @@ def apply_supersede(memories: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.withColumn("old_status", F.col("status")).withColumn("status", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise(F.col("status")))
 
 
-def own_counts(members: DataFrame, most: int = 50) -> DataFrame:
+def own_counts(members: DataFrame) -> DataFrame:
     """(id, own): each member's own confirmations, its count less what its merged members own, at least 1.
 
-    members: id, count, merged_ids. Merged ids without a record own 1. Rounds settle
-    members whose merged members are settled; what is left then lies on a cycle and owns 1.
+    members: id, count, merged_ids. Merged ids without a record own 1. A round settles
+    members whose merged members are settled, and rounds go on while they settle any:
+    as many as lineages are deep. What is left then lies on a cycle, or above one, and
+    owns 1.
     """
-    cut = _cutter(members.sparkSession)
+    scratch = Scratch(members.sparkSession)
     known = members.select(F.col("id").alias("y"), F.lit(True).alias("there"))
-    parts = cut(members.select("id", "count", F.explode("merged_ids").alias("y")).where("y <> id").join(known, "y", "left"))
-    settled = cut(members.join(parts.select("id").distinct(), "id", "left_anti").select("id", F.greatest(F.lit(1), F.col("count")).alias("own")))
-    every = settled
-    for _ in range(most):
+    parts = scratch.write(members.select("id", "count", F.explode("merged_ids").alias("y")).where("y <> id").join(known, "y", "left"))
+    every_at = scratch.path()
+    every = scratch.add(members.join(parts.select("id").distinct(), "id", "left_anti").select("id", F.greatest(F.lit(1), F.col("count")).cast("int").alias("own")), every_at)
+    while True:
         value = parts.join(every.select(F.col("id").alias("y"), "own"), "y", "left").select("id", "count", F.when(F.col("there").isNull(), 1).otherwise(F.col("own")).alias("own"))
         ready = value.groupBy("id", "count").agg(F.count_if(F.col("own").isNull()).alias("open"), F.sum("own").alias("s")).where("open = 0")
-        new = cut(ready.join(every, "id", "left_anti").select("id", F.greatest(F.lit(1), F.col("count") - F.col("s")).cast("int").alias("own")))
+        new = scratch.write(ready.join(every, "id", "left_anti").select("id", F.greatest(F.lit(1), F.col("count") - F.col("s")).cast("int").alias("own")))
         if new.isEmpty():
             break
-        every = every.unionByName(new)
+        every = scratch.add(new, every_at)
+        # what is settled needs no further look
+        parts, before = scratch.write(parts.join(new.select("id"), "id", "left_anti").select(*parts.columns)), parts
+        scratch.drop(before)
+        scratch.drop(new)
     rest = members.join(every, "id", "left_anti").select("id", F.lit(1).alias("own"))
-    return cut(every.unionByName(rest))
+    return every.unionByName(rest)
 
 
 def lineage_counts(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memlake.functions import text as tx
+from memlake.scratch import Scratch
 
 LEASE, MAX_ATTEMPTS, MAX_TURNS, MAX_FILES = 300, 3, 20, 30
 STATES = ("pending", "processing", "completed", "skipped", "coalesced", "dead")
@@ -106,12 +107,25 @@ def coalesce_sessions(snapshots: DataFrame) -> DataFrame:
     return rows.select("job_id", "session_id", F.when(F.col("job_id") == F.col("n.id"), "pending").when(held & (F.size(a) >= F.size(b)), "coalesced").otherwise("pending").alias("state"))
 
 
-def branch(nodes: DataFrame, leaves: DataFrame, most: int = 1000) -> DataFrame:
-    """(leaf, id, depth) from each leaf to its root by parent; a cycle ends where it would repeat."""
-    spark = nodes.sparkSession
-    return spark.sql(
-        "WITH RECURSIVE w(leaf, id, parent, depth, seen) MAX RECURSION LEVEL 1000 AS ("
-        "SELECT l.leaf, n.id, n.parent, 0, array(n.id) FROM {leaves} l JOIN {nodes} n ON n.id = l.leaf UNION ALL "
-        "SELECT w.leaf, n.id, n.parent, w.depth + 1, array_append(w.seen, n.id) FROM w JOIN {nodes} n ON n.id = w.parent WHERE NOT array_contains(w.seen, n.id)) SELECT leaf, id, depth FROM w",
-        leaves=leaves, nodes=nodes,
-    )
+def branch(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(leaf, id, depth) from each leaf to its root by parent; a cycle ends where it would repeat.
+
+    nodes: id, parent; of rows that share an id the one with the least parent counts.
+    By doubling: a round knows the nodes up to 2^k steps up and every node's ancestor
+    2^k steps up, so that a branch of a million nodes takes twenty rounds.
+    """
+    scratch = Scratch(nodes.sparkSession)
+    own = nodes.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("parent"))
+    jump = scratch.write(own.join(own.select(F.col("id").alias("up")), F.col("parent") == F.col("up")).select("id", "up"))
+    rows = scratch.write(leaves.select("leaf").distinct().join(own.select("id"), F.col("leaf") == F.col("id")).select("leaf", "id", F.lit(0).alias("depth")))
+    step, n = 1, rows.count()
+    while True:
+        higher = rows.join(jump, "id").select("leaf", F.col("up").alias("id"), (F.col("depth") + step).alias("depth"))
+        more = scratch.write(rows.unionByName(higher).groupBy("leaf", "id").agg(F.min("depth").alias("depth")))
+        scratch.drop(rows)
+        rows, before, n = more, n, more.count()
+        if n == before:
+            return rows
+        further = scratch.write(jump.join(jump.select(F.col("id").alias("via"), F.col("up").alias("top")), F.col("up") == F.col("via")).select("id", F.col("top").alias("up")))
+        scratch.drop(jump)
+        jump, step = further, 2 * step

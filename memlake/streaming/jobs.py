@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memlake.operators.queue import job_id
 from memlake.plans.views import JOBS
+from memlake.scratch import Scratch
 
 STATE = "session_id string, events bigint, failures bigint, last_event bigint"
 
@@ -55,8 +55,7 @@ def run_available(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
     foreachBatch appends under the batch's id, so a batch that is tried again replaces itself.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/memlake-checkpoint"
-    root = f"{base.rstrip('/')}/stream-{uuid4().hex}"
+    root = Scratch(spark).path()
     schema = stream.schema
 
     def sink(df: DataFrame, batch: int) -> None:

@@ -99,11 +99,48 @@ def test_lineage_counts_shared_members_once(spark):
 def test_first_edges_against_a_loop(spark):
     rows = [(1, 2, 1, 2), (2, 3, 3, 2), (1, 4, 4, 1), (4, 5, 4, 5), (3, 6, 3, 6), (7, 8, 8, 7), (7, 9, 7, 9)]
     got = {(r.a, r.b) for r in consolidate.first_edges(spark.createDataFrame(rows, "a int, b int, winner_id int, loser_id int")).collect()}
+    assert got == in_order(rows)
+
+
+def in_order(rows):
     dead, want = set(), set()
     for a, b, _, loser in sorted(rows):
         if a not in dead and b not in dead:
             want.add((a, b))
             dead.add(loser)
+    return want
+
+
+def test_first_edges_of_long_chains_and_hubs(spark):
+    import random
+
+    r = random.Random(4)
+    chain = [(k, k + 1, k, k + 1) for k in range(1000)]  # each edge waits for the one before
+    hub = [(2000, k, *r.choice(((2000, k), (2000, k), (k, 2000)))) for k in range(2001, 2300)]
+    web = []
+    for _ in range(600):
+        a, b = sorted(r.sample(range(3000, 3150), 2))
+        web.append((a, b, *r.choice(((a, b), (b, a)))))
+    rows = chain + hub + list({(a, b): (a, b, c, d) for a, b, c, d in web}.values())
+    df = spark.createDataFrame(rows, "a int, b int, winner_id int, loser_id int")
+    for rounds, chunk in ((2, 100_000), (1, 150)):
+        assert {(x.a, x.b) for x in consolidate.first_edges(df, rounds, chunk).collect()} == in_order(rows)
+
+
+def test_deep_lineage_is_settled_to_its_end(spark):
+    depth = 60
+    rows = [(f"m{k}", k + 2, [f"m{k + 1}"] if k < depth else [], 1) for k in range(depth + 1)]
+    members = spark.createDataFrame(rows, "id string, count int, merged_ids array<string>, freshness int")
+    want = {}
+    for k in range(depth, -1, -1):
+        want[f"m{k}"] = max(1, k + 2 - (want[f"m{k + 1}"] if k < depth else 0))
+    assert {x.id: x.own for x in consolidate.own_counts(members).collect()} == want
+
+
+def test_branches_of_any_length(spark):
+    deep = spark.createDataFrame([(k, k - 1 if k else None) for k in range(3000)] + [(10_000 + k, 10_000 + (k + 1) % 5) for k in range(5)] + [(20_000, 99_999)], "id int, parent int")
+    got = {(x.leaf, x.id): x.depth for x in queue.branch(deep, spark.createDataFrame([(2999,), (7,), (10_002,), (20_000,), (5_555,)], "leaf int")).collect()}
+    want = {(2999, 2999 - d): d for d in range(3000)} | {(7, 7 - d): d for d in range(8)} | {(10_002, 10_000 + (2 + d) % 5): d for d in range(5)} | {(20_000, 20_000): 0}
     assert got == want
 
 
