@@ -118,14 +118,19 @@ def identity_subjects(c: Column) -> Column:
     return F.array_distinct(F.transform(all_matches(c, r"(?iU)\b(?:user|project|repo|repository)\s+([A-Za-z0-9_.-]{2,})\b", 1), F.lower))
 
 
-def proxy_tokens(c: Column) -> Column:
-    """Distinct tokens of the lexical proxy: words, and CJK characters with their bigrams."""
+def proxy_terms(c: Column) -> Column:
+    """Tokens of the lexical proxy, repeats and all: words, and CJK characters with their bigrams."""
     words = F.filter(all_matches(F.lower(c), r"[a-zA-Z0-9_\-]+"), lambda w: (F.length(w) >= 2) & ~w.isin(PROXY_STOP_WORDS))
     chars = F.filter(all_matches(c, r"[\x{4e00}-\x{9fff}]"), lambda w: ~w.isin(PROXY_STOP_WORDS))
     pairs = F.when(F.size(chars) > 1, F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
     # most texts have none of these characters: one look instead of several extractions
     cjk = F.when(c.rlike(r"[\x{4e00}-\x{9fff}]"), F.concat(chars, F.filter(pairs, lambda w: ~w.isin(PROXY_STOP_WORDS)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, cjk))
+    return F.concat(words, cjk)
+
+
+def proxy_tokens(c: Column) -> Column:
+    """Distinct tokens of the lexical proxy."""
+    return F.array_distinct(proxy_terms(c))
 
 
 def _full(c: Column) -> Column:

@@ -1,11 +1,20 @@
-"""Hybrid search: an inverted-index join of query and memory tokens, BM25, fusion, and the relevance gate."""
+"""Hybrid search: lexical candidates, BM25, fusion, and the relevance gate.
+
+Queries are a stated set, small beside the memories: they go to the memories in
+blocks, and counts and sums come from their inverted index in numpy batches.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from memlake.functions import text as tx
@@ -17,40 +26,147 @@ def pool_size(limit: int) -> int:
     return max(4 * limit, 20)
 
 
+#: Queries that are scored at once, and cells of a table of memories by queries.
+QUERY_BLOCK, CELLS = 2048, 1 << 22
+
+
+class Postings:
+    """The tokens of a block of queries and which queries hold each: small, and sent to every task."""
+
+    def __init__(self, rows: list):
+        self.ids = [r.query_id for r in rows]
+        held: dict[str, list[int]] = {}
+        for k, r in enumerate(rows):
+            for token in r.tokens:
+                held.setdefault(token, []).append(k)
+        self.tokens = pa.array(list(held), pa.string())
+        self.starts = np.cumsum([0, *map(len, held.values())])
+        self.queries = np.array([k for ks in held.values() for k in ks], dtype=np.int64)
+
+    def hits(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, token) of every element of the lists that a query asks for."""
+        rows = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+        codes = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=self.tokens), -1))
+        found = codes >= 0
+        return rows[found], codes[found]
+
+    def sums(self, n_rows: int, rows: np.ndarray, codes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        """(rows, queries) counts, or sums of weights, of the hits that a query asks for."""
+        n, out = len(self.ids), np.zeros(n_rows * len(self.ids))
+        sizes = self.starts[codes + 1] - self.starts[codes]
+        ends = np.cumsum(sizes)
+        low = 0
+        while low < len(rows):
+            base = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, base + 2 * CELLS, side="right")))
+            size = sizes[low:high]
+            at = np.repeat(self.starts[codes[low:high]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            cell = np.repeat(rows[low:high], size) * n + self.queries[at]
+            out += np.bincount(cell, None if weights is None else np.repeat(weights[low:high], size), minlength=len(out))
+            low = high
+        return out.reshape(n_rows, n)
+
+    def slices(self, batch: pa.RecordBatch):
+        step = max(1, CELLS // max(1, len(self.ids)))
+        for low in range(0, batch.num_rows, step):
+            yield batch.slice(low, step)
+
+
+def _blocks(queries: DataFrame) -> list[Postings]:
+    """The queries in blocks of about QUERY_BLOCK, by hash; one block at a time comes to the driver."""
+    asked = queries.select("query_id", tx.proxy_tokens(F.coalesce("query", F.lit(""))).alias("tokens"))
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    return [Postings(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).orderBy("query_id").collect()) for b in range(n)]
+
+
+def _each_block(blocks: list[Postings], score) -> DataFrame:
+    out = score(blocks[0])
+    for block in blocks[1:]:
+        out = out.unionByName(score(block))
+    return out
+
+
 def proxy_candidates(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     """The k best memories of each query by share of its tokens: (query_id, id, overlap, n_tokens, score, rank).
 
-    Only memories that share a token are joined; the rest all score alike, so the
-    k greatest ids stand for them. Ties go to the greater id.
+    Ties go to the greater id; a memory that shares no token is a candidate, too. Each
+    task counts overlaps of its memories with a block of queries and passes on the k
+    best of a batch for each query: no pairs of queries and memories are shuffled.
     """
-    asked = queries.select("query_id", F.explode(tx.proxy_tokens(F.col("query"))).alias("token"))
-    sizes = queries.select("query_id", F.size(tx.proxy_tokens(F.col("query"))).alias("n_tokens"))
-    words = memories.select("id", F.explode(tx.proxy_tokens(F.col("memory"))).alias("token"))
-    shared = words.join(asked, "token").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
-    last = [F.lit(r.id) for r in memories.select("id").orderBy(F.desc("id")).limit(k).collect()]
-    rest = queries.select("query_id", F.explode(F.array(*last).cast("array<string>")).alias("id"))
-    every = shared.unionByName(rest.join(shared, ["query_id", "id"], "left_anti").withColumn("overlap", F.lit(0).cast("bigint")))
-    ratio = F.col("overlap") / F.col("n_tokens")
-    score = F.when(F.col("overlap") > 0, F.lit(0.05) + F.lit(0.90) * F.pow(ratio, F.lit(1.35))).otherwise(0.05)
-    scored = every.join(sizes, "query_id").withColumn("score", F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.01), score)), 4))
+    words = memories.select("id", tx.proxy_tokens(F.coalesce("memory", F.lit(""))).alias("tokens"))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), memories.schema["id"], T.StructField("overlap", T.LongType()), T.StructField("n_tokens", T.IntegerType())])
+    kind = to_arrow_type(schema["query_id"].dataType)
+
+    def score(block: Postings) -> DataFrame:
+        sizes = np.bincount(block.queries, minlength=len(block.ids))
+
+        def run(batches):
+            names = pa.array(block.ids, kind)
+            for batch in batches:
+                for part in block.slices(batch):
+                    overlap = block.sums(part.num_rows, *block.hits(part.column("tokens")))
+                    points = np.where(overlap > 0, 0.05 + 0.90 * (overlap / np.maximum(sizes, 1)) ** 1.35, 0.05)
+                    ranked = np.empty(part.num_rows, dtype=np.int64)
+                    ranked[np.argsort(np.array(part.column("id").to_pylist()), kind="stable")] = np.arange(part.num_rows)
+                    # the score to four places, then the id
+                    key = (np.floor(np.clip(points, 0.01, 0.99) * 1e4 + 0.5).astype(np.int64) << 32) + ranked[:, None]
+                    best = np.argpartition(-key, k - 1, axis=0)[:k] if k < part.num_rows else np.broadcast_to(np.arange(part.num_rows)[:, None], key.shape)
+                    rows, asked = best.ravel(), np.tile(np.arange(len(block.ids)), len(best))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(asked)), part.column("id").take(pa.array(rows)), pa.array(overlap[rows, asked].astype(np.int64)), pa.array(sizes[asked].astype(np.int32))], schema.names)
+
+        return words.mapInArrow(run, schema)
+
+    every = _each_block(_blocks(queries), score)
+    share = F.when(F.col("overlap") > 0, F.lit(0.05) + F.lit(0.90) * F.pow(F.col("overlap") / F.col("n_tokens"), F.lit(1.35))).otherwise(0.05)
+    scored = every.withColumn("score", F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.01), share)), 4))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def bm25(queries: DataFrame, memories: DataFrame) -> DataFrame:
-    """Okapi BM25 of every pair that shares a token: (query_id, id, bm25_raw)."""
-    tokens = F.filter(tx.all_matches(F.lower("memory"), r"[a-zA-Z0-9_\-]+"), lambda w: (F.length(w) >= 2) & ~w.isin(tx.PROXY_STOP_WORDS))
-    sized = memories.select("id", tokens.alias("t")).where(F.size("t") > 0)
-    stats = sized.agg(F.avg(F.size("t")).alias("avgdl"), F.count("*").alias("n_docs")).first()
-    asked = queries.select("query_id", F.explode(tx.proxy_tokens(F.col("query"))).alias("token"))
-    # only tokens that are asked for go into the aggregates
-    words = sized.select("id", F.size("t").alias("dl"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    tf = words.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    hits = tf.join(df, "token").join(asked, "token")
-    idf = F.log(F.lit(1.0) + (F.lit(stats.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avgdl or 1.0)))
-    return hits.groupBy("query_id", "id").agg(F.sum(gain).alias("bm25_raw"))
+    """Okapi BM25 of every pair that shares a token: (query_id, id, bm25_raw).
+
+    Two passes over the memories' tokens: counts of documents by token, of those asked
+    for alone, and then the sums, batch by batch.
+    """
+    words = memories.select("id", tx.proxy_terms(F.coalesce("memory", F.lit(""))).alias("tokens")).where(F.size("tokens") > 0)
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), memories.schema["id"], T.StructField("bm25_raw", T.DoubleType())])
+    kind = to_arrow_type(schema["query_id"].dataType)
+
+    def score(block: Postings) -> DataFrame:
+        def count(batches):
+            n = length = 0
+            df = np.zeros(len(block.tokens), dtype=np.int64)
+            for batch in batches:
+                lists = batch.column("tokens")
+                rows, codes = block.hits(lists)
+                df += np.bincount(np.unique(rows * len(df) + codes) % len(df), minlength=len(df)) if len(df) else 0
+                n, length = n + batch.num_rows, length + len(lists.flatten())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "length": pa.array([length]), "df": pa.array([df.tobytes()], pa.binary())})
+
+        n = length = 0
+        df = np.zeros(len(block.tokens), dtype=np.int64)
+        for r in words.mapInArrow(count, "n bigint, length bigint, df binary").collect():  # one row a task
+            n, length, df = n + r.n, length + r.length, df + np.frombuffer(r.df, dtype=np.int64)
+        idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+        average = length / n if n else 1.0
+
+        def run(batches):
+            names = pa.array(block.ids, kind)
+            for batch in batches:
+                for part in block.slices(batch):
+                    rows, codes = block.hits(part.column("tokens"))
+                    pairs, tf = np.unique(rows * max(1, len(df)) + codes, return_counts=True)
+                    rows, codes = pairs // max(1, len(df)), pairs % max(1, len(df))
+                    size = np.asarray(pc.list_value_length(part.column("tokens")))[rows]
+                    gain = idf[codes] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))
+                    sums = block.sums(part.num_rows, rows, codes, gain)
+                    at, asked = np.nonzero(sums)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(asked)), part.column("id").take(pa.array(at)), pa.array(sums[at, asked])], schema.names)
+
+        return words.mapInArrow(run, schema)
+
+    return _each_block(_blocks(queries), score)
 
 
 def fuse(candidates: DataFrame) -> DataFrame:
