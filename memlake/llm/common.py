@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlake.scratch import Scratch  # noqa: F401  the operators' scratch tables
+
 #: Bytes of text that one vectorised step takes; bounds the Python worker's memory.
 CHUNK_BYTES = 1 << 20
 
@@ -32,52 +33,25 @@ def fields(schema: T.StructType, more: str) -> T.StructType:
     return T.StructType([*schema.fields, *T._parse_datatype_string(more).fields])
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-def _at_exit(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-
-
-class Scratch:
-    """Tables written once to the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
-    session on one machine (tests) uses ``/tmp/memlake-checkpoint``; on a cluster it
-    must be set. Results read from scratch tables, so what is left of them goes when
-    the driver's Python ends.
-    """
+#: What this process keeps between tasks, by owner: a Python worker is reused by later stages, which have no need of it.
+_kept: dict[str, object] = {}
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            master = spark.sparkContext.master
-            if not (master == "local" or master.startswith("local[")):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file:///tmp/memlake-checkpoint"
-        self.root = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        self.count = 0
-        atexit.register(_at_exit, spark, self.root)
 
-    def path(self) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count}"
+def keep(owner: str, make):
+    """The owner's object, made where it is missing; an owner's task drops what other owners kept."""
+    if owner not in _kept:
+        release()
+        _kept[owner] = make()
+    return _kept[owner]
 
-    def write(self, df: DataFrame) -> DataFrame:
-        out = self.path()
-        df.write.parquet(out)
-        again = self.spark.read.schema(df.schema).parquet(out)
-        again._scratch_path = out
-        return again
 
-    def drop(self, df: DataFrame) -> None:
-        if out := getattr(df, "_scratch_path", None):
-            _delete(self.spark, out)
+def release() -> None:
+    """Drops what tasks kept and gives free memory back to the system."""
+    _kept.clear()
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def sizes(col: pa.Array) -> np.ndarray:
@@ -97,6 +71,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             upto = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+    pa.default_memory_pool().release_unused()
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

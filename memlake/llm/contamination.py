@@ -27,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.common import Scratch, chunks, texts
+from memlake.llm.common import Scratch, chunks, keep, texts
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
-_built: dict[str, Scanner] = {}
 
 
 def words(text: str) -> list[bytes]:
@@ -107,10 +106,7 @@ def _scan_block(source: DataFrame, items: list[tuple[str, str]], width: int, las
     again = "ranges" in source.columns
 
     def run(batches):
-        scanner = _built.get(name)
-        if scanner is None:
-            _built.clear()
-            scanner = _built[name] = Scanner(items, width)
+        scanner = keep(f"scanner {name}", lambda: Scanner(items, width))
         for part in chunks(batches, "text"):
             whole = texts(part.column("text"))
             before = zip(part.column("ranges").to_pylist(), part.column("items").to_pylist()) if again else [([], [])] * len(whole)

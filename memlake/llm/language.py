@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memlake.llm.common import LOWER, chunks, fields, flat, held_out, reduce_rows, word_bounds
+from memlake.llm.common import LOWER, chunks, fields, flat, held_out, reduce_rows, release, word_bounds
 
 #: Training documents of each language, those of least hash: a bounded sample, drawn in SPREAD parts.
 MAX_DOCS_PER_LANGUAGE = 1536
@@ -152,6 +152,7 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     packed = pickle.dumps(model)
 
     def run(batches):
+        release()
         fitted = pickle.loads(packed)
         names = np.array([*fitted.languages, UNKNOWN], dtype=object)
         for part in chunks(batches, "text"):

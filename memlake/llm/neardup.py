@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.common import LOWER, Scratch, chunks, flat, mix, word_bounds, word_hashes
+from memlake.llm.common import LOWER, Scratch, chunks, flat, mix, release, word_bounds, word_hashes
 from memlake.llm.graph import components
 
 SHINGLE_WORDS = 5
@@ -130,6 +130,7 @@ def sketch(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     rows, bands = bands_for(threshold)
 
     def run(batches):
+        release()
         hasher = MinMax(rows, bands)
         for part in chunks(batches, "text"):
             sets = shingle_sets(*flat(part.column("text")), k)

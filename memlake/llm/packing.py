@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.common import chunks, fields, flat, reduce_rows, word_bounds, word_hashes
-from memlake.llm.tokens import TOKEN_CHUNK, encoder, release, vocabulary
+from memlake.llm.common import chunks, fields, flat, reduce_rows, release, word_bounds, word_hashes
+from memlake.llm.tokens import TOKEN_CHUNK, encoder, vocabulary
 
 LENGTH = 2048
 DIMENSIONS, BITS = 4, 7
@@ -88,6 +88,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, key) of each row."""
 
     def run(batches):
+        release()
         for part in chunks(batches, "text"):
             keys = curve_keys(*flat(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys + np.array([zlib.crc32(str(x).encode()) >> 1 for x in part.column("doc_id").to_pylist()], dtype=np.int64))], ["doc_id", "key"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import WHITE, chunks, fields, flat, reduce_rows, word_bounds
+from memlake.llm.common import WHITE, chunks, fields, flat, keep, reduce_rows, word_bounds
 from memlake.llm.crf import Batch, Crf
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -218,9 +218,6 @@ def train_pii(table: list[list[tuple[str, str]]] | None = None) -> Crf:
     return crf
 
 
-_shape_cache: dict[bytes, tuple] = {}
-
-
 def crf_spans(crf: Crf, data: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) in bytes of each row's decoded spans, edge punctuation cut off."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(bounds) - 1)]
@@ -240,16 +237,17 @@ def crf_spans(crf: Crf, data: np.ndarray, bounds: np.ndarray) -> list[list[tuple
     lengths = end - begin
     words = np.concatenate([np.arange(a, b) for a, b in zip(begin, end)])
     raw = data.tobytes()
-    if len(_shape_cache) > 200_000:
-        _shape_cache.clear()
+    known: dict[bytes, tuple] = keep("shapes", dict)
+    if len(known) > 50_000:
+        known.clear()
     shapes = np.empty((len(words), 6), dtype=np.int64)
     for k, (a, b) in enumerate(zip(starts[words].tolist(), ends[words].tolist())):
         w = raw[a:b]
-        shape = _shape_cache.get(w)
+        shape = known.get(w)
         if shape is None:
             shape = word_shape(w)
             if b - a <= 64:
-                _shape_cache[w] = shape
+                known[w] = shape
         shapes[k] = shape
     path = crf.viterbi(crf.emissions(chain_features(shapes, lengths)), Batch(lengths))
     owner = np.repeat(row[fresh], lengths)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import chunks, fields, flat, held_out, reduce_rows, word_bounds, word_hashes
+from memlake.llm.common import chunks, fields, flat, held_out, reduce_rows, release, word_bounds, word_hashes
 from memlake.llm.crf import Batch, Crf
 
 #: Labelled documents the chain is fitted on, those of least hash: a bounded sample.
@@ -162,6 +162,7 @@ def _scored(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
 
     def run(batches):
+        release()
         fitted = pickle.loads(packed)
         for part in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(fitted.score(*flat(part.column("text"))))], ["row", "score"])

@@ -15,10 +15,12 @@ which the library turns into that token's id.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 
-from memlake.llm.common import LOWER, flat, mix
+from memlake.llm.common import LOWER, flat, keep, mix
 
 #: Slots of the table, and how many may be used before it is emptied.
 SLOTS = 1 << 21
@@ -72,6 +74,8 @@ class Encoder:
     """ids of texts under one tokenizer file; end: the id put after each text."""
 
     def __init__(self, path: str, end: int, kind: str = "<u4"):
+        # a task has one core; more threads would only hold more memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -303,21 +307,9 @@ class Encoder:
         return self._add(self._encode_pieces([(" " if f else "") + raw[a:b].decode() for a, b, f in zip(start.tolist(), end.tolist(), flag.tolist())]))
 
 
-_encoders: dict[tuple[str, int, str], Encoder] = {}
-
-
 def encoder(path: str, end: int, kind: str = "<u4") -> Encoder:
-    """This process's encoder of a file: its table lives as long as the Python worker."""
-    key = (path, end, kind)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(*key)
-    return _encoders[key]
-
-
-def release() -> None:
-    """Frees this process's table, for a stage that encodes nothing."""
-    _encoders.clear()
+    """This process's encoder of a file: its table lives until a task of another kind runs in the Python worker."""
+    return keep(f"tokens {path} {end} {kind}", lambda: Encoder(path, end, kind))
 
 
 def vocabulary(name: str) -> str:
