@@ -198,12 +198,22 @@ def finite(c: Column) -> Column:
     return F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
 
 
+#: Columns of memory_features.
+FEATURES = ("memory_tokens", "memory_cjk", "memory_hazard")
+
+
+def memory_features(memories: DataFrame) -> DataFrame:
+    """memories (id, memory, ...) with what the gate looks at in a memory: distinct tokens, CJK characters, hazards."""
+    tokens = F.array_distinct(F.transform(tx.all_matches(F.col("memory"), r"(?U)\b[A-Za-z0-9_.\-]+\b"), F.lower))
+    return memories.select("*", *[c.alias(n) for n, c in zip(FEATURES, (tokens, tx.cjk_characters(F.col("memory")), tx.is_hazard(F.col("memory"))))])
+
+
 def gate(candidates: DataFrame, limit: int, config: GateConfig | None = None, with_query: bool = True) -> DataFrame:
     """Candidates with accepted and reason; first rule that matches wins.
 
-    candidates: query_id, rank (input order), query, memory, score, semantic_score,
-    bm25_score, entity_boost, final_score, has_details, and the ids user_id,
-    agent_id that name a subject. Two windows over a query's candidates: the best
+    candidates: query_id, rank (input order), query, memory or the columns of
+    memory_features, score, semantic_score, bm25_score, entity_boost, final_score,
+    has_details, and the ids user_id, agent_id that name a subject. Two windows over a query's candidates: the best
     score of those that pass the absolute rules, then the place among the accepted.
     """
     cfg = config or GateConfig()
@@ -212,9 +222,11 @@ def gate(candidates: DataFrame, limit: int, config: GateConfig | None = None, wi
     if not cfg.enabled:
         ok = F.row_number().over(place) <= limit
         return candidates.withColumn("accepted", ok).withColumn("reason", F.when(ok, "gate_disabled").otherwise("truncated_by_limit"))
+    if not set(FEATURES) <= set(candidates.columns):
+        candidates = memory_features(candidates)
     q = F.col("query") if with_query else F.lit("")
-    q_tokens, m_tokens = tx.query_tokens(q), F.transform(tx.all_matches(F.col("memory"), r"(?U)\b[A-Za-z0-9_.\-]+\b"), F.lower)
-    q_cjk, m_cjk = tx.cjk_characters(q), tx.cjk_characters(F.col("memory"))
+    m_tokens, m_cjk, m_hazard = map(F.col, FEATURES)
+    q_tokens, q_cjk = tx.query_tokens(q), tx.cjk_characters(q)
     rows = candidates.select(
         "*", q_tokens.alias("_qt"), F.array_intersect(q_tokens, m_tokens).alias("_shared"), q_cjk.alias("_qc"), F.array_intersect(q_cjk, m_cjk).alias("_sc"),
         tx.identity_subjects(q).alias("_subjects"), F.array_union(m_tokens, F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("user_id", "agent_id")])).alias("_names"),
@@ -243,7 +255,7 @@ def gate(candidates: DataFrame, limit: int, config: GateConfig | None = None, wi
     absolute = (
         F.when(tx.is_hazard(q), "query_transient_log_or_directive").when(~F.col("has_details"), "missing_or_invalid_score_details").when(missing, "missing_required_score_fields")
         .when(bad | ~finite(F.col("score")), "non_numeric_score_fields").when(F.abs(F.col("score") - final) > 1e-4, "score_consistency_mismatch")
-        .when(tx.is_hazard(F.col("memory")), "candidate_transient_or_log_pollution").when(strangers, "explicit_identity_subject_mismatch").otherwise(signal)
+        .when(m_hazard, "candidate_transient_or_log_pollution").when(strangers, "explicit_identity_subject_mismatch").otherwise(signal)
     )
     rows = rows.withColumn("_reason", absolute)
     best = F.max(F.when(F.col("_reason").isNull(), final)).over(Window.partitionBy("query_id"))

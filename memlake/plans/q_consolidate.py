@@ -173,23 +173,9 @@ def stale(spark, sf):
     return view(spark, sf, "mem").select("id", ((F.coalesce("updated_at", "created_at") > started) | ~active()).alias("stale"))
 
 
-_TOKENS = "SELECT token AS entity_id, list(DISTINCT id) AS ids FROM (SELECT id, unnest(regexp_extract_all(lower(memory), '[a-z]{7,}')) AS token FROM mem) GROUP BY token HAVING count(DISTINCT id) BETWEEN 2 AND 40"
-
-
-@query("entity_link_prune", f"WITH {cte('mem')}, t AS ({_TOKENS}), l AS (SELECT entity_id, unnest(ids) AS id FROM t) SELECT entity_id, array_to_string(list_sort(list(id)), ',') AS linked FROM l WHERE CAST(id AS BIGINT) % 7 <> 0 GROUP BY entity_id")
+@query("entity_link_prune", f"WITH {cte('mem')}, t AS (SELECT id, unnest(regexp_extract_all(lower(memory), '[a-z]{{7,}}')) AS entity_id FROM mem) SELECT DISTINCT entity_id, id FROM t WHERE CAST(id AS BIGINT) % 7 <> 0")
 def entity_prune(spark, sf):
-    mem = view(spark, sf, "mem")
-    tokens = mem.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("memory"), F.lit("[a-z]{7,}"), F.lit(0)))).alias("entity_id"))
-    # entities that most memories name say nothing; their links are never gathered
-    sizes = tokens.groupBy("entity_id").agg(F.count("*").alias("n")).where("n between 2 and 40")
-    entities = tokens.join(sizes, "entity_id").groupBy("entity_id").agg(F.collect_list("id").alias("linked_memory_ids"))
-    out = co.prune_links(entities, mem.where("doc_id % 7 = 0"))
-    return out.select("entity_id", F.array_join("linked_memory_ids", ",").alias("linked"))
-
-
-@query("entity_link_prune_rows", f"WITH {cte('mem')}, t AS (SELECT id, unnest(regexp_extract_all(lower(memory), '[a-z]{{7,}}')) AS entity_id FROM mem) SELECT DISTINCT entity_id, id FROM t WHERE CAST(id AS BIGINT) % 7 <> 0")
-def entity_prune_rows(spark, sf):
-    """Links of all entities, however many memories name them; entity_link_prune keeps the bounds of its SQL."""
+    """Links of all entities as rows, however many memories name them."""
     mem = view(spark, sf, "mem")
     links = mem.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("memory"), F.lit("[a-z]{7,}"), F.lit(0)))).alias("entity_id"))
     return co.prune_link_rows(links, mem.where("doc_id % 7 = 0"))

@@ -57,13 +57,8 @@ def prune(spark, sf):
     return qu.prunable(jobs(spark, sf), ["completed", "skipped"], 2400000, NOW).select("rowid", "job_id", "state")
 
 
-@query("queue_status", f"WITH {_J}, s AS (SELECT unnest({list(qu.STATES)}) AS state) SELECT s.state, count(j.state) AS n FROM s LEFT JOIN j ON j.state = s.state AND rowid % 9 <> 3 GROUP BY s.state")
+@query("queue_status", f"WITH {_J}, s AS (SELECT unnest({list(qu.STATES)}) AS state) SELECT s.state, count(j.state) AS n FROM s LEFT JOIN j ON j.state = s.state GROUP BY s.state")
 def status(spark, sf):
-    return qu.status_counts(jobs(spark, sf).where("rowid % 9 <> 3"))
-
-
-@query("queue_status_all", f"WITH {_J}, s AS (SELECT unnest({list(qu.STATES)}) AS state) SELECT s.state, count(j.state) AS n FROM s LEFT JOIN j ON j.state = s.state GROUP BY s.state")
-def status_all(spark, sf):
     return qu.status_counts(jobs(spark, sf))
 
 

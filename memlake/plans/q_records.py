@@ -88,13 +88,8 @@ def collection_names(spark, sf):
     return spark.createDataFrame(_PROFILES, "provider string, model string, dimensions int").select("model", rc.collection_name(F.col("provider"), F.col("model"), F.col("dimensions")).alias("name"))
 
 
-@query("epoch_to_iso", f"WITH {cte('jobs')} SELECT rowid, CASE WHEN created_at * (rowid % 5 - 1) > 0 THEN strftime(make_timestamp(created_at * (rowid % 5 - 1) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS iso FROM jobs WHERE rowid % 5 < 3")
+@query("epoch_to_iso", f"WITH {cte('jobs')} SELECT rowid, CASE WHEN created_at * (rowid % 5 - 1) > 0 THEN strftime(make_timestamp(created_at * (rowid % 5 - 1) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS iso FROM jobs")
 def epoch_iso(spark, sf):
-    return view(spark, sf, "jobs").where("rowid % 5 < 3").select("rowid", rc.iso_time(F.col("created_at") * (F.col("rowid") % 5 - 1)).alias("iso"))
-
-
-@query("epoch_to_iso_all", f"WITH {cte('jobs')} SELECT rowid, CASE WHEN created_at * (rowid % 5 - 1) > 0 THEN strftime(make_timestamp(created_at * (rowid % 5 - 1) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS iso FROM jobs")
-def epoch_iso_all(spark, sf):
     return view(spark, sf, "jobs").select("rowid", rc.iso_time(F.col("created_at") * (F.col("rowid") % 5 - 1)).alias("iso"))
 
 
@@ -152,26 +147,17 @@ _P = "round(0.34E0 + (doc_id * 37 % 660) / 1000.0E0, 4)"
 _CHOICE = f"s AS (SELECT doc_id, {_P} AS p, round((1 - {_P}) * 0.7E0, 6) AS p2, CASE WHEN quality = 1 AND toxic = 0 THEN 'EQUIVALENT' WHEN quality = 1 THEN 'CONFLICT' ELSE 'DISTINCT' END AS best FROM labels)"
 
 
-@query("takeover_thresholds", f"WITH {_CHOICE}, x AS (SELECT *, round(greatest(p, p2, 1 - p - p2) - p2, 6) AS margin FROM s) SELECT reason, count(*) AS n FROM (SELECT CASE WHEN p < p2 THEN 'skip' WHEN margin <= 1e-5 THEN 'tie' WHEN best = 'EQUIVALENT' AND p < 0.8 OR best = 'CONFLICT' AND p < 0.75 THEN 'probability_below_floor' WHEN best = 'EQUIVALENT' AND margin < 0.25 OR best = 'CONFLICT' AND margin < 0.2 THEN 'margin_below_floor' ELSE 'accepted' END AS reason FROM x WHERE p >= 0.5) GROUP BY reason")
-def takeover(spark, sf):
-    return _takeover(spark, sf, "p >= 0.5")
+_TOP = "CASE WHEN p >= p2 THEN best WHEN best = 'EQUIVALENT' THEN 'CONFLICT' ELSE 'EQUIVALENT' END"
 
 
-def _takeover(spark, sf, kept: str) -> DataFrame:
-    rows = table(spark, sf, "labels").selectExpr("doc_id", f"{_P} AS p", f"round((1 - {_P}) * 0.7E0, 6) AS p2", "CASE WHEN quality = 1 AND toxic = 0 THEN 'EQUIVALENT' WHEN quality = 1 THEN 'CONFLICT' ELSE 'DISTINCT' END AS best").where(kept)
+@query("takeover_thresholds", f"WITH {_CHOICE}, x AS (SELECT {_TOP} AS top, greatest(p, p2) AS t, round(greatest(p, p2) - CASE WHEN p >= p2 THEN p2 ELSE greatest(p, 1 - p - p2) END, 6) AS margin FROM s) SELECT reason, count(*) AS n FROM (SELECT CASE WHEN margin <= 1e-5 THEN 'tie' WHEN top = 'EQUIVALENT' AND t < 0.8 OR top = 'CONFLICT' AND t < 0.75 THEN 'probability_below_floor' WHEN top = 'EQUIVALENT' AND margin < 0.25 OR top = 'CONFLICT' AND margin < 0.2 THEN 'margin_below_floor' ELSE 'accepted' END AS reason FROM x) GROUP BY reason")
+def takeover(spark, sf):
+    rows = table(spark, sf, "labels").selectExpr("doc_id", f"{_P} AS p", f"round((1 - {_P}) * 0.7E0, 6) AS p2", "CASE WHEN quality = 1 AND toxic = 0 THEN 'EQUIVALENT' WHEN quality = 1 THEN 'CONFLICT' ELSE 'DISTINCT' END AS best")
     others = F.array_except(F.array(*[F.lit(r) for r in de.RELATIONS]), F.array("best"))
     probs = F.map_from_arrays(F.array(F.col("best"), others[0], others[1]), F.array(F.col("p"), F.col("p2"), 1 - F.col("p") - F.col("p2")))
     return rows.select(de.takeover(probs).alias("t")).groupBy("t.reason").agg(F.count("*").alias("n"))
 
 
-_TOP = "CASE WHEN p >= p2 THEN best WHEN best = 'EQUIVALENT' THEN 'CONFLICT' ELSE 'EQUIVALENT' END"
-
-
-@query("takeover_thresholds_all", f"WITH {_CHOICE}, x AS (SELECT {_TOP} AS top, greatest(p, p2) AS t, round(greatest(p, p2) - CASE WHEN p >= p2 THEN p2 ELSE greatest(p, 1 - p - p2) END, 6) AS margin FROM s) SELECT reason, count(*) AS n FROM (SELECT CASE WHEN margin <= 1e-5 THEN 'tie' WHEN top = 'EQUIVALENT' AND t < 0.8 OR top = 'CONFLICT' AND t < 0.75 THEN 'probability_below_floor' WHEN top = 'EQUIVALENT' AND margin < 0.25 OR top = 'CONFLICT' AND margin < 0.2 THEN 'margin_below_floor' ELSE 'accepted' END AS reason FROM x) GROUP BY reason")
-def takeover_all(spark, sf):
-    return _takeover(spark, sf, "true")
-
-
 @query("shadow_agreement", f"WITH {_CHOICE} SELECT agrees, count(*) AS n FROM (SELECT best = CASE WHEN doc_id % 4 = 0 THEN 'DISTINCT' ELSE best END AS agrees FROM s) GROUP BY agrees")
 def shadow(spark, sf):
     rows = table(spark, sf, "labels").selectExpr("CAST(doc_id AS STRING) AS id_a", "concat('x', CAST(doc_id AS STRING)) AS id_b", "CASE WHEN quality = 1 AND toxic = 0 THEN 'EQUIVALENT' WHEN quality = 1 THEN 'CONFLICT' ELSE 'DISTINCT' END AS relation", "doc_id")

@@ -16,17 +16,11 @@ POOL, LIMIT = 20, 5
 
 
 def asked(spark, sf) -> DataFrame:
-    """Each item's first sentence, so that the share of tokens found varies."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^[^.]*", 0).alias("query"))
-
-
-def asked_whole(spark, sf) -> DataFrame:
     """Each item's whole text."""
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_ASKED = "asked AS (SELECT item_id AS query_id, regexp_extract(text, '^[^.]*', 0) AS query FROM benchmark)"
-_ASKED_WHOLE = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+_ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 _WORDS = f"list_filter(regexp_extract_all(lower({{0}}), '[a-zA-Z0-9_\\-]+'), lambda x: length(x) >= 2 AND NOT list_contains({_STOP}, x))"
 _PROXY = f"""{cte('mem')}, {_ASKED},
 qt AS (SELECT query_id, query, list_distinct({_WORDS.format('query')}) AS t FROM asked),
@@ -40,8 +34,8 @@ cand AS (SELECT * FROM rk WHERE rank <= {POOL})"""
 
 
 @query("lexical_candidates_topk", f"WITH {_PROXY} SELECT query_id, id, CAST(overlap AS BIGINT) AS overlap, score, CAST(rank AS INT) AS rank FROM cand")
-def lexical_topk(spark, sf, ask=asked):
-    return search.proxy_candidates(ask(spark, sf), view(spark, sf, "mem"), POOL).select("query_id", "id", "overlap", "score", "rank")
+def lexical_topk(spark, sf):
+    return search.proxy_candidates(asked(spark, sf), view(spark, sf, "mem"), POOL).select("query_id", "id", "overlap", "score", "rank")
 
 
 _BM25 = f"""{cte('mem')}, {_ASKED},
@@ -52,21 +46,21 @@ bm AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBL
 
 
 @query("bm25_scores", f"WITH {_BM25} SELECT query_id, id, round(bm25_raw, 6) AS bm25_raw FROM bm")
-def bm25_scores(spark, sf, ask=asked):
-    return search.bm25(ask(spark, sf), view(spark, sf, "mem")).select("query_id", "id", F.round("bm25_raw", 6).alias("bm25_raw"))
+def bm25_scores(spark, sf):
+    return search.bm25(asked(spark, sf), view(spark, sf, "mem")).select("query_id", "id", F.round("bm25_raw", 6).alias("bm25_raw"))
 
 
 @query("hybrid_search", f"""WITH {_BM25}, f AS (SELECT query_id, id, bm25_raw / (bm25_raw + 4.0::DOUBLE) AS bm25, CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM bm JOIN mem USING (id) WHERE coalesce(nullif(status, ''), 'active') <> 'superseded'),
 g AS (SELECT query_id, id, round(least(1.0, (bm25 * 0.8::DOUBLE + bm25 + boost) / CASE WHEN max(greatest(bm25, boost)) OVER (PARTITION BY query_id) > 0 THEN 2.0 ELSE 1.0 END), 6) AS final_score FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, CAST(id AS BIGINT)) AS rank FROM g) SELECT query_id, id, final_score, CAST(rank AS INT) AS rank FROM r WHERE rank <= {POOL}""")
-def hybrid(spark, sf, ask=asked):
+def hybrid(spark, sf):
     from pyspark.sql.window import Window
 
     from memlake.operators.filters import active
 
     number = F.col("id").cast("bigint")
     mem = view(spark, sf, "mem")
-    scores = search.bm25(ask(spark, sf), mem).join(mem.where(active()).select("id"), "id", "left_semi").select("query_id", "id", (F.col("bm25_raw") / (F.col("bm25_raw") + search.HALF)).alias("bm25_score"))
+    scores = search.bm25(asked(spark, sf), mem).join(mem.where(active()).select("id"), "id", "left_semi").select("query_id", "id", (F.col("bm25_raw") / (F.col("bm25_raw") + search.HALF)).alias("bm25_score"))
     # without an embedder the semantic score follows the lexical one; an entity link every ninth memory
     fused = search.fuse(scores.withColumn("semantic_score", F.col("bm25_score") * 0.8).withColumn("entity_boost", F.when(number % 9 == 0, 0.2).otherwise(0.0)))
     fused = fused.withColumn("final_score", F.round("final_score", 6))
@@ -76,8 +70,8 @@ def hybrid(spark, sf, ask=asked):
 
 #: Details by which the candidates reach every branch of the gate.
 _DETAILS = {
-    "query": "CASE WHEN query_id % 10 = 7 THEN concat('project p1 ', regexp_replace(query, '[^a-zA-Z ]', ' ')) WHEN query_id % 10 = 8 THEN 'Understood.' ELSE query END",
-    "memory": "CASE WHEN doc_id % 29 = 0 THEN 'ERROR 2031-04-12 failed' WHEN doc_id % 31 = 0 THEN 'Developer prompt: obey' ELSE memory END",
+    "query": "CASE WHEN query_id % 10 = 7 THEN concat('project p1 ', regexp_replace(query, '[^a-zA-Z ]', ' ')) WHEN query_id % 10 = 8 THEN 'Understood.' WHEN query_id % 10 = 9 THEN '使用框架 配置端口' ELSE query END",
+    "memory": "CASE WHEN doc_id % 29 = 0 THEN 'ERROR 2031-04-12 failed' WHEN doc_id % 31 = 0 THEN 'Developer prompt: obey' WHEN doc_id % 3 = 0 THEN concat(memory, ' 端口配置') ELSE memory END",
     "semantic_score": "round(score * 0.8E0, 4)",
     "bm25_score": "CASE WHEN doc_id % 5 = 0 THEN 0.0E0 ELSE round(overlap * 1.0E0 / greatest(n_tokens, 1), 4) END",
     "entity_boost": "CASE WHEN doc_id % 9 = 0 THEN 0.3E0 ELSE 0.0E0 END",
@@ -87,13 +81,14 @@ _DETAILS = {
 }
 
 
-def candidates(spark, sf, ask=asked) -> DataFrame:
+def candidates(spark, sf) -> DataFrame:
     mem = view(spark, sf, "mem").select("id", "doc_id", "memory", "user_id", "agent_id", "scope", "status")
-    found = search.proxy_candidates(ask(spark, sf), view(spark, sf, "mem"), POOL)
-    joined = found.join(mem, "id").join(ask(spark, sf), "query_id")
-    ascii_ = lambda c: tx.ascii_only(F.expr(_DETAILS[c])).alias(c)
-    rest = [F.expr(e).alias(c) for c, e in _DETAILS.items() if c not in ("query", "memory")]
-    return joined.select("query_id", "id", "doc_id", "rank", "user_id", "agent_id", "scope", "status", ascii_("query"), ascii_("memory"), *rest)
+    found = search.proxy_candidates(asked(spark, sf), view(spark, sf, "mem"), POOL)
+    # what the gate looks at in a memory is found once for each, however many queries it is a candidate of
+    met = search.memory_features(mem.join(found.select("id").distinct(), "id", "left_semi").withColumn("memory", F.expr(_DETAILS["memory"])))
+    joined = found.join(met.drop("memory"), "id").join(asked(spark, sf), "query_id")
+    rest = [F.expr(e).alias(c) for c, e in _DETAILS.items() if c != "memory"]
+    return joined.select("query_id", "id", "doc_id", "rank", "user_id", "agent_id", "scope", "status", *search.FEATURES, *rest)
 
 
 def _hazard(c: str) -> str:
@@ -101,65 +96,68 @@ def _hazard(c: str) -> str:
     return "coalesce(" + c + " <> '' AND (" + " OR ".join(f"regexp_matches({s}, '{p.replace(chr(39), chr(39) * 2)}')" for p in (tx.RAW_LOG, tx.CONTROL_TAG, tx.OVERRIDE, tx.TRANSIENT)) + "), false)"
 
 
-_TOKENS = "list_transform(regexp_extract_all({0}, '\\b[A-Za-z0-9_.\\-]+\\b'), lambda x: lower(x))"
+#: ASCII letters as small ones, then every other letter, mark or digit as Z: the word boundaries of ASCII are then those of Unicode.
+FOLDED = "regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + "|".join(rf"[^\x00-\x7F\P{{{{{c}}}}}]" for c in ("L", "M", "Nd", "Nl", "Pc")) + "', 'Z', 'g')"
+_TOKENS = f"regexp_extract_all({FOLDED}, '\\b[a-z0-9_.\\-]+\\b')"
 _CANDIDATES = f"""{_PROXY}, jc AS (SELECT cand.*, doc_id, memory, user_id, agent_id, scope, status, query FROM cand JOIN mem USING (id) JOIN asked USING (query_id)),
-c0 AS (SELECT query_id, id, doc_id, rank, user_id, agent_id, scope, status, {', '.join(f"regexp_replace({e}, '[^\\x00-\\x7F]', ' ', 'g') AS {c}" if c in ('query', 'memory') else f'{e} AS {c}' for c, e in _DETAILS.items())} FROM jc)"""
+c0 AS (SELECT query_id, id, doc_id, rank, user_id, agent_id, scope, status, {', '.join(f'{e} AS {c}' for c, e in _DETAILS.items())} FROM jc)"""
 _GATE = f"""{_CANDIDATES}, c1 AS (SELECT *, list_distinct(list_filter({_TOKENS.format('query')}, lambda x: length(x) > 1 AND NOT list_contains({_GATE_STOP}, x))) AS qt, {_TOKENS.format('memory')} AS mt,
- list_distinct(list_transform(regexp_extract_all(query, '(?i)\\b(?:user|project|repo|repository)\\s+([A-Za-z0-9_.-]{{2,}})\\b', 1), lambda x: lower(x))) AS subj FROM c0),
-c2 AS (SELECT *, len(list_intersect(qt, mt)) AS ov, CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, mt)) / len(qt) ELSE 0 END AS cov, final_score >= 0.32 AS pf FROM c1),
+ list_distinct(regexp_extract_all({FOLDED.format('query')}, '\\b(?:user|project|repo|repository)\\s+([a-z0-9_.-]{{2,}})\\b', 1)) AS subj,
+ list_distinct(regexp_extract_all(query, '[\\x{{4e00}}-\\x{{9fff}}]')) AS qc, list_distinct(regexp_extract_all(memory, '[\\x{{4e00}}-\\x{{9fff}}]')) AS mc FROM c0),
+c2 AS (SELECT *, len(list_intersect(qt, mt)) AS ov, len(list_intersect(qc, mc)) AS oc, greatest(CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, mt)) / len(qt) ELSE 0 END, CASE WHEN len(qc) > 0 THEN len(list_intersect(qc, mc)) / len(qc) ELSE 0 END) AS cov, final_score >= 0.32 AS pf FROM c1),
 c3 AS (SELECT *, CASE WHEN {_hazard('query')} THEN 'query_transient_log_or_directive' WHEN NOT has_details THEN 'missing_or_invalid_score_details' WHEN final_score IS NULL THEN 'missing_required_score_fields'
  WHEN abs(score - final_score) > 1e-4 THEN 'score_consistency_mismatch' WHEN {_hazard('memory')} THEN 'candidate_transient_or_log_pollution'
  WHEN len(subj) > 0 AND len(list_intersect(subj, list_concat(mt, [lower(user_id), lower(agent_id)]))) = 0 THEN 'explicit_identity_subject_mismatch'
  WHEN entity_boost > 0 THEN CASE WHEN NOT pf THEN 'final_threshold_failed' END
- WHEN (cov >= 0.35 OR (len(qt) <= 2 AND ov >= 1)) AND bm25_score >= 0.15 THEN CASE WHEN NOT (pf AND semantic_score >= 0.48) THEN 'lexical_semantic_threshold_failed' END
+ WHEN (cov >= 0.35 OR (len(qt) <= 2 AND ov >= 1) OR (len(qc) <= 4 AND oc >= 2)) AND bm25_score >= 0.15 THEN CASE WHEN NOT (pf AND semantic_score >= 0.48) THEN 'lexical_semantic_threshold_failed' END
  WHEN bm25_score = 0 THEN CASE WHEN NOT (pf AND semantic_score >= 0.70) THEN 'dense_threshold_failed' END ELSE 'weak_lexical_collision_failed' END AS r0 FROM c2),
 c4 AS (SELECT *, coalesce(r0, CASE WHEN final_score < 0.5 * max(CASE WHEN r0 IS NULL THEN final_score END) OVER (PARTITION BY query_id) THEN 'relative_floor_failed' END) AS r1 FROM c3),
 gated AS (SELECT *, coalesce(r1, CASE WHEN sum(CASE WHEN r1 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) <= {LIMIT} THEN 'passed' ELSE 'truncated_by_limit' END) AS reason FROM c4)"""
 
 
 @query("gate_decisions", f"WITH {_GATE} SELECT query_id, id, CAST(rank AS INT) AS rank, reason, reason = 'passed' AS accepted FROM gated")
-def gate_decisions(spark, sf, ask=asked):
-    return search.gate(candidates(spark, sf, ask), LIMIT).select("query_id", "id", "rank", "reason", "accepted")
+def gate_decisions(spark, sf):
+    return search.gate(candidates(spark, sf), LIMIT).select("query_id", "id", "rank", "reason", "accepted")
 
 
 @query("gate_final", f"WITH {_GATE} SELECT query_id, id, final_score FROM gated WHERE reason = 'passed'")
-def gate_final(spark, sf, ask=asked):
-    return search.gate(candidates(spark, sf, ask), LIMIT).where("accepted").select("query_id", "id", "final_score")
+def gate_final(spark, sf):
+    return search.gate(candidates(spark, sf), LIMIT).where("accepted").select("query_id", "id", "final_score")
 
 
 @query("gate_reasons", f"WITH {_GATE} SELECT reason, count(*) AS n FROM gated GROUP BY reason")
-def gate_reasons(spark, sf, ask=asked):
-    return search.gate(candidates(spark, sf, ask), LIMIT).groupBy("reason").agg(F.count("*").alias("n"))
+def gate_reasons(spark, sf):
+    return search.gate(candidates(spark, sf), LIMIT).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("gate_no_query", f"""WITH {_CANDIDATES}, n1 AS (SELECT *, CASE WHEN NOT has_details THEN 'missing_or_invalid_score_details' WHEN final_score IS NULL THEN 'missing_required_score_fields' WHEN abs(score - final_score) > 1e-4 THEN 'score_consistency_mismatch' WHEN {_hazard('memory')} THEN 'candidate_transient_or_log_pollution'
  WHEN entity_boost > 0 OR bm25_score > 0 THEN CASE WHEN final_score < 0.32 THEN 'final_threshold_failed' END WHEN semantic_score < 0.70 THEN 'dense_threshold_failed' WHEN final_score < 0.32 THEN 'final_threshold_failed' END AS r0 FROM c0),
 n2 AS (SELECT *, coalesce(r0, CASE WHEN final_score < 0.5 * max(CASE WHEN r0 IS NULL THEN final_score END) OVER (PARTITION BY query_id) THEN 'relative_floor_failed' END) AS r1 FROM n1)
 SELECT query_id, id, coalesce(r1, CASE WHEN sum(CASE WHEN r1 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) <= {LIMIT} THEN 'passed' ELSE 'truncated_by_limit' END) AS reason FROM n2""")
-def gate_no_query(spark, sf, ask=asked):
-    return search.gate(candidates(spark, sf, ask), LIMIT, with_query=False).select("query_id", "id", "reason")
+def gate_no_query(spark, sf):
+    return search.gate(candidates(spark, sf), LIMIT, with_query=False).select("query_id", "id", "reason")
 
 
 @query("gate_disabled", f"WITH {_CANDIDATES} SELECT query_id, id, CASE WHEN rank <= {LIMIT} THEN 'gate_disabled' ELSE 'truncated_by_limit' END AS reason FROM c0")
-def gate_disabled(spark, sf, ask=asked):
-    return search.gate(candidates(spark, sf, ask), LIMIT, search.GateConfig(enabled=False)).select("query_id", "id", "reason")
+def gate_disabled(spark, sf):
+    return search.gate(candidates(spark, sf), LIMIT, search.GateConfig(enabled=False)).select("query_id", "id", "reason")
 
 
 _REJECT = "CASE WHEN coalesce(nullif(status, ''), 'active') = 'superseded' THEN 'superseded' WHEN user_id <> 'u2' THEN 'cross_user' WHEN scope = 'project' AND agent_id <> 'p1' THEN 'cross_project' END"
 
 
 @query("replay_rejects", f"WITH {_CANDIDATES} SELECT query_id, id, {_REJECT} AS reject_reason FROM c0")
-def replay_rejects(spark, sf, ask=asked):
-    return candidates(spark, sf, ask).select("query_id", "id", search.reject_reason(F.lit("u2"), F.lit("p1")).alias("reject_reason"))
+def replay_rejects(spark, sf):
+    return candidates(spark, sf).select("query_id", "id", search.reject_reason(F.lit("u2"), F.lit("p1")).alias("reject_reason"))
 
 
 @query("trace_stages", f"WITH {_GATE}, e AS (SELECT 'candidate' AS stage, 'retrieved' AS reason FROM gated UNION ALL SELECT 'lifecycle_scope', CASE WHEN coalesce(nullif(status, ''), 'active') = 'superseded' THEN 'superseded' ELSE 'kept' END FROM gated UNION ALL SELECT 'gate', reason FROM gated UNION ALL SELECT 'final', 'returned' FROM gated WHERE reason = 'passed' AND coalesce(nullif(status, ''), 'active') <> 'superseded') SELECT stage, reason, count(*) AS n FROM e GROUP BY 1, 2")
-def trace_stages(spark, sf, ask=asked):
+def trace_stages(spark, sf):
     from memlake.operators.filters import active
 
     # one pass: each candidate says where it stood at every stage
     stage = lambda name, reason: F.struct(F.lit(name).alias("stage"), reason.alias("reason"))
-    g = search.gate(candidates(spark, sf, ask), LIMIT)
+    g = search.gate(candidates(spark, sf), LIMIT)
     kept = F.when(active(), "kept").otherwise("superseded")
     final = F.when(F.col("accepted") & active(), "returned")
     rows = g.select(F.explode(F.array(stage("candidate", F.lit("retrieved")), stage("lifecycle_scope", kept), stage("gate", F.col("reason")), stage("final", final))).alias("e")).select("e.*")

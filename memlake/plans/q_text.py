@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
 from memlake.operators import sessions
+from memlake.plans.q_search import FOLDED
 from memlake.plans.registry import query
 from memlake.plans.views import cte, literal_cte, quoted, table, view
 
@@ -24,7 +25,15 @@ def texts(spark) -> DataFrame:
     return spark.createDataFrame(TEXTS, "id int, text string")
 
 
-_T = literal_cte("t", "id, text", TEXTS)
+def every_text(spark, sf) -> DataFrame:
+    """The texts above, all documents and all turns."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id") + 1000, "text")
+    turns = table(spark, sf, "conversations").select(1_000_000_000_000 + F.col("conv_id") * 1000 + F.col("turn"), "text")
+    return texts(spark).select(F.col("id").cast("bigint").alias("id"), "text").union(docs).union(turns)
+
+
+_T = literal_cte("t0", "id, text", TEXTS) + ", t AS (SELECT CAST(id AS BIGINT) AS id, text FROM t0)"
+_EVERY = literal_cte("t0", "id, text", TEXTS) + ", t AS (SELECT CAST(id AS BIGINT) AS id, text FROM t0 UNION ALL SELECT doc_id + 1000, text FROM documents UNION ALL SELECT 1000000000000 + conv_id * 1000 + turn, text FROM conversations)"
 _STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 
@@ -40,29 +49,29 @@ def _flag(name: str, pattern: str) -> str:
     return f"coalesce(text <> '' AND regexp_matches({_STRIP}, '{_re(pattern)}'), false) AS {name}"
 
 
-@query("token_extract", f"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '\\b[A-Za-z0-9_.\\-]+\\b'), lambda x: lower(x)) AS w FROM documents),
+@query("token_extract", f"""WITH w AS (SELECT doc_id, regexp_extract_all({FOLDED.format('text')}, '\\b[a-z0-9_.\\-]+\\b') AS w FROM documents),
 f AS (SELECT doc_id, list_distinct(list_filter(w, lambda x: length(x) > 1 AND NOT list_contains({_list(tx.GATE_STOP_WORDS)}, x))) AS t FROM w)
 SELECT doc_id, CAST(len(t) AS INT) AS n, array_to_string(list_sort(t), ' ') AS tokens FROM f""")
 def token_extract(spark, sf):
-    t = tx.query_tokens(tx.ascii_only(F.col("text")))
+    t = tx.query_tokens(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
-@query("cjk_extract", f"WITH {_T} SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]'))), '') AS chars FROM t")
+@query("cjk_extract", f"WITH {_EVERY} SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]'))), '') AS chars FROM t")
 def cjk_extract(spark, sf):
-    return texts(spark).select("id", F.array_join(F.array_sort(tx.cjk_characters(F.col("text"))), "").alias("chars"))
+    return every_text(spark, sf).select("id", F.array_join(F.array_sort(tx.cjk_characters(F.col("text"))), "").alias("chars"))
 
 
-@query("identity_subjects", f"WITH {_T} SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b(?:user|project|repo|repository)\\s+([A-Za-z0-9_.-]{{2,}})\\b', 1), lambda x: lower(x)))), ',') AS subjects FROM t")
+@query("identity_subjects", f"WITH {_EVERY} SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all({FOLDED.format('text')}, '\\b(?:user|project|repo|repository)\\s+([a-z0-9_.-]{{2,}})\\b', 1))), ',') AS subjects FROM t")
 def identity_subjects(spark, sf):
-    return texts(spark).select("id", F.array_join(F.array_sort(tx.identity_subjects(F.col("text"))), ",").alias("subjects"))
+    return every_text(spark, sf).select("id", F.array_join(F.array_sort(tx.identity_subjects(F.col("text"))), ",").alias("subjects"))
 
 
-@query("proxy_tokens", f"""WITH {_T}, w AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9_\\-]+'), lambda x: length(x) >= 2 AND NOT list_contains({_list(tx.PROXY_STOP_WORDS)}, x)) AS a,
+@query("proxy_tokens", f"""WITH {_EVERY}, w AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[a-zA-Z0-9_\\-]+'), lambda x: length(x) >= 2 AND NOT list_contains({_list(tx.PROXY_STOP_WORDS)}, x)) AS a,
  list_filter(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]'), lambda x: NOT list_contains({_list(tx.PROXY_STOP_WORDS)}, x)) AS c FROM t)
 SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_concat(a, c), list_filter(list_transform(range(1, len(c)), lambda i: concat(c[i], c[i + 1])), lambda x: NOT list_contains({_list(tx.PROXY_STOP_WORDS)}, x))))), ' ') AS tokens FROM w""")
 def proxy_tokens(spark, sf):
-    return texts(spark).select("id", F.array_join(F.array_sort(tx.proxy_tokens(F.col("text"))), " ").alias("tokens"))
+    return every_text(spark, sf).select("id", F.array_join(F.array_sort(tx.proxy_tokens(F.col("text"))), " ").alias("tokens"))
 
 
 _OVERRIDE = tx.OVERRIDE
@@ -82,14 +91,14 @@ _ACK = f"""(text = '' OR (NOT ({' OR '.join(f"contains(text, '{m}')" for m in tx
  OR coalesce((SELECT count(*) > 0 AND bool_and(list_contains({_list(tx.TRANSIENT_PHRASES)}, p)) FROM (SELECT lower({_CLEAN.format('q')}) AS p FROM (SELECT unnest(regexp_split_to_array({_STRIP}, '[，,。.!！；;]+')) AS q)) WHERE p <> ''), false))))"""
 
 
-@query("ack_text", f"WITH {_T} SELECT id, {_ACK} AS acknowledgement FROM t")
+@query("ack_text", f"WITH {_EVERY} SELECT id, {_ACK} AS acknowledgement FROM t")
 def ack_text(spark, sf):
-    return texts(spark).select("id", tx.is_acknowledgement(F.col("text")).alias("acknowledgement"))
+    return every_text(spark, sf).select("id", tx.is_acknowledgement(F.col("text")).alias("acknowledgement"))
 
 
-@query("placeholder_noise", f"WITH {_T} SELECT id, coalesce(text <> '' AND regexp_matches(text, '{tx.LOREM}'), false) AS placeholder FROM t")
+@query("placeholder_noise", f"WITH {_EVERY} SELECT id, coalesce(text <> '' AND regexp_matches(text, '{tx.LOREM}'), false) AS placeholder FROM t")
 def placeholder(spark, sf):
-    return texts(spark).select("id", tx.is_placeholder(F.col("text")).alias("placeholder"))
+    return every_text(spark, sf).select("id", tx.is_placeholder(F.col("text")).alias("placeholder"))
 
 
 def _scrub(column: str) -> str:
