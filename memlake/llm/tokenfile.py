@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memlake.llm.common import Scratch, chunks, fields
+from memlake.llm.common import Scratch, chunks, fields, release
 from memlake.llm.tokens import TOKEN_CHUNK, encoder, vocabulary
 
 END_ID = 2
@@ -73,6 +73,7 @@ def file_digest(spark: SparkSession, out: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(F.col("part").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     def run(batches):
+        release()
         for batch in batches:
             lists = batch.column("ids")
             values = np.asarray(lists.values).view("<u4")

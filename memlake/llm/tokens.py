@@ -91,14 +91,14 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.key = [np.zeros(SLOTS, dtype=np.uint64) for _ in range(3)]
-        self.tag = np.zeros(SLOTS, dtype=np.uint8)  # length and whether a space comes before; 0: free
-        self.entry = np.zeros(SLOTS, dtype=np.int32)
+        self.slot = np.full(SLOTS, -1, dtype=np.int32)  # the entry of a piece; -1: free
         self.used = 0
         self.ids = np.zeros(1 << 16, dtype=self.kind)
         self.ids[0] = self.end
         self.n_ids = 1
         self.first, self.count = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 12, dtype=np.int32)
+        self.key = [np.zeros(1 << 12, dtype=np.uint64) for _ in range(3)]
+        self.tag = np.zeros(1 << 12, dtype=np.uint8)  # length and whether a space comes before; 0: no key
         self.count[0] = 1  # entry 0: the end id
         self.n_entries = 1
 
@@ -122,7 +122,8 @@ class Encoder:
         while self.n_ids + size > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n_entries + len(many) > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+            self.first, self.count, self.tag = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.tag))
+            self.key = [np.concatenate([x, np.zeros_like(x)]) for x in self.key]
         entries = np.arange(self.n_entries, self.n_entries + len(many))
         if many:
             counts = np.array([len(x) for x in many])
@@ -159,26 +160,27 @@ class Encoder:
         left = np.arange(len(tag))
         step = 0
         while len(left):
-            slot = (place[left] + step) & (SLOTS - 1)
-            there = self.tag[slot]
-            same = there == tag[left]
+            entry = self.slot[(place[left] + step) & (SLOTS - 1)]
+            there = entry >= 0
+            entry[~there] = 0
+            same = there & (self.tag[entry] == tag[left])
             for own, k in zip(self.key, keys):
-                same &= own[slot] == k[left]
-            found[left[same]] = self.entry[slot[same]]
-            left = left[~same & (there != 0)]
+                same &= own[entry] == k[left]
+            found[left[same]] = entry[same]
+            left = left[~same & there]
             step += 1
         return found
 
     def _insert(self, keys: list[np.ndarray], tag: np.ndarray, place: np.ndarray, entries: np.ndarray) -> None:
         left, step = np.arange(len(tag)), 0
+        for own, k in zip(self.key, keys):
+            own[entries] = k
+        self.tag[entries] = tag
         while len(left):
             slot = (place[left] + step) & (SLOTS - 1)
-            free = np.flatnonzero(self.tag[slot] == 0)
+            free = np.flatnonzero(self.slot[slot] < 0)
             taken, which = np.unique(slot[free], return_index=True)
-            mine = left[free[which]]
-            for own, k in zip(self.key, keys):
-                own[taken] = k[mine]
-            self.tag[taken], self.entry[taken] = tag[mine], entries[mine]
+            self.slot[taken] = entries[left[free[which]]]
             done = np.zeros(len(left), dtype=bool)
             done[free[which]] = True
             left = left[~done]
