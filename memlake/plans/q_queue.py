@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
+from memlake.operators import capture as ca
+from memlake.operators import machine
 from memlake.operators import queue as qu
 from memlake.plans.registry import query
-from memlake.plans.views import NOW, cte, table, view
+from memlake.plans.views import EPOCH, NOW, cte, table, view
 from memlake.streaming import jobs as stream
 
 _JOB = "concat(lower(host), '-', substr(sha256(concat_ws(':', lower(host), session_id, event, boundary)), 1, 16))"
@@ -85,6 +87,84 @@ def dead_histogram(spark, sf):
     return _dead(spark, sf).groupBy("decision").agg(F.count("*").alias("n"))
 
 
+# --- captures and the life of a job --------------------------------------------
+
+
+def _columns(select: str) -> list[str]:
+    """The columns of a select over events: cut at commas outside brackets and quotes."""
+    text = select.removeprefix("SELECT ").removesuffix(" FROM events")
+    out, depth, quoted, at = [], 0, False, 0
+    for k, c in enumerate(text):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            out.append(text[at:k])
+            at = k + 1
+    return [*out, text[at:]]
+
+
+_HOST = "CASE event_id % 5 WHEN 0 THEN 'Codex' WHEN 1 THEN 'Pi' WHEN 2 THEN 'zcode' WHEN 3 THEN 'Antigravity' ELSE 'codex' END"
+_RAW = """CASE WHEN event_id % 17 = 0 THEN 'not json' WHEN event_id % 19 = 0 THEN '{}' WHEN event_id % 5 = 0 THEN concat('{"session_id":"', CASE WHEN event_id % 2 = 0 THEN '' ELSE concat('s', user_id) END, '","conversation_id":"c', user_id, '","hook_event_name":"SessionEnd","cwd":"/w/', user_id % 7, '"}')
+ WHEN event_id % 5 = 1 THEN concat('{"sessionId":"p', user_id, '","event":"', CASE WHEN event_id % 3 = 0 THEN 'agent_settled' WHEN event_id % 3 = 1 THEN 'session_shutdown' ELSE 'other' END, '","session_file":"/t/', event_id, '"}')
+ WHEN event_id % 5 = 2 THEN concat('{"session_id":"z', user_id, '","event":"SessionEnd","workspace_root":"/z"}')
+ WHEN event_id % 5 = 3 THEN concat('{"conversationId":"a', user_id, '","workspacePaths":["/one"', CASE WHEN event_id % 2 = 0 THEN ',"/two"' ELSE '' END, '],"transcriptPath":"/t"}') ELSE '{"id":"only","transcript_file":"/f"}' END"""
+_CAPTURES = f"SELECT event_id, {_HOST} AS host, {_RAW} AS raw, CASE WHEN event_id % 4 = 0 THEN '/env' END AS cwd, CAST(event_id % 400 AS STRING) AS boundary FROM events"
+
+
+def _said(*keys: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(json_extract_string(r, '$.{k}'), '')" for k in keys) + ")"
+
+
+@query("capture_payloads", f"""WITH c AS ({_CAPTURES}), p AS (SELECT *, lower(host) AS h, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) ELSE CAST('{{}}' AS JSON) END AS r FROM c),
+q AS (SELECT h AS host, boundary, CASE h WHEN 'codex' THEN coalesce({_said('session_id', 'conversation_id', 'id')}, 'unknown_session') WHEN 'pi' THEN coalesce({_said('session_id', 'sessionId')}, 'unknown_pi_session') WHEN 'zcode' THEN coalesce({_said('session_id', 'sessionId')}, 'unknown_zcode_session') ELSE coalesce({_said('conversationId', 'session_id')}, 'unknown_agy_session') END AS session_id,
+ CASE h WHEN 'codex' THEN coalesce({_said('hook_event_name', 'event')}, 'Stop') WHEN 'pi' THEN CASE coalesce({_said('event')}, 'agent_settled') WHEN 'agent_settled' THEN 'Stop' WHEN 'session_shutdown' THEN 'SessionEnd' ELSE 'other' END ELSE 'Stop' END AS event,
+ CASE h WHEN 'codex' THEN coalesce({_said('cwd', 'workspace_root')}, cwd, '') WHEN 'pi' THEN coalesce({_said('cwd', 'project_dir')}, cwd, '') WHEN 'zcode' THEN coalesce({_said('cwd', 'workspace_root')}, cwd, '') ELSE coalesce(CASE WHEN json_array_length(r, '$.workspacePaths') = 1 THEN json_extract_string(r, '$.workspacePaths[0]') END, cwd, '') END AS project_dir,
+ CASE h WHEN 'codex' THEN {_said('transcript_path', 'transcript_file')} WHEN 'pi' THEN {_said('transcript_path', 'session_file')} WHEN 'zcode' THEN {_said('transcript_path', 'transcript_file')} ELSE {_said('transcriptPath', 'transcript_path')} END AS transcript_path FROM p)
+SELECT concat(host, '-', substr(sha256(concat_ws(':', host, session_id, event, boundary)), 1, 16)) AS job_id, host, event, session_id, project_dir, transcript_path, boundary FROM q""")
+def capture_payloads(spark, sf):
+    return ca.payloads(table(spark, sf, "events").selectExpr(*_columns(_CAPTURES)))
+
+
+_PUBLISHED = """SELECT concat('j', event_id) AS name, CASE event_id % 13 WHEN 0 THEN NULL WHEN 1 THEN '{broken' WHEN 2 THEN concat('{"job_id":"j', event_id, '","schema_version":2}') WHEN 3 THEN '{"job_id":"another"}' ELSE concat('{"job_id":"j', event_id, '","schema_version":1}') END AS payload,
+ CASE event_id % 11 WHEN 0 THEN '{"state":"lost"}' WHEN 1 THEN '[1]' ELSE '{"state":"pending"}' END AS state FROM events"""
+
+
+@query("queue_quarantine", f"WITH p AS ({_PUBLISHED.replace('FROM events', ', event_id FROM events')}) SELECT name, CASE event_id % 13 WHEN 0 THEN 'incomplete' WHEN 1 THEN 'corrupt_payload' WHEN 2 THEN 'other_version' WHEN 3 THEN 'other_job' ELSE CASE WHEN event_id % 11 < 2 THEN 'corrupt_state' END END AS reason FROM p")
+def quarantine(spark, sf):
+    return ca.checked(table(spark, sf, "events").selectExpr(*_columns(_PUBLISHED))).select("name", "reason")
+
+
+#: Each user's events as the actions on one job.
+_ACTIONS = f"SELECT concat('j', CAST(user_id AS STRING)) AS job_id, {EPOCH} + event_id * 37 AS moment, event_id AS seq, CASE event_id % 16 WHEN 0 THEN 'enqueue' WHEN 1 THEN 'claim' WHEN 2 THEN 'claim' WHEN 3 THEN 'complete' WHEN 4 THEN 'skip' WHEN 5 THEN 'expire' WHEN 6 THEN 'retry' WHEN 7 THEN CASE WHEN event_id % 3 = 0 THEN 'prune' ELSE 'retry' END WHEN 8 THEN 'fail' WHEN 9 THEN 'fail' WHEN 10 THEN 'fail' WHEN 11 THEN 'claim' WHEN 12 THEN 'enqueue' WHEN 13 THEN 'claim' WHEN 14 THEN 'expire' ELSE 'retry' END AS action, event_id % 5 <> 0 AS retryable FROM events"
+_FAILS = "(action = 'fail' OR action = 'expire' AND state = 'processing' AND moment - coalesce(claimed_at, 0) > 300)"
+_FOLD = f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY moment, seq) AS k FROM ({_ACTIONS})),
+r(job_id, k, state, attempt, not_before, claimed_at, tombstone) AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), 0, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false FROM a UNION ALL
+SELECT job_id, k, CASE WHEN action = 'enqueue' THEN CASE WHEN tombstone OR state IS NOT NULL THEN state ELSE 'pending' END WHEN state IS NULL THEN NULL WHEN action = 'claim' THEN CASE WHEN state = 'pending' AND not_before <= moment THEN 'processing' ELSE state END WHEN action = 'complete' THEN 'completed' WHEN action = 'skip' THEN 'skipped'
+  WHEN {_FAILS} THEN CASE WHEN (action = 'expire' OR retryable) AND attempt + 1 < 3 THEN 'pending' ELSE 'dead' END WHEN action = 'retry' AND state IN ('dead', 'skipped') THEN 'pending' WHEN action = 'prune' AND state IN ('completed', 'skipped', 'coalesced', 'dead') THEN NULL ELSE state END,
+ CASE WHEN action = 'enqueue' AND state IS NULL AND NOT tombstone THEN 0 WHEN state IS NULL THEN attempt WHEN {_FAILS} THEN attempt + 1 WHEN action = 'retry' AND state IN ('dead', 'skipped') THEN 0 ELSE attempt END,
+ CASE WHEN action = 'enqueue' AND state IS NULL AND NOT tombstone THEN 0 WHEN state IS NULL THEN not_before WHEN {_FAILS} AND (action = 'expire' OR retryable) AND attempt + 1 < 3 THEN moment + CAST(5 * pow(2, attempt + 1) AS BIGINT) WHEN action = 'retry' AND state IN ('dead', 'skipped') THEN 0 ELSE not_before END,
+ CASE WHEN action = 'enqueue' AND state IS NULL AND NOT tombstone THEN NULL WHEN state IS NULL THEN claimed_at WHEN action = 'claim' AND state = 'pending' AND not_before <= moment THEN moment WHEN action IN ('complete', 'skip') OR {_FAILS} OR action = 'retry' AND state IN ('dead', 'skipped') OR action = 'prune' AND state IN ('completed', 'skipped', 'coalesced', 'dead') THEN NULL ELSE claimed_at END,
+ tombstone OR (action = 'prune' AND coalesce(state, '') IN ('completed', 'skipped', 'coalesced', 'dead')) FROM (SELECT r.job_id, a.k, r.state, r.attempt, r.not_before, r.claimed_at, r.tombstone, a.action, a.moment, a.retryable FROM r JOIN a ON a.job_id = r.job_id AND a.k = r.k + 1))
+SELECT job_id, arg_max(coalesce(state, '-'), k) AS state, CAST(arg_max(attempt, k) AS INT) AS attempt, arg_max(not_before, k) AS not_before, nullif(arg_max(coalesce(claimed_at, -1), k), -1) AS claimed_at, arg_max(tombstone, k) AS tombstone, max(k) AS actions FROM r GROUP BY job_id"""
+
+
+def _shown(states: DataFrame) -> DataFrame:
+    return states.withColumn("state", F.coalesce("state", F.lit("-")))
+
+
+@query("queue_states", _FOLD)
+def queue_states(spark, sf):
+    return _shown(machine.final_states(table(spark, sf, "events").selectExpr(*_columns(_ACTIONS))))
+
+
+@query("stream_queue_states", _FOLD)
+def stream_queue_states(spark, sf):
+    """The same by a stateful stream over the events file, run to its end."""
+    schema = table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    return _shown(machine.latest(stream.run_available(spark, machine.follow(raw.selectExpr(*_columns(_ACTIONS))), "update")))
+
+
 # --- transcripts ---------------------------------------------------------------
 
 

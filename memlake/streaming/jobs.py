@@ -50,7 +50,7 @@ def latest_state(updates: DataFrame) -> DataFrame:
     return updates.groupBy("session_id").agg(F.max_by(F.struct("events", "failures", "last_event"), "events").alias("s")).select("session_id", "s.*")
 
 
-def run_available(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def run_available(spark: SparkSession, stream: DataFrame, mode: str | None = None) -> DataFrame:
     """Run a stream over all that is there into a table in the shared folder, and read it.
 
     foreachBatch appends under the batch's id, so a batch that is tried again replaces itself.
@@ -61,7 +61,7 @@ def run_available(spark: SparkSession, stream: DataFrame) -> DataFrame:
     def sink(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
 
-    mode = "update" if stream.isStreaming and "last_event" in stream.columns else "append"
+    mode = mode or ("update" if "last_event" in stream.columns else "append")
     q = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(schema).option("basePath", f"{root}/out").parquet(f"{root}/out").select(*[f.name for f in schema])
