@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from memlake.functions import text as tx
 
 K1, B, HALF = 1.2, 0.75, 4.0
+#: Least semantic score of a candidate where a call names none.
+THRESHOLD = 0.1
 
 
 def pool_size(limit: int) -> int:
@@ -35,6 +37,9 @@ class Postings:
 
     def __init__(self, rows: list):
         self.ids = [r.query_id for r in rows]
+        if rows and "embedding" in rows[0]:
+            width = max((len(r.embedding or ()) for r in rows), default=0)
+            self.vectors = _vectors(pa.array([r.embedding for r in rows], pa.list_(pa.float64())), width)
         held: dict[str, list[int]] = {}
         for k, r in enumerate(rows):
             for token in r.tokens:
@@ -72,9 +77,9 @@ class Postings:
             yield batch.slice(low, step)
 
 
-def _blocks(queries: DataFrame) -> list[Postings]:
+def _blocks(queries: DataFrame, *more: str) -> list[Postings]:
     """The queries in blocks of about QUERY_BLOCK, by hash; one block at a time comes to the driver."""
-    asked = queries.select("query_id", tx.proxy_tokens(F.coalesce("query", F.lit(""))).alias("tokens"))
+    asked = queries.select("query_id", tx.proxy_tokens(F.coalesce("query", F.lit(""))).alias("tokens"), *more)
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     return [Postings(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).orderBy("query_id").collect()) for b in range(n)]
 
@@ -123,17 +128,12 @@ def proxy_candidates(queries: DataFrame, memories: DataFrame, k: int) -> DataFra
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, memories: DataFrame) -> DataFrame:
-    """Okapi BM25 of every pair that shares a token: (query_id, id, bm25_raw).
+class Bm25:
+    """Okapi sums of a block's queries; counts of documents by token, of those asked for alone, come from one pass."""
 
-    Two passes over the memories' tokens: counts of documents by token, of those asked
-    for alone, and then the sums, batch by batch.
-    """
-    words = memories.select("id", tx.proxy_terms(F.coalesce("memory", F.lit(""))).alias("tokens")).where(F.size("tokens") > 0)
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), memories.schema["id"], T.StructField("bm25_raw", T.DoubleType())])
-    kind = to_arrow_type(schema["query_id"].dataType)
+    def __init__(self, block: Postings, words: DataFrame):
+        self.block = block
 
-    def score(block: Postings) -> DataFrame:
         def count(batches):
             n = length = 0
             df = np.zeros(len(block.tokens), dtype=np.int64)
@@ -146,21 +146,40 @@ def bm25(queries: DataFrame, memories: DataFrame) -> DataFrame:
 
         n = length = 0
         df = np.zeros(len(block.tokens), dtype=np.int64)
-        for r in words.mapInArrow(count, "n bigint, length bigint, df binary").collect():  # one row a task
+        for r in words.select("tokens").where(F.size("tokens") > 0).mapInArrow(count, "n bigint, length bigint, df binary").collect():  # one row a task
             n, length, df = n + r.n, length + r.length, df + np.frombuffer(r.df, dtype=np.int64)
-        idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
-        average = length / n if n else 1.0
+        self.idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+        self.average = length / n if n else 1.0
+
+    def sums(self, lists: pa.ListArray) -> np.ndarray:
+        """(rows, queries)."""
+        width = max(1, len(self.idf))
+        rows, codes = self.block.hits(lists)
+        pairs, tf = np.unique(rows * width + codes, return_counts=True)
+        rows, codes = pairs // width, pairs % width
+        size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))[rows]
+        gain = self.idf[codes] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.average))
+        return self.block.sums(len(lists), rows, codes, gain)
+
+
+def _terms(memories: DataFrame, *more: str) -> DataFrame:
+    return memories.select("id", tx.proxy_terms(F.coalesce("memory", F.lit(""))).alias("tokens"), *more)
+
+
+def bm25(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """Okapi BM25 of every pair that shares a token: (query_id, id, bm25_raw)."""
+    words = _terms(memories).where(F.size("tokens") > 0)
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), memories.schema["id"], T.StructField("bm25_raw", T.DoubleType())])
+    kind = to_arrow_type(schema["query_id"].dataType)
+
+    def score(block: Postings) -> DataFrame:
+        okapi = Bm25(block, words)
 
         def run(batches):
             names = pa.array(block.ids, kind)
             for batch in batches:
                 for part in block.slices(batch):
-                    rows, codes = block.hits(part.column("tokens"))
-                    pairs, tf = np.unique(rows * max(1, len(df)) + codes, return_counts=True)
-                    rows, codes = pairs // max(1, len(df)), pairs % max(1, len(df))
-                    size = np.asarray(pc.list_value_length(part.column("tokens")))[rows]
-                    gain = idf[codes] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))
-                    sums = block.sums(part.num_rows, rows, codes, gain)
+                    sums = okapi.sums(part.column("tokens"))
                     at, asked = np.nonzero(sums)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(asked)), part.column("id").take(pa.array(at)), pa.array(sums[at, asked])], schema.names)
 
@@ -169,6 +188,58 @@ def bm25(queries: DataFrame, memories: DataFrame) -> DataFrame:
     return _each_block(_blocks(queries), score)
 
 
+def _vectors(col: pa.Array, width: int) -> np.ndarray:
+    """(rows, width) unit vectors; a missing vector, or one of other length, is all zero."""
+    out = np.zeros((len(col), width))
+    for k, v in enumerate(col):
+        if v.is_valid and len(v) == width and not v.values.null_count:
+            x = np.asarray(v.values, dtype=np.float64)
+            n = np.linalg.norm(x)
+            out[k] = x / n if np.isfinite(n) and n else 0
+    return out
+
+
+def pooled(queries: DataFrame, memories: DataFrame, k: int, threshold: float = THRESHOLD) -> DataFrame:
+    """The pool of each query: the k memories of the best sum of signals whose semantic score reaches the threshold.
+
+    queries: query_id, query, embedding; memories: id, memory, embedding, entity_boost.
+    Gives query_id, id, semantic_score (cosine), bm25_score (r / (r + HALF)),
+    entity_boost, rank; ties go to the smaller id, and what has no vector is not found
+    and finds nothing. Each task scores its memories
+    against a block of queries and passes on k of a batch for each.
+    """
+    words = _terms(memories, "embedding", F.coalesce("entity_boost", F.lit(0.0)).cast("double").alias("boost"))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), memories.schema["id"], *[T.StructField(c, T.DoubleType()) for c in ("semantic_score", "bm25_score", "entity_boost")]])
+    kind = to_arrow_type(schema["query_id"].dataType)
+
+    def score(block: Postings) -> DataFrame:
+        okapi, asks = Bm25(block, words), block.vectors
+
+        def run(batches):
+            names = pa.array(block.ids, kind)
+            for batch in batches:
+                for part in block.slices(batch):
+                    vectors = _vectors(part.column("embedding"), asks.shape[1])
+                    semantic = vectors @ asks.T
+                    raw = okapi.sums(part.column("tokens"))
+                    lexical, boost = raw / (raw + HALF), np.asarray(part.column("boost"))
+                    total = semantic + lexical + boost[:, None]
+                    total[(semantic < threshold) | ~vectors.any(axis=1)[:, None] | ~asks.any(axis=1)] = -np.inf
+                    # of equal sums the smaller id: rows in that order, stably sorted
+                    order = np.argsort(np.array(part.column("id").to_pylist()), kind="stable")
+                    best = order[np.argsort(-total[order], axis=0, kind="stable")[:k]]
+                    rows, asked = best.ravel(), np.tile(np.arange(len(block.ids)), len(best))
+                    real = np.isfinite(total[rows, asked])
+                    rows, asked = rows[real], asked[real]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(asked)), part.column("id").take(pa.array(rows)), pa.array(semantic[rows, asked]), pa.array(lexical[rows, asked]), pa.array(boost[rows])], schema.names)
+
+        return words.mapInArrow(run, schema)
+
+    every = _each_block(_blocks(queries, "embedding"), score)
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.col("semantic_score") + F.col("bm25_score") + F.col("entity_boost")), "id")
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def fuse(candidates: DataFrame) -> DataFrame:
     """final = least(1, (semantic + bm25 + boost) / m); m is 2 for a query with any lexical or entity signal, else 1."""
     w = Window.partitionBy("query_id")

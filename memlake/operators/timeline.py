@@ -23,17 +23,16 @@ def event_time() -> Column:
     return instant(F.coalesce(F.nullif(F.col("updated_at"), F.lit("")), F.col("created_at")))
 
 
-def recent(history: DataFrame, memories: DataFrame, now: int, hours: int = DEFAULT_HOURS, limit: int = 50, scope: str = "all", project: str | None = None, user: str | None = None, verified_only: bool = False, until: int | None = None) -> DataFrame:
-    """Events of the window [now - hours, until) that the user may see.
+def recent(history: DataFrame, memories: DataFrame, now: int, hours: int = DEFAULT_HOURS, limit: int = 50, scope: str = "all", project: str | None = None, user: str | None = None, verified_only: bool = False, until: int | None = None, since: int | None = None) -> DataFrame:
+    """Events of the window [since, or else now - hours, until) that the user may see.
 
     memories: id, user_id, agent_id, status. Events without a known memory stay
     unless verified_only. The side that is joined is chosen by Catalyst's size
     statistics; the range and the columns reach the scan.
     """
     validate_recent(hours, limit, scope)
-    since = F.timestamp_seconds(F.lit(now - hours * 3600))
     when = event_time()
-    rows = history.withColumn("event_ts", when).where(F.col("event_ts") >= since)
+    rows = history.withColumn("event_ts", when).where(F.col("event_ts") >= F.timestamp_seconds(F.lit(now - hours * 3600 if since is None else since)))
     if until is not None:
         rows = rows.where(F.col("event_ts") < F.timestamp_seconds(F.lit(until)))
     known = memories.select(F.col("id").alias("memory_id"), F.col("user_id").alias("owner"), F.col("agent_id").alias("place"), F.col("status").alias("m_status"), F.lit(True).alias("known"))

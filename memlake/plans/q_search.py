@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
-from memlake.operators import search
+from memlake.operators import recall, search
 from memlake.plans.registry import query
 from memlake.plans.views import cte, table, view
 
@@ -162,3 +162,37 @@ def trace_stages(spark, sf):
     final = F.when(F.col("accepted") & active(), "returned")
     rows = g.select(F.explode(F.array(stage("candidate", F.lit("retrieved")), stage("lifecycle_scope", kept), stage("gate", F.col("reason")), stage("final", final))).alias("e")).select("e.*")
     return rows.where(F.col("reason").isNotNull()).groupBy("stage", "reason").agg(F.count("*").alias("n"))
+
+
+# --- search as a call ------------------------------------------------------------
+
+_CUSTOM = {"category": ["preference", "decision", "general"]}
+_VISIBLE = f"""{cte('mem').replace('mem AS', 'mem0 AS', 1)}, mem AS (SELECT mem0.*, CAST(embedding AS DOUBLE[]) AS embedding, CASE WHEN doc_id % 9 = 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM mem0 JOIN embeddings ON vec_id = doc_id
+ WHERE user_id = 'u2' AND agent_id IN ('global', 'p1') AND category IN ('preference', 'decision', 'general') AND coalesce(nullif(status, ''), 'active') <> 'superseded')"""
+_CALL = f"""{_BM25.replace(cte('mem'), _VISIBLE)}, qv AS (SELECT query_id, query, CAST(embedding AS DOUBLE[]) AS qe FROM asked JOIN embeddings ON vec_id = query_id),
+p0 AS (SELECT qv.query_id, query, mem.*, list_cosine_similarity(qe, embedding) AS semantic_score, coalesce(bm25_raw, 0) / (coalesce(bm25_raw, 0) + 4.0::DOUBLE) AS bm25_score FROM qv CROSS JOIN mem LEFT JOIN bm ON bm.query_id = qv.query_id AND bm.id = mem.id),
+p1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic_score + bm25_score + boost DESC, id) AS rank FROM p0 WHERE semantic_score >= 0.0),
+c0 AS (SELECT query_id, id, doc_id, rank, user_id, agent_id, scope, status, query, memory, semantic_score, bm25_score, boost AS entity_boost, least(1.0, (semantic_score + bm25_score + boost) / CASE WHEN max(greatest(bm25_score, boost)) OVER (PARTITION BY query_id) > 0 THEN 2.0 ELSE 1.0 END) AS final_score, 0.0::DOUBLE + least(1.0, (semantic_score + bm25_score + boost) / CASE WHEN max(greatest(bm25_score, boost)) OVER (PARTITION BY query_id) > 0 THEN 2.0 ELSE 1.0 END) AS score, true AS has_details FROM p1 WHERE rank <= {POOL})
+{_GATE[len(_CANDIDATES):]}"""
+
+
+def _call(spark, sf) -> dict:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    queries = asked(spark, sf).join(vectors, F.col("query_id") == F.col("v")).drop("v")
+    memories = view(spark, sf, "mem").join(vectors, F.col("doc_id") == F.col("v")).withColumn("entity_boost", F.when(F.col("doc_id") % 9 == 0, 0.3).otherwise(0.0))
+    config = search.GateConfig(final_threshold=0.1, bm25_threshold=0.15, lexical_semantic_threshold=0.1, dense_only_threshold=0.2)
+    return {"queries": queries, "memories": memories, "user": "u2", "project": "p1", "limit": LIMIT, "custom": _CUSTOM, "threshold": 0.0, "config": config}
+
+
+_CALL = _CALL.replace("final_score >= 0.32", "final_score >= 0.1").replace("semantic_score >= 0.48", "semantic_score >= 0.1").replace("semantic_score >= 0.70", "semantic_score >= 0.2")
+
+
+@query("search_calls", f"WITH {_CALL} SELECT query_id, id, round(final_score, 6) AS final_score FROM gated WHERE reason = 'passed'")
+def search_calls(spark, sf):
+    """Search by scope, filters, vectors and words for every item, with an explicit threshold of 0."""
+    return recall.find(**_call(spark, sf)).select("query_id", "id", F.round("final_score", 6).alias("final_score"))
+
+
+@query("search_trace_rows", f"WITH {_CALL} SELECT query_id, 'candidate' AS stage, id, true AS passed, 'retrieved' AS reason, round(final_score, 6) AS score FROM gated UNION ALL SELECT query_id, 'lifecycle_scope', id, true, 'kept', round(final_score, 6) FROM gated UNION ALL SELECT query_id, 'gate', id, reason = 'passed', reason, round(final_score, 6) FROM gated UNION ALL SELECT query_id, 'final', id, true, 'returned', round(final_score, 6) FROM gated WHERE reason = 'passed'")
+def search_trace_rows(spark, sf):
+    return recall.trace(**_call(spark, sf)).withColumn("score", F.round("score", 6))

@@ -246,3 +246,139 @@ def test_zero_counts_and_ties(spark):
     assert queue.status_counts(jobs).count() == len(queue.STATES)
     tie = F.create_map(F.lit("EQUIVALENT"), F.lit(0.4), F.lit("CONFLICT"), F.lit(0.4), F.lit("DISTINCT"), F.lit(0.2))
     assert spark.range(1).select(decisions.takeover(tie).alias("t")).first().t.reason == "tie"
+
+
+# --- search as a call ----------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def recalled(spark):
+    memories = [
+        ("1", "the store listens on port 6333", [1.0, 0.0], 0.0, "u", "global", "global", None), ("2", "the store port was 6000", [0.9, 0.1], 0.0, "u", "p", "project", "superseded"),
+        ("3", "colours of the kitchen", [0.0, 1.0], 0.0, "u", "p", "project", ""), ("4", "port of another user", [1.0, 0.0], 0.0, "x", "p", "project", None),
+        ("5", "a port in another project", [1.0, 0.0], 0.0, "u", "q", "project", None), ("6", None, None, None, "u", "p", "project", None), ("7", "store port default", [0.6, 0.8], 0.0, "u", "p", "project", "active"),
+    ]
+    mem = spark.createDataFrame(memories, "id string, memory string, embedding array<double>, entity_boost double, user_id string, agent_id string, scope string, status string")
+    asks = spark.createDataFrame([(1, "which port does the store use", [1.0, 0.0]), (2, "", [0.0, 0.0]), (3, None, None)], "query_id int, query string, embedding array<double>")
+    return asks, mem
+
+
+def test_search_call_scope_threshold_and_limit(spark, recalled):
+    from memlake.operators import recall
+
+    asks, mem = recalled
+    loose = search.GateConfig(final_threshold=0, dense_only_threshold=0, relative_ratio=0, min_coverage=0, bm25_threshold=0, lexical_semantic_threshold=0)
+    ids = lambda **more: {(r.query_id, r.id) for r in recall.find(asks, mem, "u", project="p", config=loose, **more).collect()}
+    assert ids(threshold=0.0) == {(1, "1"), (1, "3"), (1, "7")}  # of cosine 0, too
+    assert ids() == {(1, "1"), (1, "7")}  # below the usual threshold
+    assert ids(limit=1) == {(1, "1")} and ids(limit=0) == ids(limit=-3) == set()
+    assert ids(custom={"id": ["3", "4", "5", "7"]}, threshold=0.0) == {(1, "3"), (1, "7")}  # a filter only narrows
+    assert {r.id for r in recall.find(asks, mem, "u", scope="global", config=loose).collect()} == {"1"}
+    with pytest.raises(ValueError):
+        recall.find(asks, mem, "u", scope="project")
+    rows = recall.trace(asks, mem, "u", project="p", limit=1, config=loose).collect()
+    assert {(r.stage, r.id, r.passed) for r in rows} == {("candidate", "1", True), ("candidate", "7", True), ("lifecycle_scope", "1", True), ("lifecycle_scope", "7", True), ("gate", "1", True), ("gate", "7", False), ("final", "1", True)}
+    assert recall.trace(asks, mem, "u", project="p", limit=0).count() == 0
+
+
+def test_agent_search_routes(spark, recalled):
+    from memlake.operators import recall
+
+    _, mem = recalled
+    now = 1706659199
+    history = spark.createDataFrame([(1, "1", "ADD", None, "told today", "2024-01-30T10:00:00Z", ""), (2, "1", "ADD", None, "told yesterday", "2024-01-29T10:00:00Z", ""), (3, "2", "ADD", None, "superseded since", "2024-01-30T10:00:00Z", "")], "rowid int, memory_id string, event string, old_memory string, new_memory string, created_at string, updated_at string")
+    call = lambda q, **more: {(r.route, r.text) for r in recall.agent_search(q, [1.0, 0.0], mem, history, now, "u", project="p", **more).collect()}
+    assert call("what did I do yesterday") == {("timeline", "told yesterday")}
+    assert call("what happened today") == {("timeline", "told today")}
+    assert {r for r, _ in call("which port does the store use")} == {"search"}
+    assert ("timeline", "told today") not in call("what happened today", custom={"agent_id": "p"})  # filters ask for a search
+
+
+def test_lexical_scores_against_a_loop(spark, monkeypatch):
+    import math
+    import re
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)  # several blocks
+    mem = [(str(k), t) for k, t in enumerate(["alpha beta gamma alpha", "beta", "", None, "端口配置 port", "gamma delta delta", "x y z", "alpha"])]
+    asks = [(1, "alpha delta"), (2, "gamma beta beta"), (3, "端口"), (4, ""), (5, "nothing here"), (6, None)]
+    m, q = spark.createDataFrame(mem, "id string, memory string"), spark.createDataFrame(asks, "query_id int, query string")
+
+    def terms(text):
+        chars = re.findall("[一-鿿]", text or "")
+        return [w for w in re.findall(r"[a-zA-Z0-9_\-]+", (text or "").lower()) if len(w) >= 2] + chars + [a + b for a, b in zip(chars, chars[1:])]
+
+    held = {i: terms(t) for i, t in mem if terms(t)}
+    average = sum(map(len, held.values())) / len(held)
+    want = {}
+    for k, t in asks:
+        for i, words in held.items():
+            total = 0.0
+            for w in set(terms(t)):
+                df, tf = sum(w in x for x in held.values()), words.count(w)
+                total += math.log(1 + (len(held) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / average)) if tf else 0
+            if total:
+                want[k, i] = total
+    got = {(r.query_id, r.id): r.bm25_raw for r in search.bm25(q, m).collect()}
+    assert got == pytest.approx(want) and want
+    best = {}
+    for r in search.proxy_candidates(q, m, 3).collect():
+        best.setdefault(r.query_id, {})[r.rank] = (r.id, r.overlap)
+    for k, t in asks:
+        ranked = sorted(((len(set(terms(t)) & set(terms(x))), i) for i, x in mem), reverse=True)[:3]
+        assert [best[k][r] for r in (1, 2, 3)] == [(i, n) for n, i in ranked]
+
+
+def test_link_arrays_are_pruned(spark):
+    entities = spark.createDataFrame([("a", ["1", "2"]), ("b", ["2"]), ("c", ["3", "3"])], "entity_id string, linked_memory_ids array<string>")
+    got = {r.entity_id: r.linked_memory_ids for r in consolidate.prune_links(entities, spark.createDataFrame([("2",)], "id string")).collect()}
+    assert got == {"a": ["1"], "c": ["3"]}
+
+
+def test_stand_in_embedder_is_stable_and_of_unit_length(spark):
+    from memlake.operators import records
+
+    df = spark.createDataFrame([(1, "port"), (2, "port"), (3, "other"), (4, None)], "item_id int, text string")
+    got = {r.item_id: r.embedding for r in records.with_embedding(df, "text", records.HashEmbedder(16)).collect()}
+    assert got[1] == got[2] != got[3] and all(len(v) == 16 for v in got.values() if v)
+    assert sum(x * x for x in got[1]) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_job_states_on_a_stream_of_several_batches(spark, tmp_path):
+    import random
+
+    from memlake.operators import machine
+    from memlake.streaming import jobs as stream
+
+    r = random.Random(6)
+    rows = [(f"j{r.randrange(12)}", 100 * k, k, r.choice(machine.ACTIONS), r.random() < 0.7) for k in range(400)]
+    kinds = "job_id string, moment bigint, seq bigint, action string, retryable boolean"
+    for k in range(4):
+        spark.createDataFrame(rows[k * 100 : k * 100 + 100], kinds).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    want = {}
+    for job, moment, _, action, retryable in rows:
+        want[job] = machine.advance(want.get(job, machine.Job()), moment, action, retryable)
+    batch = {x.job_id: machine.Job(*x[1:]) for x in machine.final_states(spark.createDataFrame(rows, kinds)).collect()}
+    assert batch == want and len({x.state for x in want.values()}) > 2
+    # files come in the order of their age
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+    live = {x.job_id: machine.Job(*x[1:]) for x in machine.latest(stream.run_available(spark, machine.follow(source), "update")).collect()}
+    assert live == want
+
+
+def test_job_rules():
+    from memlake.operators.machine import Job, advance
+
+    job = advance(Job(), 0, "enqueue", None)
+    assert advance(job, 0, "enqueue", None)._replace(actions=1) == job  # an existing job stays
+    job = advance(job, 10, "claim", None)
+    assert (job.state, job.claimed_at) == ("processing", 10) and advance(job, 310, "expire", None).state == "processing"
+    job = advance(job, 311, "expire", None)
+    assert (job.state, job.attempt, job.not_before) == ("pending", 1, 321) and advance(job, 320, "claim", None).state == "pending"
+    job = advance(advance(job, 321, "claim", None), 322, "fail", True)
+    assert (job.state, job.attempt, job.not_before) == ("pending", 2, 342)
+    job = advance(job, 400, "fail", True)
+    assert (job.state, job.attempt) == ("dead", 3) and advance(job, 401, "retry", None).attempt == 0
+    gone = advance(job, 402, "prune", None)
+    assert gone.tombstone and advance(gone, 403, "enqueue", None).state is None and advance(gone, 403, "retry", None).state is None
+    with pytest.raises(ValueError):
+        advance(job, 1, "lose", None)
