@@ -3,9 +3,10 @@
 The patterns give the base spans of email, ip, card and phone. The CRF, trained
 on a small labelled table made by rule below, labels whitespace-separated words by
 Viterbi in numpy batches and adds spans, also of kind ``secret``, that overlap no
-span found before. Only words near a digit or an at sign are decoded: all other
-words have shapes that the table labels as outside alone, so each run of words
-within REACH of such a word is a chain of its own.
+span found before. Only words near a digit, an at sign or a long word of mixed case are
+decoded: nearly all other words have shapes that the table labels as outside alone,
+so each run of words within REACH of such a word is a chain of its own. A secret of
+small letters alone, or of capitals alone, is not found.
 
 Offsets are code points, ends exclusive. Null text counts as empty. Repeated rows
 give repeated results, extra columns are ignored, an empty table an empty result.
@@ -29,6 +30,8 @@ from memlake.llm.crf import Batch, Crf
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 REACH = 3
+#: Letters of a word of mixed case that may be a secret.
+LONG_WORD = 20
 TABLE_ROWS = 1500
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -158,7 +161,7 @@ def labelled_table(rows: int = TABLE_ROWS, seed: int = 7) -> list[list[tuple[str
         return ".".join("".join(r.choice(syllables) for _ in range(2)).replace("ó", "o") for _ in range(r.randint(1, 2))) + r.choice((".com", ".org", ".net", ".example.com", ".de", ".fr", ".io"))
 
     def secret() -> str:
-        alphabet = r.choice(("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        alphabet = r.choice(("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         return "".join(r.choice(alphabet) for _ in range(r.choice((24, 32, 32, 40, 40, 64))))
 
     def entity() -> tuple[str, list[str], list[str]]:
@@ -183,7 +186,8 @@ def labelled_table(rows: int = TABLE_ROWS, seed: int = 7) -> list[list[tuple[str
         plain = r.choice(
             ([str(r.randint(1000, 2100))], [f"{r.randint(1, 99)}.{digits(2)}"], [f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}"], ["version", f"{r.randint(1, 9)}.{r.randint(0, 20)}"], ["chapter", str(r.randint(1, 40))], ["page", str(r.randint(1, 900))],
              [f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}"], [f"{r.randint(1990, 2030)}-{digits(2)}-{digits(2)}"], [f"{r.randint(0, 23)}:{digits(2)}"], [f"${r.randint(1, 9999)}"], [f"{r.randint(1, 100)}%"], [f"{name}{r.randint(1, 99)}"], ["id", digits(r.randint(5, 9))],
-             [bad_card()], ["order", bad_card()], [f"{r.randint(1, 99)}th"], [f"({r.randint(1, 99)})"], [f"[{r.randint(1, 99)}]"], ["isbn", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}"], [digits(r.randint(1, 6)), digits(r.randint(1, 3)), digits(r.randint(1, 4))], [f"@{name}"], [f"https://{host()}/{name}/{digits(2)}"], ["Version", "2.0,"])
+             [bad_card()], ["order", bad_card()], [f"{r.randint(1, 99)}th"], [f"({r.randint(1, 99)})"], [f"[{r.randint(1, 99)}]"], ["isbn", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}"], [digits(r.randint(1, 6)), digits(r.randint(1, 3)), digits(r.randint(1, 4))], [f"@{name}"], [f"https://{host()}/{name}/{digits(2)}"], ["Version", "2.0,"],
+             ["".join("".join(r.choice(syllables) for _ in range(r.randint(2, 4))).capitalize() for _ in range(r.randint(3, 6)))])
         )
         return "", [], plain
 
@@ -222,12 +226,16 @@ def crf_spans(crf: Crf, data: np.ndarray, bounds: np.ndarray) -> list[list[tuple
     """(kind, start, end) in bytes of each row's decoded spans, edge punctuation cut off."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(bounds) - 1)]
     marked = ((data >= 48) & (data <= 57)) | (data == 64)
-    if not marked.any():
-        return out
     starts, ends, first = word_bounds(data, bounds, WHITE)
     total = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(marked, out=total[1:])
-    seeds = np.flatnonzero(total[ends] > total[starts])
+    capital = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum((data >= 65) & (data <= 90), out=capital[1:])
+    capitals = capital[ends] - capital[starts]
+    mixed = (ends - starts >= LONG_WORD) & (capitals >= 4) & (capitals <= ends - starts - 4)
+    seeds = np.flatnonzero((total[ends] > total[starts]) | mixed)
+    if not len(seeds):
+        return out
     row = np.searchsorted(first, seeds, side="right") - 1
     low, high = np.maximum(seeds - REACH, first[row]), np.minimum(seeds + REACH + 1, first[row + 1])
     fresh = np.ones(len(seeds), dtype=bool)
@@ -278,7 +286,7 @@ def detect(crf: Crf, data: np.ndarray, bounds: np.ndarray) -> list[tuple[list, l
     added = crf_spans(crf, data, bounds)
     out = []
     for k in range(len(bounds) - 1):
-        if not some[k]:
+        if not some[k] and not added[k]:
             out.append(([], []))
             continue
         part = data[bounds[k] : bounds[k + 1]]

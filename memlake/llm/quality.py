@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from memlake.llm.common import chunks, fields, flat, held_out, reduce_rows, release, word_bounds, word_hashes
 from memlake.llm.crf import Batch, Crf
 
-#: Labelled documents the chain is fitted on, those of least hash: a bounded sample.
-MAX_TRAIN_DOCS = 3000
+#: The chain is fitted on a bounded sample: of so many labelled documents, those of least hash, the ones of at most
+#: MAX_DOC_LINES lines, and of these, in the same order, as many as have MAX_TRAIN_LINES lines together.
+MAX_TRAIN_DOCS, MAX_DOC_LINES, MAX_TRAIN_LINES = 3000, 500, 200_000
 #: A document is kept from this score on.
 THRESHOLD = 0.7
 
@@ -136,24 +137,31 @@ def fit(rows: list[tuple[bytes, bytes, int]]) -> QualityModel:
     return model
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> QualityModel:
-    """Fit on at most max_docs labelled documents that are not held out.
+def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, doc_lines: int = MAX_DOC_LINES, max_lines: int = MAX_TRAIN_LINES) -> QualityModel:
+    """Fit on a bounded sample of the labelled documents that are not held out.
 
-    Features are made on the executors; the driver gets a few hundred bytes a document.
+    Features are made on the executors; the driver gets 112 bytes a line, of at most max_docs times doc_lines lines.
     """
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     picked = picked.groupBy("doc_id").agg(F.min("quality").cast("int").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("__label").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("id"), "text", F.col("__label").alias("label"))
 
     def make(batches):
         for part in chunks(batches, "text"):
             features, length, per_row = line_features(*flat(part.column("text")))
             ends = np.cumsum(per_row)
-            out = [(features[e - n : e].tobytes(), length[e - n : e].tobytes()) for e, n in zip(ends, per_row)]
-            yield pa.RecordBatch.from_pydict({"id": part.column("id").cast(pa.string()), "f": pa.array([x[0] for x in out], pa.binary()), "n": pa.array([x[1] for x in out], pa.binary()), "label": part.column("label")})
-
-    got = rows.mapInArrow(make, "id string, f binary, n binary, label int").collect()
-    return fit([(bytes(r.f), bytes(r.n), r.label) for r in sorted(got, key=lambda r: (r.id or "", bytes(r.f)))])
+            some = np.flatnonzero(per_row <= doc_lines)
+            out = [(features[e - n : e].tobytes(), length[e - n : e].tobytes()) for e, n in zip(ends[some], per_row[some])]
+            part = part.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("id"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), part.column("label")], ["h", "id", "f", "n", "label"])
+
+    sample, total = [], 0
+    for r in sorted(rows.mapInArrow(make, "h bigint, id string, f binary, n binary, label int").collect(), key=lambda r: (r.h, r.id, bytes(r.f))):
+        total += len(r.n) // 8
+        if total > max_lines:
+            break
+        sample.append((bytes(r.f), bytes(r.n), r.label))
+    return fit(sample)
 
 
 def _scored(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
