@@ -144,6 +144,32 @@ def test_token_files(spark, docs, odd, empty):
     assert tokenfile.round_trip(empty).count() == 0
 
 
+def scanned(df):
+    """Rows that left the scan."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_token_files_are_pruned_by_index_and_bloom_filter(spark):
+    docs = spark.range(0, 20_000, 2).selectExpr("id AS doc_id", "concat('text ', id) AS text")  # even ids alone
+    out = Scratch(spark).path()
+    tokenfile.write_tokens(docs, out)
+    rows = tokenfile.read_tokens(spark, out)
+    assert scanned(rows) == 10_000
+    assert 1 <= scanned(rows.where("doc_id = 5000")) <= 1000  # a row group at most
+    assert scanned(rows.where("doc_id between 5000 and 5010")) <= 2000
+    # within the bounds of a row group, but not in it: the Bloom filters say so, but for one in a hundred
+    assert sum(scanned(rows.where(f"doc_id = {k}")) > 0 for k in range(4001, 4101, 10)) <= 2
+    jvm = spark._jvm
+    name = next(f for f in jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(jvm.org.apache.hadoop.fs.Path(out)) if f.getPath().getName().endswith(".orc"))
+    reader = jvm.org.apache.orc.OrcFile.createReader(name.getPath(), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsparkSession.sessionState().newHadoopConf()))
+    assert reader.getRowIndexStride() == 1000 and reader.getCompressionKind().toString() == "ZSTD"
+    stripe = reader.rows().readStripeFooter(reader.getStripes().get(0))
+    kinds = {s.getKind().toString() for s in stripe.getStreamsList()}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds and {e.getKind().toString() for e in stripe.getColumnsList()} <= {"DIRECT", "DIRECT_V2"}  # run-length encoding of integers, second version
+
+
 # --- personal data -------------------------------------------------------------
 
 SLOW = {
