@@ -82,6 +82,40 @@ def guarded_scan(df: DataFrame, limit: int) -> DataFrame:
     return df
 
 
+def guarded_identity(memories: DataFrame, today: date, limit: int) -> DataFrame:
+    """Memories that haven't expired, if there are at most limit rows even with those that have: two probes, neither counts further than that."""
+    guarded_scan(memories, limit)
+    return guarded_scan(memories.where(~expired("expiration_date", today)), limit)
+
+
+#: What an explicit memory may be.
+CATEGORIES, MAX_TEXT = ("preference", "decision", "pitfall", "general"), 2000
+
+
+def validate_addition(text: str, scope: str, category: str) -> str:
+    """The text of an explicit memory, trimmed."""
+    clean = (text or "").strip()
+    if not clean:
+        raise ValueError("text must not be empty")
+    if len(clean) > MAX_TEXT:
+        raise ValueError(f"text has {len(clean)} characters, at most {MAX_TEXT} are allowed")
+    if scope not in ("project", "global"):
+        raise ValueError(f"unknown scope {scope!r}")
+    if category not in CATEGORIES:
+        raise ValueError(f"unknown category {category!r}")
+    return clean
+
+
+def ingest_budget(corpus: DataFrame, max_items: int, max_cost: float, per_million_tokens: float, tokens: Column) -> DataFrame:
+    """(items, tokens, cost, verdict) of a corpus before it is embedded: ok, too_many_items or too_costly. tokens: an estimate for each row."""
+    if max_items <= 0 or max_cost < 0 or per_million_tokens < 0:
+        raise ValueError("a budget must not be negative, and allow an item")
+    found = corpus.agg(F.count("*").alias("items"), F.coalesce(F.sum(tokens), F.lit(0)).cast("bigint").alias("tokens"))
+    cost = F.col("tokens") / 1_000_000 * per_million_tokens
+    why = F.when(F.col("items") > max_items, "too_many_items").when(cost > max_cost, "too_costly").otherwise("ok")
+    return found.select("items", "tokens", F.round(cost, 6).alias("cost"), why.alias("verdict"))
+
+
 def validate_recent(hours: int, limit: int, scope: str) -> None:
     if isinstance(hours, bool) or not isinstance(hours, int) or not 1 <= hours <= 8760:
         raise ValueError("hours must be an integer from 1 to 8760")

@@ -99,12 +99,15 @@ def semantic_cursor(project: Column, session: Column, goal: Column, reply: Colum
 
 
 def coalesce_sessions(snapshots: DataFrame) -> DataFrame:
-    """(job_id, state) of snapshots (job_id, session_id, created_at, turns): an older one whose turns the newest holds in a row is coalesced."""
-    newest = snapshots.groupBy("session_id").agg(F.max_by(F.struct(F.col("job_id").alias("id"), F.col("turns").alias("turns")), F.struct("created_at", "job_id")).alias("n"))
-    a, b = F.col("n.turns"), F.col("turns")
-    held = (F.size(b) == 0) | F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - F.size(b) + 1)), lambda i: F.slice(a, i, F.size(b)) == b)
-    rows = snapshots.join(newest, "session_id")
-    return rows.select("job_id", "session_id", F.when(F.col("job_id") == F.col("n.id"), "pending").when(held & (F.size(a) >= F.size(b)), "coalesced").otherwise("pending").alias("state"))
+    """(job_id, session_id, state) of snapshots (job_id, session_id, created_at, turns): an older one whose turns the newest holds in a row is coalesced.
+
+    Turns meet as one text of digests, so that "in a row" is one search in it.
+    """
+    said = F.concat(F.lit("|"), F.array_join(F.transform("turns", lambda t: F.concat(F.md5(F.coalesce(t.cast("string"), F.lit("\0"))), F.lit("|"))), ""))
+    rows = snapshots.select("job_id", "session_id", "created_at", said.alias("said"))
+    newest = rows.groupBy("session_id").agg(F.max_by(F.struct(F.col("job_id").alias("id"), F.col("said").alias("all")), F.struct("created_at", "job_id")).alias("n"))
+    state = F.when(F.col("job_id") == F.col("n.id"), "pending").when(F.col("n.all").contains(F.col("said")), "coalesced").otherwise("pending")
+    return rows.join(newest, "session_id").select("job_id", "session_id", state.alias("state"))
 
 
 def branch(nodes: DataFrame, leaves: DataFrame) -> DataFrame:

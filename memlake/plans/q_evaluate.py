@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from memlake.functions import text as tx
 from memlake.operators import calibration as cal
 from memlake.operators import evaluation as ev
-from memlake.operators import search
+from memlake.operators import filters, search
 from memlake.plans.q_search import _PROXY, asked
 from memlake.plans.registry import query
-from memlake.plans.views import cte, literal_cte, table, view
+from memlake.plans.views import columns_of, cte, literal_cte, table, view
 
 _SECRET = tx.SECRET_RULES[0][0].replace("'", "''")
 _CATEGORY = "CASE query_id % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'scope' WHEN 2 THEN 'temporal' ELSE 'hard_negative' END"
@@ -187,6 +187,31 @@ def grid(spark, sf):
     return cal.threshold_grid(rows, _PS, _MS)
 
 
+_BEHIND = f"""SELECT doc_id, {_GOLD} AS gold, doc_id % 20 = 1 AS must_abstain, {_PREDICTED} AS prediction, {_P} AS probability, round({_P} - (1 - {_P}) * 0.7E0, 6) AS margin, round((1 - {_P}) * 0.7E0, 6) AS p2,
+ CASE WHEN doc_id % 9 <> 0 THEN 100 + doc_id % 350 END AS latency_ms, doc_id % 500 AS input_tokens, doc_id % 40 AS output_tokens, (doc_id % 70) * 0.0001E0 AS cost_usd, CASE doc_id % 3 WHEN 0 THEN 'zh' WHEN 1 THEN 'en' ELSE 'mixed' END AS language FROM labels"""
+_OTHER = "CASE WHEN prediction = 'DISTINCT' THEN 'EQUIVALENT' ELSE 'DISTINCT' END"
+
+
+@query("thresholded_metrics", f"""WITH r AS ({_BEHIND}), x AS (SELECT *, CASE WHEN margin <= 0 THEN NULL WHEN prediction = 'EQUIVALENT' THEN CASE WHEN probability >= 0.8 AND margin >= 0.25 THEN prediction END WHEN prediction = 'CONFLICT' THEN CASE WHEN probability >= 0.75 AND margin >= 0.2 THEN prediction END ELSE prediction END AS said,
+ CASE WHEN prediction IS NOT NULL THEN (SELECT sum(pow(CASE WHEN c = prediction THEN probability WHEN c = {_OTHER} THEN p2 ELSE 0 END - CASE WHEN c = gold THEN 1 ELSE 0 END, 2)) FROM (SELECT unnest(['EQUIVALENT', 'CONFLICT', 'DISTINCT']) AS c)) END AS b FROM r),
+a AS (SELECT language, count(*) AS n, count(*) FILTER (WHERE NOT must_abstain) AS eligible, count(said) FILTER (WHERE NOT must_abstain) AS accepted, count(*) FILTER (WHERE NOT must_abstain AND said <> 'DISTINCT') AS destructive, count(*) FILTER (WHERE must_abstain OR said IS NULL) AS abstentions,
+ count(*) FILTER (WHERE NOT must_abstain AND said = 'EQUIVALENT' AND gold <> said) AS false_merge, count(*) FILTER (WHERE NOT must_abstain AND said = 'CONFLICT' AND gold <> said) AS false_supersede, count(said) FILTER (WHERE must_abstain) AS must_abstain_violations,
+ count(*) FILTER (WHERE NOT must_abstain AND gold = 'EQUIVALENT') AS ge, count(*) FILTER (WHERE NOT must_abstain AND gold = 'CONFLICT') AS gc, count(*) FILTER (WHERE NOT must_abstain AND gold = said AND gold = 'EQUIVALENT') AS he, count(*) FILTER (WHERE NOT must_abstain AND gold = said AND gold = 'CONFLICT') AS hc,
+ round(avg(b) FILTER (WHERE NOT must_abstain), 6) AS brier, quantile_disc(latency_ms, 0.5) AS latency_p50, quantile_disc(latency_ms, 0.95) AS latency_p95, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, round(sum(cost_usd), 6) AS cost_usd FROM x GROUP BY language)
+SELECT language, n, eligible, accepted, destructive, abstentions, false_merge, false_supersede, must_abstain_violations, coalesce(round(destructive / nullif(ge + gc, 0), 4), 0) AS destructive_coverage, round(he / nullif(ge, 0), 4) AS recall_equivalent, round(hc / nullif(gc, 0), 4) AS recall_conflict,
+ brier, latency_p50, latency_p95, CAST(input_tokens AS BIGINT) AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens, cost_usd, coalesce(round(accepted / nullif(eligible, 0), 4), 0) AS coverage, coalesce(round(abstentions / nullif(n, 0), 4), 0) AS abstention_rate,
+ CASE WHEN false_merge + false_supersede = 0 AND destructive > 0 THEN round(least(1, -ln(0.05) / destructive), 4) END AS error_bound FROM a""")
+def thresholded_metrics(spark, sf):
+    rows = table(spark, sf, "labels").selectExpr(*columns_of(_BEHIND))
+    probabilities = F.when(F.col("prediction").isNotNull(), F.map_from_arrays(F.array("prediction", F.expr(_OTHER)), F.array("probability", "p2")))
+    return cal.thresholded(rows.withColumn("probabilities", probabilities), ["language"])
+
+
+@query("ingest_budget", "WITH b AS (SELECT count(*) AS items, CAST(coalesce(sum((length(text) + 3) // 4), 0) AS BIGINT) AS tokens FROM documents) SELECT items, tokens, round(tokens / 1000000 * 0.15::DOUBLE, 6) AS cost, CASE WHEN items > 1000000 THEN 'too_many_items' WHEN tokens / 1000000 * 0.15::DOUBLE > 0.01 THEN 'too_costly' ELSE 'ok' END AS verdict FROM b")
+def ingest_budget(spark, sf):
+    return filters.ingest_budget(table(spark, sf, "documents"), 1_000_000, 0.01, 0.15, F.floor((F.length("text") + 3) / 4))
+
+
 # --- answers -------------------------------------------------------------------
 
 _ANSWERS = [(1, "the cat and a dog", "a dog, the cat"), (2, "Paris", "paris."), (3, "7 May 2023", "May 7, 2023"), (4, "blue", "red"), (5, "unknown", "I don't know"), (6, "to be or not to be", "be be to"), (7, "An apple", "apple"), (8, "x y z", "x y"), (9, "not mentioned", "It is not mentioned in the text")]

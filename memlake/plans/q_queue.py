@@ -10,7 +10,7 @@ from memlake.operators import capture as ca
 from memlake.operators import machine
 from memlake.operators import queue as qu
 from memlake.plans.registry import query
-from memlake.plans.views import EPOCH, NOW, cte, table, view
+from memlake.plans.views import EPOCH, NOW, columns_of, cte, table, view
 from memlake.streaming import jobs as stream
 
 _JOB = "concat(lower(host), '-', substr(sha256(concat_ws(':', lower(host), session_id, event, boundary)), 1, 16))"
@@ -90,19 +90,6 @@ def dead_histogram(spark, sf):
 # --- captures and the life of a job --------------------------------------------
 
 
-def _columns(select: str) -> list[str]:
-    """The columns of a select over events: cut at commas outside brackets and quotes."""
-    text = select.removeprefix("SELECT ").removesuffix(" FROM events")
-    out, depth, quoted, at = [], 0, False, 0
-    for k, c in enumerate(text):
-        quoted ^= c == "'"
-        depth += 0 if quoted else (c == "(") - (c == ")")
-        if c == "," and not depth and not quoted:
-            out.append(text[at:k])
-            at = k + 1
-    return [*out, text[at:]]
-
-
 _HOST = "CASE event_id % 5 WHEN 0 THEN 'Codex' WHEN 1 THEN 'Pi' WHEN 2 THEN 'zcode' WHEN 3 THEN 'Antigravity' ELSE 'codex' END"
 _RAW = """CASE WHEN event_id % 17 = 0 THEN 'not json' WHEN event_id % 19 = 0 THEN '{}' WHEN event_id % 5 = 0 THEN concat('{"session_id":"', CASE WHEN event_id % 2 = 0 THEN '' ELSE concat('s', user_id) END, '","conversation_id":"c', user_id, '","hook_event_name":"SessionEnd","cwd":"/w/', user_id % 7, '"}')
  WHEN event_id % 5 = 1 THEN concat('{"sessionId":"p', user_id, '","event":"', CASE WHEN event_id % 3 = 0 THEN 'agent_settled' WHEN event_id % 3 = 1 THEN 'session_shutdown' ELSE 'other' END, '","session_file":"/t/', event_id, '"}')
@@ -122,7 +109,7 @@ q AS (SELECT h AS host, boundary, CASE h WHEN 'codex' THEN coalesce({_said('sess
  CASE h WHEN 'codex' THEN {_said('transcript_path', 'transcript_file')} WHEN 'pi' THEN {_said('transcript_path', 'session_file')} WHEN 'zcode' THEN {_said('transcript_path', 'transcript_file')} ELSE {_said('transcriptPath', 'transcript_path')} END AS transcript_path FROM p)
 SELECT concat(host, '-', substr(sha256(concat_ws(':', host, session_id, event, boundary)), 1, 16)) AS job_id, host, event, session_id, project_dir, transcript_path, boundary FROM q""")
 def capture_payloads(spark, sf):
-    return ca.payloads(table(spark, sf, "events").selectExpr(*_columns(_CAPTURES)))
+    return ca.payloads(table(spark, sf, "events").selectExpr(*columns_of(_CAPTURES)))
 
 
 _PUBLISHED = """SELECT concat('j', event_id) AS name, CASE event_id % 13 WHEN 0 THEN NULL WHEN 1 THEN '{broken' WHEN 2 THEN concat('{"job_id":"j', event_id, '","schema_version":2}') WHEN 3 THEN '{"job_id":"another"}' ELSE concat('{"job_id":"j', event_id, '","schema_version":1}') END AS payload,
@@ -131,7 +118,7 @@ _PUBLISHED = """SELECT concat('j', event_id) AS name, CASE event_id % 13 WHEN 0
 
 @query("queue_quarantine", f"WITH p AS ({_PUBLISHED.replace('FROM events', ', event_id FROM events')}) SELECT name, CASE event_id % 13 WHEN 0 THEN 'incomplete' WHEN 1 THEN 'corrupt_payload' WHEN 2 THEN 'other_version' WHEN 3 THEN 'other_job' ELSE CASE WHEN event_id % 11 < 2 THEN 'corrupt_state' END END AS reason FROM p")
 def quarantine(spark, sf):
-    return ca.checked(table(spark, sf, "events").selectExpr(*_columns(_PUBLISHED))).select("name", "reason")
+    return ca.checked(table(spark, sf, "events").selectExpr(*columns_of(_PUBLISHED))).select("name", "reason")
 
 
 #: Each user's events as the actions on one job.
@@ -154,7 +141,7 @@ def _shown(states: DataFrame) -> DataFrame:
 
 @query("queue_states", _FOLD)
 def queue_states(spark, sf):
-    return _shown(machine.final_states(table(spark, sf, "events").selectExpr(*_columns(_ACTIONS))))
+    return _shown(machine.final_states(table(spark, sf, "events").selectExpr(*columns_of(_ACTIONS))))
 
 
 @query("stream_queue_states", _FOLD)
@@ -162,7 +149,7 @@ def stream_queue_states(spark, sf):
     """The same by a stateful stream over the events file, run to its end."""
     schema = table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    return _shown(machine.latest(stream.run_available(spark, machine.follow(raw.selectExpr(*_columns(_ACTIONS))), "update")))
+    return _shown(machine.latest(stream.run_available(spark, machine.follow(raw.selectExpr(*columns_of(_ACTIONS))), "update")))
 
 
 # --- transcripts ---------------------------------------------------------------

@@ -84,3 +84,16 @@ def quoted(value: object) -> str:
 def literal_cte(name: str, columns: str, rows: list[tuple]) -> str:
     """Literal rows as a common table expression."""
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)})"
+
+
+def columns_of(select: str) -> list[str]:
+    """The columns of a select over one table: cut at commas outside brackets and quotes."""
+    text = select.removeprefix("SELECT ").rpartition(" FROM ")[0]
+    out, depth, quoted, at = [], 0, False, 0
+    for k, c in enumerate(text):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            out.append(text[at:k])
+            at = k + 1
+    return [*out, text[at:]]

@@ -196,8 +196,15 @@ def test_sources(spark, tmp_path):
 
 
 def test_decision_lists_every_reason():
-    assert calibration.decide({"samples": 40, "errors": 0, "coverage": .6, "recall_drop": 0, "cost_ratio": .1}) == (True, [])
-    assert calibration.decide({"samples": 3, "errors": 1}) == (False, ["samples", "errors", "coverage", "recall_drop", "cost_ratio"])
+    good = {"n": 40, "false_merge": 0, "false_supersede": 0, "must_abstain_violations": 0, "coverage": 0.6, "recall_equivalent": 0.9, "recall_conflict": 0.8, "cost_usd": 0.1, "latency_p95": 200}
+    old = {"recall_equivalent": 0.91, "recall_conflict": 0.8, "cost_usd": 0.5, "latency_p95": 300}
+    go = lambda t=None, b=None, accepts=2, origins=("measured", "measured"), **slices: calibration.disqualified({"EQUIVALENT": accepts, "CONFLICT": 2}, {"overall": good | (t or {}), **slices}, {"overall": old | (b or {})}, origins)
+    assert go() == []
+    assert go(accepts=0) == ["calibration_evidence_insufficient:EQUIVALENT"]
+    assert go({"n": 3, "false_merge": 1, "must_abstain_violations": 1, "coverage": 0.4}) == ["sample_size_insufficient", "false_merges_exceeded", "must_abstain_violated", "coverage_below_minimum"]
+    assert go(zh={"false_merge": 0, "false_supersede": 2}) == ["language_slice_safety_failure:zh:false_supersede"]
+    assert go({"recall_equivalent": 0.88, "recall_conflict": None}, origins=("synthetic fixture", "x")) == ["non_decision_grade_measurements", "recall_drop_exceeded:overall:EQUIVALENT", "recall_evidence_missing:overall:CONFLICT"]
+    assert go({"cost_usd": 0.3, "latency_p95": 301}) == ["cost_gate_failed", "latency_gate_failed"] and go(b={"cost_usd": 0, "latency_p95": None}) == ["baseline_cost_missing", "latency_evidence_missing"]
 
 
 def test_links_of_frequent_and_rare_entities_stay(spark, tmp_path):
@@ -382,3 +389,42 @@ def test_job_rules():
     assert gone.tombstone and advance(gone, 403, "enqueue", None).state is None and advance(gone, 403, "retry", None).state is None
     with pytest.raises(ValueError):
         advance(job, 1, "lose", None)
+
+
+def test_overlay_needs_an_exact_cover(spark):
+    samples = spark.createDataFrame([(1, "a"), (2, "b")], "id int, gold string")
+    seen = spark.createDataFrame([(1, "x", None), (2, None, 5)], "id int, relation string, latency_ms int")
+    got = {r.id: (r.gold, r.relation, r.latency_ms, r.cost) for r in calibration.with_defaults(samples, seen, {"latency_ms": 9, "cost": 0.1}).collect()}
+    assert got == {1: ("a", "x", 9, 0.1), 2: ("b", None, 5, 0.1)}
+    for bad in (seen.where("id = 1"), seen.union(seen.limit(1)), seen.union(spark.createDataFrame([(3, "x", 1)], seen.schema))):
+        with pytest.raises(ValueError):
+            calibration.with_defaults(samples, bad, {})
+
+
+def test_thresholds_and_ties(spark):
+    rows = [("EQUIVALENT", .80, .25), ("EQUIVALENT", .79, .9), ("CONFLICT", .75, .2), ("CONFLICT", .9, .19), ("DISTINCT", .34, .01), ("DISTINCT", .5, 0.0), (None, None, None), ("OTHER", .9, .9)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, prediction string, probability double, margin double")
+    assert [r.a for r in df.select("k", calibration.accepted().alias("a")).orderBy("k").collect()] == ["EQUIVALENT", None, "CONFLICT", None, "DISTINCT", None, None, None]
+
+
+def test_guards(spark):
+    from datetime import date
+
+    rows = spark.createDataFrame([("1", "2020-01-01"), ("2", None), ("3", "2099-01-01")], "id string, expiration_date string")
+    assert filters.guarded_identity(rows, date(2024, 1, 1), 3).count() == 2
+    with pytest.raises(ValueError):
+        filters.guarded_identity(rows, date(2024, 1, 1), 2)  # the expired one counts in the first probe
+    assert filters.validate_addition(" x ", "global", "pitfall") == "x"
+    for bad in (("", "global", "general"), ("y" * 2001, "global", "general"), ("y", "all", "general"), ("y", "global", "other")):
+        with pytest.raises(ValueError):
+            filters.validate_addition(*bad)
+    with pytest.raises(ValueError):
+        filters.ingest_budget(rows, 0, 1.0, 1.0, F.lit(1))
+    verdict = lambda n, cost: filters.ingest_budget(rows, n, cost, 1.0, F.lit(1_000_000)).first().verdict
+    assert (verdict(3, 3.0), verdict(2, 3.0), verdict(3, 2.9)) == ("ok", "too_many_items", "too_costly")
+
+
+def test_held_turns_are_found_in_a_row(spark):
+    rows = [("new", "s", 9, ["a", "b", "c", "b"]), ("in", "s", 1, ["b", "c"]), ("gap", "s", 2, ["a", "c"]), ("none", "s", 3, []), ("long", "s", 4, ["a", "b", "c", "b", "d"]), ("part", "s", 5, ["a", "b", "c", "b"])]
+    got = {r.job_id: r.state for r in queue.coalesce_sessions(spark.createDataFrame(rows, "job_id string, session_id string, created_at int, turns array<string>")).collect()}
+    assert got == {"new": "pending", "in": "coalesced", "gap": "pending", "none": "coalesced", "long": "pending", "part": "coalesced"}
