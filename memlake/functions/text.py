@@ -5,86 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no content in a query, in natural order. A deployment adds the name of its own product.
-GATE_STOP_WORDS = (
-    "a about above after again against all am an and any are aren't as at be because been before being below between both but by "
-    "can can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't has hasn't "
-    "have haven't having he he'd he'll he's her here here's hers herself him himself his how how's i i'd i'll i'm i've if in into is isn't "
-    "it it's its itself let's me more most mustn't my myself no nor not of off on once only or other ought our ours ourselves out over own "
-    "same shan't she she'd she'll she's should shouldn't so some such than that that's the their theirs them themselves then there there's "
-    "these they they'd they'll they're they've this those through to too under until up very was wasn't we we'd we'll we're we've were "
-    "weren't what what's when when's where where's which while who who's whom why why's with won't would wouldn't you you'd you'll you're "
-    "you've your yours yourself yourselves refer refers user users memory memories"
-).split()
-
-# Stop words of the lexical proxy.
-PROXY_STOP_WORDS = (
-    "a an the in on at to for of and or is are was were be been being do does did how what where which who whom when why "
-    "can could should would will shall i you he she it we they me him her us them my your his their our its this that these those "
-    "repo repository "
-    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 如何 什么 哪些 怎么 哪个 是否"
-).split()
-
-# Patterns of structural hazards.
-RAW_LOG = (
-    r"^(?i:(?:(?:\[\s*)?(?:\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\s*\]?\s*)?"
-    r"\[?\s*(?:DEBUG|TRACE|INFO|WARN(?:ING)?|ERROR|FATAL)\b\s*\]?"
-    r"|Traceback\s*\(most\s+recent\s+call\s+last\):|\s*at\s+[a-zA-Z0-9_$.]+\([a-zA-Z0-9_$.]+:\d+\)|\s*panic:\s+runtime\s+error:))"
+from memlake.functions.fixed_values import (  # noqa: F401  also read as attributes of this module
+    ABSTENTIONS, ACKNOWLEDGEMENT, CONTROL_TAG, DURABLE_HINTS, FEEDBACK_MARKS, FILE_PATH, GATE_STOP_WORDS, LOREM, NEEDS_REDACTION, OVERRIDE, PREMISE_ABSTENTIONS, PROXY_STOP_WORDS, RAW_LOG, SECRET_RULES, SENSITIVE, SHUTDOWN_COMMANDS, STRICT_ABSTENTIONS, TRANSIENT, TRANSIENT_ERRORS, TRANSIENT_PHRASES,
 )
-CONTROL_TAG = r"^(?i:</?(?:[A-Za-z][\w:-]*context[\w:-]*|admin|system|developer)\b[^>]*>)"
-OVERRIDE = (
-    r"(?is)^\s*(?:please\s+)?(?:ignore|disregard|override|bypass)\b.{0,80}"
-    r"\b(?:instruction|instructions|command|commands|prompt|prompts|policy|policies|rule|rules|safety|gate|gates)\b"
-    r"|^\s*(?:\[?\s*important\s*\]?\s*)?(?:system|developer|admin)\s+(?:instruction|instructions|prompt|message|override)\s*:"
-    r"|^\s*(?:important\s+)?system\s+override\s*:"
-    r"|^\s*(?:please\s+)?(?:reveal|show|print|expose|dump)\b.{0,80}\b(?:system|developer|instruction|instructions|prompt|prompts|secret|secrets|credential|credentials)\b"
-    r"|^\s*(?:you\s+are\s+now\s+in|enter|switch\s+to)\s+(?:developer|dan|jailbreak|unrestricted|god|admin)\s+mode\b"
-    r"|(?:^|[.!?]\s+)(?:now\s+)?(?:act|behave|respond)\s+as\b"
-)
-TRANSIENT = (
-    r"(?i)^(?:(?:好的|收到|明白(?:了)?|我知道了|知道了|没问题|可以|行|谢谢|多谢)[，,！!。.;；\s]*){1,3}$"
-    r"|^(?:(?:thanks(?:\s+(?:a lot|so much))?|thank you|ok(?:ay)?|got it|understood|sounds good|looks good|great)[,!.;\s]*){1,3}$"
-)
-# Acknowledgements.
-ACKNOWLEDGEMENT = (
-    r"(?i)^(?:(?:好的|收到|明白(?:了)?|我知道了|知道了|没问题|可以|行|谢谢|多谢|稍等|正在处理|继续|这就去办|马上处理|这就开始|这就处理)[，,！!。.;；\s]*){1,4}$"
-    r"|^(?:(?:thanks(?:\s+(?:a\s+lot|so\s+much))?|thank\s+you|ok(?:ay)?|got\s+it|understood|sounds\s+good|looks\s+good|great|confirmed|done|sure|working\s+on\s+it|"
-    r"i\s+will\s+start\s+working\s+on\s+it|let's\s+discuss\s+in\s+the\s+standup(?:\s+meeting)?)[,!.;\s]*){1,4}$"
-)
-TRANSIENT_PHRASES = [
-    "好的", "收到", "明白了", "明白", "我知道了", "知道了", "稍等", "正在处理", "正在运行", "正在执行", "正在查看", "正在运行测试", "继续",
-    "没问题", "可以", "行", "谢谢", "多谢", "这就去办", "这就开始", "马上处理", "这就处理",
-    "ok", "okay", "sure", "got it", "done", "working on it", "understood", "looks good", "sounds good", "thanks", "thank you", "great", "confirmed",
-    "let's discuss in the standup meeting", "let's discuss in the standup", "i will start working on it",
-    "运行测试", "跑测试", "跑下测试", "查看代码", "检查文件", "查看状态", "running tests", "checking files", "analyzing codebase", "fetching docs",
-]
-FEEDBACK_MARKS = ["👎", "❌", "⚠️", "🔥", "🛑", "❗", "❓"]
-LOREM = r"(?i)^\s*lorem\s+ipsum\s+dolor\s+sit\s+amet\b"
-DURABLE_HINTS = ["port", "listen", "listening", "host", "hostname", "config", "configured", "data_dir", "database", "endpoint", "version", "protocol", "bind", "path", "端口", "监听", "配置", "数据库", "路径", "版本", "协议"]
-# Secrets.
-SECRET_RULES = [
-    (r"(?i)(api[_-]?key|secret|token|password|bearer|auth[_-]?key)([\s:=\"']+)[a-zA-Z0-9_\-\.]{16,}", "$1$2[REDACTED_SECRET]"),
-    (r"(?:A3T[A-Z0-9]|AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA)[A-Z0-9]{16}", "[REDACTED_AWS_KEY]"),
-    (r"-----BEGIN [A-Z ]+PRIVATE KEY-----[\s\S]*?-----END [A-Z ]+PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
-]
-SHUTDOWN_COMMANDS = ["/exit", "exit", "quit", ":q", "/quit", "bye", "exit()", "quit()"]
-FILE_PATH = r"[a-zA-Z0-9_./-]+\.(?:py|ts|tsx|js|jsx|rs|go|rb|java|sh|yaml|yml|json|toml|md|sql|css|html)"
-# Patterns of sensitive text in datasets, and of facts that need redaction.
-SENSITIVE = [
-    r"(?i)-----BEGIN [A-Z0-9_\- ]*KEY-----", r"\bghp_[A-Za-z0-9_]{36,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"\b1[3-9]\d{9}\b",
-    r"(?i)\bpassword\s*[:=]\s*['\"][^'\"]{6,}['\"]", r"\b(sk-[a-zA-Z0-9]{32,}|api[-_]key\s*[:=]\s*['\"][a-zA-Z0-9]{20,}['\"])",
-]
-NEEDS_REDACTION = [
-    r"(?i)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", r"\b(?:sk|rk)-[A-Za-z0-9_-]{12,}\b", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", r"\bgithub_pat_[A-Za-z0-9_]{20,}\b",
-    r"\bAKIA[A-Z0-9]{16}\b", r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{12,}", r"(?i)\b(?:api[_ -]?key|access[_ -]?token|secret|password|passwd|pwd)\b\s*[:=]\s*[\"']?[^\s\"';]{8,}",
-]
-# Phrases of an answer that abstains; the two of the strict rule; more for false premises.
-ABSTENTIONS = ["don't know", "do not know", "unknown", "not mentioned", "not provided", "no information", "cannot find", "unspecified", "not stated", "未知", "不知道", "未提及", "未说明"]
-STRICT_ABSTENTIONS = ["no information available", "not mentioned"]
-PREMISE_ABSTENTIONS = [*STRICT_ABSTENTIONS, "don't know", "do not know", "unknown", "not provided", "no information", "cannot find", "unspecified", "not stated", "did not happen", "didn't happen", "never occurred", "not occurred", "false premise", "未知", "不知道", "未提及", "未说明", "未发生"]
-# Marks of an error that is worth another try.
-TRANSIENT_ERRORS = ["429", "resource_exhausted", "rate limit", "timeout", "timed out", "deadline exceeded", "500", "502", "503", "504", "unavailable", "internal error", "connection reset", "connection refused"]
-
 
 _WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -94,11 +17,6 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_WHITE))
 
 
-def ascii_only(c: Column) -> Column:
-    """Characters beyond ASCII as spaces."""
-    return F.regexp_replace(c, r"[^\x00-\x7F]", " ")
-
-
 def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 

@@ -85,3 +85,10 @@ def breach_streak(runs: DataFrame) -> DataFrame:
     last_ok = F.max(F.when(~F.col("breached"), F.col("run")))
     by = runs.groupBy("metric").agg(last_ok.alias("ok"))
     return runs.join(by, "metric").groupBy("metric").agg(F.count_if(F.col("ok").isNull() | (F.col("run") > F.col("ok"))).alias("streak"))
+
+
+def report_lines(metrics: DataFrame, title: str) -> DataFrame:
+    """(n, line): metrics (metric, value) as a Markdown table, by name; a missing value is a dash."""
+    rows = metrics.select(F.row_number().over(Window.orderBy("metric")).alias("k"), F.concat(F.lit("| "), "metric", F.lit(" | "), F.coalesce(F.format_string("%.4f", F.col("value").cast("double")), F.lit("-")), F.lit(" |")).alias("line"))
+    head = metrics.sparkSession.createDataFrame([(1, f"# {title}"), (2, ""), (3, "| metric | value |"), (4, "|---|---|")], "n int, line string")
+    return head.union(rows.select((F.col("k") + 4).cast("int"), "line"))

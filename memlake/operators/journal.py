@@ -48,6 +48,40 @@ def revert_outcomes(memories: DataFrame, journal: DataFrame) -> DataFrame:
     return rows.select("operation_id", F.col("loser_id").alias("id"), F.when(why == "reverted", F.col("pre_status")).alias("restore_status"), why.alias("outcome"))
 
 
+def applied(memories: DataFrame, outcome: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """memories after the applied outcomes, and a journal (operation_id, id, before) of each record they changed, whole.
+
+    memories: id, status, superseded_by, merged_ids, confirmation_count,
+    last_confirmed_at, updated_at and any other columns. A winner of equal records
+    takes in its losers in the same operation: their ids and confirmations and the
+    latest confirmation; of a conflict the loser alone changes.
+    """
+    done = outcome.where("outcome = 'applied'")
+    said = done.where("relation = 'EQUIVALENT'").join(memories.select(F.col("id").alias("loser_id"), F.col("merged_ids").alias("_ids"), F.col("confirmation_count").alias("_n"), F.col("last_confirmed_at").alias("_at")), "loser_id")
+    none = F.array().cast("array<string>")
+    gain = said.groupBy(F.col("winner_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("loser_id"), F.coalesce("_ids", none))))).alias("_ids"), F.sum(F.coalesce("_n", F.lit(1))).alias("_n"), F.max("_at").alias("_at"))
+    lost = done.groupBy(F.col("loser_id").alias("id")).agg(F.min("winner_id").alias("_by"))
+    rows = memories.join(gain, "id", "left").join(lost, "id", "left")
+    grown = F.col("_n").isNotNull()
+    new = {
+        "status": F.when(F.col("_by").isNotNull(), "superseded").otherwise(F.col("status")), "superseded_by": F.coalesce("_by", "superseded_by"),
+        "merged_ids": F.when(grown, F.array_sort(F.array_union(F.coalesce("merged_ids", none), "_ids"))).otherwise(F.col("merged_ids")),
+        "confirmation_count": F.when(grown, F.coalesce("confirmation_count", F.lit(1)) + F.col("_n")).otherwise(F.col("confirmation_count")).cast(memories.schema["confirmation_count"].dataType),
+        "last_confirmed_at": F.when(grown, F.greatest("last_confirmed_at", "_at")).otherwise(F.col("last_confirmed_at")),
+        "updated_at": F.when(grown | F.col("_by").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")).cast(memories.schema["updated_at"].dataType),
+    }
+    after = rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in memories.columns])
+    touched = done.select("operation_id", F.col("loser_id").alias("id")).union(done.where("relation = 'EQUIVALENT'").select("operation_id", F.col("winner_id").alias("id")))
+    return after, touched.join(memories.select("id", F.struct("*").alias("before")), "id").select("operation_id", "id", "before")
+
+
+def restored(memories: DataFrame, journal: DataFrame) -> DataFrame:
+    """memories with the records of a journal (id, before) exactly as they were; of several entries of a record the one whose state is the oldest."""
+    old = journal.groupBy("id").agg(F.min_by("before", F.coalesce(F.col("before.updated_at"), F.lit(0))).alias("before"))
+    rows = memories.join(old, "id", "left")
+    return rows.select(*[F.when(F.col("before").isNotNull(), F.col("before").getField(c)).otherwise(F.col(f"`{c}`")).alias(c) for c in memories.columns])
+
+
 def fence(captures: DataFrame) -> DataFrame:
     """(session_id, seq, allowed, blocked_by) of captures (session_id, seq, signature, refused).
 

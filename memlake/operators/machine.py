@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from memlake.operators import queue, sessions
 from memlake.operators.queue import LEASE, MAX_ATTEMPTS, TERMINAL
 
 ACTIONS = ("enqueue", "claim", "complete", "skip", "fail", "expire", "retry", "prune")
@@ -122,3 +123,25 @@ def latest(updates: DataFrame) -> DataFrame:
     """Of each job the update after its last action."""
     rest = ("state", "attempt", "not_before", "claimed_at", "tombstone", "actions")
     return updates.groupBy("job_id").agg(F.max_by(F.struct(*rest), "actions").alias("s")).select("job_id", "s.*")
+
+
+def process(jobs: DataFrame, turns: DataFrame, receipts: DataFrame, project: str = "") -> DataFrame:
+    """What becomes of claimed jobs (job_id, conv_id): (job_id, action, reason, cursor).
+
+    turns: conv_id, turn, role, content; receipts: cursor. A session without turns or
+    with nothing but noise is skipped, as is one whose cursor has a receipt or that an
+    earlier job of the same run has; all others complete, with their cursor as receipt.
+    """
+    said = turns.where(F.trim(F.coalesce("content", F.lit(""))) != "")
+    verdict = sessions.skip_sessions(said).select("conv_id", "skip", F.col("reason").alias("why"))
+    line = F.struct(F.col("role").alias("role"), F.col("content").alias("content"))
+    whole = said.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]).alias("turns")).join(queue.goals(said), "conv_id")
+    cursor = queue.semantic_cursor(F.lit(project), F.col("conv_id").cast("string"), F.col("last_goal"), F.col("last_reply"), F.array().cast("array<string>"), F.col("turns"))
+    rows = jobs.select("job_id", "conv_id").join(verdict, "conv_id", "left").join(whole.select("conv_id", cursor.alias("cursor")), "conv_id", "left")
+    rows = rows.join(receipts.select("cursor", F.lit(True).alias("seen")).distinct(), "cursor", "left")
+    first = rows.where("not skip").groupBy("cursor").agg(F.min("job_id").alias("first"))
+    rows = rows.join(first, "cursor", "left")
+    why = (
+        F.when(F.col("skip").isNull(), "no_turns").when(F.col("skip"), F.col("why")).when(F.col("seen"), "already_distilled").when(F.col("job_id") != F.col("first"), "already_distilled")
+    )
+    return rows.select("job_id", F.when(why.isNull(), "complete").otherwise("skip").alias("action"), why.alias("reason"), F.when(why.isNull(), F.col("cursor")).alias("cursor"))

@@ -23,12 +23,13 @@ def event_time() -> Column:
     return instant(F.coalesce(F.nullif(F.col("updated_at"), F.lit("")), F.col("created_at")))
 
 
-def recent(history: DataFrame, memories: DataFrame, now: int, hours: int = DEFAULT_HOURS, limit: int = 50, scope: str = "all", project: str | None = None, user: str | None = None, verified_only: bool = False, until: int | None = None, since: int | None = None) -> DataFrame:
+def recent(history: DataFrame, memories: DataFrame, now: int, hours: int = DEFAULT_HOURS, limit: int = 50, scope: str = "all", project: str | None = None, user: str | None = None, verified_only: bool = False, until: int | None = None, since: int | None = None, zone: str = "UTC") -> DataFrame:
     """Events of the window [since, or else now - hours, until) that the user may see.
 
     memories: id, user_id, agent_id, status. Events without a known memory stay
     unless verified_only. The side that is joined is chosen by Catalyst's size
-    statistics; the range and the columns reach the scan.
+    statistics; the range and the columns reach the scan. zone: that of the local
+    time shown beside UTC.
     """
     validate_recent(hours, limit, scope)
     when = event_time()
@@ -50,7 +51,7 @@ def recent(history: DataFrame, memories: DataFrame, now: int, hours: int = DEFAU
         rows = rows.where(place.isNull() | place.isin("global", project))
     shown = F.when(F.col("event") == "DELETE", F.col("old_memory")).otherwise(F.col("new_memory"))
     rows = rows.orderBy(F.desc("event_ts"), F.desc("rowid")).limit(max(0, min(limit, MAX_ROWS)))
-    return rows.select("rowid", "memory_id", "event", place.alias("scope"), shown.alias("memory"), F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("created_at_utc"))
+    return rows.select("rowid", "memory_id", "event", place.alias("scope"), shown.alias("memory"), F.date_format(F.from_utc_timestamp("event_ts", zone), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("created_at_utc"))
 
 
 def temporal_window(query: str, now: int) -> tuple[int, int | None, int] | None:

@@ -58,6 +58,11 @@ def ir_overall(spark, sf):
     return ev.means(ev.per_query(*_inputs(spark, sf)))
 
 
+@query("report_markdown", f"{_CELLS}, m AS (SELECT metric, round(avg(value), 4) AS value FROM cells WHERE {_SKIP} GROUP BY metric) SELECT n, line FROM (VALUES (1, '# Retrieval'), (2, ''), (3, '| metric | value |'), (4, '|---|---|')) AS h(n, line) UNION ALL SELECT CAST(4 + row_number() OVER (ORDER BY metric) AS INT), concat('| ', metric, ' | ', printf('%.4f', value), ' |') FROM m")
+def report_markdown(spark, sf):
+    return ev.report_lines(ev.means(ev.per_query(*_inputs(spark, sf))), "Retrieval")
+
+
 @query("ir_metrics_by_category", f"{_CELLS} SELECT category, metric, round(avg(value), 4) AS value FROM cells WHERE {_SKIP} GROUP BY ALL")
 def ir_by_category(spark, sf):
     return ev.means(ev.per_query(*_inputs(spark, sf)), "category")

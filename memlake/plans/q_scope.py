@@ -99,13 +99,13 @@ def _timeline(name: str, where: str, hours: int = 24, **options):
     sql = (
         f"WITH {cte('hist', 'mem')}, h AS (SELECT rowid, memory_id, event, old_memory, new_memory, {stamp} AS ts FROM hist), "
         f"j AS (SELECT h.*, m.id AS known, m.user_id AS owner, m.agent_id AS place, m.status FROM h LEFT JOIN mem m ON m.id = h.memory_id WHERE ts >= {since}) "
-        f"SELECT rowid, memory_id, event, place AS scope, CASE WHEN event = 'DELETE' THEN old_memory ELSE new_memory END AS memory, strftime(make_timestamp(CAST(ts AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at_utc "
+        f"SELECT rowid, memory_id, event, place AS scope, CASE WHEN event = 'DELETE' THEN old_memory ELSE new_memory END AS memory, strftime(make_timestamp((CAST(ts AS BIGINT) + 28800) * 1000000), '%Y-%m-%d %H:%M:%S') AS timestamp, strftime(make_timestamp(CAST(ts AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at_utc "
         f"FROM j WHERE (known IS NULL OR {_ACTIVE}) AND (owner IS NULL OR owner = '{USER}') AND {where} ORDER BY ts DESC, rowid DESC LIMIT 100"
     )
 
     @query(name, sql)
     def run(spark, sf):
-        return timeline.recent(view(spark, sf, "hist"), view(spark, sf, "mem"), NOW, hours=hours, limit=100, user=USER, **options)
+        return timeline.recent(view(spark, sf, "hist"), view(spark, sf, "mem"), NOW, hours=hours, limit=100, user=USER, zone="+08:00", **options)
 
 
 _timeline("recent_timeline_all", f"(place IS NULL OR place IN ('global', '{PROJECT}'))", scope="all", project=PROJECT)

@@ -26,11 +26,24 @@ def parse_notes(raw: DataFrame) -> DataFrame:
     return raw.select("file", field("name").alias("name"), field("description").alias("description"), field("type").alias("kind"), F.trim(body).alias("body"), F.regexp_replace(folder, r"-[0-9a-fA-F]{8,}$", "").alias("project"))
 
 
-def transcript_lines(spark: SparkSession, path: str, max_lines: int = MAX_LINES) -> DataFrame:
-    """(file, n, line): the last max_lines lines of each file, in file order."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line")).where("line <> ''")
-    late = Window.partitionBy("file").orderBy(F.desc("n"))
-    return lines.withColumn("r", F.row_number().over(late)).where(F.col("r") <= max_lines).drop("r")
+def transcript_lines(spark: SparkSession, path: str, max_lines: int = MAX_LINES, max_bytes: DataFrame | None = None) -> DataFrame:
+    """(file, n, line): the last max_lines lines of each file, in file order.
+
+    max_bytes: (file, max_bytes), how much of a file there was when it was captured;
+    a line that only begins within it counts as far as it goes. Files are read line by
+    line and split like any text; a line's place is the sum of the bytes before it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    if max_bytes is not None:
+        before = F.coalesce(F.sum(F.octet_length("line") + 1).over(Window.partitionBy("file").orderBy("block", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        known = max_bytes.select(F.col("file").alias("__file"), "max_bytes")
+        lines = lines.withColumn("room", before).join(known, F.col("file") == F.col("__file"), "left").withColumn("room", F.col("max_bytes") - F.col("room"))
+        inside = F.decode(F.substring(F.encode("line", "utf-8"), F.lit(1), F.greatest(F.col("room"), F.lit(0)).cast("int")), "utf-8")
+        lines = lines.withColumn("line", F.when(F.col("room").isNull() | (F.octet_length("line") <= F.col("room")), F.col("line")).otherwise(inside)).drop("room", "__file", "max_bytes")
+    # the limit by place is applied before the shuffle, too
+    late = Window.partitionBy("file").orderBy(F.desc("block"), F.desc("id"))
+    kept = lines.where("line <> ''").withColumn("r", F.row_number().over(late)).where(F.col("r") <= max_lines)
+    return kept.select("file", (-F.col("r")).alias("n"), "line")
 
 
 def _text(node: Column) -> Column:

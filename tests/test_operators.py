@@ -428,3 +428,43 @@ def test_held_turns_are_found_in_a_row(spark):
     rows = [("new", "s", 9, ["a", "b", "c", "b"]), ("in", "s", 1, ["b", "c"]), ("gap", "s", 2, ["a", "c"]), ("none", "s", 3, []), ("long", "s", 4, ["a", "b", "c", "b", "d"]), ("part", "s", 5, ["a", "b", "c", "b"])]
     got = {r.job_id: r.state for r in queue.coalesce_sessions(spark.createDataFrame(rows, "job_id string, session_id string, created_at int, turns array<string>")).collect()}
     assert got == {"new": "pending", "in": "coalesced", "gap": "pending", "none": "coalesced", "long": "pending", "part": "coalesced"}
+
+
+def test_apply_then_revert_gives_the_same_records(spark):
+    from memlake.operators import journal
+
+    kinds = "id string, memory string, status string, superseded_by string, merged_ids array<string>, confirmation_count int, last_confirmed_at bigint, updated_at bigint, `odd name` int"
+    rows = [("w", "x", None, None, ["m"], 2, 50, 5, 1), ("l", "x", "", None, ["k"], 3, 90, 6, 2), ("c", "y", "active", None, None, None, None, None, 3), ("d", "z", None, None, None, 1, 7, 8, 4), ("other", "q", None, None, None, 1, 7, 8, 5)]
+    before = spark.createDataFrame(rows, kinds)
+    outcome = spark.createDataFrame([("1", "w", "l", "EQUIVALENT", "applied"), ("2", "d", "c", "CONFLICT", "applied"), ("3", "other", "w", "EQUIVALENT", "loser_changed")], "operation_id string, winner_id string, loser_id string, relation string, outcome string")
+    after, entries = journal.applied(before, outcome, 100)
+    got = {r.id: r for r in after.collect()}
+    assert (got["w"].confirmation_count, got["w"].merged_ids, got["w"].last_confirmed_at, got["w"].status, got["w"].updated_at) == (5, ["k", "l", "m"], 90, None, 100)
+    assert (got["l"].status, got["l"].superseded_by, got["c"].superseded_by) == ("superseded", "w", "d")
+    assert (got["d"].confirmation_count, got["d"].updated_at) == (1, 8) and got["other"].updated_at == 8  # a conflict leaves its winner alone
+    back = journal.restored(after, entries)
+    assert back.schema == before.schema and sorted(map(repr, back.collect())) == sorted(map(repr, before.collect()))
+
+
+def test_claimed_jobs_are_processed(spark):
+    from memlake.operators import machine
+
+    turns = spark.createDataFrame([(1, 0, "user", "Please move the store to port 7001"), (1, 1, "assistant", "The store listens on 7001 now."), (2, 0, "user", "ok"), (2, 1, "assistant", "done."), (3, 0, "user", "  ")], "conv_id int, turn int, role string, content string")
+    jobs = spark.createDataFrame([("j1", 1), ("j2", 2), ("j3", 3), ("j4", 4), ("j5", 1)], "job_id string, conv_id int")
+    none = spark.createDataFrame([], "cursor string")
+    got = {r.job_id: r for r in machine.process(jobs, turns, none, "p").collect()}
+    assert {k: (r.action, r.reason) for k, r in got.items()} == {"j1": ("complete", None), "j2": ("skip", "pre_transient_only"), "j3": ("skip", "no_turns"), "j4": ("skip", "no_turns"), "j5": ("skip", "already_distilled")}
+    again = machine.process(jobs.where("job_id = 'j1'"), turns, spark.createDataFrame([(got["j1"].cursor,)], "cursor string"), "p").first()
+    assert (again.action, again.reason) == ("skip", "already_distilled")
+
+
+def test_transcripts_within_a_byte_bound(spark, tmp_path):
+    text = "\n".join(['{"role":"user","content":"é%d"}' % k for k in range(10)])
+    (tmp_path / "t.jsonl").write_text(text)
+    (tmp_path / "u.jsonl").write_text(text)
+    whole = readers.transcript_lines(spark, str(tmp_path / "t.jsonl"), 3)
+    file = whole.first().file
+    cut = len("\n".join(text.split("\n")[:4]).encode()) + 5  # into the fifth line
+    bound = spark.createDataFrame([(file, cut)], "file string, max_bytes bigint")
+    got = readers.parse_turns(readers.transcript_lines(spark, str(tmp_path), 3, bound), "flat").orderBy("file", "n").collect()
+    assert [(r.file[-7], r.content) for r in got] == [("t", "é2"), ("t", "é3"), ("u", "é7"), ("u", "é8"), ("u", "é9")]
