@@ -50,24 +50,6 @@ def bm25_scores(spark, sf):
     return search.bm25(asked(spark, sf), view(spark, sf, "mem")).select("query_id", "id", F.round("bm25_raw", 6).alias("bm25_raw"))
 
 
-@query("hybrid_search", f"""WITH {_BM25}, f AS (SELECT query_id, id, bm25_raw / (bm25_raw + 4.0::DOUBLE) AS bm25, CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM bm JOIN mem USING (id) WHERE coalesce(nullif(status, ''), 'active') <> 'superseded'),
-g AS (SELECT query_id, id, round(least(1.0, (bm25 * 0.8::DOUBLE + bm25 + boost) / CASE WHEN max(greatest(bm25, boost)) OVER (PARTITION BY query_id) > 0 THEN 2.0 ELSE 1.0 END), 6) AS final_score FROM f),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, CAST(id AS BIGINT)) AS rank FROM g) SELECT query_id, id, final_score, CAST(rank AS INT) AS rank FROM r WHERE rank <= {POOL}""")
-def hybrid(spark, sf):
-    from pyspark.sql.window import Window
-
-    from memlake.operators.filters import active
-
-    number = F.col("id").cast("bigint")
-    mem = view(spark, sf, "mem")
-    scores = search.bm25(asked(spark, sf), mem).join(mem.where(active()).select("id"), "id", "left_semi").select("query_id", "id", (F.col("bm25_raw") / (F.col("bm25_raw") + search.HALF)).alias("bm25_score"))
-    # without an embedder the semantic score follows the lexical one; an entity link every ninth memory
-    fused = search.fuse(scores.withColumn("semantic_score", F.col("bm25_score") * 0.8).withColumn("entity_boost", F.when(number % 9 == 0, 0.2).otherwise(0.0)))
-    fused = fused.withColumn("final_score", F.round("final_score", 6))
-    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), number)))
-    return ranked.where(F.col("rank") <= POOL).select("query_id", "id", "final_score", "rank")
-
-
 #: Details by which the candidates reach every branch of the gate.
 _DETAILS = {
     "query": "CASE WHEN query_id % 10 = 7 THEN concat('project p1 ', regexp_replace(query, '[^a-zA-Z ]', ' ')) WHEN query_id % 10 = 8 THEN 'Understood.' WHEN query_id % 10 = 9 THEN '使用框架 配置端口' ELSE query END",
@@ -167,19 +149,39 @@ def trace_stages(spark, sf):
 # --- search as a call ------------------------------------------------------------
 
 _CUSTOM = {"category": ["preference", "decision", "general"]}
-_VISIBLE = f"""{cte('mem').replace('mem AS', 'mem0 AS', 1)}, mem AS (SELECT mem0.*, CAST(embedding AS DOUBLE[]) AS embedding, CASE WHEN doc_id % 9 = 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM mem0 JOIN embeddings ON vec_id = doc_id
- WHERE user_id = 'u2' AND agent_id IN ('global', 'p1') AND category IN ('preference', 'decision', 'general') AND coalesce(nullif(status, ''), 'active') <> 'superseded')"""
-_CALL = f"""{_BM25.replace(cte('mem'), _VISIBLE)}, qv AS (SELECT query_id, query, CAST(embedding AS DOUBLE[]) AS qe FROM asked JOIN embeddings ON vec_id = query_id),
+_LIVE = "coalesce(nullif(status, ''), 'active') <> 'superseded'"
+
+
+def _pool(where: str, threshold: float) -> str:
+    """The pool of each item among the memories where a condition holds, with vectors, words and boosts, as c0."""
+    visible = f"""{cte('mem').replace('mem AS', 'mem0 AS', 1)}, mem AS (SELECT mem0.*, CAST(embedding AS DOUBLE[]) AS embedding, CASE WHEN doc_id % 9 = 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM mem0 JOIN embeddings ON vec_id = doc_id WHERE {where})"""
+    return f"""{_BM25.replace(cte('mem'), visible)}, qv AS (SELECT query_id, query, CAST(embedding AS DOUBLE[]) AS qe FROM asked JOIN embeddings ON vec_id = query_id),
 p0 AS (SELECT qv.query_id, query, mem.*, list_cosine_similarity(qe, embedding) AS semantic_score, coalesce(bm25_raw, 0) / (coalesce(bm25_raw, 0) + 4.0::DOUBLE) AS bm25_score FROM qv CROSS JOIN mem LEFT JOIN bm ON bm.query_id = qv.query_id AND bm.id = mem.id),
-p1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic_score + bm25_score + boost DESC, id) AS rank FROM p0 WHERE semantic_score >= 0.0),
-c0 AS (SELECT query_id, id, doc_id, rank, user_id, agent_id, scope, status, query, memory, semantic_score, bm25_score, boost AS entity_boost, least(1.0, (semantic_score + bm25_score + boost) / CASE WHEN max(greatest(bm25_score, boost)) OVER (PARTITION BY query_id) > 0 THEN 2.0 ELSE 1.0 END) AS final_score, 0.0::DOUBLE + least(1.0, (semantic_score + bm25_score + boost) / CASE WHEN max(greatest(bm25_score, boost)) OVER (PARTITION BY query_id) > 0 THEN 2.0 ELSE 1.0 END) AS score, true AS has_details FROM p1 WHERE rank <= {POOL})
+p1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic_score + bm25_score + boost DESC, id) AS rank FROM p0 WHERE semantic_score >= {threshold}),
+c0 AS (SELECT *, final_score AS score FROM (SELECT query_id, id, doc_id, rank, user_id, agent_id, scope, status, query, memory, semantic_score, bm25_score, boost AS entity_boost, least(1.0, (semantic_score + bm25_score + boost) / CASE WHEN max(greatest(bm25_score, boost)) OVER (PARTITION BY query_id) > 0 THEN 2.0 ELSE 1.0 END) AS final_score, true AS has_details FROM p1 WHERE rank <= {POOL}))"""
+
+
+_CALL = f"""{_pool(f"user_id = 'u2' AND agent_id IN ('global', 'p1') AND category IN ('preference', 'decision', 'general') AND {_LIVE}", 0.0)}
 {_GATE[len(_CANDIDATES):]}"""
 
 
-def _call(spark, sf) -> dict:
+def _with_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
     queries = asked(spark, sf).join(vectors, F.col("query_id") == F.col("v")).drop("v")
-    memories = view(spark, sf, "mem").join(vectors, F.col("doc_id") == F.col("v")).withColumn("entity_boost", F.when(F.col("doc_id") % 9 == 0, 0.3).otherwise(0.0))
+    return queries, view(spark, sf, "mem").join(vectors, F.col("doc_id") == F.col("v")).withColumn("entity_boost", F.when(F.col("doc_id") % 9 == 0, 0.3).otherwise(0.0))
+
+
+@query("hybrid_search", f"WITH {_pool(_LIVE, 0.1)} SELECT query_id, id, round(final_score, 6) AS final_score, CAST(rank AS INT) AS rank FROM c0")
+def hybrid(spark, sf):
+    """Vectors, words and boosts together over all that is active, without a gate."""
+    from memlake.operators.filters import active
+
+    queries, memories = _with_vectors(spark, sf)
+    return search.fuse(search.pooled(queries, memories.where(active()), POOL)).select("query_id", "id", F.round("final_score", 6).alias("final_score"), "rank")
+
+
+def _call(spark, sf) -> dict:
+    queries, memories = _with_vectors(spark, sf)
     config = search.GateConfig(final_threshold=0.1, bm25_threshold=0.15, lexical_semantic_threshold=0.1, dense_only_threshold=0.2)
     return {"queries": queries, "memories": memories, "user": "u2", "project": "p1", "limit": LIMIT, "custom": _CUSTOM, "threshold": 0.0, "config": config}
 
