@@ -39,7 +39,7 @@ from memlake.llm.common import Scratch
 #: Vectors the index is fitted on, those of least hash.
 SAMPLE = 16_384
 MAX_LISTS = 1024
-PROBED_SHARE = 0.6
+PROBED_SHARE = 0.75
 SUBSPACES, CODES = 16, 256
 #: Vectors of a bin scored exactly first; the k-th best of them says how far to go on.
 RERANK = 64

@@ -483,8 +483,9 @@ def test_extraction_of_the_tables_pages(spark, sf):
 # --- nearest neighbours --------------------------------------------------------
 
 
-def test_search_recall_and_exact_scores(spark, sf):
-    vectors = table(spark, sf, "embeddings")
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_search_recall_and_exact_scores(spark, scale):
+    vectors = table(spark, f"/root/testdata/sf{scale}", "embeddings")
     rows = vectors.collect()
     x, ids = np.array([r.embedding for r in rows], dtype=float), np.array([r.vec_id for r in rows])
     got: dict = {}
