@@ -468,3 +468,22 @@ def test_transcripts_within_a_byte_bound(spark, tmp_path):
     bound = spark.createDataFrame([(file, cut)], "file string, max_bytes bigint")
     got = readers.parse_turns(readers.transcript_lines(spark, str(tmp_path), 3, bound), "flat").orderBy("file", "n").collect()
     assert [(r.file[-7], r.content) for r in got] == [("t", "é2"), ("t", "é3"), ("u", "é7"), ("u", "é8"), ("u", "é9")]
+
+
+def test_consolidation_recovers_applies_in_order_and_repeats_nothing(spark):
+    from memlake.operators import consolidation, journal
+
+    kinds = "id string, memory string, status string, source string, created_at bigint, superseded_by string, merged_ids array<string>, confirmation_count int, last_confirmed_at bigint, updated_at bigint"
+    row = lambda i, at, **k: (i, k.get("text", i), k.get("status"), "import", at, None, None, 1, at, at)
+    memories = spark.createDataFrame([row("a", 1), row("b", 1000), row("c", 2000), row("d", 3000), row("e", 4000), row("f", 5000, status="superseded"), row("g", 6000)], kinds)
+    old = consolidation.plan(memories, spark.createDataFrame([("d", "e", "EQUIVALENT")], "a string, b string, relation string"))  # planned, not applied
+    decided = spark.createDataFrame([("b", "a", "EQUIVALENT"), ("b", "c", "CONFLICT"), ("a", "c", "EQUIVALENT"), ("d", "g", "EQUIVALENT"), ("f", "g", "EQUIVALENT"), ("a", "a", "EQUIVALENT"), ("c", "g", "DISTINCT")], "a string, b string, relation string")
+    none = spark.createDataFrame([], "operation_id string, status string")
+    after, outcomes, entries = consolidation.run(memories, decided, old, none, 9999)
+    # d lost to e in the recovery, so its later pair is no pair; a lost to b, so a-c is skipped; b lost to c afterwards
+    assert {(r.phase, r.winner_id, r.loser_id, r.outcome) for r in outcomes.collect()} == {("recovery", "e", "d", "applied"), ("run", "b", "a", "applied"), ("run", "c", "b", "applied")}
+    now = {r.id: (r.status, r.superseded_by, r.confirmation_count) for r in after.collect()}
+    assert now["d"] == ("superseded", "e", 1) and now["e"][2] == 2 and now["a"][:2] == ("superseded", "b") and now["b"][:2] == ("superseded", "c") and now["c"] == (None, None, 1) and now["g"] == (None, None, 1)
+    again, second, _ = consolidation.run(after, decided, old, outcomes.select("operation_id", journal.F.lit("applied").alias("status")), 10_000)
+    assert {r.outcome for r in second.collect()} <= {"already_applied"} and sorted(map(repr, again.collect())) == sorted(map(repr, after.collect()))
+    assert sorted(map(repr, journal.restored(after, entries).collect())) == sorted(map(repr, memories.collect()))
