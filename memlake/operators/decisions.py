@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,37 @@ def observations(decided: DataFrame, salt: str) -> DataFrame:
     return decided.select(F.substring(mark, 1, 16).alias("fingerprint"), "relation", "shadow_relation", (F.col("relation") == F.col("shadow_relation")).alias("agrees"))
 
 
+def shadow_run(pairs: DataFrame, user: str, project: str, scope: str, allowed_projects: Sequence[str], salt: str, max_calls: int) -> DataFrame:
+    """Each decided pair as one run of a second opinion sees it: (fingerprint, relation, shadow_relation, status).
+
+    pairs: relation, shadow_relation (null: the call failed) and id, text, user_id,
+    agent_id, status suffixed _a, _b. Status: not_allowed where the run's project or
+    scope has no leave, skipped_guard for records of another identity, that are
+    superseded or lack id or text, skipped_budget beyond max_calls of the run, by
+    fingerprint, else degraded or observed. What is skipped shows no second opinion;
+    the primary relation is never changed.
+    """
+    whole = F.lit(True)
+    for s in "ab":
+        whole = whole & (F.col(f"user_id_{s}") == user) & (F.col(f"agent_id_{s}") == project) & active(f"status_{s}") & (F.coalesce(f"id_{s}", F.lit("")) != "") & (F.coalesce(f"text_{s}", F.lit("")) != "")
+    sides = [F.concat_ws("\x1f", f"id_{s}", f"text_{s}") for s in "ab"]
+    mark = F.substring(F.sha2(F.concat_ws("\x1e", F.lit(salt), F.least(*sides), F.greatest(*sides)), 256), 1, 24)
+    allowed = F.lit(scope == "project" and project in allowed_projects)
+    rows = pairs.select(mark.alias("fingerprint"), "relation", "shadow_relation", F.when(~allowed, "not_allowed").when(~F.coalesce(whole, F.lit(False)), "skipped_guard").alias("_why"))
+    # the last fingerprint within the budget, by a bounded sort
+    last = rows.where("_why is null").select("fingerprint").orderBy("fingerprint").limit(max(max_calls, 0)).agg(F.max("fingerprint").alias("_last"))
+    status = F.coalesce("_why", F.when(F.col("_last").isNull() | (F.col("fingerprint") > F.col("_last")), "skipped_budget").when(F.col("shadow_relation").isNull(), "degraded").otherwise("observed"))
+    out = rows.join(F.broadcast(last)).withColumn("status", status)  # one row
+    return out.select("fingerprint", "relation", F.when(status == "observed", F.col("shadow_relation")).alias("shadow_relation"), "status")
+
+
+def shadow_report(run: DataFrame) -> DataFrame:
+    """One row: attempted, observed, failed, skipped_guard, skipped_budget, disagreements, status (not_allowed, degraded or ok)."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    out = run.agg((n("observed") + n("degraded")).alias("attempted"), n("observed").alias("observed"), n("degraded").alias("failed"), n("skipped_guard").alias("skipped_guard"), n("skipped_budget").alias("skipped_budget"), F.count_if(F.col("shadow_relation") != F.col("relation")).alias("disagreements"), n("not_allowed").alias("_barred"))
+    return out.withColumn("status", F.when(F.col("_barred") > 0, "not_allowed").when((F.col("failed") > 0) | (F.col("skipped_budget") > 0), "degraded").otherwise("ok")).drop("_barred")
+
+
 def shadow(decided: DataFrame, salt: str, budget: int) -> DataFrame:
     """The observations to store: at most budget rows by fingerprint. Counts are taken over observations()."""
     return observations(decided, salt).orderBy("fingerprint").limit(budget)

@@ -487,3 +487,18 @@ def test_consolidation_recovers_applies_in_order_and_repeats_nothing(spark):
     again, second, _ = consolidation.run(after, decided, old, outcomes.select("operation_id", journal.F.lit("applied").alias("status")), 10_000)
     assert {r.outcome for r in second.collect()} <= {"already_applied"} and sorted(map(repr, again.collect())) == sorted(map(repr, after.collect()))
     assert sorted(map(repr, journal.restored(after, entries).collect())) == sorted(map(repr, memories.collect()))
+
+
+def test_a_second_opinion_has_guards_and_a_budget(spark):
+    from memlake.operators import decisions
+
+    kinds = ", ".join(f"{c}_{s} string" for s in "ab" for c in ("id", "text", "user_id", "agent_id", "status")) + ", relation string, shadow_relation string"
+    pair = lambda k, said="DISTINCT", b=(None, None), **x: (f"a{k}", "t", "u", "p", None, x.get("id", f"b{k}"), x.get("text", "t"), b[0] or "u", b[1] or "p", x.get("status"), "DISTINCT", said)
+    rows = spark.createDataFrame([pair(k) for k in range(5)] + [pair(5, "CONFLICT"), pair(6, None), pair(7, b=("x", None)), pair(8, b=(None, "q")), pair(9, status="superseded"), pair(10, id=""), pair(11, text=None)], kinds)
+    run = lambda n, **k: decisions.shadow_run(rows, "u", "p", k.get("scope", "project"), ["p"], "salt", n)
+    report = lambda df: decisions.shadow_report(df).first().asDict()
+    assert report(run(100)) == {"attempted": 7, "observed": 6, "failed": 1, "skipped_guard": 5, "skipped_budget": 0, "disagreements": 1, "status": "degraded"}
+    some = report(run(3))
+    assert (some["attempted"], some["skipped_budget"]) == (3, 4) and report(run(0))["skipped_budget"] == 7
+    assert report(run(9, scope="all"))["status"] == "not_allowed" and run(9, scope="all").where("shadow_relation is not null").count() == 0
+    assert run(100).select("fingerprint").distinct().count() == 12 and run(100).where("relation <> 'DISTINCT'").count() == 0
