@@ -50,6 +50,36 @@ def trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return grams, np.cumsum(size) - size, first
 
 
+def second_may_pay(like: np.ndarray, at: np.ndarray, count: np.ndarray, best: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """Whether some second language may raise a row's likelihood by more than the price; false is certain.
+
+    like: (words, languages); at, count: each row's first word and words. With the
+    share e of a second language the likelihood is concave in e: where its slope at e
+    is not positive, its greatest value lies before e and below the tangent at e.
+    """
+    may = np.zeros(len(at), dtype=bool)
+    for j in range(like.shape[1]):
+        left = np.flatnonzero((best != j) & ~may)
+        before = np.zeros(len(at))
+        for step in (0.5, 2.0, 8.0, 32.0):
+            if not len(left):
+                break
+            words = np.concatenate([np.arange(a, a + c) for a, c in zip(at[left], count[left])])
+            edges = np.cumsum(count[left]) - count[left]
+            share = np.minimum(step * price[left] / count[left], 0.5)
+            ratio = np.expm1(np.minimum(like[words, j].astype(np.float64) - like[words, np.repeat(best[left], count[left])], 60.0))
+            mix = 1 + np.repeat(share, count[left]) * ratio
+            gain, slope = np.add.reduceat(np.log(mix), edges), np.add.reduceat(ratio / mix, edges)
+            down = slope <= 0
+            bound = gain - slope * (share - before[left])
+            # a hair below the price, so that rounding can't close what is open
+            may[left[(down & (bound > price[left] - 1e-6)) | (~down & (gain > price[left]))]] = True
+            before[left] = share
+            left = left[~down & ~may[left]]
+        may[left] = True
+    return may
+
+
 class LanguageModel:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
@@ -76,7 +106,8 @@ class LanguageModel:
         chosen[np.arange(len(live)), best] = True
         share[live, best] = 1
         price = 0.5 * np.log(count + 1.0) + 1
-        open_ = np.arange(len(live))  # positions in live whose set may still grow
+        # positions in live whose set may still grow
+        open_ = np.flatnonzero(second_may_pay(like, at, count, best, price))
         for _ in range(k - 1):
             if not len(open_):
                 break
