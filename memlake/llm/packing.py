@@ -3,8 +3,8 @@
 A document's vector is the sum of a hashed sign vector for each word. It is
 projected to few dimensions, each is cut into quantiles of the normal curve, and
 the cell's place on the Hilbert curve is the document's key. Documents are range
-partitioned by key (ties: by id), with bounds from one pass of an approximate
-quantile sketch, sorted within each partition and cut into sequences of LENGTH
+partitioned by key (ties: by id), with bounds from an approximate quantile sketch
+over a sample of rows, sorted within each partition and cut into sequences of LENGTH
 ids; the last stretch of a partition becomes sequences of powers of two, which
 need no padding. So no padding is left at all, and neighbours on the curve meet.
 
@@ -34,8 +34,8 @@ LENGTH = 2048
 DIMENSIONS, BITS = 4, 7
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Ranges for each partition: their sizes even out.
-RANGES = 4
+#: Ranges for each partition: their sizes even out. Rows of the sample for each range.
+RANGES, PER_RANGE = 4, 64
 
 #: The cell of a coordinate, by quantiles of the normal curve (Acklam's starting points are not needed: a logistic fits well enough).
 _QUANTILES = np.arange(1, 1 << BITS) / (1 << BITS)
@@ -97,8 +97,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def cut_points(docs: DataFrame, ranges: int) -> list[int]:
-    """Bounds of ranges of about equal rows, from a mergeable quantile sketch."""
+    """Bounds of ranges of about equal rows, from a mergeable quantile sketch over a sample by hash: where they lie changes the sizes of tasks alone."""
     steps = [k / ranges for k in range(1, ranges)]
+    share = PER_RANGE * ranges / max(docs.count(), 1)
+    if share < 1:
+        docs = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     found = _keyed(docs).agg(F.percentile_approx("key", steps, 20_000).alias("q")).first() if steps else None
     return sorted(set((found and found.q) or []))
 
