@@ -236,9 +236,15 @@ def token_f1(spark, sf):
     return rows.join(shared, "id", "left").select("id", F.round(F.coalesce(2 * p * r / (p + r), F.lit(0.0)), 6).alias("f1"), same.alias("exact"))
 
 
-@query("abstention_phrases", f"WITH {literal_cte('a', 'id, gold, answer', _ANSWERS)} SELECT id, " + " OR ".join("contains(lower(answer), '" + p.replace("'", "''") + "')" for p in tx.ABSTENTIONS) + " AS abstains FROM a")
+_SAID = f"{literal_cte('a0', 'id, gold, answer', _ANSWERS)}, a AS (SELECT CAST(id AS BIGINT) AS id, answer FROM a0 UNION ALL SELECT 1000 + conv_id * 1000 + turn, text FROM conversations)"
+
+
+@query("abstention_phrases", f"WITH {_SAID} SELECT id, " + " OR ".join("contains(lower(answer), '" + p.replace("'", "''") + "')" for p in tx.ABSTENTIONS) + " AS abstains FROM a")
 def abstains(spark, sf):
-    return spark.createDataFrame(_ANSWERS, "id int, gold string, answer string").select("id", tx.holds_any(F.col("answer"), tx.ABSTENTIONS).alias("abstains"))
+    """The answers above and all turns."""
+    turns = table(spark, sf, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("answer"))
+    rows = spark.createDataFrame(_ANSWERS, "id bigint, gold string, answer string").select("id", "answer").union(turns)
+    return rows.select("id", tx.holds_any(F.col("answer"), tx.ABSTENTIONS).alias("abstains"))
 
 
 _MULTI = [(1, "red, blue ", "blue,green"), (2, "new york, paris", "york,the paris"), (3, "one", "two")]

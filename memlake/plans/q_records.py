@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions import text as tx
 from memlake.operators import decisions as de
 from memlake.operators import records as rc
 from memlake.plans.registry import query
@@ -168,9 +169,12 @@ def shadow(spark, sf):
 _ERRORS = [(1, "Connection reset by peer", True), (5, "peer gone", False), (2, "HTTP 429 too many requests", True), (3, "invalid argument", False), (4, "Deadline exceeded", True)]
 
 
-@query("transient_errors", f"WITH {literal_cte('e', 'k, message, transient', _ERRORS)} SELECT k, transient FROM e")
+@query("transient_errors", f"WITH {literal_cte('e', 'k, message, transient', _ERRORS)} SELECT CAST(k AS BIGINT) AS k, transient FROM e UNION ALL SELECT 1000 + doc_id, regexp_matches(lower(text), '{'|'.join(tx.TRANSIENT_ERRORS)}') FROM documents")
 def transient_errors(spark, sf):
-    return spark.createDataFrame(_ERRORS, "k int, message string, transient boolean").select("k", de.transient_error(F.col("message")).alias("transient"))
+    """The messages above, with the answers as they should be, and all documents."""
+    docs = table(spark, sf, "documents").select((F.col("doc_id") + 1000).alias("k"), F.col("text").alias("message"))
+    rows = spark.createDataFrame(_ERRORS, "k bigint, message string, transient boolean").select("k", "message").union(docs)
+    return rows.select("k", de.transient_error(F.col("message")).alias("transient"))
 
 
 _JUDGED = [(1, "The port is 6333", "It uses port 6333", False, True), (2, "Paris", "I think Paris, France", False, True), (3, "a red bicycle", "a blue car", False, False), (4, "nothing", "I don't know", True, True), (5, "Paris", "I don't know", False, False), (6, "nothing", "Berlin", True, False), (7, "UK", "the uk", False, True)]
