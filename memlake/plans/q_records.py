@@ -99,7 +99,10 @@ def prompts(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.md5(rc.prompt(F.col("text"), F.when(F.col("item_id") % 2 == 0, "search").otherwise("add"))).alias("prompt_md5"))
 
 
-@query("dataset_hash", "WITH d AS (SELECT sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), text)) AS d FROM documents), f AS (SELECT substr(d, 1, 2) AS b, sha256(string_agg(d, '' ORDER BY d)) AS f FROM d GROUP BY 1) SELECT sha256(string_agg(f, '' ORDER BY b)) AS dataset_hash FROM f")
+_WORD_SUMS = ", ".join(f"CAST(coalesce(sum(CAST(concat('0x', substr(d, {8 * k + 1}, 8)) AS BIGINT)), 0) AS VARCHAR)" for k in range(8))
+
+
+@query("dataset_hash", f"WITH d AS (SELECT sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), text)) AS d FROM documents) SELECT sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_WORD_SUMS})) AS dataset_hash FROM d")
 def dataset_hash(spark, sf):
     return rc.dataset_hash(table(spark, sf, "documents"), "doc_id", "text")
 
