@@ -212,7 +212,7 @@ def test_links_of_frequent_and_rare_entities_stay(spark, tmp_path):
 
     rows = [(k, "frequent frequent" + (" singular" if k == 3 else ""), "en") for k in range(100)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in registry.QUERIES["entity_link_prune_rows"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in registry.QUERIES["entity_link_prune"](spark, str(tmp_path)).collect())
     assert got == sorted([("frequent", str(k)) for k in range(100) if k % 7] + [("singular", "3")])
 
 
@@ -221,8 +221,8 @@ def test_later_sentences_are_asked(spark, tmp_path):
 
     spark.createDataFrame([(1, "First words. Then zebras!")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "zebras graze", "en"), (2, "nothing here", "en")], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [(r.query_id, r.id) for r in registry.QUERIES["bm25_scores_whole"](spark, str(tmp_path)).collect()] == [(1, "1")]
-    assert [(r.id, r.overlap) for r in registry.QUERIES["lexical_candidates_topk_whole"](spark, str(tmp_path)).orderBy("rank").collect()] == [("1", 1), ("2", 0)]
+    assert [(r.query_id, r.id) for r in registry.QUERIES["bm25_scores"](spark, str(tmp_path)).collect()] == [(1, "1")]
+    assert [(r.id, r.overlap) for r in registry.QUERIES["lexical_candidates_topk"](spark, str(tmp_path)).orderBy("rank").collect()] == [("1", 1), ("2", 0)]
 
 
 def test_agreement_is_counted_over_all_observations(spark, sf):
@@ -239,10 +239,10 @@ def test_whole_tables_without_subset_filters(spark, sf):
     from memlake.plans import registry
 
     count = lambda t: spark.read.parquet(f"{sf}/{t}.parquet").count()
-    assert registry.QUERIES["epoch_to_iso_all"](spark, sf).count() == count("events")
-    status = {r.state: r.n for r in registry.QUERIES["queue_status_all"](spark, sf).collect()}
+    assert registry.QUERIES["epoch_to_iso"](spark, sf).count() == count("events")
+    status = {r.state: r.n for r in registry.QUERIES["queue_status"](spark, sf).collect()}
     assert sum(status.values()) == count("events") and status["skipped"] > 0
-    assert sum(r.n for r in registry.QUERIES["takeover_thresholds_all"](spark, sf).collect()) == count("labels")
+    assert sum(r.n for r in registry.QUERIES["takeover_thresholds"](spark, sf).collect()) == count("labels")
 
 
 def test_zero_counts_and_ties(spark):
