@@ -154,7 +154,7 @@ _LIVE = "coalesce(nullif(status, ''), 'active') <> 'superseded'"
 
 def _pool(where: str, threshold: float) -> str:
     """The pool of each item among the memories where a condition holds, with vectors, words and boosts, as c0."""
-    visible = f"""{cte('mem').replace('mem AS', 'mem0 AS', 1)}, mem AS (SELECT mem0.*, CAST(embedding AS DOUBLE[]) AS embedding, CASE WHEN doc_id % 9 = 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM mem0 JOIN embeddings ON vec_id = doc_id WHERE {where})"""
+    visible = f"""{cte('mem').replace('mem AS', 'whole_mem AS', 1)}, mem AS (SELECT whole_mem.*, CAST(embedding AS DOUBLE[]) AS embedding, CASE WHEN doc_id % 9 = 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM whole_mem JOIN embeddings ON vec_id = doc_id WHERE {where})"""
     return f"""{_BM25.replace(cte('mem'), visible)}, qv AS (SELECT query_id, query, CAST(embedding AS DOUBLE[]) AS qe FROM asked JOIN embeddings ON vec_id = query_id),
 p0 AS (SELECT qv.query_id, query, mem.*, list_cosine_similarity(qe, embedding) AS semantic_score, coalesce(bm25_raw, 0) / (coalesce(bm25_raw, 0) + 4.0::DOUBLE) AS bm25_score FROM qv CROSS JOIN mem LEFT JOIN bm ON bm.query_id = qv.query_id AND bm.id = mem.id),
 p1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic_score + bm25_score + boost DESC, id) AS rank FROM p0 WHERE semantic_score >= {threshold}),
