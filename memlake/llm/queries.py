@@ -1,4 +1,4 @@
-"""Registered queries op1 to op10, each over its whole table with production parameters."""
+"""Registered queries op1 to op13, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import ann, chat, contamination, extraction, language, neardup, packing, pii, quality, tokenfile
+from memlake.llm import ann, chat, contamination, extraction, fingerprints, language, neardup, packing, periodic, pii, quality, resampling, tokenfile
 from memlake.llm.common import held_out, table
 
 
@@ -56,8 +56,20 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.digest(resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(fingerprints.edits(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_pii, op4_language_id, op5_decontamination, op6_minhash_neardup, op7_chat_format, op8_html_extraction, op9_ivfpq_search, op10_orc_tokens)
+    f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_pii, op4_language_id, op5_decontamination, op6_minhash_neardup, op7_chat_format, op8_html_extraction, op9_ivfpq_search, op10_orc_tokens, op11_importance_resampling, op12_periodic_runs, op13_merkle_fingerprints)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
