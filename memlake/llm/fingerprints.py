@@ -1,19 +1,20 @@
-"""Document fingerprints: a Merkle tree over pieces, paragraphs and sections, in built-in functions alone.
-
-A paragraph is a line with its line end. Where its content says so, at a word whose
-checksum is a multiple of PIECE, it is cut into pieces, the leaves; the first
-WORDS words of a text are leaves each, so that short texts have several too; text
-that repeats words without a cut is cut at every FAR-th word. A leaf's digest is that of its text, a paragraph's that of its leaves' digests, a
-section's that of its paragraphs', the root that of its sections'. A section ends
-with a paragraph whose digest begins with one of two hex digits: as cuts follow
-the content, an edit changes the branches it touches and no others.
-
-A fingerprint is a string: 32 hex digits of the root, a colon, and the leaves in
-order, each as eight hex digits of its digest, "x" and its length in code points;
-leaves are separated by ",", paragraphs by ".", sections by "/". Equal roots are
-equal texts. Two fingerprints are alike by the code points of the leaves they share,
-twice those over all of both (1 for equal roots); differing() descends from
-sections to leaves and gives the stretches of a text that the other lacks.
+"""Document fingerprints: a Merkle tree over paragraphs and sections, in built-in functions alone.
+
+A paragraph is a line with its line end, its digest the SHA-256 of its text. A
+section ends with a paragraph whose digest begins with one of two hex digits, so
+cuts follow the content, and an edit changes the branches it touches and no others.
+A section's digest is that of its paragraphs' digests, the root that of the
+sections'. Below a paragraph are its pieces, which end at punctuation or after PIECE
+characters without any (the words, if the line has at most SHORT characters): they
+tell how much of a changed paragraph is left.
+
+A fingerprint is a string: 32 hex digits of the root, "x" and the length of the text
+in code points, a colon, and the pieces in order. A piece is a number, 27 bits of its
+hash times 128 plus its length in code points; "," ends a piece, "." a paragraph, "/"
+a section. Equal roots are equal texts. Two fingerprints are alike by the code points
+of the pieces they share, twice those over all of both (1 for equal roots);
+differing() descends from sections to pieces and gives the stretches of a text that
+the other lacks.
 
 Null text counts as empty: a root without leaves. Any length of text is one row's
 expression, in memory of a few times the text. In with_next() a row with a null id
@@ -30,104 +31,97 @@ from pyspark.sql.window import Window
 
 from memlake.llm.common import Scratch
 
-PIECE, WORDS, FAR = 8, 32, 64
+PIECE, SHORT = 48, 96
 #: Sections end at paragraphs whose digest begins with one of these.
 SECTION = ("0", "8")
-#: A word of at most 24 characters with the white space behind it, or white space: together all of a text.
-TOKEN = r"[^\t-\r ]{1,24}[\t-\r ]*|[\t-\r ]+"
-#: Marks of cuts; MARK itself is doubled up in the text, so that a mark is never text.
-MARK, LEAF, PARAGRAPH = "\x01", "\x01l", "\x01p"
+#: Their matches are all of a line: words; at most PIECE characters, with at most 8 of punctuation and 24 of white space behind them.
+WORD_PATTERN = r"[^\t-\r ]{1,24}[\t-\r ]{0,24}|[\t-\r ]{1,24}"
+PIECE_PATTERN = rf"[^\n.,;:!?]{{1,{PIECE}}}(?:[\n.,;:!?]{{1,8}}[\t-\r ]{{0,24}})?|[\n.,;:!?]{{1,8}}[\t-\r ]{{0,24}}"
 
 
-def leaves(text: Column) -> Column:
-    """The text cut into paragraphs, those into leaves: array<array<string>>. Joined, and with marks undone, they are the text."""
-    tokens = F.regexp_extract_all(F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(MARK + "e")), F.lit(TOKEN), 0)
-
-    def cut(token: Column, k: Column) -> Column:
-        end = F.when(F.contains(token, F.lit("\n")), F.lit(PARAGRAPH)).when((k < WORDS) | (k % FAR == 0) | (F.crc32(token.cast("binary")) % PIECE == 0), F.lit(LEAF)).otherwise(F.lit(""))
-        return F.concat(token, end)
-
-    marked = F.array_join(F.transform(tokens, cut), "")
-    some = lambda x: x != ""  # noqa: E731  what follows the last mark may be empty
-    return F.transform(F.filter(F.split(marked, PARAGRAPH), some), lambda p: F.filter(F.split(p, LEAF), some))
-
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the fingerprint of column ``text`` (no nulls) as column ``name``."""
+    paragraphs = f"__{name}_paragraphs"
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
 
-def _leaf(piece: Column) -> Column:
-    """A leaf's digest and length: 64 hex digits, "x", code points."""
-    return F.concat(F.sha2(piece, 256), F.lit("x"), F.char_length(F.replace(piece, F.lit(MARK + "e"), F.lit(MARK))).cast("string"))
+    def piece(x: Column) -> Column:
+        return F.concat((F.xxhash64(x).bitwiseAND((1 << 27) - 1) * 128 + F.char_length(x)).cast("string"), F.lit(","))
 
+    def paragraph(line: Column) -> Column:
+        found = F.when(F.char_length(line) <= SHORT, F.regexp_extract_all(line, F.lit(WORD_PATTERN), 0)).otherwise(F.regexp_extract_all(line, F.lit(PIECE_PATTERN), 0))
+        return F.struct(F.sha2(line, 256).alias("own"), F.array_join(F.transform(found, piece), "").alias("pieces"))
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the fingerprint of column ``text`` as column ``name``."""
-    digests, paragraphs, sections = (f"__{name}_{k}" for k in ("leaves", "paragraphs", "sections"))
-    kept = [c for c in df.columns if c != name]
-    df = df.withColumn(digests, F.transform(leaves(F.col(f"`{text}`")), lambda p: F.transform(p, _leaf)))
-    own = lambda p: F.sha2(F.array_join(F.transform(p, lambda x: F.substring(x, 1, 64)), ""), 256)
-    shown = lambda p: F.array_join(F.transform(p, lambda x: F.concat(F.substring(x, 1, 8), F.substring(x, 65, 12))), ",")
-    df = df.withColumn(paragraphs, F.transform(digests, lambda p: F.struct(own(p).alias("own"), shown(p).alias("shown"))))
+    df = df.withColumn(paragraphs, F.transform(F.split(F.col(f"`{text}`"), r"(?<=\n)"), paragraph))
     end = lambda p: F.when(F.substring(p["own"], 1, 1).isin(*SECTION), "/").otherwise(".")
     line = lambda part: F.array_join(F.transform(paragraphs, lambda p: F.concat(p[part], end(p))), "")
-    df = df.withColumn(sections, F.split(F.rtrim(line("own"), F.lit("./")), "/"))
-    root = F.sha2(F.array_join(F.transform(sections, lambda s: F.sha2(s, 256)), ""), 256)
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.concat(F.substring(root, 1, 32), F.lit(":"), F.rtrim(line("shown"), F.lit("./"))).alias(name))
+    top = F.sha2(F.array_join(F.transform(F.split(line("own"), "/"), lambda s: F.sha2(s, 256)), ""), 256)
+    return df.select(*kept, F.concat(F.substring(top, 1, 32), F.lit("x"), F.char_length(F.col(f"`{text}`")).cast("string"), F.lit(":"), line("pieces")).alias(name))
 
 
 def root(fingerprint: Column) -> Column:
     return F.substring(fingerprint, 1, 32)
 
 
-def _leaves_of(fingerprint: Column) -> Column:
-    return F.filter(F.split(F.substring_index(fingerprint, ":", -1), "[,./]"), lambda x: x != "")
-
+def length(fingerprint: Column) -> Column:
+    return F.substring(F.substring_index(fingerprint, ":", 1), 34, 20).cast("bigint")
 
-def _length(leaf: Column) -> Column:
-    return F.regexp_extract(leaf, "x([0-9]+)", 1).cast("bigint")
 
+def _pieces(fingerprint: Column) -> Column:
+    """Pieces of a fingerprint that has some, as numbers."""
+    return F.split(F.rtrim(F.substring_index(fingerprint, ":", -1), F.lit(",./")), "[,./]+").cast("array<bigint>")
 
-def _weight(found: Column) -> Column:
-    return F.aggregate(found, F.lit(0).cast("bigint"), lambda acc, x: acc + _length(x))
 
-
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1, from two fingerprints: the share of both texts that lies in leaves of both, repeated leaves as often as both have them. Null on either side: 0."""
-    x, y = _leaves_of(a), _leaves_of(b)
-    # equal leaves meet in the sorted list, a's before b's
-    both = F.array_sort(F.concat(F.transform(x, lambda v: F.concat(v, F.lit("a"))), F.transform(y, lambda v: F.concat(v, F.lit("b")))))
-    start = F.struct(F.lit("").alias("leaf"), F.lit(0).cast("bigint").alias("free"), F.lit(0).cast("bigint").alias("shared"))
+def _shared(x: Column, y: Column) -> Column:
+    """Code points in pieces of both lists."""
+    zero = F.lit(0).cast("bigint")
+    # equal pieces meet in the sorted list, x's before y's
+    both = F.sort_array(F.concat(F.transform(x, lambda v: v * 2), F.transform(y, lambda v: v * 2 + 1)))
+    start = F.struct(zero.alias("piece"), zero.alias("free"), zero.alias("shared"))
 
     def step(acc: Column, v: Column) -> Column:
-        leaf, here = F.rtrim(v, F.lit("ab")), acc["leaf"] == F.rtrim(v, F.lit("ab"))
-        free = F.when(here, acc["free"]).otherwise(F.lit(0).cast("bigint"))
-        mine = F.endswith(v, F.lit("a"))
+        piece = F.shiftright(v, 1)
+        free = F.when(acc["piece"] == piece, acc["free"]).otherwise(zero)
+        mine = v.bitwiseAND(1) == 0
         meets = ~mine & (free > 0)
-        return F.struct(
-            leaf.alias("leaf"), F.when(mine, free + 1).when(meets, free - 1).otherwise(free).alias("free"), F.when(meets, acc["shared"] + _length(v)).otherwise(acc["shared"]).alias("shared"),
-        )
+        return F.struct(piece.alias("piece"), F.when(mine, free + 1).when(meets, free - 1).otherwise(free).alias("free"), F.when(meets, acc["shared"] + piece.bitwiseAND(127)).otherwise(acc["shared"]).alias("shared"))
 
-    share = 2.0 * F.aggregate(both, start, step)["shared"] / F.nullif(_weight(x) + _weight(y), F.lit(0))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0)))
+    once = F.aggregate(F.array_intersect(x, y), zero, lambda acc, v: acc + v.bitwiseAND(127))
+    plain = F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)) == F.size(x) + F.size(y)
+    return F.when(~F.arrays_overlap(x, y), zero).when(plain, once).otherwise(F.aggregate(both, start, step)["shared"])
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 1, from two fingerprints: the share of both texts that lies in pieces of both, repeated pieces as often as both have them. Null on either side: 0."""
+    lists = F.array(F.struct(_pieces(a).alias("x"), _pieces(b).alias("y")))
+    shared = F.get(F.transform(lists, lambda p: _shared(p["x"], p["y"])), F.lit(0))
+    some = F.least(length(a), length(b)) > 0
+    return F.when(root(a) == root(b), F.lit(1.0)).when(a.isNotNull() & b.isNotNull() & some, 2.0 * shared / (length(a) + length(b))).otherwise(F.lit(0.0))
 
 
 def differing(a: Column, b: Column) -> Column:
-    """array<struct<start, length>>: the stretches of a's text, in code points, whose leaves b lacks. Sections that b has are not entered."""
-    theirs = F.split(F.substring_index(b, ":", -1), "/")
-    known = _leaves_of(b)
-    state = "struct<at:bigint,open:boolean,spans:array<struct<start:bigint,length:bigint>>>"
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("open"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    """array<struct<start, length>>: the stretches of a's text, in code points, whose pieces b lacks. Sections and paragraphs that b has are not entered."""
+    tree = lambda f: F.substring_index(f, ":", -1)
+    sections, paragraphs, pieces = F.split(tree(b), "/"), F.split(tree(b), "[./]"), F.split(tree(b), "[,./]+")
+    new = lambda x, known: ~F.array_contains(known, x)
+
+    def paragraph(fresh: Column):
+        def of(p: Column) -> Column:
+            inner = fresh & new(p, paragraphs)
+            return F.transform(F.filter(F.split(p, ","), lambda x: x != ""), lambda x: F.struct((x.cast("bigint") % 128).alias("n"), (inner & new(x, pieces)).alias("new")))
+
+        return of
+
+    marked = F.flatten(F.flatten(F.transform(F.split(tree(a), "/"), lambda s: F.transform(F.split(s, "[.]"), paragraph(new(s, sections))))))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), F.lit(False).alias("open"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        n, new = _length(x["leaf"]), x["new"]
-        last = F.element_at(acc["spans"], -1)
-        longer = F.concat(F.slice(acc["spans"], 1, F.size(acc["spans"]) - 1), F.array(F.struct(last["start"].alias("start"), (last["length"] + n).alias("length"))))
-        more = F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), n.alias("length"))))
-        return F.struct((acc["at"] + n).alias("at"), new.alias("open"), F.when(~new, acc["spans"]).when(acc["open"], longer).otherwise(more).alias("spans")).cast(state)
-
-    def entered(section: Column) -> Column:
-        there = F.array_contains(theirs, section)
-        return F.transform(F.filter(F.split(section, "[,.]"), lambda x: x != ""), lambda x: F.struct(x.alias("leaf"), (~there & ~F.array_contains(known, x)).alias("new")))
-
-    marked = F.flatten(F.transform(F.split(F.substring_index(a, ":", -1), "/"), entered))
-    return F.aggregate(marked, empty, step)["spans"]
+        last = F.try_element_at(acc["spans"], F.lit(-1))
+        longer = F.concat(F.slice(acc["spans"], 1, F.size(acc["spans"]) - 1), F.array(F.struct(last["start"].alias("start"), (last["length"] + x["n"]).alias("length"))))
+        more = F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), x["n"].alias("length"))))
+        return F.struct((acc["at"] + x["n"]).alias("at"), x["new"].alias("open"), F.when(~x["new"], acc["spans"]).when(acc["open"], longer).otherwise(more).alias("spans"))
+
+    return F.aggregate(marked, start, step)["spans"]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
