@@ -24,8 +24,8 @@ def test_runs(name, spark, sf):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stage_by_stage(spark, sf):
