@@ -28,3 +28,11 @@ def test_without_the_training_data_folders(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-800:]
     assert done.stdout.split(" ", 1)[1].strip() == "[] False True"
+
+
+def test_without_a_library_of_the_training_data_operators(tmp_path):
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('hidden')")
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q) > 90, any(n.startswith('op1') for n in q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{ROOT}"}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-800:]
+    assert done.stdout.split() == ["True", "False", "False", "True"]
