@@ -6,6 +6,12 @@ content region is known. One linear scan finds the best contiguous region; withi
 it, blocks in elements whose weight is negative (menus, adverts, forms, comments
 in the midst of an article) are left out.
 
+What an element's class or role says against its contents holds for boxes beside the
+content, not for what encloses it: html, body, main, the elements around a main or
+around an article with a quarter of the page's words, and elements with nine tenths
+of them say nothing against theirs. An id of a heading or paragraph is an anchor, a
+class like has-sidebar or no-menu a state, and neither says anything.
+
 White space inside a block becomes one space, blocks are joined by a newline,
 character references are decoded. Scripts, styles, templates, form controls and
 HTML comments are never text. Null html counts as empty; a page without a positive
@@ -43,6 +49,14 @@ _LONG_NUMBER = re.compile(r"&#([xX]?)0*([0-9a-fA-F]*)(;?)")
 _PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _NAMING = frozenset(("class", "id", "role", "itemprop", "aria-label"))
+#: A name that begins with one of these tells a state of the page, not what the element is.
+_STATE = re.compile(r"\b(?:has|have|is|no|not|non|with|without)[-_][\w-]*", re.I)
+_ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_FRAMES = frozenset(("html", "body", "main"))
+#: Elements that text is made of, wherever it stands: none of them speaks against its contents.
+_TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption div section span center".split())
+#: Shares of the page's words: of an article that is the content, of an element that encloses all of it.
+ARTICLE_SHARE, ENCLOSING_SHARE = 0.25, 0.9
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark object output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr img"
@@ -124,8 +138,8 @@ def _features(tag: str, attributes) -> tuple[str, ...]:
         return (tag,)
     words, hidden = set(), False
     for name, value in attributes:
-        if name in _NAMING:
-            words.update("." + w for w in _PARTS.findall(_CAMEL.sub(r"\1 \2", value).lower()))
+        if name in _NAMING and not (name == "id" and tag in _ANCHORED):
+            words.update("." + w for w in _PARTS.findall(_CAMEL.sub(r"\1 \2", _STATE.sub(" ", value)).lower()))
         hidden |= name == "hidden" or name == "style" and bool(_NO_DISPLAY.search(value)) or name == "aria-hidden" and value.strip().lower() == "true"
     return (tag, *sorted(words), *(("=hidden",) if hidden else ()))
 
@@ -133,19 +147,53 @@ def _features(tag: str, attributes) -> tuple[str, ...]:
 class Element:
     """An open element; its parents lead to the root. low and high: bounds of the weights on that way, once known."""
 
-    __slots__ = ("parent", "tag", "features", "low", "high")
+    __slots__ = ("parent", "tag", "features", "low", "high", "words", "encloses")
 
     def __init__(self, parent: Element | None, tag: str, features: tuple[str, ...]):
-        self.parent, self.tag, self.features, self.low, self.high = parent, tag, features, None, None
+        self.parent, self.tag, self.features, self.low, self.high, self.words, self.encloses = parent, tag, features, None, None, 0, False
 
     def path(self):
-        """Feature tuples from the element to the root."""
+        """The element and its parents up to the root."""
         at = self
         while at is not None:
-            yield at.features
+            yield at
             at = at.parent
 
 
+def settle(blocks: list[tuple]) -> list[tuple]:
+    """Counts the words of each element and marks those that enclose the content. Each element is looked at a bounded number of times."""
+    found: dict[int, Element] = {}
+    for text, element, _, _ in blocks:
+        if element is not None:
+            element.words += 1 + text.count(" ")
+        while element is not None and id(element) not in found:
+            found[id(element)] = element
+            element = element.parent
+    depth: dict[int, int] = {}
+    for element in found.values():
+        way = []
+        while element is not None and id(element) not in depth:
+            way.append(element)
+            element = element.parent
+        base = depth[id(element)] if element is not None else 0
+        for k, x in enumerate(reversed(way)):
+            depth[id(x)] = base + k + 1
+    inner_first = sorted(found.values(), key=lambda x: -depth[id(x)])
+    for x in inner_first:
+        if x.parent is not None:
+            x.parent.words += x.words
+    total = sum(1 + text.count(" ") for text, *_ in blocks)
+    articles = [x for x in inner_first if x.tag == "article" and x.words >= ARTICLE_SHARE * total]
+    core = [x for x in inner_first if x.tag == "main"] + ([max(articles, key=lambda x: x.words)] if articles else [])
+    for x in core:
+        while x is not None and not x.encloses:
+            x.encloses = True
+            x = x.parent
+    for x in inner_first:
+        x.encloses |= x.tag in _FRAMES or x.words >= ENCLOSING_SHARE * total
+    return blocks
+
+
 def _number(m: re.Match) -> str:
     digits = m[2] if m[1] else re.match("[0-9]*", m[2])[0]
     rest = m[2][len(digits) :]
@@ -242,7 +290,7 @@ def labelled_pages(pages: int = TABLE_PAGES, seed: int = 11) -> list[tuple[str,
 
     def box(kind: str) -> str:
         name = r.choice(kind.split("|"))
-        body = r.choice((f"<p>{prose(3, 30)}</p>", links(r.randint(2, 6)), prose(2, 12), f"<h3>{prose(1, 3)}</h3><p>{prose(5, 40)}</p>"))
+        body = r.choice((f"<p>{prose(3, 30)}</p>", links(r.randint(2, 6)), prose(2, 12), f"{heading(prose(1, 3))}<p>{prose(5, 40)}</p>"))
         if name == "hidden":
             return f"<{(tag := r.choice(('div', 'p')))} {r.choice(('hidden', 'style="display: none"', 'aria-hidden="true"'))}>{prose(3, 30)}</{tag}>"
         if name.startswith("<"):
@@ -261,15 +309,16 @@ def labelled_pages(pages: int = TABLE_PAGES, seed: int = 11) -> list[tuple[str,
         for _ in range(r.randint(1, 12)):
             p = prose(1, 80)
             blocks.append(p)
-            body += r.choice((f"<p>{p}</p>", f"<p>{p}</p>", f"<p><b>{p}</b></p>", heading(p), f"<ul><li>{p}</li></ul>", f"<blockquote><p>{p}</p></blockquote>", f"<div>{p}</div>", f"<pre>{p}</pre>", f"<table><tr><td>{p}</td></tr></table>", f'<p>{p} <a href="/x">{prose(1, 2)}</a></p>'))
+            body += r.choice((f"<p>{p}</p>", f"<p>{p}</p>", f"<p><b>{p}</b></p>", heading(p), heading(p), f"<ul><li>{p}</li></ul>", f"<blockquote><p>{p}</p></blockquote>", f"<div>{p}</div>", f"<pre>{p}</pre>", f"<table><tr><td>{p}</td></tr></table>", f'<p>{p} <a href="/x">{prose(1, 2)}</a></p>'))
             if body.endswith("</a></p>"):
                 blocks[-1] = " ".join(re.sub(r"<[^>]*>", "", body[body.rindex("<p>") :]).split())
             if r.random() < 0.08:
                 body += box(inside)
         frame = r.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main" class="post article entry"><div class="body text">{}</div></div>', '<div class="story">{}</div>'))
+        body_name = r.choice(("", "", f' class="{r.choice(outside.replace("<", "").replace(">", "").split("|"))}-{r.choice(("open", "closed", "on", "page", "enabled"))} page"'))
         before = "".join(box(outside) for _ in range(r.randint(1, 5)))
         after = "".join(box(outside) for _ in range(r.randint(1, 5)))
-        table.append((f"<html><head><title>{title}</title></head><body>{before}{frame.format(body)}{after}</body></html>", blocks))
+        table.append((f"<html><head><title>{title}</title></head><body{body_name}>{before}{frame.format(body)}{after}</body></html>", blocks))
     return table
 
 
@@ -288,6 +337,8 @@ class PageModel:
         low, high = (element.low, element.high) if element is not None else (math.inf, -math.inf)
         for x in reversed(open_):
             own = [self.weights.get(f, 0.0) for f in x.features]
+            if x.encloses:
+                own = [max(w, 0.0) for w in own]
             low, high = min(low, *own), max(high, *own)
             x.low, x.high = low, high
         return (low, high) if low <= high else (0.0, 0.0)
@@ -300,24 +351,35 @@ class PageModel:
 
     def extract(self, page: str) -> str:
         """Text of the best region."""
-        blocks = list(stream(page))
-        scored = []
+        blocks = settle(list(stream(page)))
+        scored = self.scores(blocks)
+        low, high = best_region(scored)
+        return "\n".join(blocks[k][0] for k in range(low, high) if scored[k][2] > 0)
+
+    def scores(self, blocks: list[tuple]) -> list[tuple[float, float, float]]:
+        """Of each block: its words' score, that of the tags before it, the weight of one of its words."""
+        out = []
         for text, element, n_tags, share in blocks:
             w = self.word_weight(element, share)
-            scored.append((w * (1 + text.count(" ")), -self.tag * n_tags, w))
-        best, low, high = 0.0, 0, 0
-        total, start = 0.0, 0
-        for k, (words, cost, _) in enumerate(scored):
-            if total + cost <= 0:
-                total, start = 0.0, k
-            else:
-                total += cost
-            total += words
-            if total > best:
-                best, low, high = total, start, k + 1
-            if total <= 0:
-                total, start = 0.0, k + 1
-        return "\n".join(blocks[k][0] for k in range(low, high) if scored[k][2] > 0)
+            out.append((w * (1 + text.count(" ")), -self.tag * n_tags, w))
+        return out
+
+
+def best_region(scored: list[tuple[float, float, float]]) -> tuple[int, int]:
+    """First and end of the contiguous blocks of greatest score, words and the tags between them; none if no score is above 0."""
+    best, low, high = 0.0, 0, 0
+    total, start = 0.0, 0
+    for k, (words, cost, _) in enumerate(scored):
+        if total + cost <= 0:
+            total, start = 0.0, k
+        else:
+            total += cost
+        total += words
+        if total > best:
+            best, low, high = total, start, k + 1
+        if total <= 0:
+            total, start = 0.0, k + 1
+    return low, high
 
 
 def train_pages(table: list[tuple[str, list[str]]] | None = None) -> PageModel:
@@ -326,18 +388,19 @@ def train_pages(table: list[tuple[str, list[str]]] | None = None) -> PageModel:
     sides, link_sides = [1.0, 1.0], [1.0, 1.0]
     for page, content in table if table is not None else labelled_pages():
         wanted = set(content)
-        for text, element, _, share in stream(page):
+        for text, element, _, share in settle(list(stream(page))):
             good = int(text in wanted)
             n = math.sqrt(1 + text.count(" "))
             sides[good] += n
             link_sides[good] += share > 0.6
-            for f in {f for features in (element.path() if element else ()) for f in features}:
+            # of what encloses the content, only the name counts: its classes say nothing of what is inside
+            for f in {f for x in (element.path() if element else ()) for f in (x.features[:1] if x.encloses and x.tag in _FRAMES else x.features)}:
                 seen.setdefault(f, [0.0, 0.0])[good] += n
     base = math.log(sides[1] / sides[0])
     weights = {f: math.log((a[1] + 0.5) / (a[0] + 0.5)) - base for f, a in seen.items()}
     linked = max(0.0, math.log((link_sides[0] / sides[0]) / (link_sides[1] / sides[1])))
     # structure that holds both kinds says nothing
-    weights = {f: w for f, w in weights.items() if abs(w) > 0.7}
+    weights = {f: w for f, w in weights.items() if abs(w) > 0.7 and not (w < 0 and f in _TEXTUAL)}
     return PageModel(weights, 1.0, 0.1, linked)
 
 
