@@ -19,7 +19,8 @@ pair of block and bin returns at most k rows a query.
 
 Null vectors, zero vectors, vectors with null or non-finite components or of
 another dimension than the sample's most common take no part, nor do null ids.
-Ties go to the smaller id. Repeated rows are one vector each. Extra columns are
+Ties go to the smaller id. Rows that repeat an id are one vector, the one of the
+smallest hash if they differ, and one query if any of them is. Extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -225,6 +226,15 @@ class Scorer:
         return asked[keep], rows[keep], score[keep], scored
 
 
+def _once(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """rows with each vec_id once. Ids and hashes are shuffled; vectors only of ids that rows repeat, and those of one id meet after each task kept one."""
+    again = scratch.write(rows.groupBy("vec_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("vec")).alias("least"), F.max("q").alias("asks")).where("n > 1"))
+    if again.isEmpty():
+        return rows
+    one = rows.join(again, "vec_id").where(F.xxhash64("vec") == F.col("least")).groupBy("vec_id").agg(F.max("asks").alias("q"), *[F.min(c).alias(c) for c in ("list", "code", "vec")])
+    return scratch.write(rows.join(again, "vec_id", "left_anti").select(*rows.columns).unionByName(one))
+
+
 def search(vectors: DataFrame, is_query, index: Index | None = None, k: int = NEIGHBOURS, share: float = PROBED_SHARE, rerank: int = RERANK, sigmas: float = SIGMAS, bin_size: int = BIN, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k best of all other rows for each row where is_query holds: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -246,6 +256,7 @@ def search(vectors: DataFrame, is_query, index: Index | None = None, k: int = NE
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(keep), b.column("q").take(keep), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "q", "list", "code", "vec"])
 
     rows = scratch.write(source.mapInArrow(encode, "vec_id bigint, q boolean, list int, code binary, vec binary"))
+    rows = _once(scratch, rows)
     sizes, asking = np.zeros(len(index.centres), dtype=np.int64), 0
     for r in rows.groupBy("list").agg(F.count("*").alias("n"), F.count_if("q").alias("q")).collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["n"]

@@ -88,3 +88,16 @@ def test_other_tables(spark):
     assert chat.recover_roles(conv).count() == 2
     vec = spark.createDataFrame([(0, [1.0], 1), (1, [2.0], 1), (None, [1.0], 1)], "vec_id smallint, embedding array<float>, `a.b` int")
     assert ann.search(vec, F.col("vec_id") % 20 == 0).count() == 1
+
+
+def test_repeated_rows_of_a_vector_are_one(spark):
+    """A repeated query has all its neighbours once, and a repeated neighbour takes one place."""
+    rows = [(k, [float(k % 7 + 1), float(k % 11), 1.0 + k / 100]) for k in range(60)]
+    repeated = rows + [rows[0]] * 3 + [rows[21]] * 5 + [(40, [0.5, 0.5, 0.5])]
+    plain, again = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, repeated))
+    key = lambda df: sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0).collect()))
+    got = key(again)
+    assert key(spark.createDataFrame(rows + rows, plain.schema)) == key(plain)
+    for q in (0, 20, 40):
+        mine = [x for x in got if x[0] == q]
+        assert [x[1] for x in mine] == list(range(1, 21)) and len({x[2] for x in mine}) == 20 and q not in {x[2] for x in mine}
