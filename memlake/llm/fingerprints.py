@@ -9,7 +9,7 @@ characters without any (the words, if the line has at most SHORT characters): th
 tell how much of a changed paragraph is left.
 
 A fingerprint is a string: 32 hex digits of the root, "x" and the length of the text
-in code points, a colon, and the pieces in order. A piece is a number, 27 bits of its
+in code points, a colon, and the pieces in order. A piece is a number, 20 bits of its
 hash times 128 plus its length in code points; "," ends a piece, "." a paragraph, "/"
 a section. Equal roots are equal texts. Two fingerprints are alike by the code points
 of the pieces they share, twice those over all of both (1 for equal roots);
@@ -45,7 +45,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in df.columns if c != name]
 
     def piece(x: Column) -> Column:
-        return F.concat((F.xxhash64(x).bitwiseAND((1 << 27) - 1) * 128 + F.char_length(x)).cast("string"), F.lit(","))
+        return F.concat((F.xxhash64(x).bitwiseAND((1 << 20) - 1) * 128 + F.char_length(x)).cast("string"), F.lit(","))
 
     def paragraph(line: Column) -> Column:
         found = F.when(F.char_length(line) <= SHORT, F.regexp_extract_all(line, F.lit(WORD_PATTERN), 0)).otherwise(F.regexp_extract_all(line, F.lit(PIECE_PATTERN), 0))
@@ -148,7 +148,7 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, fingerprint, head, next_fingerprint): head is as much of the next document's beginning as a quarter of any text of this id.
+    """(doc_id, text, head, next_fingerprint, fingerprint): head is as much of the next document's beginning as a quarter of any text of this id.
 
     Texts are shuffled by id once and read twice; heads follow to the id before.
     A hot id meets one row on either side, so that its partition can be split.
@@ -156,17 +156,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = next_ids(docs)
     asked = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("longest") / 4).cast("int").alias("need"))
     asked = Scratch(docs.sparkSession).write(asked.join(order.select("doc_id", "hash"), "doc_id"))
-    every = with_fingerprint(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), "text", "fingerprint")
-    rows = every.where("doc_id is not null")  # in both joins, so that they read one exchange
+    every = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = every.where("doc_id is not null")  # in both joins, so that they read one exchange: fingerprints are made behind it
     # not an equality, which would be a key: the exchange is by id alone
     one = F.col("hash").bitwiseXOR(F.xxhash64("text")) == 0
     heads = rows.join(asked.withColumnRenamed("doc_id", "id"), (F.col("doc_id") == F.col("id")) & one)
-    heads = heads.select("before", F.substring("text", F.lit(1), F.col("need")).alias("head"), F.col("fingerprint").alias("next_fingerprint"))
+    heads = with_fingerprint(heads, "text", "next_fingerprint").select("before", F.substring("text", F.lit(1), F.col("need")).alias("head"), "next_fingerprint")
     # equal rows of one id bring the same head
     heads = heads.groupBy("before").agg(F.min("head").alias("head"), F.min("next_fingerprint").alias("next_fingerprint"))
-    rows = rows.join(heads, F.col("doc_id") == F.col("before"), "left").select("doc_id", "text", "fingerprint", "head", "next_fingerprint")
+    rows = rows.join(heads, F.col("doc_id") == F.col("before"), "left").select("doc_id", "text", "head", "next_fingerprint")
     none = F.lit(None).cast("string")
-    return rows.union(every.where("doc_id is null").select("doc_id", "text", "fingerprint", none, none))
+    return with_fingerprint(rows.union(every.where("doc_id is null").select("doc_id", "text", none, none)), "text", "fingerprint")
 
 
 def edits(docs: DataFrame) -> DataFrame:
