@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from memlake.functions import text as tx
+from memlake.operators import lineage
 from memlake.operators.filters import active
 from memlake.scratch import Scratch
 
@@ -181,49 +182,20 @@ def apply_supersede(memories: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def own_counts(members: DataFrame) -> DataFrame:
-    """(id, own): each member's own confirmations, its count less what its merged members own, at least 1.
-
-    members: id, count, merged_ids. Merged ids without a record own 1. A round settles
-    members whose merged members are settled, and rounds go on while they settle any:
-    as many as lineages are deep. What is left then lies on a cycle, or above one, and
-    owns 1.
-    """
-    scratch = Scratch(members.sparkSession)
-    known = members.select(F.col("id").alias("y"), F.lit(True).alias("there"))
-    parts = scratch.write(members.select("id", "count", F.explode("merged_ids").alias("y")).where("y <> id").join(known, "y", "left"))
-    every_at = scratch.path()
-    every = scratch.add(members.join(parts.select("id").distinct(), "id", "left_anti").select("id", F.greatest(F.lit(1), F.col("count")).cast("int").alias("own")), every_at)
-    while True:
-        value = parts.join(every.select(F.col("id").alias("y"), "own"), "y", "left").select("id", "count", F.when(F.col("there").isNull(), 1).otherwise(F.col("own")).alias("own"))
-        ready = value.groupBy("id", "count").agg(F.count_if(F.col("own").isNull()).alias("open"), F.sum("own").alias("s")).where("open = 0")
-        new = scratch.write(ready.join(every, "id", "left_anti").select("id", F.greatest(F.lit(1), F.col("count") - F.col("s")).cast("int").alias("own")))
-        if new.isEmpty():
-            break
-        every = scratch.add(new, every_at)
-        # what is settled needs no further look
-        parts, before = scratch.write(parts.join(new.select("id"), "id", "left_anti").select(*parts.columns)), parts
-        scratch.drop(before)
-        scratch.drop(new)
-    rest = members.join(every, "id", "left_anti").select("id", F.lit(1).alias("own"))
-    return every.unionByName(rest)
+    """(id, own): each member's own confirmations, its count less what all members below it own, at least 1. members: id, count, merged_ids."""
+    return lineage.owned(lineage.member_rows(members.select("id", "count", "merged_ids")))
 
 
 def lineage_counts(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(winner_id, confirmation_count, merged_ids, freshness) after winners take in their losers.
+    """(winner_id, confirmation_count, merged_ids, freshness) after winners take in their losers, as these are.
 
     members: id, count, merged_ids, freshness; edges: winner_id, loser_id. The count
     is what the winner and every member of the union own, each member once however
     many of the records held it.
     """
-    own = own_counts(members)
-    w = members.select(F.col("id").alias("winner_id"), "merged_ids", "freshness")
-    lost = edges.join(members.select(F.col("id").alias("loser_id"), F.col("merged_ids").alias("l_ids"), F.col("freshness").alias("l_fresh")), "loser_id")
-    ids = lost.select("winner_id", F.explode(F.concat("l_ids", F.array("loser_id"))).alias("y")).union(w.join(edges.select("winner_id").distinct(), "winner_id", "left_semi").select("winner_id", F.explode("merged_ids").alias("y")))
-    union = ids.where("y <> winner_id").distinct().join(own.select(F.col("id").alias("y"), "own"), "y", "left")
-    total = union.groupBy("winner_id").agg(F.sum(F.coalesce("own", F.lit(1))).alias("gain"), F.array_sort(F.collect_list("y")).alias("merged_ids"))
-    fresh = lost.groupBy("winner_id").agg(F.max("l_fresh").alias("fresh"))
-    mine = own.select(F.col("id").alias("winner_id"), "own")
-    return total.join(fresh, "winner_id").join(mine, "winner_id").join(w.drop("merged_ids"), "winner_id").select("winner_id", (F.col("own") + F.col("gain")).alias("confirmation_count"), "merged_ids", F.greatest("freshness", "fresh").alias("freshness"))
+    rows = lineage.member_rows(members, fresh=F.col("freshness"))
+    merged = lineage.absorbed(rows, edges.select(F.lit("").alias("operation_id"), "winner_id", "loser_id"), chained=False)
+    return merged.select(F.col("id").alias("winner_id"), "confirmation_count", "merged_ids", F.col("fresh").cast(members.schema["freshness"].dataType).alias("freshness"))
 
 
 def new_only(candidates: DataFrame, existing: DataFrame) -> DataFrame:

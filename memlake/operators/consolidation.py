@@ -41,8 +41,9 @@ def run(memories: DataFrame, decided: DataFrame, open_plan: DataFrame, done: Dat
 
     def step(records: DataFrame, operations: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         # a plan holds no operation of a record that an earlier one of it supersedes, so all can be judged by one state
-        outcome = scratch.write(journal.outcomes(versions(records), operations, known))
-        after, entries = journal.applied(records, outcome, now)
+        patches, outcome = journal.absorbed(records, scratch.write(journal.outcomes(versions(records), operations, known)))
+        outcome = scratch.write(outcome)
+        after, entries = journal.applied(records, outcome, now, patches)
         return scratch.write(after), outcome, scratch.write(entries)
 
     recovered, first, left = step(memories, scratch.write(open_plan.select(*PLAN)), done)

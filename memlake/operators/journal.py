@@ -8,8 +8,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators import consolidate, lineage
 from memlake.operators.filters import active
 from memlake.operators.queue import prunable
+from memlake.scratch import Scratch
 
 
 def outcomes(memories: DataFrame, plans: DataFrame, journal: DataFrame) -> DataFrame:
@@ -48,29 +50,59 @@ def revert_outcomes(memories: DataFrame, journal: DataFrame) -> DataFrame:
     return rows.select("operation_id", F.col("loser_id").alias("id"), F.when(why == "reverted", F.col("pre_status")).alias("restore_status"), why.alias("outcome"))
 
 
-def applied(memories: DataFrame, outcome: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+# Why a record is superseded.
+REASONS = {"EQUIVALENT": "equivalent_merged", "CONFLICT": "conflict_overridden"}
+FOREIGN = "cross_identity_lineage"
+
+
+def absorbed(memories: DataFrame, outcome: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the winners of applied merges become (rows of lineage.PATCH), and the outcomes without the merges whose lineages hold a record of another identity, which fail.
+
+    memories: id, confirmation_count, merged_ids, last_confirmed_at, and where there
+    are any merged_contributions, merged_sources, source, user_id, agent_id.
+    """
+    scratch, has = Scratch(memories.sparkSession), set(memories.columns)
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("source").isNotNull(), F.array("source")) if "source" in has else F.lit(None)
+    said = F.col("merged_sources") if "merged_sources" in has else F.lit(None)
+    who = [F.coalesce(F.col(c), F.lit("")) for c in ("user_id", "agent_id") if c in has]
+    rows = lineage.member_rows(
+        memories, count=consolidate.confirmations(F.col("confirmation_count")), fresh=F.col("last_confirmed_at"), contributions=F.col("merged_contributions") if "merged_contributions" in has else F.lit(None),
+        sources=F.array_union(F.coalesce(said.cast("array<string>"), none), F.coalesce(own.cast("array<string>"), none)), identity=F.concat_ws("\x01", *who) if who else F.lit(None),
+    )
+    patches = scratch.write(lineage.absorbed(rows, outcome.where("outcome = 'applied' AND relation = 'EQUIVALENT'").select("operation_id", "winner_id", "loser_id")))
+    refused = patches.where("foreign is not null").select("operation_id", "foreign")
+    seen = outcome.join(refused, "operation_id", "left")
+    return patches.where("foreign is null"), seen.select(*[F.when(F.col("foreign").isNotNull(), FOREIGN).otherwise(F.col(c)).alias(c) if c == "outcome" else F.col(c) for c in outcome.columns])
+
+
+def applied(memories: DataFrame, outcome: DataFrame, now: int, patches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """memories after the applied outcomes, and a journal (operation_id, id, before) of each record they changed, whole.
 
     memories: id, status, superseded_by, merged_ids, confirmation_count,
-    last_confirmed_at, updated_at and any other columns. A winner of equal records
-    takes in its losers in the same operation: their ids and confirmations and the
-    latest confirmation; of a conflict the loser alone changes.
+    last_confirmed_at, updated_at and any other columns; merged_sources,
+    merged_contributions, superseded_at and supersede_reason are set where they are
+    columns. A winner of equal records takes in its losers in the same operation:
+    the union of their lineages, each member's confirmations once, the latest
+    confirmation; of a conflict the loser alone changes. patches: from absorbed(),
+    found here if not given.
     """
+    if patches is None:
+        patches, outcome = absorbed(memories, outcome)
     done = outcome.where("outcome = 'applied'")
-    said = done.where("relation = 'EQUIVALENT'").join(memories.select(F.col("id").alias("loser_id"), F.col("merged_ids").alias("_ids"), F.col("confirmation_count").alias("_n"), F.col("last_confirmed_at").alias("_at")), "loser_id")
-    none = F.array().cast("array<string>")
-    gain = said.groupBy(F.col("winner_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("loser_id"), F.coalesce("_ids", none))))).alias("_ids"), F.sum(F.coalesce("_n", F.lit(1))).alias("_n"), F.max("_at").alias("_at"))
-    lost = done.groupBy(F.col("loser_id").alias("id")).agg(F.min("winner_id").alias("_by"))
+    gain = patches.select("id", F.col("merged_ids").alias("_ids"), F.col("confirmation_count").alias("_n"), F.col("fresh").alias("_at"), F.col("merged_sources").alias("_sources"), F.col("contributions").alias("_own"))
+    lost = done.groupBy(F.col("loser_id").alias("id")).agg(F.min_by(F.struct("winner_id", "relation"), F.struct("winner_id", "relation")).alias("_by"))
     rows = memories.join(gain, "id", "left").join(lost, "id", "left")
-    grown = F.col("_n").isNotNull()
+    grown, gone = F.col("_n").isNotNull(), F.col("_by").isNotNull()
+    reason = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("_by.relation")]
     new = {
-        "status": F.when(F.col("_by").isNotNull(), "superseded").otherwise(F.col("status")), "superseded_by": F.coalesce("_by", "superseded_by"),
-        "merged_ids": F.when(grown, F.array_sort(F.array_union(F.coalesce("merged_ids", none), "_ids"))).otherwise(F.col("merged_ids")),
-        "confirmation_count": F.when(grown, F.coalesce("confirmation_count", F.lit(1)) + F.col("_n")).otherwise(F.col("confirmation_count")).cast(memories.schema["confirmation_count"].dataType),
-        "last_confirmed_at": F.when(grown, F.greatest("last_confirmed_at", "_at")).otherwise(F.col("last_confirmed_at")),
-        "updated_at": F.when(grown | F.col("_by").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")).cast(memories.schema["updated_at"].dataType),
+        "status": F.when(gone, "superseded").otherwise(F.col("status")), "superseded_by": F.coalesce("_by.winner_id", "superseded_by"),
+        "merged_ids": F.when(grown, F.col("_ids")).otherwise(F.col("merged_ids")), "confirmation_count": F.when(grown, F.col("_n")).otherwise(F.col("confirmation_count")),
+        "last_confirmed_at": F.when(grown, F.greatest("last_confirmed_at", "_at")).otherwise(F.col("last_confirmed_at")), "updated_at": F.when(grown | gone, F.lit(now)).otherwise(F.col("updated_at")),
     }
-    after = rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in memories.columns])
+    more = {"merged_sources": (grown, F.col("_sources")), "merged_contributions": (grown, F.col("_own")), "superseded_at": (gone, F.lit(now)), "supersede_reason": (gone, reason)}
+    new |= {c: F.when(when, value).otherwise(F.col(c)) for c, (when, value) in more.items() if c in memories.columns}
+    after = rows.select(*[new[c].cast(memories.schema[c].dataType).alias(c) if c in new else F.col(f"`{c}`") for c in memories.columns])
     touched = done.select("operation_id", F.col("loser_id").alias("id")).union(done.where("relation = 'EQUIVALENT'").select("operation_id", F.col("winner_id").alias("id")))
     return after, touched.join(memories.select("id", F.struct("*").alias("before")), "id").select("operation_id", "id", "before")
 

@@ -132,8 +132,8 @@ def test_deep_lineage_is_settled_to_its_end(spark):
     rows = [(f"m{k}", k + 2, [f"m{k + 1}"] if k < depth else [], 1) for k in range(depth + 1)]
     members = spark.createDataFrame(rows, "id string, count int, merged_ids array<string>, freshness int")
     want = {}
-    for k in range(depth, -1, -1):
-        want[f"m{k}"] = max(1, k + 2 - (want[f"m{k + 1}"] if k < depth else 0))
+    for k in range(depth, -1, -1):  # less what all below it own, not the next alone
+        want[f"m{k}"] = max(1, k + 2 - sum(want.values()))
     assert {x.id: x.own for x in consolidate.own_counts(members).collect()} == want
 
 
@@ -502,3 +502,121 @@ def test_a_second_opinion_has_guards_and_a_budget(spark):
     assert (some["attempted"], some["skipped_budget"]) == (3, 4) and report(run(0))["skipped_budget"] == 7
     assert report(run(9, scope="all"))["status"] == "not_allowed" and run(9, scope="all").where("shadow_relation is not null").count() == 0
     assert run(100).select("fingerprint").distinct().count() == 12 and run(100).where("relation <> 'DISTINCT'").count() == 0
+
+
+def slow_lineage(members, operations, chained):
+    """(own by id, {winner: (count, merged ids, fresh)}) by recursion over sets; members: {id: (count, merged ids, contributions, fresh)}."""
+    hints = {}
+    for r in members.values():
+        for m, n in (r[2] or {}).items():
+            hints[m] = max(hints.get(m, 0), n)
+
+    def closure(roots, more):
+        entered, stack = set(roots), list(roots)
+        while stack:
+            m = stack.pop()
+            for c in [*(members[m][1] if m in members else ()), *more.get(m, ())]:
+                if c not in entered:
+                    entered.add(c)
+                    stack.append(c)
+        return entered | {k for m in entered if m in members for k in members[m][2] or ()}
+
+    own = {}
+
+    def value(m):
+        if m not in own:
+            if m not in members:
+                own[m] = max(1, hints.get(m, 0))
+            elif members[m][2]:
+                own[m] = members[m][2].get(m, 1)
+            else:
+                own[m] = max(1, members[m][0] - sum(value(c) for c in closure([m], {}) - {m}))
+        return own[m]
+
+    for m in members:
+        value(m)
+    losers = {}
+    for w, x in operations:
+        losers.setdefault(w, []).append(x)
+    out = {}
+    for w, lost in losers.items():
+        union = closure([w, *lost], losers if chained else {})
+        out[w] = (sum(value(m) for m in union), sorted(union - {w}), max([members[m][3] for m in union if m in members and members[m][3] is not None], default=None))
+    return {m: own[m] for m in members}, out
+
+
+def made_lineages(r, n):
+    """Lineages without cycles: members name some of those before them, some ids have no record, some members a snapshot."""
+    members = {}
+    for k in range(n):
+        below = sorted({f"m{r.randrange(k)}" for _ in range(r.choice((0, 0, 1, 1, 2, 4)))}) if k else []
+        below += [f"gone{r.randrange(5)}"] if r.random() < 0.1 else []
+        said = {f"m{k}": r.randint(0, 3), **{x: r.randint(0, 4) for x in below}} if r.random() < 0.1 else None
+        members[f"m{k}"] = (r.randint(1, 9), below, said, r.choice((None, r.randint(1, 99))))
+    return members
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_lineages_equal_recursion(spark, limit):
+    """In tasks, and by rounds of joins where no component is small enough."""
+    import random
+
+    from memlake.operators import lineage
+
+    for trial in range(2 if limit else 1):
+        r = random.Random(trial)
+        members = {f"{part}.{k}": (c, [f"{part}.{x}" for x in below], {f"{part}.{x}": v for x, v in said.items()} if said else None, at) for part in range(6) for k, (c, below, said, at) in made_lineages(r, r.choice((1, 3, 9, 20))).items()}
+        names = sorted(members)
+        operations = [(a, b) for a, b in (r.sample(names, 2) for _ in range(8)) if a.split(".")[0] < b.split(".")[0]]
+        rows = lineage.member_rows(spark.createDataFrame([(m, *v) for m, v in members.items()], "id string, count bigint, merged_ids array<string>, contributions map<string,bigint>, fresh bigint"))
+        asked = spark.createDataFrame([(f"o{k}", *o) for k, o in enumerate(operations)], "operation_id string, winner_id string, loser_id string")
+        for chained in (True, False) if limit else (True,):
+            own, merged = slow_lineage(members, operations, chained)
+            got = lineage.absorbed(rows, asked, chained, limit).collect()
+            assert {x.id: (x.confirmation_count, x.merged_ids, x.fresh) for x in got} == merged
+            assert all(x.own == own[x.id] and sum(x.contributions.values()) == x.confirmation_count for x in got)
+        assert {x.id: x.own for x in lineage.owned(rows, limit).collect()} == own
+
+
+def test_lineages_that_are_deep_or_wide():
+    """A fold of a chain of 100,000 levels, of a hub of 100,000 members, and of a flat lineage of 400, in which each holds all before it."""
+    from memlake.operators.lineage import Fold
+
+    none = (None, None, None, None)
+    chain = Fold({k: (k + 2, [k - 1] if k else [], *none) for k in range(100_000)})
+    want, total = {}, 0
+    for k in range(100_000):
+        want[k] = max(1, k + 2 - total)
+        total += want[k]
+    assert chain.own == want
+    hub = Fold({0: (100_007, list(range(1, 100_001)), *none)} | {k: (1, [], *none) for k in range(1, 100_001)})
+    assert hub.own[0] == 7 and next(hub.patches([("o", 0, 100_001)], True))[2] == 100_008
+    flat = Fold({k: (2 * k + 1, list(range(k)), *none) for k in range(400)})
+    assert all(flat.own[k] == (1 if k == 0 else 2) for k in range(400))
+
+
+def test_components_of_chains_and_hubs(spark):
+    from memlake.operators.components import components
+
+    edges = [(k, k + 1) for k in range(1000)] + [(5000, 5001 + k) for k in range(3000)] + [(9000, 9000), (9001, None), (20_002, 20_001), (20_003, 20_002), (20_001, 20_003)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a int, b int")).collect()))
+    assert got == {k: 0 for k in range(1001)} | {k: 5000 for k in range(5000, 8001)} | {20_001 + k: 20_001 for k in range(3)}
+    assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_shared_lineage_counts_once_and_other_identities_refuse(spark):
+    from memlake.operators import journal
+
+    kinds = "id string, status string, superseded_by string, merged_ids array<string>, confirmation_count int, last_confirmed_at bigint, updated_at bigint, user_id string, agent_id string, source string, merged_sources array<string>, merged_contributions map<string,int>, supersede_reason string, superseded_at bigint"
+    row = lambda i, ids, n, at=1, user="u", source="import": (i, None, None, ids, n, at, 1, user, "p", source, None, None, None, None)
+    memories = spark.createDataFrame([row("W", ["x"], 5), row("L", ["x"], 4, 9, source="agent_explicit"), row("x", None, 2), row("A", ["B", "C"], 3), row("B", ["C"], 2), row("C", None, 1), row("D", None, None, 7), row("F", ["y"], 2), row("y", None, 1, user="other"), row("G", None, 1), row("K", None, 1), row("M", None, 1)], kinds)
+    outcome = spark.createDataFrame([(k, w, x, kind, "applied") for k, w, x, kind in (("1", "W", "L", "EQUIVALENT"), ("2", "A", "D", "EQUIVALENT"), ("3", "G", "F", "EQUIVALENT"), ("4", "K", "M", "CONFLICT"))], "operation_id string, winner_id string, loser_id string, relation string, outcome string")
+    patches, judged = journal.absorbed(memories, outcome)
+    assert {r.operation_id: r.outcome for r in judged.collect()} == {"1": "applied", "2": "applied", "3": "cross_identity_lineage", "4": "applied"}
+    after, entries = journal.applied(memories, judged, 50, patches)
+    got = {r.id: r for r in after.collect()}
+    assert (got["W"].confirmation_count, got["W"].merged_ids, got["W"].merged_sources, got["W"].last_confirmed_at) == (7, ["L", "x"], ["agent_explicit", "import"], 9)  # 3 + 2 + 2, x once
+    assert (got["A"].confirmation_count, got["A"].merged_ids, got["A"].merged_contributions) == (4, ["B", "C", "D"], {"A": 1, "B": 1, "C": 1, "D": 1})
+    assert (got["L"].status, got["L"].supersede_reason, got["L"].superseded_at) == ("superseded", "equivalent_merged", 50) and got["M"].supersede_reason == "conflict_overridden"
+    assert (got["F"].status, got["G"].confirmation_count, got["K"].confirmation_count) == (None, 1, 1)
+    assert sorted(map(repr, journal.restored(after, entries).collect())) == sorted(map(repr, memories.collect()))
