@@ -102,7 +102,7 @@ def applied(memories: DataFrame, outcome: DataFrame, now: int, patches: DataFram
     }
     more = {"merged_sources": (grown, F.col("_sources")), "merged_contributions": (grown, F.col("_own")), "superseded_at": (gone, F.lit(now)), "supersede_reason": (gone, reason)}
     new |= {c: F.when(when, value).otherwise(F.col(c)) for c, (when, value) in more.items() if c in memories.columns}
-    after = rows.select(*[new[c].cast(memories.schema[c].dataType).alias(c) if c in new else F.col(f"`{c}`") for c in memories.columns])
+    after = rows.select(*[new[c].cast(memories.schema[c].dataType.simpleString()).alias(c) if c in new else F.col(f"`{c}`") for c in memories.columns])
     touched = done.select("operation_id", F.col("loser_id").alias("id")).union(done.where("relation = 'EQUIVALENT'").select("operation_id", F.col("winner_id").alias("id")))
     return after, touched.join(memories.select("id", F.struct("*").alias("before")), "id").select("operation_id", "id", "before")
 

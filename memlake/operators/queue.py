@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,16 +100,100 @@ def semantic_cursor(project: Column, session: Column, goal: Column, reply: Colum
     return F.sha2(F.concat(*[x for name, c in parts for x in (F.lit(name), F.coalesce(c, F.lit("")))]), 256)
 
 
-def coalesce_sessions(snapshots: DataFrame) -> DataFrame:
-    """(job_id, session_id, state) of snapshots (job_id, session_id, created_at, turns): an older one whose turns the newest holds in a row is coalesced.
+# What captures have in common that may be coalesced.
+GROUP = ("schema_version", "host", "session_id", "user_id", "namespace", "context_key", "mode", "revision", "segment")
+#: Turns of a group's older snapshots that one task compares with its newest.
+BUCKET_TURNS = 2_000_000
+#: Base of the polynomial hash, modulo 2^64; turns are mixed to 64 bits before.
+_BASE = 0x9E3779B97F4A7C15
 
-    Turns meet as one text of digests, so that "in a row" is one search in it.
+
+def held(newest: np.ndarray, older: list[np.ndarray]) -> np.ndarray:
+    """Whether each of older stands in newest in a row (digests of turns). An empty one does.
+
+    The prefix hashes of the newest give the hash of each of its windows; for each
+    length that is asked for, hashes are matched at once, and a match is compared.
+    """
+    n = len(newest)
+    power = np.full(n + 1, _BASE, dtype=np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+
+    def prefixes(x: np.ndarray) -> np.ndarray:
+        """P[k]: the sum of x[j] * base^j for j < k."""
+        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x.astype(np.uint64) * power[: len(x)], dtype=np.uint64)])
+
+    whole, out = prefixes(newest), np.zeros(len(older), dtype=bool)
+    lengths = np.array([len(x) for x in older], dtype=np.int64)
+    for length in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == length)
+        if not length:
+            out[mine] = True
+        if not length or length > n:
+            continue
+        # each window's hash, freed of the power of the base that its place brings
+        windows = (whole[length:] - whole[: n - length + 1]) * _inverses(n)[: n - length + 1]
+        order = np.argsort(windows, kind="stable")
+        asked = np.array([prefixes(older[k])[-1] for k in mine], dtype=np.uint64)
+        first = np.searchsorted(windows[order], asked)
+        for k, at, h in zip(mine.tolist(), first.tolist(), asked):
+            while at < len(order) and windows[order[at]] == h and not out[k]:
+                i = order[at]
+                out[k] = np.array_equal(newest[i : i + length], older[k])
+                at += 1
+    return out
+
+
+def _inverses(n: int) -> np.ndarray:
+    down = np.full(n + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+    down[0] = 1
+    return np.multiply.accumulate(down)
+
+
+def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    """left: job_id and digests of older snapshots; right: the digests of their newest, one row."""
+    some = left.num_rows and right.num_rows
+    newest = np.asarray(right.column("digests").combine_chunks().values, dtype=np.int64).view(np.uint64) if some else None
+    lists = left.column("digests").combine_chunks()
+    bounds, values = np.asarray(lists.offsets), np.asarray(lists.values, dtype=np.int64).view(np.uint64)
+    inside = held(newest, [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]) if some else np.zeros(left.num_rows, dtype=bool)
+    return pa.Table.from_arrays([left.column("row"), pa.array(inside, pa.bool_())], names=["row", "inside"])
+
+
+def coalesce_sessions(snapshots: DataFrame, bucket_turns: int = BUCKET_TURNS) -> DataFrame:
+    """(job_id, session_id, state, superseded_by) of pending snapshots: an older one whose turns the newest of its group holds in a row is coalesced.
+
+    snapshots: job_id, session_id, created_at, turns (texts, or structs of role and
+    content), and any of GROUP and transcript_path. Captures are of one group where
+    they agree in all columns of GROUP that are there; one whose user_id is null has
+    no identity yet and stays pending. An older one without turns is coalesced unless
+    it names a transcript. Equal times go by job_id.
+
+    Turns travel as digests of eight bytes. A group's older snapshots are dealt into
+    buckets by the sum of their turns, and the newest's digests go to each bucket
+    once, so that a session of any number of snapshots is spread.
     """
-    said = F.concat(F.lit("|"), F.array_join(F.transform("turns", lambda t: F.concat(F.md5(F.coalesce(t.cast("string"), F.lit("\0"))), F.lit("|"))), ""))
-    rows = snapshots.select("job_id", "session_id", "created_at", said.alias("said"))
-    newest = rows.groupBy("session_id").agg(F.max_by(F.struct(F.col("job_id").alias("id"), F.col("said").alias("all")), F.struct("created_at", "job_id")).alias("n"))
-    state = F.when(F.col("job_id") == F.col("n.id"), "pending").when(F.col("n.all").contains(F.col("said")), "coalesced").otherwise("pending")
-    return rows.join(newest, "session_id").select("job_id", "session_id", state.alias("state"))
+    scratch, has = Scratch(snapshots.sparkSession), set(snapshots.columns)
+    keys = [c for c in GROUP if c in has]
+    plain = "struct" not in snapshots.schema["turns"].dataType.simpleString()
+    turn = (lambda t: F.xxhash64(F.coalesce(t.cast("string"), F.lit("\0")), t.isNull())) if plain else (lambda t: F.xxhash64(F.coalesce(t["role"], F.lit("")), tx.strip(F.coalesce(t["content"], F.lit("")))))
+    known = F.col("user_id").isNotNull() if "user_id" in has else F.lit(True)
+    path = F.nullif(F.col("transcript_path"), F.lit("")).isNotNull() if "transcript_path" in has else F.lit(False)
+    group = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in keys]), F.struct(*[F.col(c).cast("string").alias(c) for c in keys])
+    digests = F.coalesce(F.transform("turns", turn), F.array().cast("array<bigint>"))
+    rows = scratch.write(snapshots.select("job_id", "session_id", "created_at", known.alias("known"), path.alias("path"), group[0].alias("g"), group[1].alias("group"), digests.alias("digests"), F.monotonically_increasing_id().alias("row")))
+    when = F.struct("created_at", "job_id", "row")
+    newest = scratch.write(rows.where("known").groupBy("g", "group").agg(F.max(when).alias("n"), F.sum(F.size("digests").cast("bigint")).alias("turns")))
+    newest = newest.select("g", "group", F.col("n.row").alias("new_row"), F.col("n.job_id").alias("new_id"), F.ceil((F.col("turns") + 1) / bucket_turns).cast("int").alias("buckets"))
+    older = scratch.write(rows.where("known").join(newest, ["g", "group"]).where("row <> new_row"))
+    asked = older.where(F.size("digests") > 0).select("new_row", F.pmod(F.xxhash64("row"), "buckets").cast("int").alias("bucket"), "row", "digests")
+    there = rows.join(newest.select("new_row", "buckets"), F.col("row") == F.col("new_row")).where(F.size("digests") > 0)
+    there = there.select("new_row", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), "digests")
+    inside = asked.groupBy("new_row", "bucket").cogroup(there.groupBy("new_row", "bucket")).applyInArrow(_compare, "row bigint, inside boolean")
+    found = older.select("row", "new_id", (F.size("digests") == 0).alias("empty"), "path").join(inside, "row", "left")
+    gone = found.where(F.coalesce("inside", F.col("empty") & ~F.col("path"))).select("row", F.col("new_id").alias("superseded_by"))
+    out = rows.join(gone, "row", "left")
+    return out.select("job_id", "session_id", F.when(F.col("superseded_by").isNotNull(), "coalesced").otherwise("pending").alias("state"), "superseded_by")
 
 
 def branch(nodes: DataFrame, leaves: DataFrame) -> DataFrame:

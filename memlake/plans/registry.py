@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from memlake.plans import q_consolidate, q_evaluate, q_journal, q_queue, q_records, q_scope, q_search, q_sources, q_text  # noqa: F401
+    from memlake.plans import q_consolidate, q_evaluate, q_journal, q_lineage, q_queue, q_records, q_scope, q_search, q_sources, q_text  # noqa: F401
 
 
 _load()

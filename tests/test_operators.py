@@ -620,3 +620,52 @@ def test_shared_lineage_counts_once_and_other_identities_refuse(spark):
     assert (got["L"].status, got["L"].supersede_reason, got["L"].superseded_at) == ("superseded", "equivalent_merged", 50) and got["M"].supersede_reason == "conflict_overridden"
     assert (got["F"].status, got["G"].confirmation_count, got["K"].confirmation_count) == (None, 1, 1)
     assert sorted(map(repr, journal.restored(after, entries).collect())) == sorted(map(repr, memories.collect()))
+
+
+def test_consolidation_run_equals_a_loop(spark, sf):
+    """The registered run over all records: pairs in order, those of a superseded record left out, then every winner by recursion."""
+    from memlake.plans import q_consolidate, q_lineage, registry
+    from memlake.plans.views import NOW
+
+    mem = {r.id: r for r in q_lineage.view(spark, sf, "mem").collect()}
+    arb = {(r.id_a, r.id_b): r for r in consolidate.arbitrate(q_consolidate.pairs(spark, sf)).collect()}
+    gone = lambda i: mem[i].status == "superseded"
+    edges = sorted((*sorted(k), r.winner_id, r.loser_id, "CONFLICT" if int(k[1]) % 9 == 0 else "EQUIVALENT") for k, r in arb.items() if not gone(k[0]) and not gone(k[1]))
+    lost, merged = {}, []
+    for a, b, winner, loser, kind in edges:
+        if a not in lost and b not in lost:
+            lost[loser] = winner
+            if kind == "EQUIVALENT":
+                merged.append((winner, loser))
+    members = {i: (r.confirmation_count or 1 if (r.confirmation_count or 1) >= 0 else 1, [], None, r.last_confirmed_at) for i, r in mem.items()}
+    _, grown = slow_lineage(members, merged, True)
+    want = set()
+    for i, r in mem.items():
+        n, ids, fresh = grown.get(i, (r.confirmation_count, None, r.last_confirmed_at))
+        want.add((i, "superseded" if i in lost else r.status, lost.get(i), n, ",".join(ids) if ids is not None else None, fresh, NOW if i in lost or i in grown else r.updated_at))
+    assert set(map(tuple, registry.QUERIES["consolidation_run"](spark, sf).collect())) == want and lost
+
+
+def test_windows_by_rolling_hashes_equal_a_loop():
+    import random
+
+    import numpy as np
+
+    r = random.Random(8)
+    for _ in range(200):
+        newest = np.array([r.randrange(3) for _ in range(r.randint(0, 30))], dtype=np.uint64)
+        older = [np.array(newest[a : a + r.randint(0, 9)] if r.random() < 0.5 else [r.randrange(3) for _ in range(r.randint(0, 6))], dtype=np.uint64) for a in [r.randint(0, 30) for _ in range(12)]]
+        inside = lambda x: any((newest[i : i + len(x)] == x).all() for i in range(len(newest) - len(x) + 1)) or not len(x)
+        assert queue.held(newest, older).tolist() == [inside(x) for x in older]
+
+
+def test_snapshots_of_one_session_in_many_buckets(spark):
+    """A hundred thousand snapshots of one session; another host, user or namespace of the same session id keeps its jobs."""
+    turns = [f"t{k % 7}-{k % 11}" for k in range(400)]
+    rows = [(k, "codex", "s", "u", "n", k, turns[k % 350 : k % 350 + 1 + k % 40] if k % 3 else [f"t{k}", "x"]) for k in range(100_000)]
+    rows += [(200_000, "codex", "s", "u", "n", 999_999, turns), (200_001, "pi", "s", "u", "n", 1, turns[:3]), (200_002, "codex", "s", "v", "n", 1, turns[:3]), (200_003, "codex", "s", "u", "m", 1, turns[:3]), (200_004, "codex", "s", None, "n", 1, turns[:3]), (200_005, "codex", "s", "u", "n", 2, None)]
+    df = spark.createDataFrame(rows, "job_id long, host string, session_id string, user_id string, namespace string, created_at long, turns array<string>")
+    got = {r.job_id: (r.state, r.superseded_by) for r in queue.coalesce_sessions(df, bucket_turns=100_000).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == (("coalesced", 200_000) if k % 3 else ("pending", None)) for k in range(100_000))
+    assert all(got[k] == ("pending", None) for k in range(200_000, 200_005)) and got[200_005] == ("coalesced", 200_000)
