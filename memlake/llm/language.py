@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memlake.llm.common import LOWER, chunks, fields, flat, held_out, reduce_rows, release, word_bounds
+from memlake.llm.common import LOWER, Scratch, chunks, fields, flat, held_out, reduce_rows, release, word_bounds
 
 #: Training documents of each language, those of least hash: a bounded sample, drawn in SPREAD parts.
 MAX_DOCS_PER_LANGUAGE = 1536
 SPREAD = 64
+#: Ids of a sample that are broadcast; more of them (very many languages) are joined by a shuffle.
+BROADCAST_IDS = 200_000
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 
@@ -146,7 +148,10 @@ def train_language(docs: DataFrame, per_language: int = MAX_DOCS_PER_LANGUAGE) -
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", spread.alias("h"))
     part = Window.partitionBy("lang", F.pmod("h", F.lit(SPREAD))).orderBy("h", "doc_id")
     ids = ids.withColumn("k", F.row_number().over(part)).where(F.col("k") <= -(-per_language // SPREAD)).select("doc_id", "lang").distinct()
-    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    ids = Scratch(docs.sparkSession).write(ids)
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # of rows that repeat an id and language one counts: each task keeps one before they meet
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(small, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}

@@ -14,7 +14,9 @@ give repeated results, extra columns are ignored, an empty table an empty result
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import pickle
 import random
 import re
@@ -279,6 +281,15 @@ def crf_spans(crf: Crf, data: np.ndarray, bounds: np.ndarray) -> list[list[tuple
     return out
 
 
+def apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans (kind, start, end) that overlap none of base, by one search each."""
+    if not base:
+        return spans
+    order = sorted(b[1:] for b in base)
+    starts, reach = [a for a, _ in order], list(itertools.accumulate((b for _, b in order), max))
+    return [x for x in spans if not (k := bisect.bisect_left(starts, x[2])) or reach[k - 1] <= x[1]]
+
+
 def detect(crf: Crf, data: np.ndarray, bounds: np.ndarray) -> list[tuple[list, list]]:
     """For each row the base spans and all spans, as (kind, start, end) in code points."""
     marked = ((data >= 48) & (data <= 57)) | (data == 64)
@@ -291,7 +302,7 @@ def detect(crf: Crf, data: np.ndarray, bounds: np.ndarray) -> list[tuple[list, l
             continue
         part = data[bounds[k] : bounds[k + 1]]
         base = base_spans(part.tobytes())
-        extra = [x for x in added[k] if not any(x[1] < b[2] and b[1] < x[2] for b in base)]
+        extra = apart(added[k], base)
         if base or extra:
             points = np.zeros(len(part) + 1, dtype=np.int64)
             np.cumsum((part & 0xC0) != 0x80, out=points[1:])

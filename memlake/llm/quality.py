@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import chunks, fields, flat, held_out, reduce_rows, release, word_bounds, word_hashes
+from memlake.llm.common import Scratch, chunks, fields, flat, held_out, reduce_rows, release, word_bounds, word_hashes
 from memlake.llm.crf import Batch, Crf
 
 #: The chain is fitted on a bounded sample: of so many labelled documents, those of least hash, the ones of at most
@@ -140,7 +140,7 @@ def fit(rows: list[tuple[bytes, bytes, int]]) -> QualityModel:
 def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, doc_lines: int = MAX_DOC_LINES, max_lines: int = MAX_TRAIN_LINES) -> QualityModel:
     """Fit on a bounded sample of the labelled documents that are not held out.
 
-    Features are made on the executors; the driver gets 112 bytes a line, of at most max_docs times doc_lines lines.
+    Features are made on the executors; the driver gets one row an id, 112 bytes a line, of at most max_lines lines.
     """
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     picked = picked.groupBy("doc_id").agg(F.min("quality").cast("int").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
@@ -155,12 +155,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_
             part = part.take(pa.array(some))
             yield pa.RecordBatch.from_arrays([part.column("h"), part.column("id"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), part.column("label")], ["h", "id", "f", "n", "label"])
 
-    sample, total = [], 0
-    for r in sorted(rows.mapInArrow(make, "h bigint, id string, f binary, n binary, label int").collect(), key=lambda r: (r.h, r.id, bytes(r.f))):
-        total += len(r.n) // 8
-        if total > max_lines:
-            break
-        sample.append((bytes(r.f), bytes(r.n), r.label))
+    # of rows that repeat an id one counts: each task keeps one before they meet
+    one = F.min(F.struct("f", "n", "label"))
+    scratch = Scratch(docs.sparkSession)
+    made = scratch.write(rows.mapInArrow(make, "h bigint, id string, f binary, n binary, label int").groupBy("h", "id").agg(one.alias("r")).select("h", "id", "r.*"))
+    # ids and numbers of lines first, then the lines of those that fit
+    sizes = sorted((r.h, r.id, r.n // 8) for r in made.select("h", "id", F.length("n").alias("n")).collect())
+    ends = np.cumsum([n for *_, n in sizes])
+    fit_in = int(np.searchsorted(ends, max_lines, side="right"))
+    if not fit_in:
+        return fit([])
+    h, id_, _ = sizes[fit_in - 1]
+    kept = made.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("id") <= id_))).collect()
+    sample = [(bytes(r.f), bytes(r.n), r.label) for r in sorted(kept, key=lambda r: (r.h, r.id))]
+    scratch.drop(made)
     return fit(sample)
 
 

@@ -101,3 +101,36 @@ def test_repeated_rows_of_a_vector_are_one(spark):
     for q in (0, 20, 40):
         mine = [x for x in got if x[0] == q]
         assert [x[1] for x in mine] == list(range(1, 21)) and len({x[2] for x in mine}) == 20 and q not in {x[2] for x in mine}
+
+
+def test_samples_take_one_row_of_an_id(spark):
+    """An id that very many rows repeat brings one of them to a sample."""
+    rows = [(k, f"line one of {k}\nline two, which is good\n", "en" if k % 2 else "fr") for k in range(40)]
+    docs = spark.createDataFrame(rows + [rows[1]] * 4000 + [(3, "another text", "en")] * 50, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    once = spark.createDataFrame(rows, docs.schema)
+    some, all_ = (language.train_language(d).logs for d in (docs, once))
+    assert some.shape == all_.shape and abs(some - all_).max() < 1.0  # one text of a thousand copies wouldn't
+    seen = []
+    old, quality.fit = quality.fit, lambda sample: seen.append(sample) or old(sample)
+    try:
+        quality.train_quality(docs, labels, max_docs=10)
+        quality.train_quality(docs, labels, max_lines=7)
+    finally:
+        quality.fit = old
+    assert len(seen[0]) <= 10 and 0 < sum(len(n) // 8 for _, n, _ in seen[1]) <= 7
+
+
+def test_many_spans_in_one_text_take_time_in_proportion():
+    import random
+    import time
+
+    spans = [(0, 10 * k, 10 * k + 5) for k in range(60_000)]
+    began = time.perf_counter()
+    assert pii.apart([(4, 10 * k + 6, 10 * k + 9) for k in range(60_000)], spans)[-1] == (4, 599_996, 599_999)
+    assert pii.apart(spans, spans) == [] and time.perf_counter() - began < 2
+    r = random.Random(1)
+    for _ in range(300):
+        made = lambda n: [(0, a, a + r.randint(1, 6)) for a in sorted(r.randint(0, 60) for _ in range(n))]
+        some, base = made(8), made(r.randint(0, 8))
+        assert pii.apart(some, base) == [x for x in some if not any(x[1] < b[2] and b[1] < x[2] for b in base)]
