@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from memlake.functions import text as tx
-from memlake.operators import lineage
+from memlake.operators import lineage, similarity
 from memlake.operators.filters import active
 from memlake.scratch import Scratch
 
@@ -21,44 +21,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def knn_edges(vectors: DataFrame, top_k: int = 10, threshold: float = 0.85, seeds: Column | None = None, block: int = 512) -> DataFrame:
-    """(seed_id, neighbor_id, score): each seed's top_k neighbours of its own identity by cosine.
+def knn_edges(vectors: DataFrame, top_k: int = 10, threshold: float = 0.85, seeds: Column | None = None, block: int = similarity.BLOCK) -> DataFrame:
+    """(seed_id, neighbor_id, score): each seed's top_k neighbours of its own identity by cosine, at or above the threshold.
 
-    vectors: id, identity, embedding. An identity may be large: its vectors are dealt
-    into blocks by hash, each pair of blocks is one task's matrix product, and only
-    the best of a block leave it.
+    vectors: id, identity, embedding. Exact; pivots prune what can't reach the threshold.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    clean = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
-    sizes = clean.groupBy("identity").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    rows = clean.select("id", "identity", F.transform("embedding", lambda x: x.cast("double")).alias("v"), (seeds if seeds is not None else F.lit(True)).alias("seed")).join(sizes, "identity")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = rows.where("seed").select(F.col("identity").alias("i1"), F.col("part").alias("a1"), other.alias("b1"), F.col("id").alias("id1"), F.col("v").alias("v1"))
-    right = rows.select(F.col("identity").alias("i2"), other.alias("a2"), F.col("part").alias("b2"), F.col("id").alias("id2"), F.col("v").alias("v2"))
-
-    def match(x: pa.Table, y: pa.Table) -> pa.Table:
-        schema = pa.schema([("seed_id", pa.int64()), ("neighbor_id", pa.int64()), ("score", pa.float64())])
-        if not x.num_rows or not y.num_rows:
-            return schema.empty_table()
-        ids = [np.asarray(t.column(c)) for t, c in ((x, "id1"), (y, "id2"))]
-        m = [np.array(t.column(c).to_pylist()) for t, c in ((x, "v1"), (y, "v2"))]
-        m = [a / np.maximum(np.sqrt((a * a).sum(axis=1, keepdims=True)), 1e-300) for a in m]
-        score = m[0] @ m[1].T
-        score[ids[0][:, None] == ids[1][None, :]] = -2
-        out = []
-        for k, row in enumerate(score):
-            at = np.flatnonzero(row >= threshold - 1e-9)
-            at = at[np.lexsort((ids[1][at], -row[at]))[:top_k]]
-            out += [(ids[0][k], ids[1][j], row[j]) for j in at]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
-
-    found = left.groupBy("i1", "a1", "b1").cogroup(right.groupBy("i2", "a2", "b2")).applyInArrow(match, "seed_id bigint, neighbor_id bigint, score double")
-    found = found.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
-    best = Window.partitionBy("seed_id").orderBy(F.desc("score"), "neighbor_id")
-    return found.withColumn("k", F.row_number().over(best)).where(F.col("k") <= top_k).drop("k")
+    return similarity.Join(vectors, threshold, seeds, block).edges(top_k)
 
 
 def best_pairs(edges: DataFrame) -> DataFrame:

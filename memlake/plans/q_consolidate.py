@@ -26,6 +26,12 @@ def knn_edges(spark, sf):
     return edges(spark, sf)
 
 
+@query("knn_edges_strict", f"WITH {_EDGES.replace(f'score >= {_T}', 'score >= 0.5')} SELECT seed_id, neighbor_id, score FROM e")
+def knn_edges_strict(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("identity"), "embedding")
+    return co.knn_edges(vectors, _K, 0.5)
+
+
 @query("knn_pairs_dedup", f"WITH {_EDGES}, p AS (SELECT *, row_number() OVER (PARTITION BY least(seed_id, neighbor_id), greatest(seed_id, neighbor_id) ORDER BY score DESC, seed_id, neighbor_id) AS r FROM e) SELECT least(seed_id, neighbor_id) AS a, greatest(seed_id, neighbor_id) AS b, score FROM p WHERE r = 1")
 def knn_pairs(spark, sf):
     return co.best_pairs(edges(spark, sf)).select("a", "b", "score")

@@ -669,3 +669,43 @@ def test_snapshots_of_one_session_in_many_buckets(spark):
     assert len(got) == len(rows)
     assert all(got[k] == (("coalesced", 200_000) if k % 3 else ("pending", None)) for k in range(100_000))
     assert all(got[k] == ("pending", None) for k in range(200_000, 200_005)) and got[200_005] == ("coalesced", 200_000)
+
+
+def test_pivots_prune_pairs_and_lose_none(spark):
+    """Skewed clusters: one identity holds most vectors, one cluster a third of them, some of them copies."""
+    import numpy as np
+
+    from pyspark.sql import functions
+
+    from memlake.operators import similarity
+
+    r = np.random.RandomState(5)
+    centres = r.randn(30, 16)
+    sizes = [1000, *[60] * 29]
+    x = np.concatenate([c + 0.25 * r.randn(n, 16) for c, n in zip(centres, sizes)])
+    x[:200] = x[0]
+    identity = np.where(r.rand(len(x)) < 0.85, 0, r.randint(1, 5, len(x)))
+    rows = [(k, int(g), v.tolist()) for k, (g, v) in enumerate(zip(identity, x))] + [(90_000, 0, None), (90_001, 0, [0.0] * 16), (90_002, 0, [1.0]), (90_003, None, x[3].tolist()), (90_004, 0, [float("nan")] * 16)]
+    df = spark.createDataFrame(rows, "id bigint, identity int, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 6)
+    cosine[identity[:, None] != identity[None, :]] = -2
+    np.fill_diagonal(cosine, -2)
+    for threshold, k, block, seeds in ((0.85, 10, 64, None), (0.85, 5, 1024, functions.col("id") % 3 == 0), (0.0, 3, 200, None)):
+        want = set()
+        for a in range(len(x)):
+            if seeds is None or a % 3 == 0:
+                order = np.lexsort((np.arange(len(x)), -cosine[a]))[:k]
+                want |= {(a, int(b)) for b in order if cosine[a, b] >= threshold}
+        join = similarity.Join(df, threshold, seeds, block)
+        got = join.edges(k).collect()
+        near = {(e.seed_id, e.neighbor_id): e.score for e in got}
+        assert len(near) == len(got) == len(want)
+        # products that are rounded another way may swap neighbours of equal score
+        assert all(abs(s - cosine[a, b]) <= 1.5e-6 for (a, b), s in near.items()) and len(set(near) ^ want) <= 0.002 * len(want)
+        pairs, every = join.compared().first()
+        if seeds is None:
+            assert every == sum(int((identity == g).sum()) ** 2 for g in range(5)) + 1
+        if threshold == 0.85 and block == 64:
+            assert 0 < pairs < 0.3 * every
+    assert similarity.Join(df.limit(0), 0.85).edges(3).count() == 0
