@@ -3,11 +3,13 @@
 Angles between vectors obey the triangle inequality. Pivots are far-apart vectors of
 a bounded sample; every vector lies in the cell of its nearest pivot. A vector can
 be within the angle t of a member of a cell of radius R only if it is within R + t
-of the cell's pivot, and at most 2 t further from it than from its own pivot. A cell
-of more than a block of members is cut into shells by the angle to its pivot, which
-bound the angles once more; a shell of equal angles is cut by hash. What the bounds
-leave is compared by matrix products of blocks, so nothing within the threshold is
-lost, and no group is larger than a block.
+of the cell's pivot, and at most 2 t further from it than from its own pivot. Within
+an identity, the members of a cell are cut into shells by the angle to the pivot:
+those within t / 2, those beyond, and each of these by quantiles where it holds more
+than a block; a shell's least and greatest angle bound its visitors once more, and a
+shell of equal angles is cut by hash. An identity of at most a block is one unit.
+What the bounds leave is compared by matrix products of blocks, so nothing within
+the threshold is lost, and no group is larger than a block.
 
 Null vectors, and those with null or non-finite components, take no part, nor do
 those of another dimension than most of the sample, nor zero vectors. Null ids take
@@ -28,7 +30,7 @@ from pyspark.sql.window import Window
 from memlake.scratch import Scratch
 
 #: Vectors that pivots are chosen from (a bounded sample, by hash), and how many pivots at most.
-SAMPLE, PIVOTS = 4096, 64
+SAMPLE, PIVOTS = 4096, 256
 #: Members of a unit of a cell, and visitors that are compared with it at once.
 BLOCK = 1024
 #: What angles of rounded products may be off by.
@@ -66,48 +68,70 @@ class Join:
         picked = clean.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
         self.empty = not picked
         dim = Counter(len(r.v) for r in picked).most_common(1)[0][0] if picked else 0
-        centres = pivots_of(_unit(np.array([r.v for r in picked if len(r.v) == dim])), pivots) if picked else np.zeros((0, 0))
-        self.cells = len(centres)
+        # about one pivot for an eighth of a block, so that units don't get too small
+        most = int(np.clip(8 * clean.count() // block, 1, pivots)) if picked else 0
+        self.centres = pivots_of(_unit(np.array([r.v for r in picked if len(r.v) == dim])), most) if picked else np.zeros((0, 0))
+        centres = self.centres
 
         def place(batches):
             for b in batches:
                 x = _unit(np.array(b.column("v").to_pylist())) if b.num_rows else np.zeros((0, dim))
                 angles = _angles(x, centres)
                 cell = angles.argmin(axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(centres), pa.int32()), pa.array(angles.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(cell, pa.int32()), pa.array(angles[np.arange(len(x)), cell]), lists, pa.array([v.tobytes() for v in x], pa.binary())], ["row", "cell", "angle", "angles", "vec"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(cell, pa.int32()), pa.array(angles[np.arange(len(x)), cell]), pa.array([v.tobytes() for v in x], pa.binary())], ["row", "cell", "angle", "vec"])
 
+        if self.empty:
+            return
         row = clean.where(F.size("v") == dim).select(F.struct("id", "identity", "seed").alias("row"), "v")
-        kinds = f"row {row.schema['row'].dataType.simpleString()}, cell int, angle double, angles array<double>, vec binary"
-        self.rows = self.scratch.write(row.mapInArrow(place, kinds).select(F.col("row.id").alias("id"), F.xxhash64(F.col("row.identity").cast("string")).alias("g"), F.col("row.seed").alias("seed"), "cell", "angle", "angles", "vec")) if picked else None
-        if picked:
-            self._units()
+        placed = row.mapInArrow(place, f"row {row.schema['row'].dataType.simpleString()}, cell int, angle double, vec binary")
+        placed = self.scratch.write(placed.select(F.col("row.id").alias("id"), F.xxhash64(F.col("row.identity").cast("string")).alias("g"), F.col("row.seed").alias("seed"), "cell", "angle", "vec"))
+        groups = placed.groupBy("g").agg(F.count("*").alias("n"), F.ceil(F.count_if("seed") / (4 * block)).cast("int").alias("chunks"))
+        whole = F.col("n") <= block
+        placed = placed.join(groups, "g").withColumn("angle", F.when(whole, 0.0).otherwise(F.col("angle"))).withColumn("cell", F.when(whole, -1).otherwise(F.col("cell")))
+        self.rows = self.scratch.write(placed)
+        self._units()
 
     def _units(self) -> None:
-        cells = self.rows.groupBy("g", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n"), F.count_if("seed").alias("asks"))
-        cells = self.scratch.write(cells)
-        # heavy cells: bounds of shells, by quantiles of the angle
-        heavy = cells.where(F.col("n") > self.block).select("g", "cell", F.ceil(F.col("n") / self.block).cast("int").alias("shells"))
+        block = self.block
+        self.radii = np.zeros(len(self.centres))
+        for r in self.rows.where("cell >= 0").groupBy("cell").agg(F.max("angle").alias("radius")).collect():  # a row for each pivot at most
+            self.radii[r.cell] = r.radius
+        rows = self.rows.select("id", "g", "cell", (F.col("angle") > self.reach / 2).cast("int").alias("ring"), "angle", "vec")
+        ring = ["g", "cell", "ring"]
+        heavy = rows.groupBy(*ring).agg(F.ceil(F.count("*") / block).cast("int").alias("shells")).where("shells > 1")
         steps = [k / 64 for k in range(1, 64)]
-        cuts = self.rows.select("g", "cell", "angle").join(heavy, ["g", "cell"]).groupBy("g", "cell").agg(F.percentile_approx("angle", steps, 10_000).alias("q"), F.max("shells").alias("shells"))
-        # as many bounds as the cell has blocks, 63 at most
+        cuts = rows.select(*ring, "angle").join(heavy, ring).groupBy(*ring).agg(F.percentile_approx("angle", steps, 10_000).alias("q"), F.max("shells").alias("shells"))
+        # as many bounds as the ring has blocks, 63 at most
         some = F.filter(F.col("q"), lambda x, i: ((i + 1) % F.greatest(F.lit(1), F.floor(F.lit(64) / F.col("shells")))) == 0)
-        cuts = self.scratch.write(cuts.select("g", "cell", F.array_distinct(some).alias("cuts")))
-        shell = F.when(F.col("cuts").isNull(), 0).otherwise(F.aggregate("cuts", F.lit(0), lambda acc, c: acc + F.when(F.col("angle") > c, 1).otherwise(0)))
-        homes = self.rows.select("id", "g", "cell", "angle", "vec").join(cuts, ["g", "cell"], "left").withColumn("shell", shell.cast("int")).drop("cuts")
+        cuts = self.scratch.write(cuts.select(*ring, F.array_distinct(some).alias("cuts")))
+        inner = F.when(F.col("cuts").isNull(), 0).otherwise(F.aggregate("cuts", F.lit(0), lambda acc, c: acc + F.when(F.col("angle") > c, 1).otherwise(0)))
+        homes = rows.join(cuts, ring, "left").withColumn("shell", (F.col("ring") * 64 + inner).cast("int")).drop("cuts", "ring")
         shells = homes.groupBy("g", "cell", "shell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("members"))
-        self.shells = self.scratch.write(shells.withColumn("subs", F.ceil(F.col("members") / self.block).cast("int")))
+        self.shells = self.scratch.write(shells.withColumn("subs", F.ceil(F.col("members") / block).cast("int")))
         self.homes = homes.join(self.shells.select("g", "cell", "shell", "subs"), ["g", "cell", "shell"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
-        whole = cells.groupBy("g").agg(F.ceil(F.sum("asks") / (4 * self.block)).cast("int").alias("chunks"), F.map_from_entries(F.collect_list(F.struct("cell", "radius"))).alias("radii"))
-        self.groups = self.scratch.write(whole.where("chunks > 0"))
 
     def visits(self, *more: str) -> DataFrame:
         """(g, cell, shell, sub, chunk, id) and more columns: each seed with each unit that may hold a neighbour of it."""
-        reach = self.reach
-        asks = self.rows.where("seed").join(self.groups, "g")
-        near = F.filter(F.map_keys("radii"), lambda c: (F.get("angles", c) <= F.element_at("radii", c) + reach) & (F.get("angles", c) - F.col("angle") <= 2 * reach))
-        asks = asks.select("id", "g", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "angles", F.explode(near).alias("cell"), *more)
-        asks = asks.withColumn("far", F.get("angles", F.col("cell"))).drop("angles").join(self.shells, ["g", "cell"])
+        reach, centres, radii = self.reach, self.centres, self.radii
+
+        def near(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = np.frombuffer(b"".join(b.column("vec").to_pylist())).reshape(b.num_rows, -1)
+                angles = _angles(x, centres)
+                reached = (angles <= radii + reach) & (angles - angles.min(axis=1, keepdims=True) <= 2 * reach)
+                whole = np.asarray(b.column("cell")) < 0
+                reached[whole] = False
+                reached[whole, 0] = True
+                at, cell = np.nonzero(reached)
+                far = np.where(whole[at], 0.0, angles[at, cell])
+                cell = np.where(whole[at], -1, cell)
+                taken = [b.column(c).take(pa.array(at)) for c in ("g", "id", "chunk", *more)]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(cell, pa.int32()), pa.array(far)], ["g", "id", "chunk", *more, "cell", "far"])
+
+        asks = self.rows.where("seed").select("g", "id", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "cell", "vec")
+        asks = asks.mapInArrow(near, ", ".join(["g bigint, id bigint, chunk int", *[f"{c} binary" for c in more], "cell int, far double"])).join(self.shells, ["g", "cell"])
         asks = asks.where((F.col("far") >= F.col("low") - reach) & (F.col("far") <= F.col("high") + reach))
         return asks.select("g", "cell", "shell", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "chunk", "id", *more)
 
