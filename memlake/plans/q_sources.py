@@ -139,9 +139,10 @@ def first_field(spark, sf):
     return table(spark, sf, "documents").select("doc_id", rd.first_non_empty(F.when(k == 2, "a").otherwise(""), F.when(k == 1, "b"), F.lit("c")).alias("value"))
 
 
-@query("chunk_pack")
+@query("chunk_pack", """WITH RECURSIVE d AS (SELECT source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+w AS (SELECT source, k, 0 AS chunk, n AS held FROM d WHERE k = 1 UNION ALL SELECT d.source, d.k, CASE WHEN held + n > 3500 THEN chunk + 1 ELSE chunk END, CASE WHEN held + n > 3500 THEN n ELSE held + n END FROM w JOIN d ON d.source = w.source AND d.k = w.k + 1)
+SELECT source, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_texts, CAST(max(held) + 5 * (count(*) - 1) AS BIGINT) AS n_chars FROM w GROUP BY source, chunk""")
 def chunks(spark, sf):
-    """Texts of a source's documents, in blocks of a hundred by number, packed greedily; order-dependent, so tests compare it with a loop."""
-    docs = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / 100).alias("block"), "doc_id", "text")
-    by = docs.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("texts"))
-    return by.select("source", "block", F.posexplode(rd.pack_chunks(F.col("texts"))).alias("chunk", "text")).select("source", "block", "chunk", F.length("text").alias("n_chars"))
+    """All texts of each source, in order of their numbers, packed greedily."""
+    docs = table(spark, sf, "documents").select("source", F.col("doc_id").alias("seq"), "text")
+    return rd.pack_sources(docs).select("source", "chunk", F.col("n_texts").cast("bigint").alias("n_texts"), F.length("text").cast("bigint").alias("n_chars"))

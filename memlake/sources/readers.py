@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from memlake.operators.running import greedy_bins
+from memlake.scratch import Scratch
+
 MAX_LINES = 2000
 TURN = "struct<role:string,content:string>"
 
@@ -160,6 +163,22 @@ def pack_chunks(texts: Column, limit: int = 3500) -> Column:
     return F.aggregate(texts, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
 
+def pack_sources(texts: DataFrame, limit: int = 3500) -> DataFrame:
+    """(source, chunk, n_texts, text) of texts (source, seq, text): each source's texts in order of seq, packed greedily into chunks of at most ``limit`` characters, joined by a rule line.
+
+    A longer text is a chunk of its own. Null texts count as empty, equal seqs go in
+    the order of their texts' hashes, a null source is a source. A source may hold any
+    share of the texts: only their lengths are sorted, and a chunk's texts meet last.
+    """
+    scratch = Scratch(texts.sparkSession)
+    rows = texts.select(F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("g"), "source", "seq", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = scratch.write(rows.withColumn("h", F.xxhash64("text")))
+    keys = ["seq", "h", "row"]
+    bins = greedy_bins(rows.select("g", *keys, F.char_length("text").alias("n")), "g", keys, "n", limit)
+    whole = rows.join(bins.select("row", F.col("bin").alias("chunk")), "row").groupBy("g", "chunk").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct(*keys, "text"))).alias("t"))
+    return whole.select("source", "chunk", F.size("t").alias("n_texts"), F.array_join(F.transform("t", lambda x: x["text"]), "\n---\n").alias("text"))
+
+
 # --- rollouts and official rows ---------------------------------------------------
 
 

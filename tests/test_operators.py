@@ -709,3 +709,40 @@ def test_pivots_prune_pairs_and_lose_none(spark):
         if threshold == 0.85 and block == 64:
             assert 0 < pairs < 0.3 * every
     assert similarity.Join(df.limit(0), 0.85).edges(3).count() == 0
+
+
+def test_greedy_chunks_equal_a_loop(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(s, k // 2 if s == "b" else k, "x" * r.choice((0, 1, 5, 9, 10, 11, 40)) if k % 13 else None) for s, n in (("a", 400), ("b", 60), (None, 7), ("c", 1)) for k in range(n)]
+    want = {}
+    for source in ("a", None, "c"):  # of "b" the order of equal numbers is the hash's
+        chunks, held = [], 0
+        for _, _, t in (x for x in rows if x[0] == source):
+            t = t or ""
+            if chunks and held + len(t) <= 20:
+                chunks[-1].append(t)
+                held += len(t)
+            else:
+                chunks.append([t])
+                held = len(t)
+        want |= {(source, k): "\n---\n".join(c) for k, c in enumerate(chunks)}
+    got = readers.pack_sources(spark.createDataFrame(rows, "source string, seq int, text string"), 20).collect()
+    assert {(x.source, x.chunk): x.text for x in got if x.source != "b"} == want
+    b = sorted((x.chunk, x.n_texts, x.text) for x in got if x.source == "b")
+    assert [k for k, *_ in b] == list(range(len(b))) and sum(n for _, n, _ in b) == 60
+    assert readers.pack_sources(spark.createDataFrame([], "source string, seq int, text string")).count() == 0
+
+
+def test_running_sums_of_one_large_group(spark):
+    from pyspark.sql import functions
+
+    from memlake.operators.running import running
+
+    rows = spark.range(5000).select(functions.lit("g").alias("g"), "id", (functions.col("id") % 7).alias("n"))
+    got = running(rows, "g", ["id"], {"s": functions.col("n")}).orderBy("id").collect()
+    total = 0
+    for k, x in enumerate(got):
+        total += k % 7
+        assert (x.id, x.s) == (k, total)
