@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from memlake.functions import text as tx
 from memlake.operators import lineage, similarity
+from memlake.operators.components import components
 from memlake.operators.filters import active
 from memlake.scratch import Scratch
 
@@ -78,34 +79,39 @@ def operation_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]), 256), 1, 20)
 
 
-#: Edges that one task takes in order.
+#: Edges of a component that one task takes in order, and of a greater component at once.
 CHUNK = 500_000
 
 
 def _in_order(batches):
-    """Edges, in order, that no edge taken before them forbids; a flag says which ones are taken."""
-    dead: set = set()
+    """Edges, in order within each component, that no edge taken before them forbids; a flag says which ones are taken."""
+    dead, at = set(), None
     for batch in batches:
-        a, b, lost = (batch.column(c).to_pylist() for c in ("a", "b", "loser_id"))
+        of, a, b, lost = (batch.column(c).to_pylist() for c in ("component", "a", "b", "loser_id"))
         taken = []
-        for x, y, loser in zip(a, b, lost):
+        for c, x, y, loser in zip(of, a, b, lost):
+            if c != at:
+                dead.clear()
+                at = c
             taken.append(x not in dead and y not in dead)
             if taken[-1]:
                 dead.add(loser)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], [*batch.schema.names, "taken"])
 
 
-def first_edges(decided: DataFrame, rounds: int = 12, chunk: int = CHUNK) -> DataFrame:
+def first_edges(decided: DataFrame, rounds: int = 2, chunk: int = CHUNK) -> DataFrame:
     """Edges that take effect when taken in order (a, b): an edge whose member was superseded before is skipped.
 
     decided: a, b, winner_id, loser_id. An edge waits only for earlier open edges that
     may supersede one of its members. Rounds of joins settle all edges that wait for
-    none, the bulk of any table. What is left then are long chains, in which each edge
-    waits for the one before: they are cut by order into chunks of about ``chunk``
-    edges, and one task after the other takes a chunk's edges in order. A chain may be
-    of any length; memory is bounded by the chunk.
+    none, the bulk of any table. What is left are chains; those without a common
+    member are components, which are packed into tasks, and a task takes the edges of
+    one component after the other in order. A component of more than ``chunk`` edges
+    is cut by order into chunks, one after the other. A chain may be of any length;
+    memory is bounded by the chunk.
     """
-    scratch = Scratch(decided.sparkSession)
+    spark = decided.sparkSession
+    scratch = Scratch(spark)
     columns = decided.columns
     won_at = scratch.path()
     left = scratch.write(decided.withColumn("key", F.struct("a", "b")))
@@ -123,19 +129,29 @@ def first_edges(decided: DataFrame, rounds: int = 12, chunk: int = CHUNK) -> Dat
         left, before = scratch.write(left.join(won.select("key"), "key", "left_anti").join(hit, "key", "left_anti").select(*left.columns)), left
         scratch.drop(before)
         scratch.drop(won)
-    n = left.count()
+    if left.isEmpty():
+        return taken.select(*columns)
+    of = components(left.select("a", "b"))
+    rows = scratch.write(left.join(of.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")).select(*left.columns, "component"))
+    sizes = scratch.write(rows.groupBy("component").agg(F.count("*").alias("n")))
+    schema = T.StructType([*rows.schema.fields, T.StructField("taken", T.BooleanType())])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = rows.join(sizes.where(F.col("n") <= chunk).select("component"), "component", "left_semi").select(*rows.columns)
+    found = small.repartition(parts, "component").sortWithinPartitions("component", "a", "b").mapInArrow(_in_order, schema).where("taken")
+    taken = scratch.add(found.select(*left.columns), won_at)
+    great = rows.join(sizes.where(F.col("n") > chunk).select("component"), "component", "left_semi").select(*rows.columns)
+    n = great.count()
     if not n:
         return taken.select(*columns)
     chunks = -(-n // chunk)
-    ranged = scratch.write(left.repartitionByRange(chunks, "a", "b").withColumn("chunk", F.spark_partition_id()))
-    schema = T.StructType([*left.schema.fields, T.StructField("taken", T.BooleanType())])
+    ranged = scratch.write(great.repartitionByRange(chunks, "component", "a", "b").withColumn("chunk", F.spark_partition_id()))
     gone_at, gone = scratch.path(), None
     for k in range(chunks):
         mine = ranged.where(F.col("chunk") == k).drop("chunk")
         if gone is not None:
             for c in ("a", "b"):
                 mine = mine.join(gone, F.col(c) == F.col("m"), "left_anti")
-        found = scratch.write(mine.select(*left.columns).repartition(1).sortWithinPartitions("a", "b").mapInArrow(_in_order, schema).where("taken").drop("taken"))
+        found = scratch.write(mine.select(*rows.columns).repartition(1).sortWithinPartitions("component", "a", "b").mapInArrow(_in_order, schema).where("taken").select(*left.columns))
         taken = scratch.add(found, won_at)
         gone = scratch.add(found.select(F.col("loser_id").alias("m")), gone_at)
     return taken.select(*columns)

@@ -102,9 +102,11 @@ def consolidation_stats(spark, sf):
     return pairs(spark, sf).agg(F.count("*").alias("pairs"), F.count_if(same).alias("same_identity"), F.count_if(~same).alias("boundary_mismatch"), F.count_if(same & gone).alias("inactive"))
 
 
-@query("sequential_edges")
+@query("sequential_edges", f"""WITH RECURSIVE {_ARB}, o AS (SELECT CAST(id_a AS BIGINT) AS a, CAST(id_b AS BIGINT) AS b, CAST(winner_id AS BIGINT) AS winner_id, CAST(loser_id AS BIGINT) AS loser_id, row_number() OVER (ORDER BY CAST(id_a AS BIGINT), CAST(id_b AS BIGINT)) AS k FROM arb),
+w AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS dead, false AS taken UNION ALL SELECT o.k, CASE WHEN list_has_any(dead, [a, b]) THEN dead ELSE list_append(dead, loser_id) END, NOT list_has_any(dead, [a, b]) FROM w JOIN o ON o.k = w.k + 1)
+SELECT a, b, winner_id, loser_id FROM o JOIN w USING (k) WHERE taken""")
 def sequential(spark, sf):
-    """Edges that take effect in order; order-dependent, so tests compare it with a loop."""
+    """Edges that take effect in order."""
     decided = co.arbitrate(pairs(spark, sf)).select(F.col("id_a").cast("bigint").alias("a"), F.col("id_b").cast("bigint").alias("b"), F.col("winner_id").cast("bigint").alias("winner_id"), F.col("loser_id").cast("bigint").alias("loser_id"))
     return co.first_edges(decided)
 

@@ -746,3 +746,12 @@ def test_running_sums_of_one_large_group(spark):
     for k, x in enumerate(got):
         total += k % 7
         assert (x.id, x.s) == (k, total)
+
+
+def test_first_edges_of_many_chains(spark):
+    """Two thousand chains of fifty, in which each edge waits for the one before, and one component beyond a chunk."""
+    rows = [(c * 100 + k, c * 100 + k + 1, c * 100 + k, c * 100 + k + 1) if (c + k) % 3 else (c * 100 + k, c * 100 + k + 1, c * 100 + k + 1, c * 100 + k) for c in range(2000) for k in range(50)]
+    df = spark.createDataFrame(rows, "a int, b int, winner_id int, loser_id int")
+    assert {(r.a, r.b) for r in consolidate.first_edges(df).collect()} == in_order(rows)
+    few = [r for r in rows if r[0] < 2000] + [(900_000 + k, 900_001 + k, 900_000 + k, 900_001 + k) for k in range(700)]
+    assert {(r.a, r.b) for r in consolidate.first_edges(spark.createDataFrame(few, df.schema), chunk=100).collect()} == in_order(few)
