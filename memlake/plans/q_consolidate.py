@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.operators import consolidate as co
+from memlake.operators import reindex
 from memlake.plans.registry import query
 from memlake.plans.views import cte, table, view
+from memlake.scratch import Scratch
 
 # between vectors of one label cosines stay low, so the registered threshold lies below the operator's default
 _T, _K = 0.30, 10
@@ -192,13 +194,17 @@ def entity_prune(spark, sf):
 _ACTION = "CASE WHEN doc_id % 10 = 9 THEN 'new' WHEN doc_id % 13 = 0 THEN 'conflicted' WHEN doc_id % 6 = 0 THEN 'recompute' ELSE 'skipped' END"
 
 
-def _classes(spark, sf) -> DataFrame:
+def _collections(spark, sf) -> tuple[DataFrame, DataFrame]:
     mem = view(spark, sf, "mem")
     payload = F.struct("user_id", "agent_id", "status", F.md5("memory").alias("hash"))
     source = mem.select("id", payload.alias("payload"), F.lit("p2").alias("profile"))
     changed = F.struct("user_id", "agent_id", "status", F.when(F.col("doc_id") % 13 == 0, "other").otherwise(F.md5("memory")).alias("hash"))
     target = mem.where("doc_id % 10 <> 9").select("id", changed.alias("payload"), F.when(F.col("doc_id") % 6 == 0, "p1").otherwise("p2").alias("profile"))
-    return co.reindex_classes(source, target)
+    return source, target
+
+
+def _classes(spark, sf) -> DataFrame:
+    return co.reindex_classes(*_collections(spark, sf))
 
 
 @query("reindex_classify", f"WITH {cte('mem')} SELECT id, {_ACTION} AS action FROM mem")
@@ -211,3 +217,11 @@ def reindex_verify(spark, sf):
     a = F.col("action")
     s = _classes(spark, sf).agg(F.count("*").alias("source_count"), F.count_if(a != "new").alias("target_before"), F.count_if(a.isin("new", "recompute")).alias("written"), F.count_if(a == "conflicted").alias("conflicts"), F.count_if(a == "new").alias("added"))
     return s.select("source_count", "target_before", "written", "conflicts", (F.col("target_before") + F.col("added") == F.col("source_count")).alias("counts_hold"))
+
+
+@query("reindex_migrate", f"WITH {cte('mem')}, a AS (SELECT doc_id % 4 AS batch, {_ACTION} AS action FROM mem) SELECT CAST(batch AS INT) AS batch, count(*) FILTER (WHERE action IN ('new', 'recompute')) AS written, count(*) FILTER (WHERE action = 'skipped') AS skipped, count(*) FILTER (WHERE action = 'conflicted') AS conflicted FROM a GROUP BY batch")
+def reindex_migrate(spark, sf):
+    """All records in four batches, each verified after it was written."""
+    source, target = _collections(spark, sf)
+    ledger = reindex.migrate(source, target, F.col("id").cast("bigint") % 4, Scratch(spark).path())
+    return ledger.select("batch", "written", "skipped", "conflicted")

@@ -755,3 +755,36 @@ def test_first_edges_of_many_chains(spark):
     assert {(r.a, r.b) for r in consolidate.first_edges(df).collect()} == in_order(rows)
     few = [r for r in rows if r[0] < 2000] + [(900_000 + k, 900_001 + k, 900_000 + k, 900_001 + k) for k in range(700)]
     assert {(r.a, r.b) for r in consolidate.first_edges(spark.createDataFrame(few, df.schema), chunk=100).collect()} == in_order(few)
+
+
+def test_a_migration_that_is_stopped_goes_on(spark, tmp_path):
+    from pyspark.sql import functions
+
+    from memlake.operators import reindex
+
+    kinds = "id string, payload string, profile string, text string"
+    source = spark.createDataFrame([(str(k), f"p{k}", "new", f"t{k}") for k in range(60)], kinds)
+    target = spark.createDataFrame([(str(k), f"p{k}" if k % 5 else "other", "new" if k % 3 else "old") for k in range(30)], "id string, payload string, profile string")
+    batch = functions.col("id").cast("int") % 4
+    make = lambda df: df.withColumn("vector", functions.array(functions.length("text").cast("double")))
+    once = reindex.migrate(source, target, batch, f"file://{tmp_path}/once", make)
+    want = sorted(map(repr, reindex.migrated(spark, f"file://{tmp_path}/once").collect()))
+    assert len(want) == 30 + sum(k % 5 and not k % 3 for k in range(30)) > 0 and reindex.verified(source, target, once).first().complete
+    for at in ((1, "write"), (1, "verify"), (2, "enter")):
+        out, steps = f"file://{tmp_path}/{at[0]}{at[1]}", []
+
+        def stop(k, step, at=at, steps=steps):
+            steps.append((k, step))
+            if (k, step) == at and steps.count(at) == 1:
+                raise KeyboardInterrupt
+
+        with pytest.raises(KeyboardInterrupt):
+            reindex.migrate(source, target, batch, out, make, stop)
+        assert {r.batch for r in reindex._ledger(spark, f"{out}/ledger").collect()} == set(range(at[0]))
+        again = reindex.migrate(source, target, batch, out, make, stop)
+        assert sorted(map(repr, again.collect())) == sorted(map(repr, once.collect())) and sorted(map(repr, reindex.migrated(spark, out).collect())) == want
+        assert [k for k, step in steps if step == "write"] == [*range(at[0] + 1), *range(at[0], 4)]  # one batch is repeated
+        # a changed record of one batch is written again, with its batch alone
+        steps.clear()
+        reindex.migrate(source.withColumn("text", functions.when(functions.col("id") == "57", "changed").otherwise(functions.col("text"))), target, batch, out, make, stop)
+        assert {k for k, _ in steps} == {1}
