@@ -78,7 +78,7 @@ class Postings:
 
 
 def _blocks(queries: DataFrame, *more: str) -> list[Postings]:
-    """The queries in blocks of about QUERY_BLOCK, by hash; one block at a time comes to the driver."""
+    """The queries in blocks of about QUERY_BLOCK, by hash. They are a stated set, and all of its tokens come to the driver."""
     asked = queries.select("query_id", tx.proxy_tokens(F.coalesce("query", F.lit(""))).alias("tokens"), *more)
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     return [Postings(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).orderBy("query_id").collect()) for b in range(n)]
@@ -91,12 +91,59 @@ def _each_block(blocks: list[Postings], score) -> DataFrame:
     return out
 
 
+class Best:
+    """The k best rows of each query among all batches of a task: (asked, points, row), ties by id."""
+
+    def __init__(self, k: int, queries: int, greater_id: bool):
+        self.k, self.limit, self.parts, self.rows = k, max(4 * k * queries, 1 << 14), [], 0
+        self.order = [("asked", "ascending"), ("points", "descending"), ("id", "descending" if greater_id else "ascending")]
+
+    def add(self, asked: np.ndarray, points: np.ndarray, columns: dict[str, pa.Array]) -> None:
+        self.parts.append(pa.table({"asked": pa.array(asked.astype(np.int32)), "points": pa.array(points), **columns}))
+        self.rows += len(asked)
+        if self.rows > self.limit:
+            self.parts = [self._kept()]
+            self.rows = self.parts[0].num_rows
+
+    def _kept(self) -> pa.Table:
+        every = pa.concat_tables(self.parts)
+        every = every.take(pc.sort_indices(every, sort_keys=self.order))
+        asked = np.asarray(every.column("asked"))
+        return every.filter(pa.array(np.arange(len(asked)) - np.searchsorted(asked, asked) < self.k))
+
+    def batches(self, names: pa.Array, schema: list[str]):
+        """Batches of query_id and the columns, once all are seen."""
+        if self.rows:
+            found = self._kept().combine_chunks()
+            yield from found.append_column("query_id", names.take(found.column("asked"))).select(schema).to_batches()
+
+
+def _top(total: np.ndarray, k: int, ids: pa.Array, greater_id: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the k largest of each column; what ties with the k-th stays too, for ids to decide."""
+    if k >= len(total):
+        rows, asked = np.nonzero(np.isfinite(total))
+        return rows, asked
+    kth = np.partition(total, len(total) - k, axis=0)[len(total) - k]
+    tied = (total == kth).sum(axis=0) > 1
+    rows, asked = np.nonzero((total >= kth) & np.isfinite(total) & ~tied)
+    if tied.any():
+        # columns with ties at the k-th: in the order of ids, so that no more than k of a column stay
+        order = np.asarray(pc.sort_indices(pa.table({"id": ids}), sort_keys=[("id", "descending" if greater_id else "ascending")])).astype(np.int64)
+        some = np.flatnonzero(tied)
+        best = order[np.argsort(-total[np.ix_(order, some)], axis=0, kind="stable")[:k]]
+        more = np.tile(some, k)
+        fine = np.isfinite(total[best.ravel(), more])
+        rows, asked = np.concatenate([rows, best.ravel()[fine]]), np.concatenate([asked, more[fine]])
+    return rows, asked
+
+
 def proxy_candidates(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     """The k best memories of each query by share of its tokens: (query_id, id, overlap, n_tokens, score, rank).
 
     Ties go to the greater id; a memory that shares no token is a candidate, too. Each
     task counts overlaps of its memories with a block of queries and passes on the k
-    best of a batch for each query: no pairs of queries and memories are shuffled.
+    best of all its memories for each query: no pairs of queries and memories are
+    shuffled, and no more than k rows a query and task.
     """
     words = memories.select("id", tx.proxy_tokens(F.coalesce("memory", F.lit(""))).alias("tokens"))
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), memories.schema["id"], T.StructField("overlap", T.LongType()), T.StructField("n_tokens", T.IntegerType())])
@@ -106,18 +153,15 @@ def proxy_candidates(queries: DataFrame, memories: DataFrame, k: int) -> DataFra
         sizes = np.bincount(block.queries, minlength=len(block.ids))
 
         def run(batches):
-            names = pa.array(block.ids, kind)
+            best = Best(k, len(block.ids), True)
             for batch in batches:
                 for part in block.slices(batch):
                     overlap = block.sums(part.num_rows, *block.hits(part.column("tokens")))
                     points = np.where(overlap > 0, 0.05 + 0.90 * (overlap / np.maximum(sizes, 1)) ** 1.35, 0.05)
-                    ranked = np.empty(part.num_rows, dtype=np.int64)
-                    ranked[np.argsort(np.array(part.column("id").to_pylist()), kind="stable")] = np.arange(part.num_rows)
-                    # the score to four places, then the id
-                    key = (np.floor(np.clip(points, 0.01, 0.99) * 1e4 + 0.5).astype(np.int64) << 32) + ranked[:, None]
-                    best = np.argpartition(-key, k - 1, axis=0)[:k] if k < part.num_rows else np.broadcast_to(np.arange(part.num_rows)[:, None], key.shape)
-                    rows, asked = best.ravel(), np.tile(np.arange(len(block.ids)), len(best))
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(asked)), part.column("id").take(pa.array(rows)), pa.array(overlap[rows, asked].astype(np.int64)), pa.array(sizes[asked].astype(np.int32))], schema.names)
+                    points = np.floor(np.clip(points, 0.01, 0.99) * 1e4 + 0.5)  # to four places
+                    rows, asked = _top(points, k, part.column("id"), True)
+                    best.add(asked, points[rows, asked], {"id": part.column("id").take(pa.array(rows)), "overlap": pa.array(overlap[rows, asked].astype(np.int64)), "n_tokens": pa.array(sizes[asked].astype(np.int32))})
+            yield from best.batches(pa.array(block.ids, kind), schema.names)
 
         return words.mapInArrow(run, schema)
 
@@ -206,7 +250,7 @@ def pooled(queries: DataFrame, memories: DataFrame, k: int, threshold: float = T
     Gives query_id, id, semantic_score (cosine), bm25_score (r / (r + HALF)),
     entity_boost, rank; ties go to the smaller id, and what has no vector is not found
     and finds nothing. Each task scores its memories
-    against a block of queries and passes on k of a batch for each.
+    against a block of queries and passes on the k best of all for each.
     """
     words = _terms(memories, "embedding", F.coalesce("entity_boost", F.lit(0.0)).cast("double").alias("boost"))
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), memories.schema["id"], *[T.StructField(c, T.DoubleType()) for c in ("semantic_score", "bm25_score", "entity_boost")]])
@@ -216,7 +260,7 @@ def pooled(queries: DataFrame, memories: DataFrame, k: int, threshold: float = T
         okapi, asks = Bm25(block, words), block.vectors
 
         def run(batches):
-            names = pa.array(block.ids, kind)
+            best = Best(k, len(block.ids), False)
             for batch in batches:
                 for part in block.slices(batch):
                     vectors = _vectors(part.column("embedding"), asks.shape[1])
@@ -225,13 +269,9 @@ def pooled(queries: DataFrame, memories: DataFrame, k: int, threshold: float = T
                     lexical, boost = raw / (raw + HALF), np.asarray(part.column("boost"))
                     total = semantic + lexical + boost[:, None]
                     total[(semantic < threshold) | ~vectors.any(axis=1)[:, None] | ~asks.any(axis=1)] = -np.inf
-                    # of equal sums the smaller id: rows in that order, stably sorted
-                    order = np.argsort(np.array(part.column("id").to_pylist()), kind="stable")
-                    best = order[np.argsort(-total[order], axis=0, kind="stable")[:k]]
-                    rows, asked = best.ravel(), np.tile(np.arange(len(block.ids)), len(best))
-                    real = np.isfinite(total[rows, asked])
-                    rows, asked = rows[real], asked[real]
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(asked)), part.column("id").take(pa.array(rows)), pa.array(semantic[rows, asked]), pa.array(lexical[rows, asked]), pa.array(boost[rows])], schema.names)
+                    rows, asked = _top(total, k, part.column("id"), False)
+                    best.add(asked, total[rows, asked], {"id": part.column("id").take(pa.array(rows)), "semantic_score": pa.array(semantic[rows, asked]), "bm25_score": pa.array(lexical[rows, asked]), "entity_boost": pa.array(boost[rows])})
+            yield from best.batches(pa.array(block.ids, kind), schema.names)
 
         return words.mapInArrow(run, schema)
 
