@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
+from memlake.operators.calibration import FLOORS
 from memlake.operators.filters import active
 
 RELATIONS = ("EQUIVALENT", "CONFLICT", "DISTINCT")
 MIN_CONFIDENCE = 0.6
-#: Least probability and margin by relation.
-FLOORS = {"EQUIVALENT": (0.80, 0.25), "CONFLICT": (0.75, 0.20)}
 
 
 def parse_verdict(c: Column) -> Column:

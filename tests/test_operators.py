@@ -788,3 +788,54 @@ def test_a_migration_that_is_stopped_goes_on(spark, tmp_path):
         steps.clear()
         reindex.migrate(source.withColumn("text", functions.when(functions.col("id") == "57", "changed").otherwise(functions.col("text"))), target, batch, out, make, stop)
         assert {k for k, _ in steps} == {1}
+
+
+def test_windows_of_time():
+    from datetime import datetime, timedelta, timezone
+
+    from memlake.operators.journal import parse_since
+
+    now = datetime(2024, 3, 10, 12, tzinfo=timezone.utc)
+    assert [parse_since(x, now) for x in ("12h", " 3D ", "2 w", None, "")] == [now - timedelta(hours=12), now - timedelta(days=3), now - timedelta(weeks=2), None, None]
+    assert parse_since("2024-01-02T03:04:05Z", now) == parse_since("2024-01-02T03:04:05", now) == datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
+    assert parse_since("2024-01-02T03:04:05+02:00", now).utcoffset() == timedelta(hours=2)
+    for wrong in ("soon", "3y", "-1d"):
+        with pytest.raises(ValueError):
+            parse_since(wrong, now)
+
+
+def test_a_classifier_that_fails_gives_no_verdict(spark):
+    from memlake.operators import records
+
+    def classify(a, b):
+        if a == "bad":
+            raise RuntimeError("down")
+        return "EQUIVALENT" if a == b else "DISTINCT"
+
+    pairs = spark.createDataFrame([(1, "x", "x"), (2, "x", "y"), (3, "bad", "y")], "n int, text_a string, text_b string")
+    assert {r.n: r.verdict for r in records.classified(pairs, classify).collect()} == {1: "EQUIVALENT", 2: "DISTINCT", 3: None}
+    assert records.classified(pairs.limit(0), classify).count() == 0
+
+
+def test_the_best_of_many_batches():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from memlake.operators import search
+
+    r = random.Random(6)
+    for greater in (True, False):
+        best, rows = search.Best(3, 4, greater), []
+        best.limit = 20
+        for _ in range(30):
+            n = r.randint(1, 8)
+            ids, total = [r.randrange(50) for _ in range(n)], np.array([[r.choice((0.0, 1.0, 2.0, -np.inf)) for _ in range(4)] for _ in range(n)])
+            rows += [(q, float(total[k, q]), ids[k]) for k in range(n) for q in range(4) if np.isfinite(total[k, q])]
+            at, asked = search._top(total, 3, pa.array(ids), greater)
+            assert max(np.bincount(asked, minlength=4)) <= 3
+            best.add(asked, total[at, asked], {"id": pa.array(ids).take(pa.array(at))})
+        got = [(b["query_id"][k].as_py(), b["id"][k].as_py()) for b in best.batches(pa.array(list("abcd")), ["query_id", "id"]) for k in range(b.num_rows)]
+        want = [("abcd"[q], i) for q in range(4) for _, _, i in sorted((x for x in rows if x[0] == q), key=lambda x: (-x[1], -x[2] if greater else x[2]))[:3]]
+        assert got == want
