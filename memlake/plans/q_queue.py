@@ -211,11 +211,11 @@ def coalesced(spark, sf):
 
 
 #: Of a conversation, for two hosts and two users that share its session id: the whole, turns from the second on, the first two, other text, and nothing with and without a transcript; the second user's newest is the shortest.
-_CAPTURES = """SELECT conv_id * 100 + h * 40 + u * 20 + k AS job_id, CASE h WHEN 0 THEN 'codex' ELSE 'pi' END AS host, CAST(conv_id AS STRING) AS session_id, CASE WHEN conv_id % 11 = 3 AND k = 2 THEN NULL ELSE concat('u', CAST(u AS STRING)) END AS user_id, CASE WHEN conv_id % 5 = 1 AND k = 3 THEN 1 ELSE 0 END AS segment, CASE WHEN u = 1 THEN 10 - k ELSE k END AS created_at, CASE WHEN k = 5 THEN 'file' END AS transcript_path, k FROM {0}"""
+_SNAPSHOTS = """SELECT conv_id * 100 + h * 40 + u * 20 + k AS job_id, CASE h WHEN 0 THEN 'codex' ELSE 'pi' END AS host, CAST(conv_id AS STRING) AS session_id, CASE WHEN conv_id % 11 = 3 AND k = 2 THEN NULL ELSE concat('u', CAST(u AS STRING)) END AS user_id, CASE WHEN conv_id % 5 = 1 AND k = 3 THEN 1 ELSE 0 END AS segment, CASE WHEN u = 1 THEN 10 - k ELSE k END AS created_at, CASE WHEN k = 5 THEN 'file' END AS transcript_path, k FROM {0}"""
 
 
 @query("coalesce_captures", f"""WITH t AS (SELECT conv_id, list(concat(role, ':', trim(text)) ORDER BY turn, role, text) AS w FROM conversations GROUP BY conv_id),
-c AS (SELECT c.*, CASE k WHEN 6 THEN w WHEN 3 THEN w[2:] WHEN 2 THEN w[:2] WHEN 1 THEN ['user:other'] ELSE [] END AS turns FROM ({_CAPTURES.format("(SELECT *, unnest(range(7)) AS k FROM (SELECT *, unnest([0, 1]) AS u FROM (SELECT conv_id, unnest([0, 1]) AS h FROM t)))")}) c JOIN t ON CAST(t.conv_id AS VARCHAR) = session_id WHERE k > 0),
+c AS (SELECT c.*, CASE k WHEN 6 THEN w WHEN 3 THEN w[2:] WHEN 2 THEN w[:2] WHEN 1 THEN ['user:other'] ELSE [] END AS turns FROM ({_SNAPSHOTS.format("(SELECT *, unnest(range(7)) AS k FROM (SELECT *, unnest([0, 1]) AS u FROM (SELECT conv_id, unnest([0, 1]) AS h FROM t)))")}) c JOIN t ON CAST(t.conv_id AS VARCHAR) = session_id WHERE k > 0),
 n AS (SELECT host, session_id, user_id, segment, arg_max(turns, (created_at, job_id)) AS w, arg_max(job_id, (created_at, job_id)) AS id FROM c WHERE user_id IS NOT NULL GROUP BY ALL),
 j AS (SELECT c.*, n.id, CASE WHEN n.id IS NULL OR n.id = job_id THEN false WHEN len(turns) = 0 THEN transcript_path IS NULL ELSE len(list_filter(range(len(w) - len(turns) + 1), lambda i: w[i + 1:i + len(turns)] = turns)) > 0 END AS gone FROM c LEFT JOIN n USING (host, session_id, user_id, segment))
 SELECT job_id, CASE WHEN gone THEN 'coalesced' ELSE 'pending' END AS state, CASE WHEN gone THEN id END AS superseded_by FROM j""")
@@ -224,7 +224,7 @@ def coalesced_captures(spark, sf):
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda x: F.concat(x["role"], F.lit(":"), F.trim(x["content"])))
     whole = t.groupBy("conv_id").agg(turns.alias("w"))
     shape = whole.select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("n")).selectExpr("conv_id", "n % 6 + 1 AS k", "n div 12 AS h", "n div 6 % 2 AS u")
-    rows = spark.sql(_CAPTURES.format("{m}"), m=shape)
+    rows = spark.sql(_SNAPSHOTS.format("{m}"), m=shape)
     w, none = F.col("w"), F.array().cast("array<string>")
     held = F.when(F.col("k") == 6, w).when(F.col("k") == 3, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))).when(F.col("k") == 2, F.slice(w, 1, 2)).when(F.col("k") == 1, F.array(F.lit("user:other"))).otherwise(none)
     rows = rows.join(whole.select(F.col("conv_id").cast("string").alias("session_id"), "w"), "session_id").withColumn("turns", held)
