@@ -9,7 +9,7 @@ in the midst of an article) are left out.
 What an element's class or role says against its contents holds for boxes beside the
 content, not for what encloses it: html, body, main, the elements around a main or
 around an article with a quarter of the page's words, and elements with nine tenths
-of them say nothing against theirs. An id of a heading or paragraph is an anchor, a
+of them (but nav, header, footer and aside) say nothing against theirs. An id of a heading or paragraph is an anchor, a
 class like has-sidebar or no-menu a state, and neither says anything.
 
 White space inside a block becomes one space, blocks are joined by a newline,
@@ -55,6 +55,8 @@ _ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _FRAMES = frozenset(("html", "body", "main"))
 #: Elements that text is made of, wherever it stands: none of them speaks against its contents.
 _TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption div section span center".split())
+#: Elements that are beside the content even where they hold all words of a page.
+_BESIDE = frozenset(("nav", "footer", "header", "aside"))
 #: Shares of the page's words: of an article that is the content, of an element that encloses all of it.
 ARTICLE_SHARE, ENCLOSING_SHARE = 0.25, 0.9
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
@@ -190,7 +192,7 @@ def settle(blocks: list[tuple]) -> list[tuple]:
             x.encloses = True
             x = x.parent
     for x in inner_first:
-        x.encloses |= x.tag in _FRAMES or x.words >= ENCLOSING_SHARE * total
+        x.encloses |= x.tag in _FRAMES or (x.tag not in _BESIDE and x.words >= ENCLOSING_SHARE * total)
     return blocks
 
 
