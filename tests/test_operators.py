@@ -711,6 +711,50 @@ def test_pivots_prune_pairs_and_lose_none(spark):
     assert similarity.Join(df.limit(0), 0.85).edges(3).count() == 0
 
 
+def _shuffled(spark, run):
+    """MB that the stages of run write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gate = spark.sparkContext._gateway
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (x for x in gate.jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())))}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = stages().keys()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return out, sum(n for k, n in stages().items() if k not in before) / 1e6
+
+
+def _unpruned(spark, path, n=5000, dim=64):
+    """Vectors of two labels at random, which no pivot prunes, and the best ten neighbours of each by brute force."""
+    import numpy as np
+
+    r = np.random.RandomState(8)
+    x, label = r.randn(n, dim).astype("float32"), r.randint(0, 2, n)
+    x[: n // 20] = x[0]
+    spark.createDataFrame([(k, v.tolist(), int(g)) for k, (v, g) in enumerate(zip(x, label))], "vec_id bigint, embedding array<float>, label int").repartition(2).write.parquet(f"{path}/embeddings.parquet")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 6)
+    cosine[label[:, None] != label[None, :]] = -2
+    np.fill_diagonal(cosine, -2)
+
+    def best(threshold):
+        return {(a, int(b)): cosine[a, b] for a in range(n) for b in np.lexsort((np.arange(n), -cosine[a]))[:10] if cosine[a, b] >= threshold}
+
+    return best
+
+
+def _same(got, want):
+    assert all(abs(got[k] - want[k]) <= 1.5e-6 for k in got.keys() & want.keys()) and len(got) == len(want) and len(got.keys() ^ want.keys()) <= 0.002 * len(want)
+
+
+def test_seeds_go_to_tiles_not_to_cells(spark, tmp_path):
+    from memlake.plans import registry
+
+    best = _unpruned(spark, tmp_path)
+    got, mb = _shuffled(spark, lambda: registry.QUERIES["knn_edges_strict"](spark, str(tmp_path)).collect())
+    _same({(r.seed_id, r.neighbor_id): r.score for r in got}, best(0.5))
+    assert mb < 12  # 5; with a copy of a seed for each cell that it may reach, 30
+
+
 def test_greedy_chunks_equal_a_loop(spark):
     import random
 
