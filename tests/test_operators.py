@@ -755,6 +755,40 @@ def test_seeds_go_to_tiles_not_to_cells(spark, tmp_path):
     assert mb < 12  # 5; with a copy of a seed for each cell that it may reach, 30
 
 
+def test_a_dense_tile_takes_little_memory(spark, tmp_path, monkeypatch):
+    """A tile of near copies, all of them neighbours, and one of exact copies: what its task holds at once, and its result."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from memlake.plans import registry
+
+    r = np.random.RandomState(4)
+    near = r.randn(64) + 0.3 * r.randn(1200, 64)
+    x = np.concatenate([near, np.repeat(near[:1], 400, axis=0)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = r.permutation(len(x))
+    spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x[:50])], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = []
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: made.append(f) or spark.createDataFrame([], schema))
+    registry.QUERIES["knn_edges"](spark, str(tmp_path))
+    rows = {"id": pa.array(ids), "cell": pa.array(np.zeros(len(x), "int32")), "angle": pa.array(np.zeros(len(x))), "vec": pa.array([v.tobytes() for v in x], pa.binary())}
+    tracemalloc.start()
+    got = made[0](pa.table({f"s_{c}": v for c, v in rows.items()}), pa.table(rows)).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    cosine = np.round(np.stack([(x * v).sum(axis=1) for v in x]), 6)
+    np.fill_diagonal(cosine, -2)
+    want = {(int(ids[a]), int(ids[b])): cosine[a, b] for a in range(len(x)) for b in np.lexsort((ids, -cosine[a]))[:10]}
+    best = {}
+    for s, n, score in sorted(zip(*got.values()), key=lambda e: (e[0], -e[2], e[1])):
+        best.setdefault(s, []).append((n, score))
+    assert {(s, n): score for s, found in best.items() for n, score in found[:10]} == want
+    assert peak < 200  # 22; with all products of a block at once, 1718
+
+
 def test_greedy_chunks_equal_a_loop(spark):
     import random
 
