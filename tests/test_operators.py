@@ -755,6 +755,21 @@ def test_seeds_go_to_tiles_not_to_cells(spark, tmp_path):
     assert mb < 12  # 5; with a copy of a seed for each cell that it may reach, 30
 
 
+def test_pairs_of_several_parts(spark, tmp_path, monkeypatch):
+    """Tiles of several parts in either identity, copies across them, and null vectors; pairs equal brute force."""
+    from memlake.operators import similarity
+    from memlake.plans import registry
+
+    best = {}
+    for (a, b), score in _unpruned(spark, tmp_path)(0.3).items():
+        best[min(a, b), max(a, b)] = max(score, best.get((min(a, b), max(a, b)), -2))
+    spark.createDataFrame([(90_000, None, 0), (90_001, [0.0] * 64, 1)], "vec_id bigint, embedding array<float>, label int").write.mode("append").parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(similarity, "PART_BYTES", 512 * 900, raising=False)  # three parts of 2500 vectors
+    got, mb = _shuffled(spark, lambda: registry.QUERIES["knn_pairs_dedup"](spark, str(tmp_path)).collect())
+    _same({(r.a, r.b): r.score for r in got}, best)
+    assert mb < 22  # 16; with a copy of a seed for each cell that it may reach, 32
+
+
 def test_a_dense_tile_takes_little_memory(spark, tmp_path, monkeypatch):
     """A tile of near copies, all of them neighbours, and one of exact copies: what its task holds at once, and its result."""
     import tracemalloc
