@@ -17,8 +17,8 @@ threshold is lost, and no group, batch or product outgrows a tile.
 
 Null vectors, and those with null or non-finite components, take no part, nor do
 those of another dimension than most of the sample, nor zero vectors. Null ids take
-no part; repeated ids are separate vectors that aren't each other's neighbours. An
-empty table gives an empty result.
+no part; repeated ids are separate vectors that aren't each other's neighbours. Null
+identities equal none, not even each other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ class Join:
             return
         dim = Counter(len(r.v) for r in picked).most_common(1)[0][0]
         # about one pivot for an eighth of a block of the largest identity, so that runs don't get too small
-        largest = clean.groupBy("identity").count().agg(F.max("count")).first()[0]
+        largest = clean.where("identity IS NOT NULL").groupBy("identity").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
         self.centres = pivots_of(_unit(np.array([r.v for r in picked if len(r.v) == dim])), int(np.clip(8 * largest // block, 1, pivots)))
         self.most = max(1, PART_BYTES // (8 * dim))
         centres = self.centres
@@ -137,7 +137,7 @@ class Join:
 
         row = clean.where(F.size("v") == dim).select(F.struct("id", "identity", "seed").alias("row"), "v")
         placed = row.mapInArrow(place, f"row {row.schema['row'].dataType.simpleString()}, cell int, angle double, vec binary")
-        self.rows = self.scratch.write(placed.select(F.col("row.id").alias("id"), F.xxhash64(F.col("row.identity").cast("string")).alias("g"), F.col("row.seed").alias("seed"), "cell", "angle", "vec"))
+        self.rows = self.scratch.write(placed.select(F.col("row.id").alias("id"), F.when(F.col("row.identity").isNotNull(), F.xxhash64(F.col("row.identity").cast("string"))).alias("g"), F.col("row.seed").alias("seed"), "cell", "angle", "vec"))
         self._parts()
         self._tiles()
 
@@ -145,12 +145,13 @@ class Join:
         """homes: rows with the part they are in; self.parts: (g, part, cell, low, high, asks); asks: 0 where no row is a seed."""
         cell, shell, unit = ["g", "cell"], ["g", "cell", "shell"], min(self.block, self.most)
         steps = [k / 64 for k in range(1, 64)]
-        cuts = self.rows.groupBy(*cell).agg(F.percentile_approx("angle", steps, 10_000).alias("q"), F.ceil(F.count("*") / unit).cast("int").alias("shells")).where("shells > 1")
+        rows = self.rows.where("g IS NOT NULL")
+        cuts = rows.groupBy(*cell).agg(F.percentile_approx("angle", steps, 10_000).alias("q"), F.ceil(F.count("*") / unit).cast("int").alias("shells")).where("shells > 1")
         # as many bounds as the cell has blocks, 63 at most
         some = F.filter(F.col("q"), lambda x, i: ((i + 1) % F.greatest(F.lit(1), F.floor(F.lit(64) / F.col("shells")))) == 0)
         cuts = self.scratch.write(cuts.select(*cell, F.array_distinct(some).alias("cuts")))
         inner = F.when(F.col("cuts").isNull(), 0).otherwise(F.aggregate("cuts", F.lit(0), lambda acc, c: acc + F.when(F.col("angle") > c, 1).otherwise(0)))
-        homes = self.rows.join(cuts, cell, "left").withColumn("shell", inner.cast("int")).drop("cuts")
+        homes = rows.join(cuts, cell, "left").withColumn("shell", inner.cast("int")).drop("cuts")
         shells = homes.groupBy(*shell).agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("members"), F.count_if("seed").alias("asks"))
         before = Window.partitionBy("g").orderBy("cell", "shell").rowsBetween(Window.unboundedPreceding, -1)
         n = F.sum("members").over(Window.partitionBy("g"))  # a row for each shell: 64 for each pivot at most
@@ -199,7 +200,7 @@ class Join:
                     total += len(rows) * int(run.stop - run.start)
             return pa.table({"pairs": pa.array([total], pa.int64())})
 
-        every = self.rows.groupBy("g").agg((F.count("*") * F.count_if("seed")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("all_pairs"))
+        every = self.rows.groupBy("g").agg((F.when(F.col("g").isNull(), 1).otherwise(F.count("*")) * F.count_if("seed")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("all_pairs"))
         return self._meet(count, "pairs bigint").agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("bigint").alias("pairs")).crossJoin(every)
 
     def edges(self, top_k: int) -> DataFrame:

@@ -770,6 +770,21 @@ def test_pairs_of_several_parts(spark, tmp_path, monkeypatch):
     assert mb < 22  # 16; with a copy of a seed for each cell that it may reach, 32
 
 
+def test_null_identities_have_no_neighbours(spark, tmp_path):
+    """As in the SQL, where a null label equals none; a table of null labels alone has no edges."""
+    from memlake.plans import registry
+
+    copies = [(k, [1.0, float(k % 2)], label) for k, label in enumerate((None, None, 0, 0, None, 1, 0))]
+    schema = "vec_id bigint, embedding array<float>, label int"
+    spark.createDataFrame(copies, schema).write.parquet(f"{tmp_path}/some/embeddings.parquet")
+    spark.createDataFrame(copies[:2], schema).write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    got = {name: sorted(tuple(r) for r in registry.QUERIES[name](spark, f"{tmp_path}/some").collect()) for name in ("knn_edges", "knn_pairs_dedup")}
+    near = {(2, 3): 0.707107, (2, 6): 1.0, (3, 6): 0.707107}
+    assert got["knn_pairs_dedup"] == [(a, b, s) for (a, b), s in near.items()]
+    assert got["knn_edges"] == sorted(e for (a, b), s in near.items() for e in ((a, b, s), (b, a, s)))
+    assert registry.QUERIES["knn_edges"](spark, f"{tmp_path}/none").count() == 0
+
+
 def test_a_dense_tile_takes_little_memory(spark, tmp_path, monkeypatch):
     """A tile of near copies, all of them neighbours, and one of exact copies: what its task holds at once, and its result."""
     import tracemalloc
