@@ -785,6 +785,27 @@ def test_null_identities_have_no_neighbours(spark, tmp_path):
     assert registry.QUERIES["knn_edges"](spark, f"{tmp_path}/none").count() == 0
 
 
+def test_pairs_equal_the_sql_on_odd_rows(spark, tmp_path, monkeypatch):
+    """Repeated and null ids, null labels and vectors, copies, several parts: as DuckDB gives them."""
+    import duckdb
+    import numpy as np
+
+    from memlake.operators import similarity
+    from memlake.plans import registry
+
+    r = np.random.RandomState(6)
+    x = r.randn(40, 8)[r.randint(0, 40, 400)] + 0.3 * r.randn(400, 1) * r.randn(400, 8)
+    x[:30] = x[0]
+    rows = [(None if k % 50 == 7 else k - k % 40 // 39, None if k % 60 == 11 else v.tolist(), None if k % 9 == 4 else int(g)) for k, (v, g) in enumerate(zip(x.astype("float32"), r.randint(0, 3, 400)))]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(similarity, "PART_BYTES", 64 * 50)  # parts of 50 vectors
+    got = sorted(tuple(r) for r in registry.QUERIES["knn_pairs_dedup"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(db.sql(registry.ORACLES["knn_pairs_dedup"]).fetchall())
+    assert got == want and len(got) > 1000
+
+
 def test_a_dense_tile_takes_little_memory(spark, tmp_path, monkeypatch):
     """A tile of near copies, all of them neighbours, and one of exact copies: what its task holds at once, and its result."""
     import tracemalloc
