@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from memlake.scratch import Scratch
@@ -67,8 +68,10 @@ def pivots_of(sample: np.ndarray, most: int) -> np.ndarray:
     return np.stack(chain)
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), -1)
+def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Unit vectors in double precision, of the bytes of floats or doubles."""
+    flat = b"".join(column.to_pylist())
+    return _unit(np.frombuffer(flat, f"f{len(flat) // (len(column) * dim)}").reshape(-1, dim).astype(float))
 
 
 def _comparisons(x: np.ndarray, own: np.ndarray, cell: np.ndarray, angle: np.ndarray, centres: np.ndarray, reach: float, block: int):
@@ -105,8 +108,6 @@ def _first_copies(ids: np.ndarray, vectors: list[bytes], most: int) -> np.ndarra
     return np.array(kept, int)
 
 
-
-
 class Join:
     """Cells, parts and tiles of one table: id, identity, embedding, and whether a row is a seed."""
 
@@ -126,14 +127,16 @@ class Join:
         largest = clean.where("identity IS NOT NULL").groupBy("identity").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
         self.centres = pivots_of(_unit(np.array([r.v for r in picked if len(r.v) == dim])), int(np.clip(8 * largest // block, 1, pivots)))
         self.most = max(1, PART_BYTES // (8 * dim))
-        centres = self.centres
+        self.dim, centres = dim, self.centres
+        # what fits into floats travels as floats
+        kind = "f4" if isinstance(vectors.schema["embedding"].dataType.elementType, (T.FloatType, T.ShortType, T.ByteType)) else "f8"
 
         def place(batches):
             for b in batches:
-                x = _unit(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-                angles = _angles(x, centres)
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                angles = _angles(_unit(x), centres)
                 cell = angles.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(cell, pa.int32()), pa.array(angles[np.arange(len(x)), cell]), pa.array([v.tobytes() for v in x], pa.binary())], ["row", "cell", "angle", "vec"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(cell, pa.int32()), pa.array(angles[np.arange(len(x)), cell]), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())], ["row", "cell", "angle", "vec"])
 
         row = clean.where(F.size("v") == dim).select(F.struct("id", "identity", "seed").alias("row"), "v")
         placed = row.mapInArrow(place, f"row {row.schema['row'].dataType.simpleString()}, cell int, angle double, vec binary")
@@ -190,13 +193,13 @@ class Join:
         """(pairs, all_pairs): how many pairs of seed and vector are compared, and how many there are within identities."""
         if self.empty:
             return self.spark.createDataFrame([(0, 0)], "pairs bigint, all_pairs bigint")
-        centres, reach, block = self.centres, self.reach, self.block
+        centres, reach, block, dim = self.centres, self.reach, self.block, self.dim
 
         def count(left: pa.Table, right: pa.Table) -> pa.Table:
             total = 0
             if left.num_rows and right.num_rows:
                 right = right.sort_by([("cell", "ascending"), ("angle", "ascending")])
-                for rows, run in _comparisons(_vectors(left.column("s_vec")), np.asarray(left.column("s_angle")), np.asarray(right.column("cell")), np.asarray(right.column("angle")), centres, reach, block):
+                for rows, run in _comparisons(_vectors(left.column("s_vec"), dim), np.asarray(left.column("s_angle")), np.asarray(right.column("cell")), np.asarray(right.column("angle")), centres, reach, block):
                     total += len(rows) * int(run.stop - run.start)
             return pa.table({"pairs": pa.array([total], pa.int64())})
 
@@ -208,7 +211,7 @@ class Join:
         schema = "seed_id bigint, neighbor_id bigint, score double"
         if self.empty:
             return self.spark.createDataFrame([], schema)
-        centres, reach, block, threshold = self.centres, self.reach, self.block, self.threshold
+        centres, reach, block, threshold, dim = self.centres, self.reach, self.block, self.threshold, self.dim
 
         def match(left: pa.Table, right: pa.Table) -> pa.Table:
             out = pa.schema([("seed_id", pa.int64()), ("neighbor_id", pa.int64()), ("score", pa.float64())])
@@ -216,9 +219,9 @@ class Join:
                 return out.empty_table()
             right = right.take(pa.array(_first_copies(np.asarray(right.column("id")), right.column("vec").to_pylist(), top_k + 1)))
             right = right.sort_by([("cell", "ascending"), ("angle", "ascending")])
-            asker, other, x, y = np.asarray(left.column("s_id")), np.asarray(right.column("id")), _vectors(left.column("s_vec")), _vectors(right.column("vec"))
+            asker, other, x, y = np.asarray(left.column("s_id")), np.asarray(right.column("id")), _vectors(left.column("s_vec"), dim), _vectors(right.column("vec"), dim)
             least = np.full(len(x), threshold - 1e-6)  # what a score must reach, before it is rounded
-            at_once = max(1, PART_BYTES // (8 * x.shape[1]))
+            at_once = max(1, PART_BYTES // (8 * dim))
 
             def best(found):
                 a, b, s = (np.concatenate(c) for c in zip(*found))

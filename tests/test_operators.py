@@ -770,6 +770,25 @@ def test_pairs_of_several_parts(spark, tmp_path, monkeypatch):
     assert mb < 22  # 16; with a copy of a seed for each cell that it may reach, 32
 
 
+def test_floats_travel_as_floats(spark, tmp_path, monkeypatch):
+    """Vectors of floats go to their tiles in four bytes a number; doubles that no float holds stay as they are."""
+    from pyspark.sql import functions
+
+    from memlake.operators import similarity
+    from memlake.plans import registry
+
+    best = {}
+    for (a, b), score in _unpruned(spark, tmp_path / "f")(0.3).items():
+        best[min(a, b), max(a, b)] = max(score, best.get((min(a, b), max(a, b)), -2))
+    large = functions.transform("embedding", lambda x: x.cast("double") * 1e60)
+    spark.read.parquet(f"{tmp_path}/f/embeddings.parquet").withColumn("embedding", large).write.parquet(f"{tmp_path}/d/embeddings.parquet")
+    monkeypatch.setattr(similarity, "PART_BYTES", 512 * 900)  # three parts of 2500 vectors
+    for kind in "df":
+        got, mb = _shuffled(spark, lambda: registry.QUERIES["knn_pairs_dedup"](spark, f"{tmp_path}/{kind}").collect())  # noqa: B023
+        _same({(r.a, r.b): r.score for r in got}, best)
+    assert mb < 13  # 9.6 for the floats; as unit vectors of doubles, 16.4
+
+
 def test_null_identities_have_no_neighbours(spark, tmp_path):
     """As in the SQL, where a null label equals none; a table of null labels alone has no edges."""
     from memlake.plans import registry
